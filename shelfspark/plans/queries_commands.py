@@ -1 +1,273 @@
-"""Registered command-batch queries."""
+"""Registered command-batch queries (W1-W17): outcomes and changed tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import commands_catalog as WC
+from ..operators import commands_circulation as WL
+from ..operators import commands_users as WU
+from ..operators.batch import merge_rows
+from .registry import AS_OF_LOANABLE, AS_OF_LOANS, AS_OF_REQUESTS, register
+
+Y = AS_OF_LOANS.year
+
+
+@register("w1_upsert_authors", """
+WITH names AS (SELECT DISTINCT author_first_name AS first_name, author_last_name AS last_name FROM book_commands),
+fresh AS (
+  SELECT n.first_name, n.last_name,
+    (SELECT COALESCE(max(id), 0) FROM authors) + ROW_NUMBER() OVER (ORDER BY n.first_name, n.last_name) AS id
+  FROM names n WHERE NOT EXISTS (SELECT 1 FROM authors a WHERE a.first_name = n.first_name AND a.last_name = n.last_name))
+SELECT a.id, a.first_name, a.last_name FROM authors a
+JOIN names n ON a.first_name = n.first_name AND a.last_name = n.last_name
+UNION ALL SELECT id, first_name, last_name FROM fresh
+""")
+def _w1(lib):
+    c = lib.book_commands
+    return WC.upsert_authors(lib, c.select(F.col("author_first_name").alias("first_name"),
+                                           F.col("author_last_name").alias("last_name")))[1]
+
+
+@register("w2_upsert_publishers", """
+WITH names AS (SELECT DISTINCT publisher AS name FROM book_commands),
+fresh AS (
+  SELECT n.name, (SELECT COALESCE(max(id), 0) FROM publishers) + ROW_NUMBER() OVER (ORDER BY n.name) AS id
+  FROM names n WHERE NOT EXISTS (SELECT 1 FROM publishers p WHERE p.name = n.name))
+SELECT p.id, p.name FROM publishers p JOIN names n ON p.name = n.name
+UNION ALL SELECT id, name FROM fresh
+""")
+def _w2(lib):
+    return WC.upsert_publishers(lib, lib.book_commands.select(F.col("publisher").alias("name")))[1]
+
+
+@register("w3_add_books", f"""
+WITH c AS (
+  SELECT bc.*, CASE WHEN bc.publication_year < 1000 OR bc.publication_year > {Y} THEN 'Invalid publication year'
+    WHEN EXISTS (SELECT 1 FROM books b WHERE b.isbn = bc.isbn) THEN 'Duplicate isbn' END AS pre
+  FROM book_commands bc),
+d AS (
+  SELECT c.*, CASE WHEN pre IS NOT NULL THEN pre
+    WHEN isbn IS NOT NULL AND ROW_NUMBER() OVER (PARTITION BY isbn, pre IS NULL ORDER BY submitted_at, cmd_id) > 1
+    THEN 'Duplicate isbn' END AS reason
+  FROM c),
+acc AS (
+  SELECT *, (SELECT COALESCE(max(id), 0) FROM books) + ROW_NUMBER() OVER (ORDER BY submitted_at, cmd_id) AS book_id_new
+  FROM d WHERE reason IS NULL),
+an AS (SELECT DISTINCT author_first_name AS first_name, author_last_name AS last_name FROM acc),
+af AS (
+  SELECT first_name, last_name,
+    (SELECT COALESCE(max(id), 0) FROM authors) + ROW_NUMBER() OVER (ORDER BY first_name, last_name) AS id
+  FROM an WHERE NOT EXISTS (SELECT 1 FROM authors a WHERE a.first_name = an.first_name AND a.last_name = an.last_name)),
+aall AS (SELECT id, first_name, last_name FROM authors UNION ALL SELECT id, first_name, last_name FROM af),
+pn AS (SELECT DISTINCT publisher AS name FROM acc),
+pf AS (
+  SELECT name, (SELECT COALESCE(max(id), 0) FROM publishers) + ROW_NUMBER() OVER (ORDER BY name) AS id
+  FROM pn WHERE NOT EXISTS (SELECT 1 FROM publishers p WHERE p.name = pn.name)),
+pall AS (SELECT id, name FROM publishers UNION ALL SELECT id, name FROM pf)
+SELECT d.cmd_id, d.reason IS NULL AS ok, d.reason, acc.book_id_new AS book_id, aall.id AS author_id,
+  pall.id AS publisher_id
+FROM d LEFT JOIN acc ON acc.cmd_id = d.cmd_id
+LEFT JOIN aall ON aall.first_name = acc.author_first_name AND aall.last_name = acc.author_last_name
+LEFT JOIN pall ON pall.name = acc.publisher
+""")
+def _w3(lib):
+    return WC.add_books(lib, lib.book_commands, AS_OF_LOANS).outcomes
+
+
+@register("w4_update_books", f"""
+WITH c AS (
+  SELECT bc.*, CASE WHEN NOT EXISTS (SELECT 1 FROM books b WHERE b.id = bc.book_id) THEN 'Book not found'
+    WHEN bc.publication_year < 1000 OR bc.publication_year > {Y} THEN 'Invalid publication year'
+    WHEN EXISTS (SELECT 1 FROM books b WHERE b.isbn = bc.isbn AND b.id <> bc.book_id) THEN 'Duplicate isbn' END AS pre
+  FROM book_commands bc),
+o AS (SELECT isbn, first(book_id ORDER BY submitted_at, cmd_id) AS owner FROM c
+      WHERE pre IS NULL AND isbn IS NOT NULL GROUP BY isbn),
+r AS (SELECT c.cmd_id, COALESCE(c.pre, CASE WHEN o.owner <> c.book_id THEN 'Duplicate isbn' END) AS reason
+      FROM c LEFT JOIN o ON o.isbn = c.isbn)
+SELECT cmd_id, reason IS NULL AS ok, reason FROM r
+""")
+def _w4(lib):
+    return WC.update_books(lib, lib.book_commands, AS_OF_LOANS).outcomes
+
+
+@register("w4_updated_books", f"""
+WITH c AS (
+  SELECT bc.*, CASE WHEN NOT EXISTS (SELECT 1 FROM books b WHERE b.id = bc.book_id) THEN 'Book not found'
+    WHEN bc.publication_year < 1000 OR bc.publication_year > {Y} THEN 'Invalid publication year'
+    WHEN EXISTS (SELECT 1 FROM books b WHERE b.isbn = bc.isbn AND b.id <> bc.book_id) THEN 'Duplicate isbn' END AS pre
+  FROM book_commands bc),
+o AS (SELECT isbn, first(book_id ORDER BY submitted_at, cmd_id) AS owner FROM c
+      WHERE pre IS NULL AND isbn IS NOT NULL GROUP BY isbn),
+acc AS (SELECT c.* FROM c LEFT JOIN o ON o.isbn = c.isbn
+        WHERE COALESCE(c.pre, CASE WHEN o.owner <> c.book_id THEN 'Duplicate isbn' END) IS NULL),
+last AS (SELECT * FROM (SELECT acc.*, ROW_NUMBER() OVER (PARTITION BY book_id ORDER BY submitted_at DESC, cmd_id DESC) AS rn
+                        FROM acc) x WHERE rn = 1),
+an AS (SELECT DISTINCT author_first_name AS first_name, author_last_name AS last_name FROM acc),
+af AS (
+  SELECT first_name, last_name,
+    (SELECT COALESCE(max(id), 0) FROM authors) + ROW_NUMBER() OVER (ORDER BY first_name, last_name) AS id
+  FROM an WHERE NOT EXISTS (SELECT 1 FROM authors a WHERE a.first_name = an.first_name AND a.last_name = an.last_name)),
+aall AS (SELECT id, first_name, last_name FROM authors UNION ALL SELECT id, first_name, last_name FROM af)
+SELECT b.id, COALESCE(l.title, b.title) AS title,
+  CASE WHEN l.book_id IS NOT NULL THEN aall.id ELSE b.author_id END AS author_id,
+  CASE WHEN l.book_id IS NOT NULL THEN l.isbn ELSE b.isbn END AS isbn, b.publisher_id,
+  CASE WHEN l.book_id IS NOT NULL THEN l.publication_year ELSE b.publication_year END AS publication_year,
+  CASE WHEN l.book_id IS NOT NULL THEN l.genre ELSE b.genre END AS genre,
+  CASE WHEN l.book_id IS NOT NULL THEN '' ELSE b.description END AS description, b.status
+FROM books b LEFT JOIN last l ON l.book_id = b.id
+LEFT JOIN aall ON aall.first_name = l.author_first_name AND aall.last_name = l.author_last_name
+""")
+def _w4b(lib):
+    return WC.update_books(lib, lib.book_commands, AS_OF_LOANS).tables["books"].drop("updated_at")
+
+
+D_REQ = f"DATE '{AS_OF_REQUESTS.isoformat()}'"
+
+
+@register("w5_submit_reader_requests", f"""
+WITH c AS (
+  SELECT rc.*, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY submitted_at, cmd_id) AS rn,
+    EXISTS (SELECT 1 FROM reader_registration_requests rr WHERE rr.user_id = rc.user_id AND rr.status = 'pending'
+            AND rr.created_at > {D_REQ} - INTERVAL 30 DAY) AS blocked
+  FROM request_commands rc),
+d AS (SELECT c.*, CASE WHEN blocked OR rn > 1 THEN 'Pending request exists' END AS reason FROM c)
+SELECT d.cmd_id, d.reason IS NULL AS ok, d.reason,
+  CASE WHEN d.reason IS NULL THEN (SELECT max(id) FROM reader_registration_requests)
+    + ROW_NUMBER() OVER (PARTITION BY d.reason IS NULL ORDER BY submitted_at, cmd_id) END AS request_id
+FROM d
+""")
+def _w5(lib):
+    return WU.submit_reader_requests(lib, lib.request_commands, AS_OF_REQUESTS).outcomes
+
+
+@register("w6_w7_decide_requests", """
+WITH c AS (SELECT dc.*, (decision = 'approve' OR (decision = 'reject' AND length(trim(COALESCE(reason, ''))) > 0)) AS wf
+           FROM decision_commands dc),
+v AS (SELECT c.cmd_id, c.submitted_at, c.request_id FROM c
+      JOIN reader_registration_requests rr ON rr.id = c.request_id AND rr.status = 'pending' WHERE c.wf),
+w AS (SELECT cmd_id FROM (SELECT v.*, ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY submitted_at, cmd_id) AS rn
+                          FROM v) x WHERE rn = 1),
+o AS (SELECT c.cmd_id, c.decision, c.submitted_at,
+        CASE WHEN NOT c.wf THEN 'Rejection reason required'
+             WHEN w.cmd_id IS NULL THEN 'Request not found or already processed' END AS reason2
+      FROM c LEFT JOIN w ON w.cmd_id = c.cmd_id)
+SELECT cmd_id, reason2 IS NULL AS ok, reason2 AS reason,
+  CASE WHEN reason2 IS NULL AND decision = 'approve' THEN (SELECT max(id) FROM readers)
+    + ROW_NUMBER() OVER (PARTITION BY reason2 IS NULL AND decision = 'approve' ORDER BY submitted_at, cmd_id) END
+    AS reader_id
+FROM o
+""")
+def _w67(lib):
+    return WU.decide_requests(lib, lib.decision_commands).outcomes
+
+
+@register("w8_create_reservations")
+def _w8(lib):
+    return WL.create_reservations(lib, lib.reservation_commands).outcomes
+
+
+@register("w8_create_reservations_vs_table")
+def _w8t(lib):
+    c = lib.availability_requests.withColumnRenamed("req_id", "cmd_id")
+    return WL.create_reservations(lib, c).outcomes
+
+
+def _w9_cmds(lib):
+    rd = lib.readers.groupBy(F.col("user_id").alias("_u")).agg(F.min("id").alias("reader_id"))
+    c = lib.availability_requests.withColumnRenamed("req_id", "cmd_id")
+    return c.join(rd, c.user_id == rd._u, "left").drop("_u")
+
+
+@register("w9_admin_create_reservations")
+def _w9(lib):
+    return WL.admin_create_reservations(lib, _w9_cmds(lib)).outcomes
+
+
+@register("w10_cancel_reservations", """
+SELECT cc.reservation_id, r.id IS NOT NULL AS ok,
+  CASE WHEN r.id IS NULL THEN 'Reservation not found or cannot be cancelled' END AS reason
+FROM cancel_commands cc LEFT JOIN reservations r ON r.id = cc.reservation_id AND r.status <> 'completed'
+""")
+def _w10(lib):
+    return WL.cancel_reservations(lib, lib.cancel_commands).outcomes
+
+
+D_LOANABLE = f"DATE '{AS_OF_LOANABLE.isoformat()}'"
+
+
+@register("w11_create_loans", f"""
+WITH res AS (SELECT book_id, reader_id, min(id) AS res_id FROM reservations
+             WHERE status = 'pending' AND {D_LOANABLE} BETWEEN start_date AND end_date GROUP BY book_id, reader_id),
+c AS (SELECT lc.*, res.res_id, b.id AS avail FROM loan_commands lc
+      LEFT JOIN res ON res.book_id = lc.book_id AND res.reader_id = lc.reader_id
+      LEFT JOIN books b ON b.id = lc.book_id AND b.status = 'available'),
+v AS (SELECT * FROM c WHERE res_id IS NOT NULL AND avail IS NOT NULL),
+w AS (SELECT cmd_id, submitted_at FROM (
+        SELECT v.*, ROW_NUMBER() OVER (PARTITION BY book_id ORDER BY submitted_at, cmd_id) AS rn FROM v) x WHERE rn = 1),
+acc AS (SELECT cmd_id, (SELECT max(id) FROM loans) + ROW_NUMBER() OVER (ORDER BY submitted_at, cmd_id) AS loan_id
+        FROM w)
+SELECT c.cmd_id, acc.loan_id IS NOT NULL AS ok,
+  CASE WHEN acc.loan_id IS NULL THEN 'Invalid loan request' END AS reason, acc.loan_id
+FROM c LEFT JOIN acc ON acc.cmd_id = c.cmd_id
+""")
+def _w11(lib):
+    return WL.create_loans(lib, lib.loan_commands, AS_OF_LOANABLE).outcomes
+
+
+@register("w12_return_loans", """
+WITH p AS (SELECT loan_id, count(*) AS n FROM return_commands GROUP BY loan_id)
+SELECT p.loan_id, l.id IS NOT NULL AS ok, CASE WHEN l.id IS NULL THEN 'Invalid return request' END AS reason,
+  p.n - CASE WHEN l.id IS NOT NULL THEN 1 ELSE 0 END AS failed_commands
+FROM p LEFT JOIN loans l ON l.id = p.loan_id AND l.status = 'borrowed'
+""")
+def _w12(lib):
+    return WL.return_loans(lib, lib.return_commands, AS_OF_LOANS).outcomes
+
+
+_W13_REASON = """CASE WHEN u.id IS NULL THEN 'User not found' WHEN rc.role NOT IN ('user', 'worker') THEN 'Invalid role' END"""
+
+
+@register("w13_promote_users", f"""
+SELECT rc.user_id, rc.role, {_W13_REASON} IS NULL AS ok, {_W13_REASON} AS reason
+FROM role_commands rc LEFT JOIN users u ON u.id = rc.user_id
+""")
+def _w13(lib):
+    return WU.promote_users(lib, lib.role_commands).outcomes
+
+
+_W14_REASON = """CASE WHEN u.id IS NULL THEN 'User not found' WHEN u.role = 'admin' THEN 'Cannot delete admin users' END"""
+
+
+@register("w14_delete_users", f"""
+SELECT dc.user_id, {_W14_REASON} IS NULL AS ok, {_W14_REASON} AS reason
+FROM delete_commands dc LEFT JOIN users u ON u.id = dc.user_id
+""")
+def _w14(lib):
+    return WU.delete_users(lib, lib.delete_commands).outcomes
+
+
+@register("w15_register_users")
+def _w15(lib):
+    return WU.register_users(lib, lib.register_commands).outcomes
+
+
+@register("w16_sync_book_status", """
+SELECT b.id, CASE WHEN b.id IN (SELECT book_id FROM loans WHERE status = 'borrowed') THEN 'borrowed'
+  ELSE b.status END AS status
+FROM books b
+""")
+def _w16(lib):
+    return WL.sync_book_status(lib).select("id", "status")
+
+
+_RET = "l.status = 'borrowed' AND l.id IN (SELECT loan_id FROM return_commands)"
+
+
+@register("w17_merge_rows", f"""
+SELECT l.id, CASE WHEN {_RET} THEN 'returned' ELSE l.status END AS status,
+  CASE WHEN {_RET} THEN DATE '{AS_OF_LOANS.isoformat()}' ELSE l.return_date END AS return_date
+FROM loans l
+""")
+def _w17(lib):
+    return WL.return_loans(lib, lib.return_commands, AS_OF_LOANS).tables["loans"].select("id", "status", "return_date")
