@@ -41,4 +41,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the query modules so their ``register`` calls run."""
-    from . import queries_reads, queries_commands, queries_streams  # noqa: F401
+    from . import queries_commands, queries_reads, queries_sources, queries_streams  # noqa: F401

@@ -246,5 +246,21 @@ class Library:
                         _date_plus(d, k % 6 + k % 14 - 2).alias("end_date"))
 
 
+# Columns of the circulation views (fixed; checked against the DataFrames in tests).
+FIXTURE_COLUMNS: dict[str, list[str]] = {
+    "authors": ["id", "first_name", "last_name"],
+    "publishers": ["id", "name"],
+    "users": ["id", "username", "email", "role", "is_active", "created_at"],
+    "readers": ["id", "user_id", "first_name", "last_name", "email", "address", "card_number", "phone_number",
+                "registration_date"],
+    "loans": ["id", "book_id", "reader_id", "loan_date", "return_date", "status"],
+    "reservations": ["id", "book_id", "reader_id", "created_at", "start_date", "end_date", "status"],
+    "books": ["id", "title", "author_id", "isbn", "publisher_id", "publication_year", "genre", "description",
+              "status"],
+    "reader_registration_requests": ["id", "user_id", "created_at", "status", "processed_at", "rejection_reason"],
+}
+CIRCULATION_TABLES = list(FIXTURE_COLUMNS)
+
+
 def library(spark: SparkSession, sf_dir: str) -> Library:
     return Library(spark, sf_dir)
