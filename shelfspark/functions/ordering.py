@@ -19,9 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _order_exprs(order: list[Column]) -> list[Column]:
-    return list(order)
+from ..session import materialize
 
 
 def global_rank(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank",
@@ -33,6 +31,9 @@ def global_rank(df: DataFrame, keys: list[str], order: list[Column], out: str =
     """
     spark = df.sparkSession
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The input is read three times (key counts, range sampling, join back): write it
+    # once to the shared folder instead of recomputing its whole lineage each time.
+    df = materialize(df, "rank-input")
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     ranged = counts.repartitionByRange(p, *order).withColumn("_part", F.spark_partition_id())
     weight = F.lit(1).cast("long") if dense else F.col("_n")

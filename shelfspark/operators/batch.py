@@ -94,8 +94,7 @@ def first_failure(*checks: tuple[Column, str]) -> Column:
     return expr
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder (survives executor loss)."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def checkpoint(df: DataFrame, name: str = "round") -> DataFrame:
+    """Cut lineage: a written table in the shared checkpoint folder (survives executor loss)."""
+    from ..session import materialize
+    return materialize(df, name)

@@ -16,10 +16,11 @@ from ..functions.dates import as_date
 from ..functions.ordering import page
 from ..functions.text import contains_ci, full_name
 from ..sources.fixtures import Library
-from .loans import LOAN_ORDER, loans_with_due
-from .reservations import RESERVATION_ORDER, reservation_rows
+from .loans import loan_order, loans_with_due
+from .reservations import reservation_order, reservation_rows
 
-TITLE_ORDER = [F.col("title").asc_nulls_last(), F.col("id")]
+def title_order():
+    return [F.col("title").asc_nulls_last(), F.col("id")]
 
 
 def _books_authors(lib: Library, with_publisher: bool) -> DataFrame:
@@ -57,14 +58,14 @@ def catalog_rows(lib: Library, title: str = "", author: str = "", isbn: str = ""
 def catalog_search(lib: Library, title: str = "", author: str = "", isbn: str = "", status: str = "",
                    genre: str = "", page_no: int = 1, per_page: int = 9) -> DataFrame:
     """Catalogue search, sorted by title (then id), one page with total and page count."""
-    return page(catalog_rows(lib, title, author, isbn, status, genre), TITLE_ORDER, page_no, per_page)
+    return page(catalog_rows(lib, title, author, isbn, status, genre), title_order(), page_no, per_page)
 
 
 def available_books_basic(lib: Library, title: str = "", author: str = "", page_no: int = 1,
                           per_page: int = 10) -> DataFrame:
     """Available books, narrow projection, no publisher."""
     df = _text_filters(_books_authors(lib, False).where(F.col("status") == "available"), title, author)
-    return page(df.select("id", "title", "isbn", "status", "author"), TITLE_ORDER, page_no, per_page)
+    return page(df.select("id", "title", "isbn", "status", "author"), title_order(), page_no, per_page)
 
 
 def available_books_for_reservation(lib: Library, title: str = "", author: str = "", page_no: int = 1,
@@ -75,7 +76,7 @@ def available_books_for_reservation(lib: Library, title: str = "", author: str =
     df = _text_filters(df, title, author)
     rows = df.select("id", "title", "isbn", "publication_year", "genre", "status", "description",
                      F.col("author").alias("author_name"), "publisher")
-    return page(rows, TITLE_ORDER, page_no, per_page)
+    return page(rows, title_order(), page_no, per_page)
 
 
 def page_genres(page_df: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def loans_filtered(lib: Library, as_of: dt.date | str, status: str = "", overdue
     if book_title:
         df = df.where(contains_ci("title", book_title))
     rows = df.select("id", "title", "reader", "loan_date", "return_date", "status", "due_date", "is_overdue")
-    return page(rows, LOAN_ORDER, page_no, per_page)
+    return page(rows, loan_order(), page_no, per_page)
 
 
 def date_filter_bounds(date_filter: str, as_of: dt.date | str) -> tuple[dt.date, dt.date]:
@@ -143,7 +144,7 @@ def reservations_filtered(lib: Library, as_of: dt.date | str, status: str = "",
     if date_filter:
         lo, hi = date_filter_bounds(date_filter, as_of)
         df = df.where(F.col("start_date").between(F.lit(lo), F.lit(hi)))
-    return page(df, RESERVATION_ORDER, page_no, per_page)
+    return page(df, reservation_order(), page_no, per_page)
 
 
 def split_author_name(lib: Library) -> DataFrame:

@@ -51,7 +51,8 @@ def _authors(lib: Library) -> DataFrame:
     return lib.authors.select(F.col("id").alias("_auth"), full_name().alias("author"))
 
 
-LOAN_ORDER = [F.col("loan_date").desc_nulls_first(), F.col("id").asc(), F.col("due_date").asc_nulls_last()]
+def loan_order():
+    return [F.col("loan_date").desc_nulls_first(), F.col("id").asc(), F.col("due_date").asc_nulls_last()]
 
 
 def loans_page(lib: Library, as_of: dt.date | str, page_no: int = 1, per_page: int = 10) -> DataFrame:
@@ -60,7 +61,7 @@ def loans_page(lib: Library, as_of: dt.date | str, page_no: int = 1, per_page: i
     j = (l.join(_books_titles(lib), l.book_id == F.col("_bid"))
          .join(_reader_names(lib), l.reader_id == F.col("_rid")))
     rows = j.select("id", "title", "reader", "loan_date", "return_date", "status", "due_date", "is_overdue")
-    return page(rows, LOAN_ORDER, page_no, per_page)
+    return page(rows, loan_order(), page_no, per_page)
 
 
 def reader_loans(lib: Library, as_of: dt.date | str) -> DataFrame:

@@ -83,7 +83,8 @@ def report_active_loans(lib: Library, as_of: dt.date | str) -> DataFrame:
     return global_rank(rows, ["days_overdue"], [F.col("days_overdue").desc_nulls_last()], out="overdue_rank")
 
 
-P1_ORDER = [F.col("is_overdue").desc_nulls_first(), F.col("loan_date").desc_nulls_first(), F.col("loan_id")]
+def p1_order():
+    return [F.col("is_overdue").desc_nulls_first(), F.col("loan_date").desc_nulls_first(), F.col("loan_id")]
 
 
 def overdue_loans(lib: Library, as_of: dt.date | str) -> DataFrame:

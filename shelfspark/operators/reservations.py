@@ -48,12 +48,13 @@ def reservation_rows(lib: Library) -> DataFrame:
     return j.select("id", "start_date", "end_date", "status", "title", "reader")
 
 
-RESERVATION_ORDER = [F.col("start_date").desc_nulls_first(), F.col("id")]
+def reservation_order():
+    return [F.col("start_date").desc_nulls_first(), F.col("id")]
 
 
 def reservations_page(lib: Library, page_no: int = 1, per_page: int = 10) -> DataFrame:
     """V3: all reservations, latest start first, one page plus total."""
-    return page(reservation_rows(lib), RESERVATION_ORDER, page_no, per_page)
+    return page(reservation_rows(lib), reservation_order(), page_no, per_page)
 
 
 def check_availability(lib: Library, requests: DataFrame, join_readers: bool = True) -> DataFrame:
