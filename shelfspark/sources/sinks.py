@@ -53,6 +53,11 @@ def write_period_report(df: DataFrame, report_type: str, start: dt.date, end: dt
     still leaves a header-only file.
     """
     body = _format_temporal(df, REPORT_TS, DAY)
+    if body.isEmpty():
+        # partitionBy writes nothing for no rows; leave a header-only file in the run's folder.
+        folder = f"{path}/report_type={report_type}/period_start={start.isoformat()}/period_end={end.isoformat()}"
+        body.coalesce(1).write.mode("append").option("header", True).csv(folder)
+        return
     tagged = body.select(F.lit(report_type).alias("report_type"), F.lit(start.isoformat()).alias("period_start"),
                          F.lit(end.isoformat()).alias("period_end"), *[F.col(c) for c in body.columns])
     tagged.write.mode("append").option("header", True).partitionBy(
