@@ -72,3 +72,26 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``shelfspark`` importable in Python workers (``--py-files`` at runtime).
+
+    Python UDF and stateful-processor workers import the package by name; a
+    zip of it is added once per SparkContext and distributed by Spark.
+    """
+    import shutil
+    import tempfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="shelfspark-pyfiles-")
+    zpath = shutil.make_archive(os.path.join(out, "shelfspark"), "zip", os.path.dirname(pkg), "shelfspark")
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)

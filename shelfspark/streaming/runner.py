@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.batch import merge_rows
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """transformWithState needs the RocksDB state store; set it when the session has another one."""
+    """transformWithState needs the RocksDB state store; set it when the session has another one.
+
+    Also ships the package to the Python workers that run the stateful processors.
+    """
+    ship_package(spark)
     key = "spark.sql.streaming.stateStore.providerClass"
     if spark.conf.get(key, None) != STATE_PROVIDER:
         spark.conf.set(key, STATE_PROVIDER)
