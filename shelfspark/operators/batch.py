@@ -98,3 +98,42 @@ def checkpoint(df: DataFrame, name: str = "round") -> DataFrame:
     """Cut lineage: a written table in the shared checkpoint folder (survives executor loss)."""
     from ..session import materialize
     return materialize(df, name)
+
+
+class RoundState:
+    """State of an iterative decision loop.
+
+    Each round's state is cached and counted in one job; every ``write_every``
+    rounds it is also written to the shared checkpoint folder, which bounds
+    the lineage a lost executor would replay.
+    """
+
+    def __init__(self, df: DataFrame, name: str, write_every: int = 1):
+        from pyspark import StorageLevel
+        self._level = StorageLevel.MEMORY_AND_DISK
+        self.name = name
+        self.write_every = write_every
+        self.round = 0
+        self.df = checkpoint(df, name)
+        self._cached: DataFrame | None = None
+
+    def undecided(self) -> int:
+        return self.df.where(F.col("accepted").isNull()).count()
+
+    def advance(self, nxt: DataFrame) -> int:
+        """Replace the state by ``nxt``; return the number of undecided rows."""
+        self.round += 1
+        old = self._cached
+        if self.round % self.write_every == 0:
+            self.df, self._cached = checkpoint(nxt, self.name), None
+            n = self.undecided()
+        else:
+            self.df = self._cached = nxt.persist(self._level)
+            n = self.undecided()
+        if old is not None:
+            old.unpersist()
+        return n
+
+    def release(self) -> None:
+        if self._cached is not None:
+            self._cached.unpersist()

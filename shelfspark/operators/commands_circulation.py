@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import as_date, lit_date
 from ..functions.intervals import overlap_join
 from ..sources.fixtures import Library
-from .batch import CommandResult, checkpoint, first_failure, merge_rows, new_ids
+from .batch import CommandResult, RoundState, checkpoint, first_failure, merge_rows, new_ids
 from .reservations import check_availability
 
 
@@ -36,22 +36,29 @@ def accept_in_order(cands: DataFrame, key: str = "book_id", start: str = "start_
     # Edges earlier -> later between overlapping requests of the same key.
     edges = checkpoint(overlap_join(r, l, "_kb", "_ka", "_sb", "_eb", "_sa", "_ea")
                        .where(F.col("_oa") < F.col("_ob")).select("_a", "_b"))
-    state = checkpoint(base.select("cmd_id", F.lit(None).cast("boolean").alias("accepted")))
-    while True:
-        undecided = state.where(F.col("accepted").isNull()).count()
-        if undecided == 0:
-            return state
+    rs = RoundState(base.select("cmd_id", F.lit(None).cast("boolean").alias("accepted")), "accept-round")
+    left = rs.undecided()
+    while left > 0:
+        state = rs.df
+        # Step 1: accept requests whose earlier neighbours are all rejected (or that have none).
         nb = (edges.join(state.select(F.col("cmd_id").alias("_a"), F.col("accepted").alias("_acc")), "_a")
               .groupBy("_b").agg(F.max(F.coalesce(F.col("_acc").cast("int"), F.lit(-1))).alias("_m"),
                                  F.min(F.coalesce(F.col("_acc").cast("int"), F.lit(-1))).alias("_lo")))
         # _m = 1: an earlier neighbour accepted; _lo = -1: some earlier neighbour undecided.
-        nxt = state.join(nb, state.cmd_id == nb._b, "left").select(
+        mid = state.join(nb, state.cmd_id == nb._b, "left").select(
             "cmd_id",
             F.when(F.col("accepted").isNotNull(), F.col("accepted"))
             .when(F.col("_m") == 1, F.lit(False))
             .when(F.col("_b").isNull() | (F.col("_lo") >= 0), F.lit(True))
             .alias("accepted"))
-        state = checkpoint(nxt)
+        # Step 2, same job: reject requests with an earlier neighbour accepted in step 1.
+        hit = (edges.join(mid.where(F.col("accepted")).select(F.col("cmd_id").alias("_a")), "_a")
+               .select(F.col("_b").alias("_hit")).distinct())
+        nxt = mid.join(hit, mid.cmd_id == hit._hit, "left").select(
+            "cmd_id", F.when(F.col("accepted").isNotNull(), F.col("accepted"))
+            .when(F.col("_hit").isNotNull(), F.lit(False)).alias("accepted"))
+        left = rs.advance(nxt)
+    return checkpoint(rs.df, "accepted")
 
 
 def _reserve(lib: Library, cmds: DataFrame, checks, join_readers: bool, conflict_reason: str,

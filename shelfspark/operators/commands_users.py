@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_date
 from ..sources.fixtures import Library
-from .batch import CommandResult, checkpoint, first_failure, first_per_key, merge_rows, new_ids
+from .batch import CommandResult, RoundState, checkpoint, first_failure, first_per_key, merge_rows, new_ids
 
 
 def submit_reader_requests(lib: Library, cmds: DataFrame, as_of: dt.date | str) -> CommandResult:
@@ -143,9 +143,11 @@ def register_users(lib: Library, cmds: DataFrame, bootstrap: bool = True) -> Com
          .withColumn("accepted", F.when(F.col("_tu").isNotNull() | F.col("_te").isNotNull(), F.lit(False))
                      .otherwise(F.lit(None).cast("boolean")))
          .select("cmd_id", "submitted_at", "username", "email", "accepted"))
-    state = checkpoint(c)
+    rs = RoundState(c, "signup-round")
     o = F.struct("submitted_at", "cmd_id")
-    while state.where(F.col("accepted").isNull()).count() > 0:
+    left = rs.undecided()
+    while left > 0:
+        state = rs.df
         live = state.where(F.col("accepted").isNull() | F.col("accepted"))
         by_u = live.groupBy("username").agg(F.min(o).alias("_mu"), F.max(F.col("accepted").cast("int")).alias("_au"))
         by_e = live.groupBy("email").agg(F.min(o).alias("_me"), F.max(F.col("accepted").cast("int")).alias("_ae"))
@@ -154,7 +156,8 @@ def register_users(lib: Library, cmds: DataFrame, bootstrap: bool = True) -> Com
                        F.when(F.col("accepted").isNotNull(), F.col("accepted"))
                        .when((F.col("_au") == 1) | (F.col("_ae") == 1), F.lit(False))
                        .when((o == F.col("_mu")) & (o == F.col("_me")), F.lit(True)).alias("accepted"))
-        state = checkpoint(nxt)
+        left = rs.advance(nxt)
+    state = checkpoint(rs.df, "signup-decided")
     acc = new_ids(state.where("accepted"), ["submitted_at", "cmd_id"], users, out="user_id")
     # First user ever becomes admin: only when the table (after bootstrap) is empty.
     is_empty = users.agg((F.count(F.lit(1)) == 0).alias("e")).scalar()
