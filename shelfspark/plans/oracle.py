@@ -27,6 +27,9 @@ def with_views(body: str) -> str:
     body = body.strip()
     if not ctes:
         return body
+    m = re.match(r"(?i)with\s+recursive\s", body)
+    if m:
+        return f"WITH RECURSIVE {ctes},\n{body[m.end():]}"
     if re.match(r"(?i)with\s", body):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

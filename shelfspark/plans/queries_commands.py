@@ -162,12 +162,67 @@ def _w67(lib):
     return WU.decide_requests(lib, lib.decision_commands).outcomes
 
 
-@register("w8_create_reservations")
+def _reservation_oracle(source: str, staff: bool) -> str:
+    """Sequential reservation acceptance in SQL: checks in order, then a per-book recursive fold."""
+    if staff:
+        checks = """
+      WHEN rc.end_date < rc.start_date THEN 'End date must be after start date'
+      WHEN NOT EXISTS (SELECT 1 FROM books b WHERE b.id = rc.book_id) THEN 'Book not found'
+      WHEN (SELECT b.status FROM books b WHERE b.id = rc.book_id) <> 'available' THEN 'Book not available'
+      WHEN EXISTS (SELECT 1 FROM reservations r WHERE r.book_id = rc.book_id AND r.status <> 'cancelled'
+                     AND r.start_date <= rc.end_date AND r.end_date >= rc.start_date) THEN 'Date conflict'"""
+        conflict = "Date conflict"
+    else:
+        checks = """
+      WHEN rc.start_date < CAST(rc.submitted_at AS DATE) THEN 'Start date cannot be in the past'
+      WHEN rc.end_date < rc.start_date THEN 'End date must be after start date'
+      WHEN NOT EXISTS (SELECT 1 FROM books b WHERE b.id = rc.book_id) THEN 'Book not found'
+      WHEN NOT EXISTS (SELECT 1 FROM readers r WHERE r.user_id = rc.user_id) THEN 'User is not a registered reader'
+      WHEN (SELECT b.status FROM books b WHERE b.id = rc.book_id) <> 'available' THEN 'Book is not available'
+      WHEN EXISTS (SELECT 1 FROM reservations r JOIN readers rd ON r.reader_id = rd.id
+                   WHERE r.book_id = rc.book_id AND r.status <> 'cancelled'
+                     AND r.start_date <= rc.end_date AND r.end_date >= rc.start_date) THEN 'Book is already reserved'"""
+        conflict = "Book is already reserved"
+    overlap = "lambda x: x.s <= c2.end_date AND x.e >= c2.start_date"
+    return f"""
+WITH RECURSIVE
+src AS ({source}),
+c AS (
+  SELECT rc.*,
+    CASE WHEN rc.start_date IS NULL OR rc.end_date IS NULL THEN 'Invalid date format'{checks}
+    END AS pre
+  FROM src rc),
+cand AS (SELECT cmd_id, book_id, start_date, end_date,
+           ROW_NUMBER() OVER (PARTITION BY book_id ORDER BY submitted_at, cmd_id) AS k
+         FROM c WHERE pre IS NULL),
+fold(book_id, k, cmd_id, ok, acc) AS (
+  SELECT DISTINCT book_id, 0, CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN),
+    CAST([] AS STRUCT(s DATE, e DATE)[]) FROM cand
+  UNION ALL
+  SELECT f.book_id, c2.k, c2.cmd_id,
+    len(list_filter(f.acc, {overlap})) = 0,
+    CASE WHEN len(list_filter(f.acc, {overlap})) = 0
+      THEN list_append(f.acc, {{'s': c2.start_date, 'e': c2.end_date}}) ELSE f.acc END
+  FROM fold f JOIN cand c2 ON c2.book_id = f.book_id AND c2.k = f.k + 1),
+d AS (SELECT c.cmd_id, c.submitted_at, COALESCE(c.pre, CASE WHEN NOT fo.ok THEN '{conflict}' END) AS reason
+      FROM c LEFT JOIN fold fo ON fo.cmd_id = c.cmd_id)
+SELECT cmd_id, reason IS NULL AS ok, reason,
+  CASE WHEN reason IS NULL THEN (SELECT max(id) FROM reservations)
+    + ROW_NUMBER() OVER (PARTITION BY reason IS NULL ORDER BY submitted_at, cmd_id) END AS reservation_id
+FROM d
+"""
+
+
+_AVAIL_AS_CMDS = ("SELECT req_id AS cmd_id, submitted_at, user_id, book_id, start_date, end_date "
+                  "FROM availability_requests")
+
+
+@register("w8_create_reservations", _reservation_oracle("SELECT * FROM reservation_commands", staff=False))
 def _w8(lib):
     return WL.create_reservations(lib, lib.reservation_commands).outcomes
 
 
-@register("w8_create_reservations_vs_table")
+@register("w8_create_reservations_vs_table", _reservation_oracle(_AVAIL_AS_CMDS, staff=False))
 def _w8t(lib):
     c = lib.availability_requests.withColumnRenamed("req_id", "cmd_id")
     return WL.create_reservations(lib, c).outcomes
@@ -179,7 +234,7 @@ def _w9_cmds(lib):
     return c.join(rd, c.user_id == rd._u, "left").drop("_u")
 
 
-@register("w9_admin_create_reservations")
+@register("w9_admin_create_reservations", _reservation_oracle(_AVAIL_AS_CMDS, staff=True))
 def _w9(lib):
     return WL.admin_create_reservations(lib, _w9_cmds(lib)).outcomes
 
@@ -247,7 +302,28 @@ def _w14(lib):
     return WU.delete_users(lib, lib.delete_commands).outcomes
 
 
-@register("w15_register_users")
+@register("w15_register_users", """
+WITH RECURSIVE
+base AS (SELECT username, email FROM users
+         UNION ALL SELECT 'admin', 'admin@library.com' WHERE NOT EXISTS (SELECT 1 FROM users WHERE username = 'admin')),
+c AS (SELECT rc.*, ROW_NUMBER() OVER (ORDER BY submitted_at, cmd_id) AS seq FROM register_commands rc),
+fold(seq, cmd_id, ok, names, emails) AS (
+  SELECT 0, CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN), (SELECT list(username) FROM base), (SELECT list(email) FROM base)
+  UNION ALL
+  SELECT c.seq, c.cmd_id,
+    NOT (list_contains(f.names, c.username) OR list_contains(f.emails, c.email)),
+    CASE WHEN list_contains(f.names, c.username) OR list_contains(f.emails, c.email) THEN f.names
+      ELSE list_append(f.names, c.username) END,
+    CASE WHEN list_contains(f.names, c.username) OR list_contains(f.emails, c.email) THEN f.emails
+      ELSE list_append(f.emails, c.email) END
+  FROM fold f JOIN c ON c.seq = f.seq + 1),
+d AS (SELECT c.cmd_id, c.submitted_at, fo.ok FROM c JOIN fold fo ON fo.cmd_id = c.cmd_id)
+SELECT cmd_id, ok, CASE WHEN NOT ok THEN 'Username or email already exists' END AS reason,
+  CASE WHEN ok THEN (SELECT max(id) FROM users)
+    + (SELECT count(*) FROM base WHERE username = 'admin' AND NOT EXISTS (SELECT 1 FROM users WHERE username = 'admin'))
+    + ROW_NUMBER() OVER (PARTITION BY ok ORDER BY submitted_at, cmd_id) END AS user_id
+FROM d
+""")
 def _w15(lib):
     return WU.register_users(lib, lib.register_commands).outcomes
 

@@ -33,7 +33,24 @@ def _m5(lib):
     return S.stream_book_status(lib.spark, lib.sf_dir)
 
 
-@register("m6_stream_pending_requests")
+@register("m6_stream_pending_requests", """
+WITH RECURSIVE
+e AS (SELECT event_id, user_id, ts, event_type,
+        ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k
+      FROM events WHERE event_type IN ('view', 'signup')),
+f(user_id, k, since, event_id, event_type, accepted) AS (
+  SELECT DISTINCT user_id, 0, CAST(NULL AS TIMESTAMP), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR),
+    CAST(NULL AS BOOLEAN) FROM e
+  UNION ALL
+  SELECT e.user_id, e.k,
+    CASE WHEN e.event_type = 'signup' THEN NULL
+         WHEN f.since IS NULL OR NOT (f.since > e.ts - INTERVAL 30 DAY) THEN e.ts ELSE f.since END,
+    e.event_id, e.event_type,
+    CASE WHEN e.event_type = 'signup' THEN NULL
+         ELSE (f.since IS NULL OR NOT (f.since > e.ts - INTERVAL 30 DAY)) END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT event_id, user_id, accepted FROM f WHERE event_type = 'view'
+""")
 def _m6(lib):
     return S.stream_pending_requests(lib.spark, lib.sf_dir)
 
