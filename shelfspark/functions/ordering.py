@@ -23,21 +23,24 @@ from ..session import materialize
 
 
 def global_rank(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank",
-                dense: bool = False, partitions: int | None = None) -> DataFrame:
+                dense: bool = False, partitions: int | None = None, unique: bool = False,
+                materialize_input: bool = True) -> DataFrame:
     """Add ``out`` = RANK() (or DENSE_RANK()) over ``order``, computed distributed.
 
     ``keys`` are the columns that ``order`` reads; rows with equal keys tie.
+    With ``unique=True`` the keys are unique per row (rank = row number) and
+    the rows themselves are range-partitioned: no key grouping, no join back.
     The result column is BIGINT.
     """
     spark = df.sparkSession
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The input is read three times (key counts, range sampling, join back): write it
-    # once to the shared folder instead of recomputing its whole lineage each time.
-    df = materialize(df, "rank-input")
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = counts.repartitionByRange(p, *order).withColumn("_part", F.spark_partition_id())
-    weight = F.lit(1).cast("long") if dense else F.col("_n")
-    ranged = ranged.withColumn("_w", weight)
+    if materialize_input:
+        # The input is read more than once (range sampling, ranking, join back): write it
+        # once to the shared folder instead of recomputing its whole lineage each time.
+        df = materialize(df, "rank-input")
+    rows = df if unique else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    weight = F.lit(1).cast("long") if (dense or unique) else F.col("_n")
+    ranged = rows.repartitionByRange(p, *order).withColumn("_part", F.spark_partition_id()).withColumn("_w", weight)
     # Sum of weights in all lower partitions: one row per range partition.
     per_part = ranged.groupBy("_part").agg(F.sum("_w").alias("_pw"))
     offsets = per_part.select(
@@ -46,8 +49,11 @@ def global_rank(df: DataFrame, keys: list[str], order: list[Column], out: str =
                    F.lit(0)).alias("_off"))
     within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("_before", F.coalesce(F.sum("_w").over(within), F.lit(0)))
-    ranks = (local.join(F.broadcast(offsets), "_part")
-             .select(*keys, (F.lit(1) + F.col("_off") + F.col("_before")).cast("long").alias(out)))
+    ranked = local.join(F.broadcast(offsets), "_part").withColumn(
+        out, (F.lit(1) + F.col("_off") + F.col("_before")).cast("long"))
+    if unique:
+        return ranked.drop("_part", "_w", "_off", "_before")
+    ranks = ranked.select(*keys, out)
     return df.join(ranks, on=[df[k].eqNullSafe(ranks[k]) for k in keys]).drop(*[ranks[k] for k in keys])
 
 

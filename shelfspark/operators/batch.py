@@ -58,7 +58,8 @@ def new_ids(df: DataFrame, order: list[str], base_table: DataFrame, out: str = "
     is a scalar subquery.
     """
     start = base_table.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).scalar()
-    ranked = global_rank(df, order, [F.col(c).asc_nulls_first() for c in order], out="_pos")
+    ranked = global_rank(df, order, [F.col(c).asc_nulls_first() for c in order], out="_pos", unique=True,
+                         materialize_input=False)
     return ranked.withColumn(out, start + F.col("_pos")).drop("_pos")
 
 

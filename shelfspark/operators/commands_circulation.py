@@ -15,7 +15,7 @@ from .reservations import check_availability
 
 
 def accept_in_order(cands: DataFrame, key: str = "book_id", start: str = "start_date",
-                    end: str = "end_date") -> DataFrame:
+                    end: str = "end_date", steps_per_round: int = 1) -> DataFrame:
     """Sequential acceptance of interval requests, computed set-based.
 
     A request is accepted iff no *earlier* (``submitted_at, cmd_id``)
@@ -25,7 +25,9 @@ def accept_in_order(cands: DataFrame, key: str = "book_id", start: str = "start_
     a request is rejected when an earlier neighbour is accepted and accepted
     when all earlier neighbours are rejected. The earliest undecided request
     of every conflict chain is decided in each round, so the loop ends; each
-    round's state is checkpointed in the shared folder.
+    round is written to the shared folder. ``steps_per_round`` > 1 chains more
+    decision steps into one job, but each step reads the previous state twice,
+    so the plan doubles per step; 1 is the measured optimum.
     Returns ``cmd_id, accepted``.
     """
     base = cands.select("cmd_id", key, start, end, "submitted_at")
@@ -36,11 +38,8 @@ def accept_in_order(cands: DataFrame, key: str = "book_id", start: str = "start_
     # Edges earlier -> later between overlapping requests of the same key.
     edges = checkpoint(overlap_join(r, l, "_kb", "_ka", "_sb", "_eb", "_sa", "_ea")
                        .where(F.col("_oa") < F.col("_ob")).select("_a", "_b"))
-    rs = RoundState(base.select("cmd_id", F.lit(None).cast("boolean").alias("accepted")), "accept-round")
-    left = rs.undecided()
-    while left > 0:
-        state = rs.df
-        # Step 1: accept requests whose earlier neighbours are all rejected (or that have none).
+    def step(state: DataFrame) -> DataFrame:
+        # Accept requests whose earlier neighbours are all rejected (or that have none) ...
         nb = (edges.join(state.select(F.col("cmd_id").alias("_a"), F.col("accepted").alias("_acc")), "_a")
               .groupBy("_b").agg(F.max(F.coalesce(F.col("_acc").cast("int"), F.lit(-1))).alias("_m"),
                                  F.min(F.coalesce(F.col("_acc").cast("int"), F.lit(-1))).alias("_lo")))
@@ -51,12 +50,19 @@ def accept_in_order(cands: DataFrame, key: str = "book_id", start: str = "start_
             .when(F.col("_m") == 1, F.lit(False))
             .when(F.col("_b").isNull() | (F.col("_lo") >= 0), F.lit(True))
             .alias("accepted"))
-        # Step 2, same job: reject requests with an earlier neighbour accepted in step 1.
+        # ... then reject requests with an earlier neighbour accepted just now.
         hit = (edges.join(mid.where(F.col("accepted")).select(F.col("cmd_id").alias("_a")), "_a")
                .select(F.col("_b").alias("_hit")).distinct())
-        nxt = mid.join(hit, mid.cmd_id == hit._hit, "left").select(
+        return mid.join(hit, mid.cmd_id == hit._hit, "left").select(
             "cmd_id", F.when(F.col("accepted").isNotNull(), F.col("accepted"))
             .when(F.col("_hit").isNotNull(), F.lit(False)).alias("accepted"))
+
+    rs = RoundState(base.select("cmd_id", F.lit(None).cast("boolean").alias("accepted")), "accept-round")
+    left = rs.undecided()
+    while left > 0:
+        nxt = rs.df
+        for _ in range(steps_per_round):
+            nxt = step(nxt)
         left = rs.advance(nxt)
     return checkpoint(rs.df, "accepted")
 

@@ -23,6 +23,7 @@ AS_OF_REQUESTS = dt.date(2024, 2, 27)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
+LIB_QUERIES: dict[str, Callable[[Library], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
@@ -33,6 +34,7 @@ def register(name: str, sql: str | None = None):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        LIB_QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = with_views(sql)
         return fn

@@ -57,6 +57,32 @@ class Library:
         lib.__dict__.update(tables)
         return lib
 
+    def materialize_tables(self, path: str, names: list[str] | None = None) -> "Library":
+        """Write the circulation tables and command batches once under ``path``; return a
+        library that reads them back (the stored-table setup the queries run on in production)."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        names = set(names or STORED_TABLES)
+        lib = Library(self.spark, self.sf_dir, self._given)
+        # Waves by dependency: each later table derives from stored earlier ones. Tables of
+        # one wave are independent Spark jobs and run concurrently.
+        later = {"loans", "reservations", "books", "loan_commands", "return_commands", "cancel_commands"}
+        waves = [["_loan_base"] + sorted(names - later), ["loans", "reservations"],
+                 ["books", "loan_commands", "return_commands", "cancel_commands"]]
+
+        def store(n: str):
+            df = lib.table(n)
+            df.write.mode("overwrite").parquet(f"{path}/{n}")
+            return n, self.spark.read.parquet(f"{path}/{n}")
+
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            for wave in waves:
+                todo = [n for n in wave if n == "_loan_base" or n in names
+                        or (n in ("loans", "reservations") and names & later)]
+                for n, df in pool.map(store, todo):
+                    lib.__dict__[n] = df
+        return lib
+
     # -- circulation tables -------------------------------------------------
     @cached_property
     def authors(self) -> DataFrame:
@@ -262,6 +288,10 @@ FIXTURE_COLUMNS: dict[str, list[str]] = {
     "reader_registration_requests": ["id", "user_id", "created_at", "status", "processed_at", "rejection_reason"],
 }
 CIRCULATION_TABLES = list(FIXTURE_COLUMNS)
+COMMAND_TABLES = ["reservation_commands", "loan_commands", "return_commands", "circulation_events", "book_commands",
+                  "request_commands", "decision_commands", "cancel_commands", "role_commands", "delete_commands",
+                  "register_commands", "availability_requests"]
+STORED_TABLES = CIRCULATION_TABLES + COMMAND_TABLES
 
 
 def library(spark: SparkSession, sf_dir: str) -> Library:
