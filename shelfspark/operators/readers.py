@@ -85,11 +85,19 @@ def user_details(lib: Library) -> DataFrame:
             .join(rd.select(F.col("id").alias("reader_id"), F.col("user_id").alias("_uid")), "reader_id")
             .select(F.col("_uid").alias("id"), "book_title", "loan_date", "return_date",
                     F.col("status").alias("loan_status")))
-    u = lib.users.join(prof, "id", "left").join(hist, "id", "left")
-    return u.select(F.col("id").alias("user_id"), "username", "email", "role", "created_at",
+    u = lib.users.join(prof, "id", "left")
+    cols = ["book_title", "loan_date", "return_date", "loan_status"]
+    # users ⟕ history, written as ⋈ plus the users without history: AQE can split a hot
+    # user's history in the inner join, which it cannot do on the inner side of a left join.
+    with_loans = u.join(hist, "id")
+    has_loans = hist.select("id").distinct()
+    without = u.join(has_loans, "id", "left_anti").select(
+        "*", *[F.lit(None).cast(hist.schema[c].dataType).alias(c) for c in cols])
+    j = with_loans.unionByName(without)
+    return j.select(F.col("id").alias("user_id"), "username", "email", "role", "created_at",
                     "card_number",
                     F.when(F.col("card_number").isNotNull(), F.col("_reg")).alias("registration_date"),
-                    "book_title", "loan_date", "return_date", "loan_status")
+                    *cols)
 
 
 def user_statistics_report(lib: Library) -> DataFrame:
