@@ -102,39 +102,34 @@ def checkpoint(df: DataFrame, name: str = "round") -> DataFrame:
 
 
 class RoundState:
-    """State of an iterative decision loop.
+    """State of an iterative decision loop (column ``accepted``: NULL while undecided).
 
-    Each round's state is cached and counted in one job; every ``write_every``
-    rounds it is also written to the shared checkpoint folder, which bounds
-    the lineage a lost executor would replay.
+    Each round's state is written to the shared checkpoint folder (lineage cut,
+    survives executor loss); the number of undecided rows is observed during
+    that write, so a round costs one Spark job.
     """
 
-    def __init__(self, df: DataFrame, name: str, write_every: int = 1):
-        from pyspark import StorageLevel
-        self._level = StorageLevel.MEMORY_AND_DISK
+    def __init__(self, df: DataFrame, name: str):
         self.name = name
-        self.write_every = write_every
         self.round = 0
-        self.df = checkpoint(df, name)
-        self._cached: DataFrame | None = None
+        self.left = self._write(df)
+
+    def _write(self, df: DataFrame) -> int:
+        from pyspark.sql import Observation
+
+        from ..session import scratch_path
+        obs = Observation(f"{self.name}-{self.round}")
+        spark = df.sparkSession
+        path = scratch_path(spark, self.name)
+        df.observe(obs, F.count_if(F.col("accepted").isNull()).alias("left")).write.mode("overwrite").parquet(path)
+        self.df = spark.read.parquet(path)
+        return int(obs.get["left"] or 0)
 
     def undecided(self) -> int:
-        return self.df.where(F.col("accepted").isNull()).count()
+        return self.left
 
     def advance(self, nxt: DataFrame) -> int:
         """Replace the state by ``nxt``; return the number of undecided rows."""
         self.round += 1
-        old = self._cached
-        if self.round % self.write_every == 0:
-            self.df, self._cached = checkpoint(nxt, self.name), None
-            n = self.undecided()
-        else:
-            self.df = self._cached = nxt.persist(self._level)
-            n = self.undecided()
-        if old is not None:
-            old.unpersist()
-        return n
-
-    def release(self) -> None:
-        if self._cached is not None:
-            self._cached.unpersist()
+        self.left = self._write(nxt)
+        return self.left
