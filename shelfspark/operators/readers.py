@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_date
 from ..functions.ordering import page
-from ..functions.text import full_name
 from ..sources.fixtures import Library
 
 

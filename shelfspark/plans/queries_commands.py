@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import commands_catalog as WC
 from ..operators import commands_circulation as WL
 from ..operators import commands_users as WU
-from ..operators.batch import merge_rows
 from .registry import AS_OF_LOANABLE, AS_OF_LOANS, AS_OF_REQUESTS, register
 
 Y = AS_OF_LOANS.year

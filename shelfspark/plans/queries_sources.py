@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..operators.audit import audit_constraints, audit_sql
 from ..session import scratch_path

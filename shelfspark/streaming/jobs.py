@@ -7,7 +7,6 @@ its sink in the shared checkpoint folder (never collected to the driver).
 
 from __future__ import annotations
 
-import datetime as dt
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
