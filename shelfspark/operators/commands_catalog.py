@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_date
 from ..sources.fixtures import Library
-from .batch import CommandResult, first_failure, first_per_key, last_per_key, merge_rows, new_ids
+from .batch import CommandResult, checkpoint, first_failure, first_per_key, last_per_key, merge_rows, new_ids
 
 
 def upsert_names(table: DataFrame, names: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -56,6 +56,8 @@ def add_books(lib: Library, cmds: DataFrame, as_of: dt.date | str) -> CommandRes
     valid = first_per_key(c.where(F.col("_pre").isNull() & F.col("isbn").isNotNull()), "isbn")
     c = c.join(valid.select("cmd_id", "_first"), "cmd_id", "left").withColumn(
         "reason", F.coalesce("_pre", F.when(F.col("_first") == F.lit(False), F.lit("Duplicate isbn"))))
+    # Every later branch (authors, publishers, ids, outcomes) reads the decisions: write them once.
+    c = checkpoint(c, "add-books-decisions")
     acc = c.where(F.col("reason").isNull())
     authors, amap = upsert_authors(lib, acc.select(F.col("author_first_name").alias("first_name"),
                                                    F.col("author_last_name").alias("last_name")))
@@ -96,6 +98,7 @@ def update_books(lib: Library, cmds: DataFrame, as_of: dt.date | str) -> Command
               .agg(F.min_by("book_id", F.struct("submitted_at", "cmd_id")).alias("_owner")))
     c = c.join(owners, "isbn", "left").withColumn(
         "reason", F.coalesce("_pre", F.when(F.col("_owner") != F.col("book_id"), F.lit("Duplicate isbn"))))
+    c = checkpoint(c, "update-books-decisions")
     acc = c.where(F.col("reason").isNull())
     authors, amap = upsert_authors(lib, acc.select(F.col("author_first_name").alias("first_name"),
                                                    F.col("author_last_name").alias("last_name")))

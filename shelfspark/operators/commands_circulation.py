@@ -71,11 +71,12 @@ def _reserve(lib: Library, cmds: DataFrame, checks, join_readers: bool, conflict
              reader_col) -> CommandResult:
     av = check_availability(lib, cmds.withColumnRenamed("cmd_id", "req_id"), join_readers=join_readers) \
         .withColumnRenamed("req_id", "cmd_id")
-    c = av.withColumn("_reader_id", reader_col).withColumn("_pre", first_failure(*checks(av)))
+    c = checkpoint(av.withColumn("_reader_id", reader_col).withColumn("_pre", first_failure(*checks(av))),
+                   "reservation-checks")
     pre_ok = c.where(F.col("_pre").isNull())
     decided = accept_in_order(pre_ok)
-    c = c.join(decided, "cmd_id", "left").withColumn(
-        "reason", F.coalesce("_pre", F.when(~F.col("accepted"), F.lit(conflict_reason))))
+    c = checkpoint(c.join(decided, "cmd_id", "left").withColumn(
+        "reason", F.coalesce("_pre", F.when(~F.col("accepted"), F.lit(conflict_reason)))), "reservation-decisions")
     acc = new_ids(c.where(F.col("reason").isNull()), ["submitted_at", "cmd_id"], lib.reservations,
                   out="reservation_id")
     rows = acc.select(F.col("reservation_id").alias("id"), "book_id", F.col("_reader_id").alias("reader_id"),
