@@ -34,7 +34,8 @@ def stream_reader_summary(spark: SparkSession, sf_dir: str, max_files: int | Non
 
     def apply(batch: DataFrame, epoch: int) -> None:
         delta = batch.groupBy(F.col("reader_id").alias("id")).agg(F.count(F.lit(1)).alias("_d"))
-        cur = snap.current()
+        prev = snap._latest_before(epoch)
+        cur = spark.read.parquet(prev)
         touched = cur.join(delta, "id").select(
             "id", "first_name", "last_name", "email", "username",
             (F.col("total_loans") + F.col("_d")).alias("total_loans"),

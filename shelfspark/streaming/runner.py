@@ -33,31 +33,53 @@ def run_available(writer: DataStreamWriter, spark: SparkSession, name: str) -> N
 class SnapshotTable:
     """A table kept fresh by micro-batches: each epoch writes a new version (upsert by key).
 
-    The version of epoch ``e`` is derived only from the version before it, so
-    a replayed epoch rewrites the same result. The folder read is never the
-    folder written.
+    Versions live under ``base`` as ``v-<epoch>`` folders, listed in a small
+    ``_versions`` log table (one row per epoch). The version of epoch ``e`` is
+    derived only from the latest version of an earlier epoch, so a replayed
+    epoch rewrites the same result, and a restarted job with the same ``base``
+    (and the stream's checkpoint) continues from storage. The folder read is
+    never the folder written.
     """
 
-    def __init__(self, spark: SparkSession, name: str, key: list[str], initial: DataFrame | None = None):
+    INIT_EPOCH = -1
+
+    def __init__(self, spark: SparkSession, name: str, key: list[str], initial: DataFrame | None = None,
+                 base: str | None = None):
         self.spark = spark
-        self.base = scratch_path(spark, name)
+        self.base = base or scratch_path(spark, name)
         self.key = key
-        self.versions: list[str] = []
-        if initial is not None:
-            self._write(initial, "init")
-
-    def _write(self, df: DataFrame, tag: str) -> None:
-        path = f"{self.base}/v-{tag}"
+        self.versions: dict[int, str] = self._read_log()
+        if not self.versions and initial is not None:
+            self._write(initial, self.INIT_EPOCH)
+
+    def _read_log(self) -> dict[int, str]:
+        from pyspark.errors import AnalysisException
+        try:
+            rows = self.spark.read.parquet(f"{self.base}/_versions").collect()  # one row per epoch
+        except AnalysisException:
+            return {}
+        return {r.epoch: r.path for r in rows}
+
+    def _write(self, df: DataFrame, epoch: int) -> None:
+        path = f"{self.base}/v-{epoch + 1:08d}"
         df.write.mode("overwrite").parquet(path)
-        self.versions.append(path)
+        self.spark.createDataFrame([(epoch, path)], "epoch long, path string") \
+            .write.mode("append").parquet(f"{self.base}/_versions")
+        self.versions[epoch] = path
+
+    def _latest_before(self, epoch: int | None = None) -> str | None:
+        ks = [e for e in self.versions if epoch is None or e < epoch]
+        return self.versions[max(ks)] if ks else None
 
     def current(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.versions[-1]) if self.versions else None
+        path = self._latest_before()
+        return self.spark.read.parquet(path) if path else None
 
     def upsert(self, updates: DataFrame, epoch: int) -> None:
-        cur = self.current()
-        if cur is None:
+        prev = self._latest_before(epoch)
+        if prev is None:
             new = updates
         else:
+            cur = self.spark.read.parquet(prev)
             new = merge_rows(cur.drop("updated_at"), updates, self.key).drop("updated_at")
-        self._write(new, f"{epoch:08d}")
+        self._write(new, epoch)
