@@ -125,3 +125,15 @@ def _s6(lib):
     start, end = period_bounds(*S6_ARGS)
     write_period_report(P.period_report(lib, "reservations", *S6_ARGS), "reservations", start, end, path)
     return lib.spark.read.schema(_strings(_S6_COLS)).option("header", True).csv(path)
+
+
+@register("s1_load_tables", """
+SELECT id, title, author_id, isbn, publisher_id, publication_year, genre, status, description,
+  CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at
+FROM books
+""")
+def _s1(lib):
+    from ..sources.loads import load_tables
+    path = scratch_path(lib.spark, "s1-tables")
+    lib.books.write.mode("overwrite").parquet(f"{path}/books")
+    return load_tables(lib.spark, path, ["books"])["books"]
