@@ -52,3 +52,34 @@ def point_in_interval_join(points: DataFrame, intervals: DataFrame, key_p: str,
     cond = ((F.col(key_p) == F.col(key_i)) & (F.col("_wk") == F.col("_wk_i"))
             & (F.col(s) <= F.col(p)) & (F.col(e) >= F.col(p)))
     return px.join(ix, cond).drop("_wk", "_wk_i")
+
+
+def _week_start(wk: Column) -> Column:
+    return F.date_add(F.lit(EPOCH).cast("date"), (wk * BUCKET_DAYS).cast("int"))
+
+
+def covered_day_masks(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """Days covered by intervals, per (key, ISO week) as a 7-bit mask (bit i = Monday + i).
+
+    Each interval adds one row per week it touches; ``bit_or`` combines them
+    map-side, so a key holding most intervals costs its interval-weeks, and
+    no (point, interval) pairs are ever formed. Intervals with end < start
+    cover nothing.
+    """
+    x = (df.where(F.col(start) <= F.col(end))
+         .select(F.col(key).alias("_mk"), F.col(start).alias("_ms"), F.col(end).alias("_me"),
+                 F.explode(F.sequence(week_bucket(start), week_bucket(end))).alias("_wk")))
+    ws = _week_start(F.col("_wk"))
+    x = x.select("_mk", "_wk", F.datediff(F.greatest(F.col("_ms"), ws), ws).alias("_lo"),
+                 F.datediff(F.least(F.col("_me"), F.date_add(ws, BUCKET_DAYS - 1)), ws).alias("_hi"))
+    bits = F.expr("shiftleft(1, _hi + 1) - shiftleft(1, _lo)")
+    return x.groupBy("_mk", "_wk").agg(F.bit_or(bits).alias("_mask"))
+
+
+def point_covered(points: DataFrame, masks: DataFrame, key: str, day: str) -> DataFrame:
+    """Rows of ``points`` whose ``day`` is covered by an interval of the same ``key`` (semi join + bit test)."""
+    wk = week_bucket(day)
+    p = points.withColumn("_pwk", wk).withColumn("_bit", F.datediff(F.col(day), _week_start(wk)))
+    cond = ((F.col(key) == F.col("_mk")) & (F.col("_pwk") == F.col("_wk"))
+            & (F.expr("shiftright(_mask, _bit) & 1") == 1))
+    return p.join(masks, cond, "left_semi").drop("_pwk", "_bit")

@@ -8,51 +8,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, lit_date
-from ..functions.intervals import overlap_join
 from ..sources.fixtures import Library
 from .batch import CommandResult, RoundState, checkpoint, first_failure, merge_rows, new_ids
 from .reservations import check_availability
 
 
 def accept_in_order(cands: DataFrame, key: str = "book_id", start: str = "start_date",
-                    end: str = "end_date", steps_per_round: int = 1) -> DataFrame:
-    """Sequential acceptance of interval requests, computed set-based.
+                    end: str = "end_date") -> DataFrame:
+    """Sequential acceptance of interval requests, computed set-based and without pairs.
 
     A request is accepted iff no *earlier* (``submitted_at, cmd_id``)
-    accepted request of the same key overlaps it. Exact result of running
-    the requests one by one, computed in rounds over the conflict graph
-    (overlapping pairs from the week-bucketed join, never all pairs of a key):
-    a request is rejected when an earlier neighbour is accepted and accepted
-    when all earlier neighbours are rejected. The earliest undecided request
-    of every conflict chain is decided in each round, so the loop ends; each
-    round is written to the shared folder. ``steps_per_round`` > 1 chains more
-    decision steps into one job, but each step reads the previous state twice,
-    so the plan doubles per step; 1 is the measured optimum.
-    Returns ``cmd_id, accepted``.
+    accepted request of the same key overlaps it, which is the result of
+    running the requests one by one. Closed date intervals overlap exactly when
+    they share a day, so every round works on day-level aggregates: per
+    (key, day) the earliest live (undecided or accepted) request and whether
+    an accepted one covers that day. A request is rejected when an accepted
+    request covers one of its days. It is accepted when it is the earliest live
+    request on all its days. The same round then rejects the requests sharing
+    a day with the ones just accepted. No pair of requests is ever emitted (a
+    hot key costs its interval-days, not their square). The earliest undecided
+    request of every conflict chain is decided each round, so the loop ends.
+    Every round is written to the shared folder. Requires start <= end (the
+    callers' checks reject other requests first). Returns ``cmd_id, accepted``.
     """
-    base = cands.select("cmd_id", key, start, end, "submitted_at")
-    l = base.select(F.col("cmd_id").alias("_a"), F.col(key).alias("_ka"), F.col(start).alias("_sa"),
-                    F.col(end).alias("_ea"), F.struct("submitted_at", "cmd_id").alias("_oa"))
-    r = base.select(F.col("cmd_id").alias("_b"), F.col(key).alias("_kb"), F.col(start).alias("_sb"),
-                    F.col(end).alias("_eb"), F.struct("submitted_at", "cmd_id").alias("_ob"))
-    # Edges earlier -> later between overlapping requests of the same key.
-    edges = checkpoint(overlap_join(r, l, "_kb", "_ka", "_sb", "_eb", "_sa", "_ea")
-                       .where(F.col("_oa") < F.col("_ob")).select("_a", "_b"))
+    base = cands.select("cmd_id", F.col(key).alias("_k"), F.struct("submitted_at", "cmd_id").alias("_o"),
+                        F.col(start).alias("_s"), F.col(end).alias("_e"))
+    days = checkpoint(base.select("cmd_id", "_k", "_o", F.explode(F.sequence("_s", "_e")).alias("_d")),
+                      "request-days")
+
     def step(state: DataFrame) -> DataFrame:
-        # Accept requests whose earlier neighbours are all rejected (or that have none) ...
-        nb = (edges.join(state.select(F.col("cmd_id").alias("_a"), F.col("accepted").alias("_acc")), "_a")
-              .groupBy("_b").agg(F.max(F.coalesce(F.col("_acc").cast("int"), F.lit(-1))).alias("_m"),
-                                 F.min(F.coalesce(F.col("_acc").cast("int"), F.lit(-1))).alias("_lo")))
-        # _m = 1: an earlier neighbour accepted; _lo = -1: some earlier neighbour undecided.
-        mid = state.join(nb, state.cmd_id == nb._b, "left").select(
+        live = days.join(state.where(F.col("accepted").isNull() | F.col("accepted")), "cmd_id")
+        per_day = live.groupBy("_k", "_d").agg(F.min("_o").alias("_mo"),
+                                               F.max(F.col("accepted").cast("int")).alias("_acc"))
+        open_days = days.join(state.where(F.col("accepted").isNull()).select("cmd_id"), "cmd_id")
+        per_req = (open_days.join(per_day, ["_k", "_d"])
+                   .groupBy("cmd_id").agg(F.min("_mo").alias("_m"), F.max("_acc").alias("_a"),
+                                          F.min("_o").alias("_own")))
+        mid = state.join(per_req, "cmd_id", "left").select(
             "cmd_id",
             F.when(F.col("accepted").isNotNull(), F.col("accepted"))
-            .when(F.col("_m") == 1, F.lit(False))
-            .when(F.col("_b").isNull() | (F.col("_lo") >= 0), F.lit(True))
-            .alias("accepted"))
-        # ... then reject requests with an earlier neighbour accepted just now.
-        hit = (edges.join(mid.where(F.col("accepted")).select(F.col("cmd_id").alias("_a")), "_a")
-               .select(F.col("_b").alias("_hit")).distinct())
+            .when(F.col("_a") == 1, F.lit(False))
+            .when(F.col("_m") == F.col("_own"), F.lit(True))
+            .alias("accepted"),
+            F.col("accepted").isNull().alias("_was_open"))
+        # Same round: reject open requests sharing a day with a request accepted just now.
+        new_days = (days.join(mid.where(F.col("accepted") & F.col("_was_open")).select("cmd_id"), "cmd_id")
+                    .select("_k", "_d").distinct())
+        hit = (days.join(mid.where(F.col("accepted").isNull()).select("cmd_id"), "cmd_id")
+               .join(new_days, ["_k", "_d"]).select(F.col("cmd_id").alias("_hit")).distinct())
         return mid.join(hit, mid.cmd_id == hit._hit, "left").select(
             "cmd_id", F.when(F.col("accepted").isNotNull(), F.col("accepted"))
             .when(F.col("_hit").isNotNull(), F.lit(False)).alias("accepted"))
@@ -60,10 +63,7 @@ def accept_in_order(cands: DataFrame, key: str = "book_id", start: str = "start_
     rs = RoundState(base.select("cmd_id", F.lit(None).cast("boolean").alias("accepted")), "accept-round")
     left = rs.undecided()
     while left > 0:
-        nxt = rs.df
-        for _ in range(steps_per_round):
-            nxt = step(nxt)
-        left = rs.advance(nxt)
+        left = rs.advance(step(rs.df))
     return checkpoint(rs.df, "accepted")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.intervals import overlap_join, point_in_interval_join
+from ..functions.intervals import covered_day_masks, overlap_join, point_covered
 from ..functions.ordering import page
 from ..functions.text import full_name
 from ..sources.fixtures import Library
@@ -95,18 +95,19 @@ def conflict_dates(lib: Library, requests: DataFrame) -> DataFrame:
 
     ``book_conflict``: the start or end date falls inside a non-cancelled
     reservation of the same book; ``user_conflict``: inside a non-cancelled
-    reservation of any book held by one of the user's readers.
+    reservation of any book held by one of the user's readers. Both are point
+    tests against per-(key, week) masks of covered days: linear in
+    reservation-weeks, no (point, reservation) pairs even when one book or
+    user holds most reservations.
     """
     res = lib.reservations.where(F.col("status") != "cancelled")
-    by_book = res.select(F.col("book_id").alias("_k"), F.col("start_date").alias("_s"), F.col("end_date").alias("_e"))
-    rd = lib.readers.select(F.col("id").alias("reader_id"), F.col("user_id").alias("_k"))
-    by_user = res.join(rd, "reader_id").select("_k", F.col("start_date").alias("_s"), F.col("end_date").alias("_e"))
-    pts = requests.select("req_id", "user_id", "book_id",
-                          F.explode(F.array("start_date", "end_date")).alias("_d"))
-
-    def hits(key: str, intervals: DataFrame, out: str) -> DataFrame:
-        j = point_in_interval_join(pts.select("req_id", F.col(key).alias("_pk"), "_d"), intervals,
-                                   "_pk", "_k", "_d", "_s", "_e")
+    rd = lib.readers.select(F.col("id").alias("reader_id"), F.col("user_id").alias("_user"))
+    by_book = covered_day_masks(res, "book_id", "start_date", "end_date")
+    by_user = covered_day_masks(res.join(rd, "reader_id"), "_user", "start_date", "end_date")
+    pts = requests.select("req_id", "user_id", "book_id", F.explode(F.array("start_date", "end_date")).alias("_d"))
+
+    def hits(key: str, masks: DataFrame, out: str) -> DataFrame:
+        j = point_covered(pts.select("req_id", F.col(key).alias("_pk"), "_d"), masks, "_pk", "_d")
         return j.select("req_id").distinct().withColumn(out, F.lit(True))
 
     out = (requests.join(hits("book_id", by_book, "_bc"), "req_id", "left")

@@ -85,3 +85,18 @@ def test_overlap_join_equals_brute_force(spark):
     got_p = {(r.pid, r.rid) for r in point_in_interval_join(pts, b, "pk", "rk", "p", "rs", "re").collect()}
     exp_p = {(q[0], r[0]) for q in req for r in res if q[1] == r[1] and r[2] <= q[2] <= r[3]}
     assert got_p == exp_p
+
+
+def test_week_masks_equal_brute_force(spark):
+    from shelfspark.functions.intervals import covered_day_masks, point_covered
+    rnd = random.Random(11)
+    base = dt.date(2024, 1, 1)
+    ivs = []
+    for i in range(150):
+        s = base + dt.timedelta(days=rnd.randint(0, 80))
+        ivs.append((rnd.randint(1, 3), s, s + dt.timedelta(days=rnd.randint(-3, 25))))
+    pts = [(i, rnd.randint(1, 3), base + dt.timedelta(days=rnd.randint(-5, 110))) for i in range(300)]
+    m = covered_day_masks(spark.createDataFrame(ivs, "k long, s date, e date"), "k", "s", "e")
+    got = {r.pid for r in point_covered(spark.createDataFrame(pts, "pid long, pk long, d date"), m, "pk", "d").collect()}
+    exp = {p for p, k, d in pts if any(k == ik and s <= d <= e for ik, s, e in ivs)}
+    assert got == exp
