@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from ..operators.audit import audit_constraints, audit_sql
 from ..session import scratch_path
 from ..sources.fixtures import CIRCULATION_TABLES, FIXTURE_COLUMNS
@@ -82,7 +84,7 @@ WHERE l.status = 'borrowed' AND res.end_date < {D_LOANS}
 """)
 def _s4(lib):
     path = scratch_path(lib.spark, "report-json")
-    write_report_json(P.report_overdue_loans(lib, AS_OF_LOANS), path)
+    write_report_json(P.report_overdue_loans(lib, AS_OF_LOANS), path, order=P.p2_order())
     return lib.spark.read.schema(_strings(_S4_COLS)).json(path)
 
 
@@ -102,7 +104,8 @@ GROUP BY r.id, r.first_name, r.last_name, r.email, r.registration_date
 """)
 def _s5(lib):
     path = scratch_path(lib.spark, "report-csv")
-    write_report_csv(P.report_reader_activity(lib), path, S5_HEADER, null_label="N/A")
+    write_report_csv(P.report_reader_activity(lib), path, S5_HEADER, null_label="N/A",
+                     order=[F.col("reader"), F.col("reader_id")])
     return lib.spark.read.schema(_strings(list(S5_HEADER.values()))).option("header", True).csv(path)
 
 

@@ -25,14 +25,20 @@ def _format_temporal(df: DataFrame, ts_fmt: str, date_fmt: str) -> DataFrame:
     return df.select(*cols)
 
 
-def write_report_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def _ordered(df: DataFrame, order: list | None) -> DataFrame:
+    """The report's presentation order as a distributed range sort (part files follow it)."""
+    return df.orderBy(*order) if order else df
+
+
+def write_report_json(df: DataFrame, path: str, mode: str = "overwrite", order: list | None = None) -> None:
     """JSON rows; timestamps ISO (``YYYY-MM-DDTHH:MM:SS``), dates ``YYYY-MM-DD``, NULL kept."""
-    _format_temporal(df, ISO_TS, DAY).write.mode(mode).option("ignoreNullFields", "false").json(path)
+    _format_temporal(_ordered(df, order), ISO_TS, DAY).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def write_report_csv(df: DataFrame, path: str, header_map: dict[str, str], null_label: str | None = None,
-                     mode: str = "overwrite") -> None:
+                     mode: str = "overwrite", order: list | None = None) -> None:
     """CSV with renamed header, dates as ``YYYY-MM-DD``; NULL dates as ``null_label`` when given."""
+    df = _ordered(df, order)
     out = []
     for src, name in header_map.items():
         f = df.schema[src]
@@ -46,13 +52,14 @@ def write_report_csv(df: DataFrame, path: str, header_map: dict[str, str], null_
     df.select(*out).write.mode(mode).option("header", True).csv(path)
 
 
-def write_period_report(df: DataFrame, report_type: str, start: dt.date, end: dt.date, path: str) -> None:
+def write_period_report(df: DataFrame, report_type: str, start: dt.date, end: dt.date, path: str,
+                        order: list | None = None) -> None:
     """Period report tagged with type and range, one partition folder per run.
 
     Datetimes ``YYYY-MM-DD HH:MM:SS``, dates ``YYYY-MM-DD``; an empty result
     still leaves a header-only file.
     """
-    body = _format_temporal(df, REPORT_TS, DAY)
+    body = _format_temporal(_ordered(df, order), REPORT_TS, DAY)
     if body.isEmpty():
         # partitionBy writes nothing for no rows; leave a header-only file in the run's folder.
         folder = f"{path}/report_type={report_type}/period_start={start.isoformat()}/period_end={end.isoformat()}"
