@@ -27,7 +27,10 @@ def submit_reader_requests(lib: Library, cmds: DataFrame, as_of: dt.date | str)
     c = c.withColumn("reason", first_failure((F.col("_bu").isNull(), "Pending request exists"),
                                              (F.col("_first"), "Pending request exists")))
     acc = new_ids(c.where(F.col("reason").isNull()), ["submitted_at", "cmd_id"], rr, out="request_id")
-    rows = acc.select(F.col("request_id").alias("id"), "user_id", F.col("submitted_at").alias("created_at"),
+    # The batch runs at ``as_of`` (that is why an accepted request blocks later ones of
+    # its user), so new requests are stamped with that clock.
+    now = dt.datetime.combine(as_date(as_of), dt.time())
+    rows = acc.select(F.col("request_id").alias("id"), "user_id", F.lit(now).cast("timestamp_ntz").alias("created_at"),
                       F.lit("pending").alias("status"))
     requests = rr.unionByName(rows, allowMissingColumns=True)
     outcomes = c.join(acc.select("cmd_id", "request_id"), "cmd_id", "left").select(

@@ -148,3 +148,35 @@ def test_m6_equals_python_loop(spark, lib):
                 since = r.ts
             exp[int(r.event_id)] = ok
     assert got == exp
+
+
+def test_w5_replay_is_blocked(lib):
+    as_of = dt.date(2024, 2, 27)
+    first = WU.submit_reader_requests(lib, lib.request_commands, as_of)
+    assert first.outcomes.where("ok").count() > 0
+    lib2 = lib.override(reader_registration_requests=first.tables["reader_registration_requests"])
+    again = WU.submit_reader_requests(lib2, lib.request_commands, as_of)
+    # Every user who got a request through now has a pending one younger than 30 days.
+    accepted_users = first.outcomes.where("ok").join(lib.request_commands, "cmd_id").select("user_id")
+    assert again.outcomes.join(lib.request_commands, "cmd_id").join(accepted_users, "user_id", "left_semi") \
+        .where("ok").count() == 0
+
+
+def test_w10_cancel_twice_succeeds(lib):
+    first = WL.cancel_reservations(lib, lib.cancel_commands)
+    lib2 = lib.override(reservations=first.tables["reservations"].drop("updated_at"))
+    again = WL.cancel_reservations(lib2, lib.cancel_commands)
+    a = {r.reservation_id: r.ok for r in first.outcomes.collect()}
+    b = {r.reservation_id: r.ok for r in again.outcomes.collect()}
+    assert a == b  # the rule is only "not completed", so a repeat cancel succeeds again
+
+
+def test_w11_replay_creates_no_loans(lib):
+    as_of = dt.date(1998, 6, 15)
+    first = WL.create_loans(lib, lib.loan_commands, as_of)
+    assert first.outcomes.where("ok").count() > 0
+    t = first.tables
+    lib2 = lib.override(loans=t["loans"], books=t["books"].drop("updated_at"),
+                        reservations=t["reservations"].drop("updated_at"))
+    again = WL.create_loans(lib2, lib.loan_commands, as_of)
+    assert again.outcomes.where("ok").count() == 0
