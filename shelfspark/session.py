@@ -94,4 +94,10 @@ def ship_package(spark: SparkSession) -> None:
     out = tempfile.mkdtemp(prefix="shelfspark-pyfiles-")
     zpath = shutil.make_archive(os.path.join(out, "shelfspark"), "zip", os.path.dirname(pkg), "shelfspark")
     sc.addPyFile(zpath)
+    # Executors put added py-files on their path; the driver-side Python runner that
+    # initializes stateful processors does not, so point PYTHONPATH at the driver's copy.
+    from pyspark import SparkFiles
+    local = SparkFiles.get("shelfspark.zip")
+    prev = sc.environment.get("PYTHONPATH")
+    sc.environment["PYTHONPATH"] = local if not prev else local + os.pathsep + prev
     _SHIPPED.add(key)
