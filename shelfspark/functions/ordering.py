@@ -40,7 +40,11 @@ def global_rank(df: DataFrame, keys: list[str], order: list[Column], out: str =
         df = materialize(df, "rank-input")
     rows = df if unique else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     weight = F.lit(1).cast("long") if (dense or unique) else F.col("_n")
-    ranged = rows.repartitionByRange(p, *order).withColumn("_part", F.spark_partition_id()).withColumn("_w", weight)
+    # The partition number is assigned once and written: both branches below (per-partition
+    # totals, running sums) must see the same assignment, and a re-run range exchange may
+    # sample different bounds when its input arrives in a different order.
+    ranged = materialize(rows.repartitionByRange(p, *order).withColumn("_part", F.spark_partition_id())
+                         .withColumn("_w", weight), "rank-ranged")
     # Sum of weights in all lower partitions: one row per range partition.
     per_part = ranged.groupBy("_part").agg(F.sum("_w").alias("_pw"))
     offsets = per_part.select(
