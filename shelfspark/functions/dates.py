@@ -44,3 +44,8 @@ def in_period(ts_col: Column | str, period: str, as_of: dt.date | str) -> Column
     """``DATE(ts) BETWEEN start AND end``. Spark unwraps this to a range on the raw column."""
     start, end = period_bounds(period, as_of)
     return F.to_date(ts_col).between(F.lit(start), F.lit(end))
+
+
+def lit_ntz(ts: dt.datetime) -> Column:
+    """A wall-clock TIMESTAMP_NTZ literal, independent of the session and process time zones."""
+    return F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz")

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import lit_ntz
 from ..functions.ordering import global_rank
 
 CMD_ORDER = ("submitted_at", "cmd_id")
@@ -42,7 +43,7 @@ def merge_rows(base: DataFrame, changed: DataFrame, key: str | list[str],
     keys = [key] if isinstance(key, str) else list(key)
     if "updated_at" not in base.columns:
         base = base.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
-    stamp = now if isinstance(now, Column) else (F.lit(now).cast("timestamp_ntz") if now is not None
+    stamp = now if isinstance(now, Column) else (lit_ntz(now) if now is not None
                                                    else F.localtimestamp())
     ch = changed.withColumn("updated_at", stamp)
     ch = ch.select(*[(F.col(c) if c in ch.columns else F.lit(None)).cast(base.schema[c].dataType).alias(c)

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import as_date, lit_date
+from ..functions.dates import as_date, lit_date, lit_ntz
 from ..sources.fixtures import Library
 from .batch import CommandResult, RoundState, checkpoint, first_failure, merge_rows, new_ids
 from .reservations import check_availability
@@ -163,7 +163,7 @@ def create_loans(lib: Library, cmds: DataFrame, as_of: dt.date | str) -> Command
         .select(F.col("_w.cmd_id").alias("cmd_id"))
     acc = new_ids(valid.join(winners, "cmd_id", "left_semi"), ["submitted_at", "cmd_id"], lib.loans, out="loan_id")
     loans = lib.loans.unionByName(acc.select(
-        F.col("loan_id").alias("id"), "book_id", "reader_id", F.lit(now).cast("timestamp_ntz").alias("loan_date"),
+        F.col("loan_id").alias("id"), "book_id", "reader_id", lit_ntz(now).alias("loan_date"),
         F.lit(None).cast(lib.loans.schema["return_date"].dataType).alias("return_date"),
         F.lit("borrowed").alias("status")), allowMissingColumns=True)
     books = merge_rows(lib.books, lib.books.join(acc.select(F.col("book_id").alias("id")), "id", "left_semi")
@@ -195,7 +195,7 @@ def return_loans(lib: Library, cmds: DataFrame, as_of: dt.date | str) -> Command
     done = j.where(ok).select("loan_id", "book_id")
     rt = lib.loans.schema["return_date"].dataType
     changed = (lib.loans.join(done.select(F.col("loan_id").alias("id")), "id", "left_semi")
-               .withColumn("status", F.lit("returned")).withColumn("return_date", F.lit(now).cast(rt)))
+               .withColumn("status", F.lit("returned")).withColumn("return_date", lit_ntz(now).cast(rt)))
     books = merge_rows(lib.books, lib.books.join(done.select(F.col("book_id").alias("id")).distinct(), "id", "left_semi")
                        .withColumn("status", F.lit("available")), "id", now)
     return CommandResult({"loans": merge_rows(lib.loans, changed, "id", now), "books": books}, outcomes)

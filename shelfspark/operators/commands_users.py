@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import as_date
+from ..functions.dates import as_date, lit_ntz
 from ..sources.fixtures import Library
 from .batch import CommandResult, RoundState, checkpoint, first_failure, first_per_key, merge_rows, new_ids
 
@@ -21,7 +21,7 @@ def submit_reader_requests(lib: Library, cmds: DataFrame, as_of: dt.date | str)
     """
     since = dt.datetime.combine(as_date(as_of) - dt.timedelta(days=30), dt.time())
     rr = lib.reader_registration_requests
-    blocked = (rr.where((F.col("status") == "pending") & (F.col("created_at") > F.lit(since).cast("timestamp_ntz")))
+    blocked = (rr.where((F.col("status") == "pending") & (F.col("created_at") > lit_ntz(since)))
                .select(F.col("user_id").alias("_bu")).distinct())
     c = first_per_key(cmds, "user_id").join(blocked, F.col("user_id") == F.col("_bu"), "left")
     c = c.withColumn("reason", first_failure((F.col("_bu").isNull(), "Pending request exists"),
@@ -30,7 +30,7 @@ def submit_reader_requests(lib: Library, cmds: DataFrame, as_of: dt.date | str)
     # The batch runs at ``as_of`` (that is why an accepted request blocks later ones of
     # its user), so new requests are stamped with that clock.
     now = dt.datetime.combine(as_date(as_of), dt.time())
-    rows = acc.select(F.col("request_id").alias("id"), "user_id", F.lit(now).cast("timestamp_ntz").alias("created_at"),
+    rows = acc.select(F.col("request_id").alias("id"), "user_id", lit_ntz(now).alias("created_at"),
                       F.lit("pending").alias("status"))
     requests = rr.unionByName(rows, allowMissingColumns=True)
     outcomes = c.join(acc.select("cmd_id", "request_id"), "cmd_id", "left").select(

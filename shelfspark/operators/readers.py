@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import as_date
+from ..functions.dates import as_date, lit_ntz
 from ..functions.ordering import page
 from ..sources.fixtures import Library
 
@@ -33,7 +33,7 @@ def reader_requests_page(lib: Library, status: str = "pending", page_no: int = 1
 def _pending_users(lib: Library, as_of: dt.date | str) -> DataFrame:
     since = dt.datetime.combine(as_date(as_of) - dt.timedelta(days=30), dt.time())
     rr = lib.reader_registration_requests
-    return (rr.where((F.col("status") == "pending") & (F.col("created_at") > F.lit(since).cast("timestamp_ntz")))
+    return (rr.where((F.col("status") == "pending") & (F.col("created_at") > lit_ntz(since)))
             .select(F.col("user_id").alias("_pu")).distinct())
 
 
