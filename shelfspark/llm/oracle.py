@@ -1,3 +1,48 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express over whole tables."""
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SUBSTRINGS = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k
+        FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13 AND doc_id IS NOT NULL)),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+late AS (SELECT r, unnest(range(i, i + 13)) AS p FROM win JOIN least USING (k) WHERE doc_id > m),
+hit AS (SELECT DISTINCT r, p FROM late),
+word AS (SELECT r, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT word.r, count(*) AS n_words, count(hit.r) AS n_removed, string_agg(x, ' ' ORDER BY word.p) FILTER (hit.r IS NULL) AS t
+         FROM word LEFT JOIN hit ON word.r = hit.r AND word.p = hit.p GROUP BY word.r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
+
+LINES = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS p FROM d),
+k AS (SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT k.r, k.doc_id, line, p, coalesce(k.doc_id <> last, false) AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY r, doc_id
+"""
+
+CONTAMINATION = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+item AS (SELECT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS k
+         FROM (SELECT *, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM b WHERE len(ws) > 0)),
+size AS (SELECT DISTINCT n FROM item),
+win AS (SELECT r, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k
+        FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, size WHERE len(ws) >= n)),
+found AS (SELECT win.r, win.n, i, item_id FROM win JOIN item ON win.k = item.k AND win.n = item.n),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
+name AS (SELECT r, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS names
+         FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS t FROM found) GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, CASE WHEN len(ws) = 0 THEN 0.0 ELSE coalesce(n_hit, 0)::DOUBLE / len(ws) END AS coverage
+FROM d LEFT JOIN hit USING (r) LEFT JOIN name USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op2_substring_dedup": SUBSTRINGS, "op4_line_dedup": LINES, "op6_decontaminate": CONTAMINATION}

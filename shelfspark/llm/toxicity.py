@@ -33,8 +33,12 @@ from pyspark.sql import functions as F
 from .common import Words, documents, held_out, materialize, shipped, slices, text_bytes
 
 FEATURES = 8192
+#: Least difference of a feature's log-odds, in standard deviations; rarer words would only name single documents.
+MIN_APART = 2.3
 SAMPLE_DOCS = 20_000
 STEPS = 300
+#: Text without sentence ends is judged in runs of this many words.
+SENTENCE_WORDS = 40
 _PUNCTUATION = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "¡¿«»“”„‘’…–—"
 
 
@@ -44,7 +48,7 @@ def word_features(word: str) -> list[str]:
 
 
 class Sentences:
-    """Words of a slice of texts and the sentence of each: sentences end after . ! ? or at a line's end."""
+    """Words of a slice of texts and the sentence of each: sentences end after . ! ? or at a line's end, or after SENTENCE_WORDS words."""
 
     def __init__(self, texts: pa.Array):
         data, offsets = text_bytes(texts)
@@ -56,7 +60,9 @@ class Sentences:
         begins[1:] = np.isin(last_byte[:-1], [33, 46, 63]) | (line[w.origin[1:]] != line[w.origin[:-1] + w.size[:-1]])
         first = w.first[:-1][w.count > 0]
         begins[first] = True
-        self.begin = np.flatnonzero(begins)  # first word of each sentence
+        at = np.flatnonzero(begins)
+        since = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
+        self.begin = np.flatnonzero(since % SENTENCE_WORDS == 0)  # first word of each sentence
         self.text = w.text_of()[self.begin]  # text of each sentence
         self.per_text = np.bincount(self.text, minlength=len(w.count))
         self.data, self.offsets = data, offsets
@@ -121,7 +127,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(toxic: np.ndarray, n: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, n_features: int,
-        steps: int = STEPS, l2: float = 2e-4, rate: float = 0.1) -> tuple[np.ndarray, float]:
+        steps: int = STEPS, l2: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias that make the noisy-or of the sentences fit the documents' labels (Adam, all documents in each step)."""
     key, where = np.unique(doc * (int(sentence.max(initial=0)) + 1) + sentence, return_inverse=True)
     of = np.zeros(len(key), np.int64)  # document of each sentence that has features
@@ -138,7 +144,7 @@ def fit(toxic: np.ndarray, n: np.ndarray, doc: np.ndarray, sentence: np.ndarray,
         pull = np.where(toxic, -1 / np.maximum(np.expm1(np.minimum(total, 500)), 1e-9), 1.0) / len(n)
         by_sentence = pull[of] * _sigmoid(z)
         g = np.append(np.bincount(feature, by_sentence[where], n_features), by_sentence.sum() + (pull * plain).sum() * _sigmoid(np.array(b)))
-        g[:-1] += l2 * theta[:-1] / max(1, n_features) * 10
+        g[:-1] += l2 * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return theta[:-1], float(theta[-1])
@@ -161,7 +167,8 @@ def learn(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_d
     yes, no = max(sizes[0] or 0, 1), max(sizes[1] or 0, 1)
     odds = F.log((F.col("yes") + 0.5) / (yes + 1)) - F.log((F.col("no") + 0.5) / (no + 1))
     apart = F.abs(odds) / F.sqrt(1 / (F.col("yes") + 0.5) + 1 / (F.col("no") + 0.5))
-    chosen = [r.feature for r in counts.orderBy(apart.desc(), "feature").limit(features).collect()]
+    telling = counts.withColumn("apart", apart).where(F.col("apart") >= MIN_APART)
+    chosen = [r.feature for r in telling.orderBy(F.desc("apart"), "feature").limit(features).collect()]
     number = {f: i for i, f in enumerate(chosen)}
     bags = sample.mapInArrow(lambda it: _bags(it, number), "toxic int, n long, sentence array<int>, feature array<int>").toArrow().combine_chunks()
     lengths = bags.column("feature").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if bags.num_rows else np.zeros(0, np.int64)
