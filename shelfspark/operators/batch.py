@@ -33,22 +33,22 @@ def order_key(prefix: str = "") -> Column:
     return F.struct(*[F.col(prefix + c) for c in CMD_ORDER])
 
 
-def merge_rows(base: DataFrame, changed: DataFrame, key: str | list[str],
-               now: dt.datetime | Column | None = None) -> DataFrame:
+def merge_rows(base: DataFrame, changed: DataFrame, key: str | list[str], now: dt.datetime | Column) -> DataFrame:
     """Replace rows of ``base`` by ``changed`` on ``key`` and stamp ``updated_at`` on them only.
 
-    ``changed`` may hold new keys (inserts). Columns missing from ``changed``
-    are taken as NULL; ``updated_at`` is added to ``base`` when absent.
+    Columns that ``changed`` does not name keep their value. ``changed`` may
+    hold new keys (inserts), whose unnamed columns are NULL; ``updated_at`` is
+    added to ``base`` when absent. Both sides hold a key at most once.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if "updated_at" not in base.columns:
         base = base.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
-    stamp = now if isinstance(now, Column) else (lit_ntz(now) if now is not None
-                                                   else F.localtimestamp())
-    ch = changed.withColumn("updated_at", stamp)
-    ch = ch.select(*[(F.col(c) if c in ch.columns else F.lit(None)).cast(base.schema[c].dataType).alias(c)
-                     for c in base.columns])
-    return base.join(ch.select(*keys), keys, "left_anti").unionByName(ch)
+    ch = changed.withColumn("updated_at", now if isinstance(now, Column) else lit_ntz(now))
+    named = [c for c in base.columns if c in ch.columns and c not in keys]
+    ch = ch.select(*keys, F.lit(True).alias("_changed"), *[F.col(c).cast(base.schema[c].dataType).alias(f"_new_{c}") for c in named])
+    both = base.join(ch, keys, "full_outer")
+    return both.select(*[F.when(F.col("_changed"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in named else F.col(c)
+                         for c in base.columns])
 
 
 def new_ids(df: DataFrame, order: list[str], base_table: DataFrame, out: str = "new_id",

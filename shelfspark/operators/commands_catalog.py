@@ -18,7 +18,8 @@ def upsert_names(table: DataFrame, names: DataFrame, cols: list[str]) -> tuple[D
     Returns (new table, mapping of ``cols`` -> ``id``). New ids follow
     ``max(id)`` in the order of the key columns.
     """
-    wanted = names.select(*cols).where(F.coalesce(*[F.col(c).isNotNull() for c in cols])).distinct()
+    # Every key column is NOT NULL, so a name with a missing part is neither found nor created.
+    wanted = names.select(*cols).dropna(how="any").distinct()
     existing = table.select("id", *cols)
     fresh = new_ids(wanted.join(existing, cols, "left_anti"), cols, table, out="id")
     new_table = table.unionByName(fresh.select("id", *cols), allowMissingColumns=True)
@@ -106,10 +107,8 @@ def update_books(lib: Library, cmds: DataFrame, as_of: dt.date | str) -> Command
     upd = (win.join(amap.select(F.col("id").alias("author_id"), F.col("first_name").alias("author_first_name"),
                                 F.col("last_name").alias("author_last_name")),
                     ["author_first_name", "author_last_name"], "left"))
-    cur = lib.books.select(F.col("id").alias("book_id"), "publisher_id", "status")
-    changed = upd.join(cur, "book_id").select(
-        F.col("book_id").alias("id"), "title", "author_id", "isbn", "publisher_id", "publication_year", "genre",
-        "status", F.coalesce(F.col("description") if "description" in upd.columns else F.lit(None).cast("string"),
+    changed = upd.select(
+        F.col("book_id").alias("id"), "title", "author_id", "isbn", "publication_year", "genre", F.coalesce(F.col("description") if "description" in upd.columns else F.lit(None).cast("string"),
                              F.lit("")).alias("description"))
     books = merge_rows(lib.books, changed, "id", dt.datetime.combine(as_date(as_of), dt.time()))
     outcomes = c.select("cmd_id", F.col("reason").isNull().alias("ok"), "reason")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, lit_date, lit_ntz
 from ..sources.fixtures import Library
-from .batch import CommandResult, RoundState, checkpoint, first_failure, merge_rows, new_ids
+from .batch import CommandResult, RoundState, checkpoint, first_failure, first_per_key, merge_rows, new_ids
 from .reservations import check_availability
 
 
@@ -129,12 +129,12 @@ def admin_create_reservations(lib: Library, cmds: DataFrame) -> CommandResult:
     return _reserve(lib, cmds, checks, False, "Date conflict", F.col("reader_id"))
 
 
-def cancel_reservations(lib: Library, cmds: DataFrame, now: dt.datetime | None = None) -> CommandResult:
-    """Set 'cancelled' unless 'completed'; cancelling twice succeeds."""
+def cancel_reservations(lib: Library, cmds: DataFrame, now: dt.datetime) -> CommandResult:
+    """``(cmd_id, submitted_at, reservation_id)``: set 'cancelled' unless 'completed'; cancelling twice succeeds."""
     res = lib.reservations
     ok_ids = res.where(F.col("status") != "completed").select(F.col("id").alias("reservation_id"))
     flagged = cmds.join(ok_ids.withColumn("_ok", F.lit(True)), "reservation_id", "left")
-    outcomes = flagged.select("reservation_id", F.coalesce("_ok", F.lit(False)).alias("ok"),
+    outcomes = flagged.select("cmd_id", "reservation_id", F.coalesce("_ok", F.lit(False)).alias("ok"),
                               F.when(F.col("_ok").isNull(), F.lit("Reservation not found or cannot be cancelled"))
                               .alias("reason"))
     target = cmds.select(F.col("reservation_id").alias("id")).distinct()
@@ -178,20 +178,16 @@ def create_loans(lib: Library, cmds: DataFrame, as_of: dt.date | str) -> Command
 
 
 def return_loans(lib: Library, cmds: DataFrame, as_of: dt.date | str) -> CommandResult:
-    """Borrowed -> returned with ``return_date``; the loan's book becomes available.
+    """``(cmd_id, submitted_at, loan_id)``: borrowed -> returned with ``return_date``; the loan's book becomes available.
 
-    One outcome row per distinct loan id: the first command on a borrowed
-    loan succeeds; ``repeats`` counts the further commands on that loan, which
-    all fail with 'Invalid return request' (as does any command on a loan that
-    is not borrowed).
+    The first command on a borrowed loan succeeds; any other command fails
+    with 'Invalid return request'.
     """
     now = dt.datetime.combine(as_date(as_of), dt.time())
-    per_loan = cmds.groupBy("loan_id").agg(F.count(F.lit(1)).alias("_n"))
-    borrowed = lib.loans.where(F.col("status") == "borrowed").select(F.col("id").alias("loan_id"), "book_id")
-    j = per_loan.join(borrowed, "loan_id", "left")
-    ok = F.col("book_id").isNotNull()
-    outcomes = j.select("loan_id", ok.alias("ok"), F.when(~ok, F.lit("Invalid return request")).alias("reason"),
-                        (F.col("_n") - F.when(ok, 1).otherwise(0)).alias("failed_commands"))
+    borrowed = lib.loans.where(F.col("status") == "borrowed").select(F.col("id").alias("loan_id"), "book_id", F.lit(True).alias("_out"))
+    j = first_per_key(cmds, "loan_id").join(borrowed, "loan_id", "left")
+    ok = F.col("_out").isNotNull() & F.col("_first")
+    outcomes = j.select("cmd_id", "loan_id", ok.alias("ok"), F.when(~ok, F.lit("Invalid return request")).alias("reason"))
     done = j.where(ok).select("loan_id", "book_id")
     rt = lib.loans.schema["return_date"].dataType
     changed = (lib.loans.join(done.select(F.col("loan_id").alias("id")), "id", "left_semi")

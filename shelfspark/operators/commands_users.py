@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, lit_ntz
@@ -12,8 +12,12 @@ from ..sources.fixtures import Library
 from .batch import CommandResult, RoundState, checkpoint, first_failure, first_per_key, merge_rows, new_ids
 
 
+#: Columns of a registration request that describe the person and go on to the reader.
+PERSONAL = ("first_name", "last_name", "address", "phone_number")
+
+
 def submit_reader_requests(lib: Library, cmds: DataFrame, as_of: dt.date | str) -> CommandResult:
-    """``(cmd_id, submitted_at, user_id)`` -> new pending requests.
+    """``(cmd_id, submitted_at, user_id)`` and the personal fields the command carries -> new pending requests.
 
     Rejected with 'Pending request exists' when the user has a pending
     request created after ``as_of - 30 days``, or an earlier command of the
@@ -31,7 +35,7 @@ def submit_reader_requests(lib: Library, cmds: DataFrame, as_of: dt.date | str)
     # its user), so new requests are stamped with that clock.
     now = dt.datetime.combine(as_date(as_of), dt.time())
     rows = acc.select(F.col("request_id").alias("id"), "user_id", lit_ntz(now).alias("created_at"),
-                      F.lit("pending").alias("status"))
+                      F.lit("pending").alias("status"), *[p for p in PERSONAL if p in acc.columns])
     requests = rr.unionByName(rows, allowMissingColumns=True)
     outcomes = c.join(acc.select("cmd_id", "request_id"), "cmd_id", "left").select(
         "cmd_id", F.col("reason").isNull().alias("ok"), "reason", "request_id")
@@ -44,7 +48,8 @@ def decide_requests(lib: Library, cmds: DataFrame) -> CommandResult:
     A reject needs a non-blank reason ('Rejection reason required'). The
     first valid decision on a pending request wins; every other one gets
     'Request not found or already processed'. Approvals insert a reader
-    (no email, no card); both set status, processed_by and processed_at.
+    with the request's personal fields (no email, no card); both set status,
+    processed_by and processed_at and leave the request's other columns alone.
     """
     rr = lib.reader_registration_requests
     well_formed = (F.col("decision") == "approve") | (
@@ -57,20 +62,21 @@ def decide_requests(lib: Library, cmds: DataFrame) -> CommandResult:
         "_reason", first_failure((F.col("_wf"), "Rejection reason required"),
                                  (F.col("user_id").isNotNull(), "Request not found or already processed")))
     won = c.where(F.col("_reason").isNull())
-    changed = (rr.drop("status", "processed_at", "rejection_reason")
-               .join(won.select(F.col("request_id").alias("id"), "decision", "processor_id", "submitted_at",
-                                F.col("reason").alias("_why")), "id")
-               .select("id", "user_id", "created_at",
-                       F.when(F.col("decision") == "approve", "approved").otherwise("rejected").alias("status"),
-                       F.col("submitted_at").alias("processed_at"),
-                       F.when(F.col("decision") == "reject", F.col("_why")).alias("rejection_reason"),
-                       F.col("processor_id").alias("processed_by")))
+    changed = won.select(F.col("request_id").alias("id"),
+                         F.when(F.col("decision") == "approve", "approved").otherwise("rejected").alias("status"),
+                         F.col("submitted_at").alias("processed_at"),
+                         F.when(F.col("decision") == "reject", F.col("reason")).alias("rejection_reason"),
+                         F.col("processor_id").alias("processed_by"))
     base = rr if "processed_by" in rr.columns else rr.withColumn("processed_by", F.lit(None).cast("long"))
-    requests = base.join(changed.select("id"), "id", "left_anti").unionByName(changed, allowMissingColumns=True)
+    # The decided rows keep all other columns; they are stamped with their own decision's time.
+    requests = merge_rows(base, changed, "id", F.col("processed_at"))
+    personal = [p for p in PERSONAL if p in rr.columns]
     approved = won.where(F.col("decision") == "approve")
+    if personal:
+        approved = approved.join(rr.select(F.col("id").alias("request_id"), *personal), "request_id")
     readers_new = new_ids(approved, ["submitted_at", "cmd_id"], lib.readers, out="reader_id")
     readers = lib.readers.unionByName(
-        readers_new.select(F.col("reader_id").alias("id"), "user_id",
+        readers_new.select(F.col("reader_id").alias("id"), "user_id", *personal,
                            F.col("submitted_at").cast(lib.readers.schema["registration_date"].dataType)
                            .alias("registration_date")),
         allowMissingColumns=True)
@@ -79,25 +85,29 @@ def decide_requests(lib: Library, cmds: DataFrame) -> CommandResult:
     return CommandResult({"reader_registration_requests": requests, "readers": readers}, outcomes)
 
 
-def promote_users(lib: Library, cmds: DataFrame) -> CommandResult:
-    """``(user_id, role)``; role must be 'user' or 'worker'."""
+def promote_users(lib: Library, cmds: DataFrame, now: dt.datetime) -> CommandResult:
+    """``(cmd_id, submitted_at, user_id, role)``; role must be 'user' or 'worker', the last valid command of a user stays."""
     u = lib.users.select(F.col("id").alias("user_id")).withColumn("_found", F.lit(True))
     c = cmds.join(u, "user_id", "left").withColumn(
         "reason", first_failure((F.col("_found").isNotNull(), "User not found"),
                                 (F.col("role").isin("user", "worker"), "Invalid role")))
-    ok = c.where(F.col("reason").isNull()).select(F.col("user_id").alias("id"), F.col("role").alias("_new_role"))
-    changed = lib.users.join(ok, "id").withColumn("role", F.col("_new_role")).drop("_new_role")
-    outcomes = c.select("user_id", "role", F.col("reason").isNull().alias("ok"), "reason")
-    return CommandResult({"users": merge_rows(lib.users, changed, "id")}, outcomes)
+    last = c.where(F.col("reason").isNull()).groupBy(F.col("user_id").alias("id")).agg(
+        F.max_by("role", F.struct("submitted_at", "cmd_id")).alias("role"))
+    outcomes = c.select("cmd_id", "user_id", "role", F.col("reason").isNull().alias("ok"), "reason")
+    return CommandResult({"users": merge_rows(lib.users, last, "id", now)}, outcomes)
 
 
 def delete_users(lib: Library, cmds: DataFrame) -> CommandResult:
-    """Delete users except admins; their readers and requests keep rows with user_id NULL."""
+    """``(cmd_id, submitted_at, user_id)``: delete users except admins; their readers and requests keep rows with user_id NULL.
+
+    After a user's first deletion further commands find no user.
+    """
     u = lib.users.select(F.col("id").alias("user_id"), F.col("role").alias("_role"), F.lit(True).alias("_found"))
-    c = cmds.join(u, "user_id", "left").withColumn(
-        "reason", first_failure((F.col("_found").isNotNull(), "User not found"),
-                                (~F.coalesce(F.col("_role") == "admin", F.lit(False)), "Cannot delete admin users")))
-    gone = c.where(F.col("reason").isNull()).select(F.col("user_id").alias("_gone")).distinct()
+    admin = F.coalesce(F.col("_role") == "admin", F.lit(False))
+    c = first_per_key(cmds, "user_id").join(u, "user_id", "left").withColumn(
+        "reason", first_failure((F.col("_found").isNotNull(), "User not found"), (~admin, "Cannot delete admin users"),
+                                (F.col("_first"), "User not found")))
+    gone = c.where(F.col("reason").isNull()).select(F.col("user_id").alias("_gone"))
     users = lib.users.join(gone, F.col("id") == F.col("_gone"), "left_anti")
 
     def null_out(df: DataFrame, col: str) -> DataFrame:
@@ -108,7 +118,7 @@ def delete_users(lib: Library, cmds: DataFrame) -> CommandResult:
     rr = null_out(lib.reader_registration_requests, "user_id")
     if "processed_by" in rr.columns:
         rr = null_out(rr, "processed_by")
-    outcomes = c.select("user_id", F.col("reason").isNull().alias("ok"), "reason")
+    outcomes = c.select("cmd_id", "user_id", F.col("reason").isNull().alias("ok"), "reason")
     return CommandResult({"users": users, "readers": readers, "reader_registration_requests": rr}, outcomes)
 
 
@@ -127,6 +137,10 @@ def bootstrap_admin(users: DataFrame) -> DataFrame:
                                         F.lit(True).alias("is_active")), allowMissingColumns=True)
 
 
+def _nameless() -> Column:
+    return F.col("username").isNull() | F.col("email").isNull()
+
+
 def register_users(lib: Library, cmds: DataFrame, bootstrap: bool = True) -> CommandResult:
     """``(cmd_id, submitted_at, username, email)`` sign-ups.
 
@@ -137,13 +151,14 @@ def register_users(lib: Library, cmds: DataFrame, bootstrap: bool = True) -> Com
     undecided and accepted commands and no accepted command holds either key;
     it is rejected as soon as one does. Only per-key minima are computed
     (partial aggregates), never pairs. New users get role 'user' unless the
-    table is empty, then the first becomes 'admin'.
+    table is empty, then the first becomes 'admin'. A command without a
+    username or email fails with 'Failed to register user' (both are NOT NULL).
     """
     users = bootstrap_admin(lib.users) if bootstrap else lib.users
     tu = users.select(F.col("username").alias("_tu")).distinct()
     te = users.select(F.col("email").alias("_te")).distinct()
     c = (cmds.join(tu, F.col("username") == F.col("_tu"), "left").join(te, F.col("email") == F.col("_te"), "left")
-         .withColumn("accepted", F.when(F.col("_tu").isNotNull() | F.col("_te").isNotNull(), F.lit(False))
+         .withColumn("accepted", F.when(F.col("_tu").isNotNull() | F.col("_te").isNotNull() | _nameless(), F.lit(False))
                      .otherwise(F.lit(None).cast("boolean")))
          .select("cmd_id", "submitted_at", "username", "email", "accepted"))
     rs = RoundState(c, "signup-round")
@@ -159,7 +174,9 @@ def register_users(lib: Library, cmds: DataFrame, bootstrap: bool = True) -> Com
                        F.when(F.col("accepted").isNotNull(), F.col("accepted"))
                        .when((F.col("_au") == 1) | (F.col("_ae") == 1), F.lit(False))
                        .when((o == F.col("_mu")) & (o == F.col("_me")), F.lit(True)).alias("accepted"))
-        left = rs.advance(nxt)
+        before, left = left, rs.advance(nxt)
+        if left == before:
+            raise RuntimeError(f"a round decided none of {left} sign-ups")
     state = checkpoint(rs.df, "signup-decided")
     acc = new_ids(state.where("accepted"), ["submitted_at", "cmd_id"], users, out="user_id")
     # First user ever becomes admin: only when the table (after bootstrap) is empty.
@@ -170,5 +187,6 @@ def register_users(lib: Library, cmds: DataFrame, bootstrap: bool = True) -> Com
     users_new = users.unionByName(rows, allowMissingColumns=True)
     outcomes = state.join(acc.select("cmd_id", "user_id"), "cmd_id", "left").select(
         "cmd_id", F.col("accepted").alias("ok"),
-        F.when(~F.col("accepted"), F.lit("Username or email already exists")).alias("reason"), "user_id")
+        F.when(_nameless(), F.lit("Failed to register user"))
+        .when(~F.col("accepted"), F.lit("Username or email already exists")).alias("reason"), "user_id")
     return CommandResult({"users": users_new}, outcomes)

@@ -36,14 +36,17 @@ VIEWS: dict[str, str] = {
     "reader_registration_requests": """SELECT event_id AS id, user_id, ts AS created_at,
  CASE WHEN event_id % 3 = 0 THEN 'pending' WHEN event_id % 3 = 1 THEN 'approved' ELSE 'rejected' END AS status,
  CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts + INTERVAL 1 DAY END AS processed_at,
- CASE WHEN event_id % 3 = 2 THEN props ELSE NULL END AS rejection_reason
+ CASE WHEN event_id % 3 = 2 THEN props ELSE NULL END AS rejection_reason,
+ 'F' || CAST(user_id AS STRING) AS first_name, 'L' || CAST(user_id AS STRING) AS last_name, props AS address,
+ '557-' || CAST(event_id AS STRING) AS phone_number
  FROM events WHERE event_type = 'signup'""",
     "reservation_commands": """SELECT event_id AS cmd_id, ts AS submitted_at, user_id, event_id % 211 AS book_id,
  CAST(ts AS DATE) + CAST(event_id % 6 - 1 AS INT) AS start_date, CAST(ts AS DATE) + CAST(event_id % 6 - 1 + event_id % 14 - 1 AS INT) AS end_date
  FROM events WHERE event_type = 'click'""",
     "loan_commands": """SELECT r.id AS cmd_id, r.book_id, r.reader_id, r.created_at AS submitted_at FROM reservations r WHERE r.id % 3 = 0""",
-    "return_commands": """SELECT id AS loan_id FROM loans WHERE id % 7 = 0""",
-    "circulation_events": """SELECT event_id, ts, user_id + 100000 AS reader_id, event_id % 40 AS book_id,
+    "return_commands": """SELECT id AS cmd_id, loan_date AS submitted_at, id AS loan_id FROM loans WHERE id % 7 = 0
+ UNION ALL SELECT id + 1000000000000 AS cmd_id, loan_date AS submitted_at, id AS loan_id FROM loans WHERE id % 14 = 0""",
+    "circulation_events": """SELECT event_id, ts, user_id + 100000 AS reader_id, user_id - user_id % 3 AS book_id,
  CASE event_type WHEN 'click' THEN 'reserve' WHEN 'purchase' THEN 'borrow' WHEN 'view' THEN 'return' WHEN 'error' THEN 'cancel' ELSE 'register' END AS action FROM events""",
     "book_commands": """SELECT p_partkey AS cmd_id, TIMESTAMP '2001-08-15 08:00:00' AS submitted_at, p_name || ' II' AS title,
  CASE WHEN p_partkey % 3 = 0 THEN 'New' ELSE 'Supplier' END AS author_first_name, lpad(CAST(p_partkey % 12 AS STRING), 9, '0') AS author_last_name,
@@ -51,13 +54,16 @@ VIEWS: dict[str, str] = {
  CASE WHEN p_partkey % 11 = 0 THEN '978' ELSE '979' END || lpad(CAST(p_partkey AS STRING), 10, '0') AS isbn,
  CASE WHEN p_partkey % 17 = 0 THEN 999 ELSE 1950 + p_size END AS publication_year, p_type AS genre, p_partkey + p_size - 25 AS book_id
  FROM part WHERE p_partkey % 5 = 0""",
-    "request_commands": """SELECT event_id AS cmd_id, ts AS submitted_at, user_id FROM events WHERE event_type = 'view'""",
+    "request_commands": """SELECT event_id AS cmd_id, ts AS submitted_at, user_id, 'F' || CAST(user_id AS STRING) AS first_name,
+ 'L' || CAST(user_id AS STRING) AS last_name, props AS address, '556-' || CAST(user_id AS STRING) AS phone_number FROM events WHERE event_type = 'view'""",
     "decision_commands": """SELECT event_id AS cmd_id, ts AS submitted_at, event_id - event_id % 2 AS request_id, user_id AS processor_id,
  CASE WHEN value < 20 THEN 'approve' ELSE 'reject' END AS decision, props AS reason FROM events""",
-    "cancel_commands": """SELECT id AS reservation_id FROM reservations WHERE id % 9 = 0""",
-    "role_commands": """SELECT c_custkey AS user_id, CASE c_custkey % 3 WHEN 0 THEN 'worker' WHEN 1 THEN 'user' ELSE 'admin' END AS role FROM customer WHERE c_custkey % 4 = 0""",
-    "delete_commands": """SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 8 = 0""",
-    "register_commands": """SELECT event_id AS cmd_id, ts AS submitted_at, 'new' || CAST(event_id % 700 AS STRING) AS username,
+    "cancel_commands": """SELECT id AS cmd_id, created_at AS submitted_at, id AS reservation_id FROM reservations WHERE id % 9 = 0
+ UNION ALL SELECT id + 1000000000000 AS cmd_id, created_at AS submitted_at, id AS reservation_id FROM reservations WHERE id % 18 = 0""",
+    "role_commands": """SELECT event_id AS cmd_id, ts AS submitted_at, user_id, CASE event_id % 3 WHEN 0 THEN 'worker' WHEN 1 THEN 'user' ELSE 'admin' END AS role
+ FROM events WHERE event_type = 'error'""",
+    "delete_commands": """SELECT event_id AS cmd_id, ts AS submitted_at, user_id FROM events WHERE event_type = 'click' AND event_id % 2 = 0""",
+    "register_commands": """SELECT event_id AS cmd_id, ts AS submitted_at, CASE WHEN event_id % 97 <> 0 THEN 'new' || CAST(event_id % 700 AS STRING) END AS username,
  CASE WHEN event_id % 10 = 0 THEN 'customer#' || lpad(CAST(user_id AS STRING), 9, '0') ELSE 'm' || CAST(event_id % 900 AS STRING) END || '@example.com' AS email
  FROM events WHERE event_type = 'signup'""",
     "availability_requests": """SELECT o_orderkey AS req_id, o_orderdate AS submitted_at, o_custkey AS user_id, o_orderkey % 211 AS book_id,

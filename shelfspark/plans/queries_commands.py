@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..operators import commands_catalog as WC
@@ -10,6 +12,7 @@ from ..operators import commands_users as WU
 from .registry import AS_OF_LOANABLE, AS_OF_LOANS, AS_OF_REQUESTS, register
 
 Y = AS_OF_LOANS.year
+NOW = dt.datetime.combine(AS_OF_LOANS, dt.time())
 
 
 @register("w1_upsert_authors", """
@@ -140,6 +143,20 @@ def _w5(lib):
     return WU.submit_reader_requests(lib, lib.request_commands, AS_OF_REQUESTS).outcomes
 
 
+@register("w5_requests_table", f"""
+WITH fresh AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY submitted_at, cmd_id) AS nth FROM request_commands) x
+               WHERE nth = 1 AND user_id NOT IN (SELECT user_id FROM reader_registration_requests
+                                                 WHERE status = 'pending' AND created_at > {D_REQ} - INTERVAL 30 DAY))
+SELECT id, user_id, status, first_name, last_name, address, phone_number FROM reader_registration_requests
+UNION ALL
+SELECT (SELECT max(id) FROM reader_registration_requests) + ROW_NUMBER() OVER (ORDER BY submitted_at, cmd_id), user_id, 'pending',
+  first_name, last_name, address, phone_number FROM fresh
+""")
+def _w5t(lib):
+    out = WU.submit_reader_requests(lib, lib.request_commands, AS_OF_REQUESTS).tables["reader_registration_requests"]
+    return out.select("id", "user_id", "status", "first_name", "last_name", "address", "phone_number")
+
+
 @register("w6_w7_decide_requests", """
 WITH c AS (SELECT dc.*, (decision = 'approve' OR (decision = 'reject' AND length(trim(COALESCE(reason, ''))) > 0)) AS wf
            FROM decision_commands dc),
@@ -161,6 +178,35 @@ def _w67(lib):
     return WU.decide_requests(lib, lib.decision_commands).outcomes
 
 
+_DECIDED = """
+WITH ok AS (SELECT dc.*, ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY submitted_at, cmd_id) AS nth FROM decision_commands dc
+            WHERE request_id IN (SELECT id FROM reader_registration_requests WHERE status = 'pending')
+              AND (decision = 'approve' OR length(trim(COALESCE(reason, ''))) > 0)),
+won AS (SELECT * FROM ok WHERE nth = 1)"""
+
+
+@register("w6_requests_table", f"""{_DECIDED}
+SELECT rr.id, rr.user_id, rr.created_at, rr.first_name, rr.last_name, rr.address, rr.phone_number,
+  CASE WHEN won.cmd_id IS NULL THEN rr.status WHEN decision = 'approve' THEN 'approved' ELSE 'rejected' END AS status,
+  CASE WHEN won.cmd_id IS NULL THEN rr.processed_at ELSE won.submitted_at END AS processed_at, won.processor_id AS processed_by,
+  CASE WHEN won.cmd_id IS NULL THEN rr.rejection_reason WHEN decision = 'reject' THEN won.reason END AS rejection_reason
+FROM reader_registration_requests rr LEFT JOIN won ON won.request_id = rr.id
+""")
+def _w6t(lib):
+    return WU.decide_requests(lib, lib.decision_commands).tables["reader_registration_requests"].drop("updated_at")
+
+
+@register("w6_readers_table", f"""{_DECIDED}
+SELECT id, user_id, first_name, last_name, address, phone_number, email FROM readers
+UNION ALL
+SELECT (SELECT max(id) FROM readers) + ROW_NUMBER() OVER (ORDER BY won.submitted_at, won.cmd_id), rr.user_id, rr.first_name, rr.last_name,
+  rr.address, rr.phone_number, NULL FROM won JOIN reader_registration_requests rr ON rr.id = won.request_id WHERE decision = 'approve'
+""")
+def _w6r(lib):
+    out = WU.decide_requests(lib, lib.decision_commands).tables["readers"]
+    return out.select("id", "user_id", "first_name", "last_name", "address", "phone_number", "email")
+
+
 def _reservation_oracle(source: str, staff: bool) -> str:
     """Sequential reservation acceptance in SQL: checks in order, then a per-book recursive fold."""
     if staff:
@@ -239,12 +285,12 @@ def _w9(lib):
 
 
 @register("w10_cancel_reservations", """
-SELECT cc.reservation_id, r.id IS NOT NULL AS ok,
+SELECT cc.cmd_id, cc.reservation_id, r.id IS NOT NULL AS ok,
   CASE WHEN r.id IS NULL THEN 'Reservation not found or cannot be cancelled' END AS reason
 FROM cancel_commands cc LEFT JOIN reservations r ON r.id = cc.reservation_id AND r.status <> 'completed'
 """)
 def _w10(lib):
-    return WL.cancel_reservations(lib, lib.cancel_commands).outcomes
+    return WL.cancel_reservations(lib, lib.cancel_commands, NOW).outcomes
 
 
 D_LOANABLE = f"DATE '{AS_OF_LOANABLE.isoformat()}'"
@@ -270,10 +316,9 @@ def _w11(lib):
 
 
 @register("w12_return_loans", """
-WITH p AS (SELECT loan_id, count(*) AS n FROM return_commands GROUP BY loan_id)
-SELECT p.loan_id, l.id IS NOT NULL AS ok, CASE WHEN l.id IS NULL THEN 'Invalid return request' END AS reason,
-  p.n - CASE WHEN l.id IS NOT NULL THEN 1 ELSE 0 END AS failed_commands
-FROM p LEFT JOIN loans l ON l.id = p.loan_id AND l.status = 'borrowed'
+WITH p AS (SELECT *, loan_id IN (SELECT id FROM loans WHERE status = 'borrowed')
+             AND ROW_NUMBER() OVER (PARTITION BY loan_id ORDER BY submitted_at, cmd_id) = 1 AS ok FROM return_commands)
+SELECT cmd_id, loan_id, ok, CASE WHEN NOT ok THEN 'Invalid return request' END AS reason FROM p
 """)
 def _w12(lib):
     return WL.return_loans(lib, lib.return_commands, AS_OF_LOANS).outcomes
@@ -283,41 +328,62 @@ _W13_REASON = """CASE WHEN u.id IS NULL THEN 'User not found' WHEN rc.role NOT I
 
 
 @register("w13_promote_users", f"""
-SELECT rc.user_id, rc.role, {_W13_REASON} IS NULL AS ok, {_W13_REASON} AS reason
+SELECT rc.cmd_id, rc.user_id, rc.role, {_W13_REASON} IS NULL AS ok, {_W13_REASON} AS reason
 FROM role_commands rc LEFT JOIN users u ON u.id = rc.user_id
 """)
 def _w13(lib):
-    return WU.promote_users(lib, lib.role_commands).outcomes
+    return WU.promote_users(lib, lib.role_commands, NOW).outcomes
 
 
-_W14_REASON = """CASE WHEN u.id IS NULL THEN 'User not found' WHEN u.role = 'admin' THEN 'Cannot delete admin users' END"""
+@register("w13_users_table", """
+WITH last AS (SELECT user_id, last(role ORDER BY submitted_at, cmd_id) AS role FROM role_commands
+              WHERE role <> 'admin' GROUP BY user_id)
+SELECT id, username, email, COALESCE((SELECT role FROM last WHERE user_id = id), role) AS role, is_active, created_at FROM users
+""")
+def _w13t(lib):
+    return WU.promote_users(lib, lib.role_commands, NOW).tables["users"].drop("updated_at")
 
 
-@register("w14_delete_users", f"""
-SELECT dc.user_id, {_W14_REASON} IS NULL AS ok, {_W14_REASON} AS reason
-FROM delete_commands dc LEFT JOIN users u ON u.id = dc.user_id
+@register("w14_delete_users", """
+WITH d AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY submitted_at, cmd_id) AS nth FROM delete_commands),
+r AS (SELECT cmd_id, user_id, CASE WHEN user_id NOT IN (SELECT id FROM users) THEN 'User not found'
+        WHEN user_id IN (SELECT id FROM users WHERE role = 'admin') THEN 'Cannot delete admin users'
+        WHEN nth > 1 THEN 'User not found' END AS reason FROM d)
+SELECT cmd_id, user_id, reason IS NULL AS ok, reason FROM r
 """)
 def _w14(lib):
     return WU.delete_users(lib, lib.delete_commands).outcomes
 
 
+@register("w14_users_table", "SELECT * FROM users WHERE role = 'admin' OR id NOT IN (SELECT user_id FROM delete_commands)")
+def _w14u(lib):
+    return WU.delete_users(lib, lib.delete_commands).tables["users"]
+
+
+@register("w14_readers_table", """
+SELECT id, CASE WHEN user_id NOT IN (SELECT user_id FROM delete_commands) THEN user_id END AS user_id, first_name, last_name, email FROM readers
+""")
+def _w14r(lib):
+    return WU.delete_users(lib, lib.delete_commands).tables["readers"].select("id", "user_id", "first_name", "last_name", "email")
+
+
 @register("w15_register_users", """
 WITH RECURSIVE
 base AS (SELECT username, email FROM users
          UNION ALL SELECT 'admin', 'admin@library.com' WHERE NOT EXISTS (SELECT 1 FROM users WHERE username = 'admin')),
-c AS (SELECT rc.*, ROW_NUMBER() OVER (ORDER BY submitted_at, cmd_id) AS seq FROM register_commands rc),
+c AS (SELECT rc.*, username IS NULL OR email IS NULL AS bad, ROW_NUMBER() OVER (ORDER BY submitted_at, cmd_id) AS seq FROM register_commands rc),
 fold(seq, cmd_id, ok, names, emails) AS (
   SELECT 0, CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN), (SELECT list(username) FROM base), (SELECT list(email) FROM base)
   UNION ALL
   SELECT c.seq, c.cmd_id,
-    NOT (list_contains(f.names, c.username) OR list_contains(f.emails, c.email)),
-    CASE WHEN list_contains(f.names, c.username) OR list_contains(f.emails, c.email) THEN f.names
+    NOT (c.bad OR list_contains(f.names, c.username) OR list_contains(f.emails, c.email)),
+    CASE WHEN c.bad OR list_contains(f.names, c.username) OR list_contains(f.emails, c.email) THEN f.names
       ELSE list_append(f.names, c.username) END,
-    CASE WHEN list_contains(f.names, c.username) OR list_contains(f.emails, c.email) THEN f.emails
+    CASE WHEN c.bad OR list_contains(f.names, c.username) OR list_contains(f.emails, c.email) THEN f.emails
       ELSE list_append(f.emails, c.email) END
   FROM fold f JOIN c ON c.seq = f.seq + 1),
-d AS (SELECT c.cmd_id, c.submitted_at, fo.ok FROM c JOIN fold fo ON fo.cmd_id = c.cmd_id)
-SELECT cmd_id, ok, CASE WHEN NOT ok THEN 'Username or email already exists' END AS reason,
+d AS (SELECT c.cmd_id, c.submitted_at, c.bad, fo.ok FROM c JOIN fold fo ON fo.cmd_id = c.cmd_id)
+SELECT cmd_id, ok, CASE WHEN bad THEN 'Failed to register user' WHEN NOT ok THEN 'Username or email already exists' END AS reason,
   CASE WHEN ok THEN (SELECT max(id) FROM users)
     + (SELECT count(*) FROM base WHERE username = 'admin' AND NOT EXISTS (SELECT 1 FROM users WHERE username = 'admin'))
     + ROW_NUMBER() OVER (PARTITION BY ok ORDER BY submitted_at, cmd_id) END AS user_id

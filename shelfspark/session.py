@@ -8,6 +8,7 @@ for tests, the bench and command-line use, and for reading cluster settings
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import SparkSession
 
@@ -41,11 +42,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session. Only when it is unset
-    (tests on one machine) a fallback is set.
+    ``spark.checkpoint.dir`` is read from the session, else a folder set by
+    ``setCheckpointDir`` is used. Only on one machine (a ``local`` master) a
+    temporary folder stands in; a cluster that names no shared folder is an error.
     """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not d and not fallback and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not d:
         import tempfile
         d = fallback or tempfile.mkdtemp(prefix="shelfspark-ckpt-")

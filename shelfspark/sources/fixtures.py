@@ -36,7 +36,10 @@ class Library:
                  tables: dict[str, DataFrame] | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
-        self._given = dict(tables or {})
+        # Stored circulation tables and command batches are used as they are; other names are driver tables.
+        given = dict(tables or {})
+        self.__dict__.update({n: df for n, df in given.items() if n in STORED_TABLES})
+        self._given = {n: df for n, df in given.items() if n not in STORED_TABLES}
 
     # -- driver tables -----------------------------------------------------
     def raw(self, name: str) -> DataFrame:
@@ -177,7 +180,11 @@ class Library:
                         F.when(i % 3 == 0, "pending").when(i % 3 == 1, "approved").otherwise("rejected").alias("status"),
                         F.when(i % 3 == 0, F.lit(None).cast("timestamp_ntz"))
                         .otherwise(F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("processed_at"),
-                        F.when(i % 3 == 2, F.col("props")).otherwise(F.lit(None).cast("string")).alias("rejection_reason"))
+                        F.when(i % 3 == 2, F.col("props")).otherwise(F.lit(None).cast("string")).alias("rejection_reason"),
+                        F.concat(F.lit("F"), F.col("user_id").cast("string")).alias("first_name"),
+                        F.concat(F.lit("L"), F.col("user_id").cast("string")).alias("last_name"),
+                        F.col("props").alias("address"),
+                        F.concat(F.lit("557-"), i.cast("string")).alias("phone_number"))
 
     # -- command batches ----------------------------------------------------
     @cached_property
@@ -196,9 +203,16 @@ class Library:
         return r.where(F.col("id") % 3 == 0).select(F.col("id").alias("cmd_id"), "book_id", "reader_id",
                                                     F.col("created_at").alias("submitted_at"))
 
+    @staticmethod
+    def _repeated(cmds: DataFrame, every: int) -> DataFrame:
+        """Some commands come a second time, under another id."""
+        again = cmds.where(F.col("cmd_id") % every == 0).withColumn("cmd_id", F.col("cmd_id") + 1_000_000_000_000)
+        return cmds.unionByName(again)
+
     @cached_property
     def return_commands(self) -> DataFrame:
-        return self.loans.where(F.col("id") % 7 == 0).select(F.col("id").alias("loan_id"))
+        return self._repeated(self.loans.where(F.col("id") % 7 == 0).select(
+            F.col("id").alias("cmd_id"), F.col("loan_date").alias("submitted_at"), F.col("id").alias("loan_id")), 14)
 
     @cached_property
     def circulation_events(self) -> DataFrame:
@@ -207,7 +221,7 @@ class Library:
                   .when(F.col("event_type") == "view", "return").when(F.col("event_type") == "error", "cancel")
                   .otherwise("register"))
         return e.select("event_id", "ts", (F.col("user_id") + 100000).alias("reader_id"),
-                        (F.col("event_id") % 40).alias("book_id"), action.alias("action"))
+                        (F.col("user_id") - F.col("user_id") % 3).alias("book_id"), action.alias("action"))
 
     @cached_property
     def book_commands(self) -> DataFrame:
@@ -227,7 +241,10 @@ class Library:
     @cached_property
     def request_commands(self) -> DataFrame:
         e = self.raw("events").where(F.col("event_type") == "view")
-        return e.select(F.col("event_id").alias("cmd_id"), F.col("ts").alias("submitted_at"), "user_id")
+        u = F.col("user_id").cast("string")
+        return e.select(F.col("event_id").alias("cmd_id"), F.col("ts").alias("submitted_at"), "user_id",
+                        F.concat(F.lit("F"), u).alias("first_name"), F.concat(F.lit("L"), u).alias("last_name"),
+                        F.col("props").alias("address"), F.concat(F.lit("556-"), u).alias("phone_number"))
 
     @cached_property
     def decision_commands(self) -> DataFrame:
@@ -240,19 +257,20 @@ class Library:
 
     @cached_property
     def cancel_commands(self) -> DataFrame:
-        return self.reservations.where(F.col("id") % 9 == 0).select(F.col("id").alias("reservation_id"))
+        return self._repeated(self.reservations.where(F.col("id") % 9 == 0).select(
+            F.col("id").alias("cmd_id"), F.col("created_at").alias("submitted_at"), F.col("id").alias("reservation_id")), 18)
 
     @cached_property
     def role_commands(self) -> DataFrame:
-        c = self.raw("customer").where(F.col("c_custkey") % 4 == 0)
-        k = F.col("c_custkey")
-        return c.select(k.alias("user_id"),
-                        F.when(k % 3 == 0, "worker").when(k % 3 == 1, "user").otherwise("admin").alias("role"))
+        e = self.raw("events").where(F.col("event_type") == "error")
+        i = F.col("event_id")
+        return e.select(i.alias("cmd_id"), F.col("ts").alias("submitted_at"), "user_id",
+                        F.when(i % 3 == 0, "worker").when(i % 3 == 1, "user").otherwise("admin").alias("role"))
 
     @cached_property
     def delete_commands(self) -> DataFrame:
-        c = self.raw("customer").where(F.col("c_custkey") % 8 == 0)
-        return c.select(F.col("c_custkey").alias("user_id"))
+        e = self.raw("events").where((F.col("event_type") == "click") & (F.col("event_id") % 2 == 0))
+        return e.select(F.col("event_id").alias("cmd_id"), F.col("ts").alias("submitted_at"), "user_id")
 
     @cached_property
     def register_commands(self) -> DataFrame:
@@ -261,7 +279,7 @@ class Library:
         email = F.concat(F.when(i % 10 == 0, F.concat(F.lit("customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0")))
                          .otherwise(F.concat(F.lit("m"), (i % 900).cast("string"))), F.lit("@example.com"))
         return e.select(i.alias("cmd_id"), F.col("ts").alias("submitted_at"),
-                        F.concat(F.lit("new"), (i % 700).cast("string")).alias("username"), email.alias("email"))
+                        F.when(i % 97 != 0, F.concat(F.lit("new"), (i % 700).cast("string"))).alias("username"), email.alias("email"))
 
     @cached_property
     def availability_requests(self) -> DataFrame:
@@ -285,7 +303,8 @@ FIXTURE_COLUMNS: dict[str, list[str]] = {
     "reservations": ["id", "book_id", "reader_id", "created_at", "start_date", "end_date", "status"],
     "books": ["id", "title", "author_id", "isbn", "publisher_id", "publication_year", "genre", "description",
               "status"],
-    "reader_registration_requests": ["id", "user_id", "created_at", "status", "processed_at", "rejection_reason"],
+    "reader_registration_requests": ["id", "user_id", "created_at", "status", "processed_at", "rejection_reason",
+                                     "first_name", "last_name", "address", "phone_number"],
 }
 CIRCULATION_TABLES = list(FIXTURE_COLUMNS)
 COMMAND_TABLES = ["reservation_commands", "loan_commands", "return_commands", "circulation_events", "book_commands",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,18 +57,15 @@ def write_period_report(df: DataFrame, report_type: str, start: dt.date, end: dt
     """Period report tagged with type and range, one partition folder per run.
 
     Datetimes ``YYYY-MM-DD HH:MM:SS``, dates ``YYYY-MM-DD``; an empty result
-    still leaves a header-only file.
+    still leaves a header-only file. A run writes its own folder anew, so the
+    same run twice leaves one copy and other runs stay.
     """
     body = _format_temporal(_ordered(df, order), REPORT_TS, DAY)
-    if body.isEmpty():
-        # partitionBy writes nothing for no rows; leave a header-only file in the run's folder.
-        folder = f"{path}/report_type={report_type}/period_start={start.isoformat()}/period_end={end.isoformat()}"
-        body.coalesce(1).write.mode("append").option("header", True).csv(folder)
-        return
-    tagged = body.select(F.lit(report_type).alias("report_type"), F.lit(start.isoformat()).alias("period_start"),
-                         F.lit(end.isoformat()).alias("period_end"), *[F.col(c) for c in body.columns])
-    tagged.write.mode("append").option("header", True).partitionBy(
-        "report_type", "period_start", "period_end").csv(path)
+    folder = f"{path}/report_type={report_type}/period_start={start.isoformat()}/period_end={end.isoformat()}"
+    rows = Observation("period-report")
+    body.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True).csv(folder)
+    if not rows.get["n"]:
+        body.limit(0).coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
 
 
 def table_fingerprint(df: DataFrame, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.batch import merge_rows
@@ -81,5 +82,5 @@ class SnapshotTable:
             new = updates
         else:
             cur = self.spark.read.parquet(prev)
-            new = merge_rows(cur.drop("updated_at"), updates, self.key).drop("updated_at")
+            new = merge_rows(cur.drop("updated_at"), updates, self.key, F.lit(None)).drop("updated_at")
         self._write(new, epoch)

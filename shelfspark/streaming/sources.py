@@ -21,7 +21,7 @@ def circulation_events(events: DataFrame) -> DataFrame:
               .when(F.col("event_type") == "view", "return").when(F.col("event_type") == "error", "cancel")
               .otherwise("register"))
     return events.select("event_id", "ts", (F.col("user_id") + 100000).alias("reader_id"),
-                         (F.col("event_id") % 40).alias("book_id"), action.alias("action"))
+                         (F.col("user_id") - F.col("user_id") % 3).alias("book_id"), action.alias("action"))
 
 
 def utc_event_time(ts_col: str = "ts") -> F.Column:
