@@ -130,7 +130,9 @@ def _meet(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
 def links(fps: DataFrame, radius: int = MAX_BITS) -> DataFrame:
     """Links (a, b) between different fingerprints that connect all within ``radius`` bits; ``fps`` holds each once."""
     shipped(fps.sparkSession)
-    v = fps.select("fp").mapInArrow(lambda it: _variants(it, radius), "x long, fp long")
+    # A fingerprint is eight bytes and its variants a thousand rows: deal them out by number, not by their small size.
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = fps.select("fp").repartition(n).mapInArrow(lambda it: _variants(it, radius), "x long, fp long")
     return v.repartition("x").sortWithinPartitions("x").mapInArrow(lambda it: _meet(it, radius), "a long, b long").distinct()
 
 
