@@ -1,17 +1,20 @@
 """Exact substring dedup by super-k-mer partitioning.
 
 A window is ``k`` consecutive words of one document. Each window belongs to the
-bucket of its minimiser (least hash among its word pairs); consecutive windows
+bucket of its minimiser (least hash among its words, long words first); consecutive windows
 that share it travel together as one packed string, so a word is shuffled about
 three times instead of ``k`` times. Inside a bucket, sorting brings equal
 windows together; equal hashes are compared word by word.
 
+Before anything travels, equal strings of one slice of texts are put together:
+only those of the smallest document go on, the others are ranges to remove
+already. So a passage that fills a third of the corpus sends one string a slice.
+
 Hot buckets. A count of super-k-mers by hashed minimiser over all documents
-(a fixed number of slots) names the slots far above the mean. Their windows
-skip the buckets: they are counted one by one under their own 128-bit key, with
-map-side combine, and joined back by a join that can split a skewed key. A
-bucket that outgrows a task's buffer all the same hands its windows to that
-second way, so no bucket is ever held whole.
+(a fixed number of slots) names the slots far above the mean. Their windows are
+dealt one by one, by a hash of all their words. A bucket that outgrows a task's
+buffer all the same hands its windows to an aggregate under their own 128-bit
+key, combined map-side and joined back with salts, so no bucket is held whole.
 
 Defined cases: null or empty texts have no words; a row whose doc_id is null
 keeps all its words and never counts as a smaller document; rows that repeat a
@@ -26,11 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ONLY_SPACE, Words, batch, binary_slices, group_by_value, keyed, materialize, shipped, slices
+from .common import ONLY_SPACE, SLICE_BYTES, Words, batch, binary_slices, documents, group_by_value, materialize, shipped, slices, text_bytes
 
 WINDOW = 13
 #: Slots of the fixed-size count of minimisers.
@@ -41,11 +46,15 @@ HOT_MIN, HOT_SHARE = 20_000, 4
 BUFFER_ROWS = 100_000
 #: Windows of one packed string at most (a text of one repeated word has a single minimiser).
 RUN_WINDOWS = 32
-#: Word pairs shorter than this many bytes are minimisers only where a window has no longer one.
-SHORT_PAIR = 12
-
-_COLD = "bucket long, doc_id long, tkey int, pos int, packed binary"
-_HOT = "wkey binary, doc_id long, tkey int, pos int"
+#: Words shorter than this many bytes are minimisers only where a window has no longer one.
+SHORT_WORD = 6
+#: Ways into which the windows of a hot key are dealt where they meet their least document.
+SALTS = 16
+
+#: What is shuffled most is packed most: the bucket and the place of the first word in one long; document, tkey and
+#: string in one binary. Without a string, a range of words that is known to go: document, tkey and its length.
+_RUNS = "key long, packed binary"
+_HEAD, _RANGE = 12, 16
 _RANGES = "over boolean, wkey binary, doc_id long, tkey int, pos int, len int"
 
 
@@ -62,35 +71,43 @@ def _windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, text
 
 
-def _minimisers(words: Words, at: np.ndarray, k: int) -> np.ndarray:
-    """The least word-pair key of the window that starts at each word of ``at``."""
+def _minimisers(words: Words, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least word key, 32 bits, of the window that starts at each word of ``at``; the keys of all words."""
     index, different = words.encoded()
-    h = np.array([xxhash.xxh64_intdigest(w) for w in different], np.uint64)[index]
-    with np.errstate(over="ignore"):
-        pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
-    short = words.size[:-1] + words.size[1:] < SHORT_PAIR
-    pair = (pair >> np.uint64(1)) | (short.astype(np.uint64) << np.uint64(63))
-    # Least of k - 1 neighbouring pairs by doubling: spans of 1, 2, 4, ... and one overlapping rest.
-    least, span = pair, 1
-    while span * 2 <= k - 1:
+    h = np.array([xxhash.xxh32_intdigest(w) >> 1 | (len(w) < SHORT_WORD) << 31 for w in different], np.uint32)[index]
+    # Least of k neighbours by doubling: spans of 1, 2, 4, ... and one overlapping rest.
+    least, span = h, 1
+    while span * 2 <= k:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
-    rest = k - 1 - span
-    return np.minimum(least[at], least[at + rest]) if rest else least[at]
+    rest = k - span
+    return (np.minimum(least[at], least[at + rest]) if rest else least[at]), h
 
 
-def _runs(key: np.ndarray, text: np.ndarray, at: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length, in windows, of runs with one key in one text, of ``limit`` windows at most."""
+def _runs(key: np.ndarray, text: np.ndarray, at: np.ndarray, limit: int, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length, in windows, of runs with one key in one text, of ``limit`` windows at most; ``alone``: windows that are runs."""
     cut = np.ones(len(key), bool)
     cut[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)
     begin = np.flatnonzero(cut)
     since = np.arange(len(key)) - np.repeat(begin, np.diff(np.append(begin, len(key))))
-    begin = np.flatnonzero(cut | (since % limit == 0))
+    cut |= since % limit == 0
+    if alone is not None:
+        cut |= alone
+    begin = np.flatnonzero(cut)
     return begin, np.diff(np.append(begin, len(key)))
 
 
+def _window_sums(h: np.ndarray, k: int) -> np.ndarray:
+    """Multilinear hash of the k words from each word on."""
+    with np.errstate(over="ignore"):
+        sums = np.zeros(max(0, len(h) - k + 1), np.uint64)
+        for j in range(k):
+            sums += h[j:j + len(sums)] * _mult(j)
+    return sums
+
+
 def _slot(key: np.ndarray) -> np.ndarray:
-    return (key & np.uint64(SLOTS - 1)).astype(np.int64)
+    return (key & np.uint32(SLOTS - 1)).astype(np.int64)
 
 
 def count_slots(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -100,7 +117,7 @@ def count_slots(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         words = Words(b.column("text"))
         at, text = _windows(words, k)
         if len(at):
-            key = _minimisers(words, at, k)
+            key, _ = _minimisers(words, at, k)
             begin, _ = _runs(key, text, at, RUN_WINDOWS)
             total += np.bincount(_slot(key[begin]), minlength=SLOTS)
     found = np.flatnonzero(total)
@@ -108,24 +125,79 @@ def count_slots(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
 
 
 def super_kmers(batches: Iterator[pa.RecordBatch], k: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per run of windows that share a minimiser, without those in hot slots."""
-    schema = _arrow_schema(_COLD)
+    """One row per run of windows that share a minimiser (in hot slots, per window), and ranges that a slice decides by itself."""
+    schema = _arrow_schema(_RUNS)
     for b in slices(batches):
         words = Words(b.column("text"))
         at, text = _windows(words, k)
         if not len(at):
             continue
-        key = _minimisers(words, at, k)
-        begin, n = _runs(key, text, at, RUN_WINDOWS)
-        keep = ~hot[_slot(key[begin])]
-        begin, n = begin[keep], n[keep]
-        first, last = at[begin], at[begin] + n + k - 2
+        key, h = _minimisers(words, at, k)
+        alone = hot[_slot(key)]
+        begin, n = _runs(key, text, at, RUN_WINDOWS, alone)
+        bucket = key[begin]
+        if alone.any():
+            by_words = (_window_sums(h.astype(np.uint64), k)[at[begin]] >> np.uint64(32)).astype(np.uint32)
+            bucket = np.where(alone[begin], by_words, bucket)
+        row, first, last = text[begin], at[begin], at[begin] + n + k - 2
         start = words.start[first]
-        doc = b.column("doc_id").to_numpy(zero_copy_only=False)[text[begin]]
-        yield batch(schema, bucket=key[begin].view(np.int64), doc_id=doc,
-                    tkey=b.column("tkey").to_numpy(zero_copy_only=False)[text[begin]],
-                    pos=(first - words.first[text[begin]]).astype(np.int32),
-                    packed=binary_slices(words.norm, start, words.start[last] + words.size[last] - start))
+        packed = binary_slices(words.norm, start, words.start[last] + words.size[last] - start)
+        doc = b.column("doc_id").to_numpy(zero_copy_only=False)
+        same = packed.dictionary_encode()
+        code = same.indices.to_numpy(zero_copy_only=False)
+        least = np.full(len(same.dictionary), np.iinfo(np.int64).max)
+        np.minimum.at(least, code, doc[row])
+        late = doc[row] > least[code]
+        tkey = b.column("tkey").to_numpy(zero_copy_only=False)
+        go = np.flatnonzero(~late)
+        yield batch(schema, key=_key(bucket[go], first[go] - words.first[row[go]]),
+                    packed=_packed(doc[row[go]], tkey[row[go]], words.norm, start[go], (words.start[last] + words.size[last] - start)[go]))
+        if late.any():
+            row, first, last = row[late], first[late], last[late]
+            new = np.ones(len(row), bool)  # ranges of one text that touch are one range
+            new[1:] = (row[1:] != row[:-1]) | (first[1:] > last[:-1] + 1)
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(row)) - 1
+            row, first, last = row[head], first[head], last[tail]
+            spread = (doc[row].astype(np.uint64) * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            length = (last - first + 1).astype("<i4").view(np.uint8)
+            yield batch(schema, key=_key(spread, first - words.first[row]),
+                        packed=_packed(doc[row], tkey[row], length, np.arange(len(row)) * 4, np.full(len(row), 4)))
+
+
+def _key(bucket: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    return (bucket.view(np.int32).astype(np.int64) << 32) | pos
+
+
+def _packed(doc: np.ndarray, tkey: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """doc and tkey, then ``data[start: start + size]``, of each row."""
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(size + _HEAD, out=offsets[1:])
+    out = np.empty(int(offsets[-1]), np.uint8)
+    head = np.concatenate([doc.astype("<i8").view(np.uint8).reshape(-1, 8), tkey.astype("<i4").view(np.uint8).reshape(-1, 4)], axis=1)
+    at = offsets[:-1, None] + np.arange(_HEAD)
+    rest = np.ones(len(out), bool)
+    rest[at.ravel()] = False
+    out[at] = head
+    begin = np.cumsum(size) - size
+    out[rest] = data[np.arange(int(size.sum())) + np.repeat(start - begin, size)]
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def _documents(packed: pa.Array) -> np.ndarray:
+    data, offsets = text_bytes(packed)
+    return np.ascontiguousarray(data[offsets[:-1, None] + np.arange(8)]).view("<i8").ravel()
+
+
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """doc, tkey and the rest of each row."""
+    data, offsets = text_bytes(packed)
+    at = offsets[:-1, None] + np.arange(_HEAD)
+    head = data[at]
+    rest = np.ones(len(data), bool)
+    rest[at.ravel()] = False
+    tail = pa.Array.from_buffers(pa.large_binary(), len(packed), [None, pa.py_buffer(offsets - _HEAD * np.arange(len(offsets))), pa.py_buffer(data[rest])])
+    return np.ascontiguousarray(head[:, :8]).view("<i8").ravel(), np.ascontiguousarray(head[:, 8:]).view("<i4").ravel(), tail
 
 
 def _window_keys(words: Words, at: np.ndarray, k: int) -> list[bytes]:
@@ -135,24 +207,9 @@ def _window_keys(words: Words, at: np.ndarray, k: int) -> list[bytes]:
     return [xxhash.xxh3_128_digest(norm[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)]
 
 
-def hot_windows(batches: Iterator[pa.RecordBatch], k: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Every single window whose minimiser lies in a hot slot."""
-    schema = _arrow_schema(_HOT)
-    for b in slices(batches):
-        words = Words(b.column("text"))
-        at, text = _windows(words, k)
-        if not len(at):
-            continue
-        keep = hot[_slot(_minimisers(words, at, k))]
-        at, text = at[keep], text[keep]
-        yield batch(schema, wkey=pa.array(_window_keys(words, at, k), pa.binary()),
-                    doc_id=b.column("doc_id").to_numpy(zero_copy_only=False)[text],
-                    tkey=b.column("tkey").to_numpy(zero_copy_only=False)[text],
-                    pos=(at - words.first[text]).astype(np.int32))
-
-
-_RNG = np.random.default_rng(13)
-_MULT = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+def _mult(j: int) -> np.uint64:
+    """Odd multiplier of a window's j-th word."""
+    return np.uint64(xxhash.xxh64_intdigest(b"%d" % j) | 1)
 
 
 def repeated_windows(words: Words, at: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
@@ -164,10 +221,8 @@ def repeated_windows(words: Words, at: np.ndarray, doc: np.ndarray, k: int) -> n
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-        sums = np.zeros(len(at), np.uint64)
-        for j in range(k):
-            sums += h[at + j] * _MULT[j % 64] + (_MULT[j % 64] if j >= 64 else np.uint64(0))
-    order = np.argsort(sums, kind="stable")
+    sums = _window_sums(h, k)[at]
+    order = np.argsort(sums)
     first = group_by_value(sums[order])
     same = np.ones(len(order), bool)
     same[first] = False
@@ -187,28 +242,36 @@ def count_buckets(batches: Iterator[pa.RecordBatch], k: int, buffer_rows: int) -
     """Rows sorted by bucket to ranges of repeated words; windows of outgrown buckets come out one by one."""
     schema = _arrow_schema(_RANGES)
 
+    def known(t: pa.Table) -> pa.RecordBatch:
+        doc, tkey, length = _unpacked(t.column("packed").combine_chunks())
+        return batch(schema, over=np.zeros(len(doc), bool), wkey=pa.nulls(len(doc), pa.binary()), doc_id=doc, tkey=tkey,
+                     pos=_place(t), len=text_bytes(length)[0].view("<i4"))
+
+    def _place(t: pa.Table) -> np.ndarray:
+        return (t.column("key").to_numpy() & 0xFFFFFFFF).astype(np.int32)
+
     def ranges(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        words = Words(t.column("packed").combine_chunks(), ONLY_SPACE)
+        # A bucket of a single document has nothing to compare.
+        doc = _documents(t.column("packed").combine_chunks())
+        begin = group_by_value(t.column("key").to_numpy() >> 32)
+        several = np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)
+        t = t.filter(pa.array(np.repeat(several, np.diff(np.append(begin, len(doc))))))
+        doc, tkey, strings = _unpacked(t.column("packed").combine_chunks())
+        words = Words(strings, ONLY_SPACE)
         at, row = _windows(words, k)
-        doc = t.column("doc_id").to_numpy()
-        at_in = at - words.first[row]
         hit = repeated_windows(words, at, doc[row], k)
-        row, at_in = row[hit], at_in[hit]
-        begin, n = _runs(row, row, at_in, 1 << 30)
-        row, at_in = row[begin], at_in[begin]
-        return batch(schema, over=np.zeros(len(row), bool), wkey=pa.nulls(len(row), pa.binary()), doc_id=doc[row],
-                     tkey=t.column("tkey").to_numpy()[row], pos=(t.column("pos").to_numpy()[row] + at_in).astype(np.int32),
-                     len=(n + k - 1).astype(np.int32))
+        row, place = row[hit], (at - words.first[row])[hit]
+        begin, n = _runs(row, row, place, 1 << 30)
+        row, place = row[begin], place[begin]
+        return batch(schema, over=np.zeros(len(row), bool), wkey=pa.nulls(len(row), pa.binary()), doc_id=doc[row], tkey=tkey[row],
+                     pos=_place(t)[row] + place.astype(np.int32), len=(n + k - 1).astype(np.int32))
 
     def handed_over(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        words = Words(t.column("packed").combine_chunks(), ONLY_SPACE)
+        doc, tkey, strings = _unpacked(t.column("packed").combine_chunks())
+        words = Words(strings, ONLY_SPACE)
         at, row = _windows(words, k)
-        return batch(schema, over=np.ones(len(row), bool), wkey=pa.array(_window_keys(words, at, k), pa.binary()),
-                     doc_id=t.column("doc_id").to_numpy()[row], tkey=t.column("tkey").to_numpy()[row],
-                     pos=(t.column("pos").to_numpy()[row] + at - words.first[row]).astype(np.int32),
-                     len=np.full(len(row), k, np.int32))
+        return batch(schema, over=np.ones(len(row), bool), wkey=pa.array(_window_keys(words, at, k), pa.binary()), doc_id=doc[row],
+                     tkey=tkey[row], pos=_place(t)[row] + (at - words.first[row]).astype(np.int32), len=np.full(len(row), k, np.int32))
 
     held: pa.Table | None = None
     outgrown: int | None = None  # the bucket being handed over
@@ -216,16 +279,20 @@ def count_buckets(batches: Iterator[pa.RecordBatch], k: int, buffer_rows: int) -
         if not b.num_rows:
             continue
         t = pa.Table.from_batches([b])
+        plain = pc.equal(pc.binary_length(t.column("packed")), _RANGE)
+        if pc.any(plain).as_py():
+            yield known(t.filter(plain))
+            t = t.filter(pc.invert(plain))
         held = t if held is None else pa.concat_tables([held, t])
         if outgrown is not None:
-            n = int(np.searchsorted(held.column("bucket").to_numpy(), outgrown, "right"))
+            n = int(np.searchsorted(held.column("key").to_numpy() >> 32, outgrown, "right"))
             if n:
                 yield handed_over(held.slice(0, n))
                 held = held.slice(n)
             if held.num_rows:
                 outgrown = None
         if held.num_rows >= buffer_rows:
-            bucket = held.column("bucket").to_numpy()
+            bucket = held.column("key").to_numpy() >> 32
             n = int(np.searchsorted(bucket, bucket[-1], "left"))  # the last bucket may go on
             if n:
                 yield ranges(held.slice(0, n))
@@ -250,20 +317,37 @@ def removed_ranges(keys: DataFrame, k: int = WINDOW, hot_min: int = HOT_MIN, buf
     hot = np.zeros(SLOTS, bool)
     hot[[r.slot for r in slots if r.n > max(hot_min, HOT_SHARE * total / SLOTS)]] = True
 
-    runs = docs.mapInArrow(lambda it: super_kmers(it, k, hot), _COLD)
-    found = materialize(runs.repartition("bucket").sortWithinPartitions("bucket")
+    runs = docs.mapInArrow(lambda it: super_kmers(it, k, hot), _RUNS)
+    found = materialize(runs.repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
                         .mapInArrow(lambda it: count_buckets(it, k, buffer_rows), _RANGES), "superkmer-ranges")
     single = found.where("over").select("wkey", "doc_id", "tkey", "pos")
-    if hot.any():
-        single = single.unionByName(materialize(docs.mapInArrow(lambda it: hot_windows(it, k, hot), _HOT), "superkmer-hot"))
     least = single.groupBy("wkey").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    late = single.join(least.select("wkey", "least"), "wkey").where(F.col("doc_id") > F.col("least"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    late = single.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")) \
+        .join(least.select("wkey", "least", salts.alias("salt")), ["wkey", "salt"]).where(F.col("doc_id") > F.col("least"))
     return (found.where(~F.col("over")).select("doc_id", "tkey", "pos", "len")
             .unionByName(late.select("doc_id", "tkey", "pos", F.lit(k).alias("len"))))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the way to their ranges: a text crosses the network once, at about a third of its size."""
+    pack = zstandard.ZstdCompressor(level=3).compress
     for b in slices(batches):
+        data, offsets = text_bytes(b.column("text"))
+        view = memoryview(data)
+        yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "tkey": b.column("tkey"), "text": pa.array(
+            [pack(view[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())})
+
+
+def _unsqueezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for b in slices(batches, limit=SLICE_BYTES // 4):
+        texts = pa.array([unpack(x) for x in b.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([texts if n == "text" else b.column(n) for n in b.schema.names], names=b.schema.names)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+    for b in _unsqueezed(batches):
         words = Words(b.column("text"))
         keep = np.ones(len(words), np.int32)
         spans = b.column("spans")
@@ -289,9 +373,19 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_pydict(cols)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, tkey: zero but for ids that repeat, where a hash of the text tells the rows apart."""
+    keys = documents(docs)
+    # A written table, so that it is broadcast where it is small by its size on disk, and joined where it is not.
+    again = materialize(keys.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
+    return keys.join(again, F.col("doc_id") == F.col("_again"), "left").select(
+        "doc_id", "text", F.when(F.col("_again").isNull(), 0).otherwise(F.hash("text")).alias("tkey"))
+
+
 def dedup_substrings(docs: DataFrame, k: int = WINDOW, with_text: bool = False, **limits) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text."""
-    keys = keyed(docs)
+    keys = _keyed(docs)
     spans = removed_ranges(keys, k, **limits).groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("pos", "len")).alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
-    return keys.join(spans, ["doc_id", "tkey"], "left").select("doc_id", "text", "spans").mapInArrow(lambda it: _cut(it, with_text), schema)
+    texts = keys.mapInArrow(_squeeze, "doc_id long, tkey int, text binary")
+    return texts.join(spans, ["doc_id", "tkey"], "left").select("doc_id", "text", "spans").mapInArrow(lambda it: _cut(it, with_text), schema)
