@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, group_by_value, held_out, shipped
+from .common import documents, group_by_value, held_out, materialize, shipped
 
 PROFILE = 400
 SAMPLE_DOCS = 2000
@@ -75,7 +75,8 @@ def learn(docs: DataFrame, profile: int = PROFILE, sample_docs: int = SAMPLE_DOC
     """Each language's most frequent n-grams in order, from documents with a language that are not held out."""
     shipped(docs.sparkSession)
     rows = documents(docs, F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    # A written table: Spark sees that it is small and sends it to the rows, not the rows to it.
+    sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "languages")
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("profile")), F.lit(1 << 30)) * F.col("size") < F.lit(sample_docs * (1 << 30))
     sample = rows.join(sizes, "lang").where(drawn).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
