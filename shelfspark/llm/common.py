@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship_package
+from ..session import materialize as write_and_read
+from ..session import ship_package
 
 #: Bytes of text handled at once inside a task.
 SLICE_BYTES = 4 << 20
@@ -57,7 +58,19 @@ def shipped(spark: SparkSession) -> None:
     ship_package(spark)
 
 
-__all__ = ["materialize"]
+#: Spark's own switch: shuffle files go when the execution that made them ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back; its shuffle files, not needed any more, are dropped."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return write_and_read(df, name)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
