@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import lit_date
 from ..functions.ordering import page
 from ..functions.text import full_name
+from ..session import materialize
 from ..sources.fixtures import Library
 
 
@@ -90,6 +91,7 @@ def count_per_key(df: DataFrame, key: str, out: str) -> DataFrame:
     A window would stream a hot key's whole group through one task; the
     aggregate combines map-side, and AQE broadcasts or splits the join back.
     """
+    df = materialize(df, "counted")  # both sides of the join read one result
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(out))
     return df.join(counts, key)
 

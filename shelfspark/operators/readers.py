@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, lit_ntz
 from ..functions.ordering import page
+from ..session import materialize
 from ..sources.fixtures import Library
 
 
@@ -84,6 +85,7 @@ def user_details(lib: Library) -> DataFrame:
             .join(rd.select(F.col("id").alias("reader_id"), F.col("user_id").alias("_uid")), "reader_id")
             .select(F.col("_uid").alias("id"), "book_title", "loan_date", "return_date",
                     F.col("status").alias("loan_status")))
+    hist = materialize(hist, "user-loans")  # read by the join and by the list of users with loans
     u = lib.users.join(prof, "id", "left")
     cols = ["book_title", "loan_date", "return_date", "loan_status"]
     # users ⟕ history, written as ⋈ plus the users without history: AQE can split a hot

@@ -8,15 +8,15 @@ its sink in the shared checkpoint folder (never collected to the driver).
 from __future__ import annotations
 
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.views import reader_summary
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 from ..sources.fixtures import Library
-from .runner import SnapshotTable, run_available, use_rocksdb
+from .runner import HistoryTable, SnapshotTable, run_available
 from .sources import circulation_events, file_stream, utc_event_time
 
 
@@ -59,100 +59,65 @@ def stream_book_genres(spark: SparkSession, sf_dir: str, max_files: int | None =
 
 
 # ------------------------------------------------------------------ M5
-M5_SCHEMA = "event_id long, book_id long, action string, accepted boolean, status_after string"
-
-
-class BookStatusMachine(StatefulProcessor):
+def book_status_rule(events: DataFrame) -> DataFrame:
     """Per book: a borrow is accepted only when the book is available, a return only when borrowed.
 
     After any event the state is fixed by that event's action alone (an
-    accepted or a refused borrow both leave the book borrowed), so the state
-    kept is the last action; the first event compares with 'return'
-    (available).
+    accepted or a refused borrow both leave the book borrowed), so an event is
+    accepted when the one before it had the other action; the first compares
+    with 'return' (available).
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last_action", "action string")
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        prev = self.last.get()[0] if self.last.exists() else "return"
-        before = pdf["action"].shift(1, fill_value=prev)
-        out = pd.DataFrame({
-            "event_id": pdf["event_id"].astype("int64"), "book_id": pdf["book_id"].astype("int64"),
-            "action": pdf["action"], "accepted": pdf["action"] != before,
-            "status_after": pdf["action"].map({"borrow": "borrowed", "return": "available"})})
-        self.last.update((str(pdf["action"].iloc[-1]),))
-        yield out
-
-    def close(self) -> None:
-        pass
+    before = F.lag("action").over(Window.partitionBy("book_id").orderBy("ts", "event_id"))
+    return events.select("bucket", "event_id", "book_id", "action", (F.col("action") != F.coalesce(before, F.lit("return"))).alias("accepted"),
+                         F.when(F.col("action") == "borrow", "borrowed").otherwise("available").alias("status_after"))
 
 
-def stream_book_status(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    """M5: accepted/refused borrow and return events per book, from the ordered event stream."""
-    use_rocksdb(spark)
+def stream_book_status(spark: SparkSession, sf_dir: str, max_files: int | None = None, base: str | None = None,
+                       checkpoint: str | None = None) -> DataFrame:
+    """M5: accepted/refused borrow and return events per book, in event order whatever the micro-batches."""
     ev = (circulation_events(file_stream(spark, sf_dir, "events", max_files))
           .where(F.col("action").isin("borrow", "return")).select("event_id", "ts", "book_id", "action"))
-    res = ev.groupBy("book_id").transformWithStateInPandas(
-        statefulProcessor=BookStatusMachine(), outputStructType=M5_SCHEMA, outputMode="Append", timeMode="None")
-    out = scratch_path(spark, "book_status")
-    run_available(res.writeStream.format("parquet").option("path", out).outputMode("append"), spark, "book_status")
-    return spark.read.parquet(out)
+    table = HistoryTable(spark, "book_status", "book_id", book_status_rule, base)
+    run_available(ev.writeStream.foreachBatch(table.apply), spark, "book_status", checkpoint)
+    return table.current("event_id long, book_id long, action string, accepted boolean, status_after string")
 
 
 # ------------------------------------------------------------------ M6
-M6_SCHEMA = "event_id long, user_id long, accepted boolean"
 PENDING_DAYS = 30
 
 
-class PendingRequestRule(StatefulProcessor):
+def _spaced(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Requests of one user between two decisions: each accepted one refuses those of the next 30 days."""
+    pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
+    ts, ok, i = pdf["ts"].to_numpy(), np.zeros(len(pdf), bool), 0
+    while i < len(ts):
+        ok[i] = True
+        i = max(i + 1, int(np.searchsorted(ts, ts[i] + np.timedelta64(PENDING_DAYS, "D"))))
+    return pd.DataFrame({"bucket": pdf["bucket"], "event_id": pdf["event_id"], "user_id": pdf["user_id"], "accepted": ok})
+
+
+def pending_request_rule(events: DataFrame) -> DataFrame:
     """Per user: a request is refused while an accepted, undecided request is younger than 30 days.
 
     Request events ('view') and decision events ('signup', an approval or
-    rejection) of one user are applied in (ts, event_id) order; a decision
-    clears the pending request.
+    rejection) of one user apply in (ts, event_id) order; a decision clears
+    the pending request, so the requests between two decisions are a group.
     """
+    decisions = F.sum((F.col("event_type") == "signup").cast("int")).over(
+        Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    groups = events.withColumn("_part", decisions).where(F.col("event_type") == "view").groupBy("user_id", "_part")
+    return groups.applyInPandas(_spaced, "bucket int, event_id long, user_id long, accepted boolean")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.since = handle.getValueState("pending_since", "ts timestamp_ntz")
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        since = self.since.get()[0] if self.since.exists() else None
-        window = pd.Timedelta(days=PENDING_DAYS)
-        ids, ok = [], []
-        for ts, eid, kind in zip(pdf["ts"], pdf["event_id"], pdf["event_type"]):
-            if kind == "signup":
-                since = None
-                continue
-            accept = since is None or not (pd.Timestamp(since) > ts - window)
-            if accept:
-                since = ts
-            ids.append(int(eid))
-            ok.append(accept)
-        if since is None:
-            self.since.clear()
-        else:
-            self.since.update((pd.Timestamp(since).to_pydatetime(),))
-        if ids:
-            yield pd.DataFrame({"event_id": ids, "user_id": [int(key[0])] * len(ids), "accepted": ok})
-
-    def close(self) -> None:
-        pass
-
-
-def stream_pending_requests(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    """M6: the 30-day pending-request rule over the request/decision event stream."""
-    use_rocksdb(spark)
+
+def stream_pending_requests(spark: SparkSession, sf_dir: str, max_files: int | None = None, base: str | None = None,
+                            checkpoint: str | None = None) -> DataFrame:
+    """M6: the 30-day pending-request rule over the request/decision events, in event order whatever the micro-batches."""
+    ship_package(spark)
     ev = (file_stream(spark, sf_dir, "events", max_files).where(F.col("event_type").isin("view", "signup"))
           .select("event_id", "ts", "user_id", "event_type"))
-    res = ev.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=PendingRequestRule(), outputStructType=M6_SCHEMA, outputMode="Append", timeMode="None")
-    out = scratch_path(spark, "pending_requests")
-    run_available(res.writeStream.format("parquet").option("path", out).outputMode("append"), spark,
-                  "pending_requests")
-    return spark.read.parquet(out)
+    table = HistoryTable(spark, "pending_requests", "user_id", pending_request_rule, base)
+    run_available(ev.writeStream.foreachBatch(table.apply), spark, "pending_requests", checkpoint)
+    return table.current("event_id long, user_id long, accepted boolean")
 
 
 # ------------------------------------------------------------------ M7

@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.batch import merge_rows
-from ..session import scratch_path, ship_package
-
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """transformWithState needs the RocksDB state store; set it when the session has another one.
+from ..session import scratch_path
 
-    Also ships the package to the Python workers that run the stateful processors.
-    """
-    ship_package(spark)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    if spark.conf.get(key, None) != STATE_PROVIDER:
-        spark.conf.set(key, STATE_PROVIDER)
-
-
-def run_available(writer: DataStreamWriter, spark: SparkSession, name: str) -> None:
-    """Start with ``availableNow``, wait for the end, surface failures."""
-    q = writer.option("checkpointLocation", scratch_path(spark, f"{name}-ckpt")).trigger(availableNow=True).start()
+def run_available(writer: DataStreamWriter, spark: SparkSession, name: str, checkpoint: str | None = None) -> None:
+    """Start with ``availableNow``, wait for the end, surface failures. A given ``checkpoint`` is resumed."""
+    q = writer.option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-ckpt")).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(f"stream {name} failed: {q.exception()}")
@@ -54,7 +43,6 @@ class SnapshotTable:
             self._write(initial, self.INIT_EPOCH)
 
     def _read_log(self) -> dict[int, str]:
-        from pyspark.errors import AnalysisException
         try:
             rows = self.spark.read.parquet(f"{self.base}/_versions").collect()  # one row per epoch
         except AnalysisException:
@@ -84,3 +72,37 @@ class SnapshotTable:
             cur = self.spark.read.parquet(prev)
             new = merge_rows(cur.drop("updated_at"), updates, self.key, F.lit(None)).drop("updated_at")
         self._write(new, epoch)
+
+
+class HistoryTable:
+    """Results that follow from the order of a key's events, exact whatever the micro-batches and however late events come.
+
+    An epoch's events are stored by bucket of their key. ``rule`` then decides
+    the buckets that got events anew from all their stored events, and only
+    these buckets are written. A replayed epoch overwrites its own folders, so
+    a job restarted with the same ``base`` and checkpoint goes on from storage.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, key: str, rule: Callable[[DataFrame], DataFrame], base: str | None = None,
+                 buckets: int = 64):
+        self.spark, self.key, self.rule, self.buckets = spark, key, rule, buckets
+        self.base = base or scratch_path(spark, name)
+
+    def apply(self, batch: DataFrame, epoch: int) -> None:
+        if batch.isEmpty():
+            return
+        dealt = batch.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.base}/events/epoch={epoch}")
+        touched = [r.bucket for r in self.spark.read.parquet(f"{self.base}/events/epoch={epoch}").select("bucket").distinct().collect()]
+        stored = self.spark.read.parquet(f"{self.base}/events").where(F.col("bucket").isin(touched) & (F.col("epoch") <= epoch)).drop("epoch")
+        self.rule(stored).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.base}/result/epoch={epoch}")
+
+    def current(self, schema: str) -> DataFrame:
+        """The newest result of each bucket."""
+        names = [x.split()[0] for x in schema.split(", ")]
+        try:
+            every = self.spark.read.parquet(f"{self.base}/result")
+        except AnalysisException:
+            return self.spark.createDataFrame([], schema)
+        newest = every.groupBy("bucket").agg(F.max("epoch").alias("epoch"))
+        return every.join(newest, ["bucket", "epoch"], "left_semi").select(*names)

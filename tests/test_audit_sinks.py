@@ -63,3 +63,33 @@ def test_insert_if_absent_and_resolve(spark):
     facts = spark.createDataFrame([("a",), ("zz",)], "name string")
     got = {r.name: r.pid for r in resolve_keys(facts, t, {"name": "name"}, "id", "pid").collect()}
     assert got == {"a": 1, "zz": None}
+
+
+def test_stored_tables_as_library(spark, lib, tmp_path):
+    import datetime as dt
+
+    from shelfspark.operators import commands_circulation as WL
+    from shelfspark.operators import loans as L
+    from shelfspark.operators import reports as P
+    from shelfspark.operators import views as M
+    from shelfspark.sources.fixtures import CIRCULATION_TABLES, Library
+    from shelfspark.sources.loads import load_tables
+    for t in CIRCULATION_TABLES:
+        lib.table(t).write.parquet(f"{tmp_path}/{t}")
+    stored = Library(spark, tables=load_tables(spark, str(tmp_path)))
+    day = dt.date(1998, 6, 15)
+    assert P.report_popular_books(stored).count() == P.report_popular_books(lib).count() > 0
+    assert L.reader_loans(stored, day).count() == L.reader_loans(lib, day).count() > 0
+    assert M.reader_summary(stored).count() == M.reader_summary(lib).count() > 0
+    ok = [WL.create_loans(x, lib.loan_commands, day).outcomes.where("ok").count() for x in (stored, lib)]
+    assert ok[0] == ok[1] > 0
+
+
+def test_period_report_run_twice_leaves_one_copy(spark, tmp_path):
+    import datetime as dt
+
+    from shelfspark.sources.sinks import write_period_report
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    for days in (1, 1, 2):
+        write_period_report(df, "x", dt.date(2024, 1, days), dt.date(2024, 1, 9), f"{tmp_path}/r")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/r").groupBy("period_start").count().collect()[0]["count"] == 2

@@ -57,3 +57,37 @@ def test_snapshot_table_replay_and_restart(spark):
     assert {r.k: r.v for r in again.current().collect()} == {1: 11, 2: 21, 3: 30}
     again.upsert(spark.createDataFrame([(4, 40)], "k long, v long"), 2)
     assert {r.k: r.v for r in again.current().collect()} == {1: 11, 2: 21, 3: 30, 4: 40}
+
+
+def _three_events(spark):
+    """One book and one user; the second file holds the earliest event."""
+    d = tempfile.mkdtemp(prefix="order-")
+    at = dt.datetime(2024, 3, 10)
+    row = lambda i, hours, kind: (i, at + dt.timedelta(hours=hours), 1, kind, 1.0, "{}")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    _write(spark, d, "events.parquet", spark.createDataFrame([row(120, 5, "purchase"), row(200, 9, "view")], schema), 1_900_000_000)
+    _write(spark, d, "events_b.parquet", spark.createDataFrame([row(80, 1, "purchase"), row(90, 2, "view"), row(95, 3, "signup")], schema), 1_950_000_000)
+    return d
+
+
+def test_book_status_does_not_depend_on_the_batch_size(spark):
+    d = _three_events(spark)
+    runs = [{r.event_id: r.accepted for r in S.stream_book_status(spark, d, max_files=n).collect()} for n in (None, 1)]
+    assert runs[0] == runs[1] == {80: True, 90: True, 120: True, 200: True}
+
+
+def test_pending_requests_do_not_depend_on_the_batch_size(spark):
+    d = _three_events(spark)
+    runs = [{r.event_id: r.accepted for r in S.stream_pending_requests(spark, d, max_files=n).collect()} for n in (None, 1)]
+    assert runs[0] == runs[1] == {90: True, 200: True}
+
+
+def test_book_status_resumes_from_storage(spark):
+    d = _three_events(spark)
+    base, checkpoint = tempfile.mkdtemp(prefix="base-"), tempfile.mkdtemp(prefix="ckpt-")
+    S.stream_book_status(spark, d, base=base, checkpoint=checkpoint)
+    more = spark.createDataFrame([(300, dt.datetime(2024, 3, 11), 1, "view", 1.0, "{}")],
+                                 "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    _write(spark, d, "events_c.parquet", more, 2_000_000_000)
+    out = {r.event_id: r.accepted for r in S.stream_book_status(spark, d, base=base, checkpoint=checkpoint).collect()}
+    assert out == {80: True, 90: True, 120: True, 200: True, 300: False}
