@@ -37,12 +37,49 @@ def _s3(lib):
     return resolve_keys(facts, lib.publishers, {"publisher": "name"}, "id", "publisher_id")
 
 
-@register("s7_export_snapshot")
+#: Columns of the fixture tables that are timestamps; the others have one text form in either engine.
+_STAMPS = {"loan_date", "processed_at", "created_at"}
+_DATES = {("users", "created_at")}
+
+
+def _row_text(table: str) -> str:
+    form = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if c in _STAMPS and (table, c) not in _DATES else f"CAST({c} AS VARCHAR)"
+    return " || '|' || ".join(f"COALESCE({form(c)}, '\\N')" for c in FIXTURE_COLUMNS[table])
+
+
+@register("s7_export_snapshot", "\nUNION ALL\n".join(
+    f"""SELECT '{t}' AS "table", count(*) AS "rows", CAST(CAST(COALESCE(sum(CAST('0x' || substr(md5({_row_text(t)}), 1, 8) AS BIGINT)), 0)
+  AS HUGEINT) AS VARCHAR) AS content_hash FROM {t}""" for t in CIRCULATION_TABLES))
 def _s7(lib):
     tables = {t: lib.table(t) for t in CIRCULATION_TABLES}
     return export_snapshot(lib.spark, tables, scratch_path(lib.spark, "snapshot"))
 
 
+@register("s8_audit_violations", f"""
+WITH bad AS (SELECT id, CASE WHEN id % 50 <> 0 THEN title END AS title, CASE WHEN id % 70 = 0 THEN author_id + 1000000 ELSE author_id END AS author_id,
+               CASE WHEN id % 40 = 1 THEN 'same' ELSE isbn END AS isbn, publisher_id,
+               CASE WHEN id % 60 = 0 THEN 999 WHEN id % 60 = 1 THEN {AS_OF_LOANS.year + 1} ELSE publication_year END AS year, repeat(genre, 20) AS genre
+             FROM books)
+SELECT 'books' AS table_name, 'not_null' AS rule, 'title' AS column_name, CAST(id AS VARCHAR) AS row_key, CAST(NULL AS VARCHAR) AS detail
+FROM bad WHERE title IS NULL
+UNION ALL SELECT 'books', 'unique', 'isbn', 'same', CAST(count(*) AS VARCHAR) FROM bad WHERE isbn = 'same' HAVING count(*) > 1
+UNION ALL SELECT 'books', 'varchar_length', 'genre', CAST(id AS VARCHAR), CAST(length(genre) AS VARCHAR) FROM bad WHERE length(genre) > 100
+UNION ALL SELECT 'books', 'check_publication_year', 'publication_year', CAST(id AS VARCHAR), CAST(year AS VARCHAR) FROM bad
+  WHERE year NOT BETWEEN 1000 AND {AS_OF_LOANS.year}
+UNION ALL SELECT 'books', 'foreign_key', 'author_id', CAST(id AS VARCHAR), CAST(author_id AS VARCHAR) FROM bad
+  WHERE author_id NOT IN (SELECT id FROM authors)
+""")
+def _s8v(lib):
+    i = F.col("id")
+    bad = lib.books.withColumns({
+        "title": F.when(i % 50 != 0, F.col("title")),
+        "author_id": F.when(i % 70 == 0, F.col("author_id") + 1_000_000).otherwise(F.col("author_id")),
+        "isbn": F.when(i % 40 == 1, "same").otherwise(F.col("isbn")),
+        "publication_year": F.when(i % 60 == 0, 999).when(i % 60 == 1, AS_OF_LOANS.year + 1).otherwise(F.col("publication_year")),
+        "genre": F.repeat("genre", F.lit(20))})
+    return audit_constraints({"books": bad, "authors": lib.authors, "publishers": lib.publishers}, AS_OF_LOANS)
+
+
 @register("s8_audit_constraints", audit_sql(FIXTURE_COLUMNS, AS_OF_LOANS))
 def _s8(lib):
     return audit_constraints({t: lib.table(t) for t in CIRCULATION_TABLES}, AS_OF_LOANS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,11 +68,23 @@ def write_period_report(df: DataFrame, report_type: str, start: dt.date, end: dt
         body.limit(0).coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
 
 
+def _text(field: T.StructField) -> Column:
+    """A column's value in one fixed text form, NULL as ``\\N``."""
+    stamp = isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType))
+    c = F.date_format(field.name, REPORT_TS) if stamp else F.col(field.name).cast("string")
+    return F.coalesce(c, F.lit("\\N"))
+
+
 def table_fingerprint(df: DataFrame, name: str) -> DataFrame:
-    """One row: table name, row count and an order-insensitive content hash."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
+    """One row: table name, row count and an order-insensitive content hash.
+
+    The hash is the sum, over the rows, of the first 32 bits of the MD5 of the
+    row's values joined by ``|``, so any engine can recompute it.
+    """
+    row = F.concat_ws("|", *[_text(f) for f in df.schema.fields])
+    h = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("decimal(20,0)")
     return df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"),
-                  F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string").alias("content_hash"))
+                  F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("decimal(38,0)").cast("string").alias("content_hash"))
 
 
 def export_snapshot(spark: SparkSession, tables: dict[str, DataFrame], path: str,
