@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import materialize, shipped
 
 K = 20
-PIVOTS = 256
-NEAREST = 24
-CANDIDATES = 1200
+PIVOTS = 512
+NEAREST = 48
+CANDIDATES = 2000
 BLOCK_VECTORS = 8192
 BLOCK_QUERIES = 512
 
@@ -81,13 +81,12 @@ class InvertedFiles:
 
     def footrule(self, perm: np.ndarray) -> np.ndarray:
         """Distance of all vectors of the block to one permutation, up to a constant: what shared pivots save."""
-        saved = np.zeros(self.n)
-        for place, p in enumerate(perm.tolist()):
-            s, e = self.begin[p], self.begin[p + 1]
-            theirs = self.place[s:e]
-            # both miss: (length - place) + (length - theirs); both have: |place - theirs|
-            saved[self.vector[s:e]] += 2 * self.length - place - theirs - np.abs(place - theirs)
-        return -saved
+        spans = [(self.begin[p], self.begin[p + 1]) for p in perm.tolist()]
+        vector = np.concatenate([self.vector[s:e] for s, e in spans])
+        theirs = np.concatenate([self.place[s:e] for s, e in spans])
+        ours = np.repeat(np.arange(len(spans)), [e - s for s, e in spans])
+        # Missed on both sides a pivot would cost (length - ours) + (length - theirs); shared it costs |ours - theirs|.
+        return -np.bincount(vector, self.length - np.maximum(ours, theirs), self.n)
 
 
 def _search(key: tuple, vectors: pd.DataFrame, queries: pd.DataFrame, n_pivots: int, k: int, candidates: int) -> pd.DataFrame:
