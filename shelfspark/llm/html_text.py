@@ -51,6 +51,8 @@ OUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsen
                       "breadcrumb breadcrumbs pagination pager sidebar aside complementary footer contentinfo header masthead topbar toolbar comment "
                       "comments commentlist disqus respond reply replies discussion social share sharing sharebar related recommended recommendations "
                       "widget widgets login signup search searchbox skip hidden".split())
+NOT_THE_PART = frozenset("has no not with without is js".split())
+HEADED = frozenset("article entry post story content section".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*(?:>|\Z)"
                     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|$)", re.I)
@@ -80,8 +82,10 @@ def _left_out(name: str, attrs: str, open_names: list[str]) -> bool:
             return True
         for token in value.split():
             words = _WORD.findall(token)
-            # "header" inside a name such as "article-header" heads the article; elsewhere the word stands for the part
-            if words and (set(words) & OUT_WORDS) and not (words[-1] in ("header", "hidden") and len(words) > 1):
+            found = set(words) & OUT_WORDS
+            # "has-sidebar" tells of the page, "overflow-hidden" of the style, "article-header" of the article's own head
+            if found and words[0] not in NOT_THE_PART and not (found == {"hidden"} and len(words) > 1) \
+                    and not (found == {"header"} and HEADED & set(words)):
                 return True
     return False
 

@@ -85,6 +85,8 @@ PAGES = [
     ("<article><p>a<!-- no --><![CDATA[b]]></p><style>p{}</style><script>1<2</article></script><p>c", "ab\nc"),
     ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>", "deep"),
     ("<nav>only menus</nav>", ""),
+    ("<body><div class='site-header'>Site name and slogan</div><article class='has-sidebar overflow-hidden'><div class='entry-header'><h1>T</h1></div>"
+     "<p>Body text.</p><div class='comment-list'><p>me too</p></div><div id=sidebar>x</div></article></body>", "T\nBody text."),
 ]
 
 
