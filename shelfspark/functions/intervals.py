@@ -1,11 +1,9 @@
-"""Interval joins on an equi key plus a date range, bucketed by week.
+"""Interval tests on an equi key plus a date range, without (request, interval) pairs.
 
 A plain equi join on ``book_id`` with a range residual compares every pair
-within a book; one hot book would then run through one task. Here each
-interval is replicated into the week buckets it covers and the join key is
-(key, week). A point falls in one bucket; two overlapping intervals are
-matched only in the bucket of the later of their two starts, so each
-overlapping pair comes out once, and a hot key is spread over its weeks.
+within a book; one hot book would then run through one task. Here intervals are
+aggregated on (key, day), (key, week) or (key, chunk of days) first, so a key
+costs its calendar days, not its rows, and requests look the aggregates up.
 """
 
 from __future__ import annotations
@@ -21,37 +19,34 @@ def week_bucket(d: Column | str) -> Column:
     return F.floor(F.datediff(d, F.lit(EPOCH).cast("date")) / BUCKET_DAYS).cast("long")
 
 
-def explode_weeks(df: DataFrame, start: str, end: str, out: str = "_wk") -> DataFrame:
-    """One row per week bucket between ``start`` and ``end`` (either order)."""
-    lo = F.least(week_bucket(start), week_bucket(end))
-    hi = F.greatest(week_bucket(start), week_bucket(end))
-    return df.withColumn(out, F.explode(F.sequence(lo, hi)))
+#: Days of one chunk of the end-date index (a power of two).
+CHUNK_DAYS = 64
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key_l: str, key_r: str,
-                 ls: str, le: str, rs: str, re: str, how: str = "inner") -> DataFrame:
-    """Pairs with equal keys and ``r.start <= l.end AND r.end >= l.start``.
+def earliest_ending_from(requests: DataFrame, intervals: DataFrame, key_q: str, day: str, key_i: str, start: str, end: str,
+                         order: list[str], out: str) -> DataFrame:
+    """Add ``out``: of the intervals of a request's key that end on ``day`` or later, the one that starts first.
 
-    Column names of the two sides must be distinct. Rows of ``left`` are kept
-    once per matching right row (``how='inner'``) or once with NULLs (``'left'``
-    is not supported here: aggregate the inner result and join back).
+    ``out`` is a struct of ``start`` and the ``order`` columns (``order`` breaks ties), NULL if there is none. A closed
+    interval overlaps [day, to] exactly when it ends on ``day`` or later and starts by ``to``, so the first starting one
+    tells both whether any overlaps and which is the earliest. No (request, interval) pair is formed: intervals are
+    aggregated per (key, end day), then per (key, chunk of days), then per key; a request reads its own chunk's days and
+    the list of later chunks. Both are bounded by the calendar, however many intervals a key has.
     """
-    lx = explode_weeks(left, ls, le, "_wk")
-    rx = explode_weeks(right, rs, re, "_wk_r")
-    cond = ((F.col(key_l) == F.col(key_r)) & (F.col("_wk") == F.col("_wk_r"))
-            & (F.col(rs) <= F.col(le)) & (F.col(re) >= F.col(ls))
-            & (F.col("_wk") == week_bucket(F.greatest(F.col(ls), F.col(rs)))))
-    return lx.join(rx, cond, how).drop("_wk", "_wk_r")
-
-
-def point_in_interval_join(points: DataFrame, intervals: DataFrame, key_p: str, key_i: str,
-                           p: str, s: str, e: str) -> DataFrame:
-    """Pairs with equal keys and ``s <= p <= e``; intervals are replicated over their weeks."""
-    px = points.withColumn("_wk", week_bucket(p))
-    ix = explode_weeks(intervals, s, e, "_wk_i")
-    cond = ((F.col(key_p) == F.col(key_i)) & (F.col("_wk") == F.col("_wk_i"))
-            & (F.col(s) <= F.col(p)) & (F.col(e) >= F.col(p)))
-    return px.join(ix, cond).drop("_wk", "_wk_i")
+    ends = (intervals.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+            .groupBy(F.col(key_i).alias("_ik"), F.unix_date(end).alias("_end"))
+            .agg(F.min(F.struct(start, *order)).alias("_best")))
+    chunk = F.floor(F.col("_end") / CHUNK_DAYS)
+    chunks = ends.groupBy("_ik", chunk.alias("_chunk")).agg(F.collect_list(F.struct("_end", "_best")).alias("_days"),
+                                                          F.min("_best").alias("_first"))
+    per_key = chunks.groupBy("_ik").agg(F.collect_list(F.struct("_chunk", "_first")).alias("_later"))
+    of_chunk = chunks.select(F.col("_ik").alias("_ck"), F.col("_chunk").alias("_cc"), "_days")
+    q = requests.withColumn("_day", F.unix_date(day)).withColumn("_qc", F.floor(F.col("_day") / CHUNK_DAYS))
+    j = q.join(per_key, F.col(key_q) == F.col("_ik"), "left") \
+        .join(of_chunk, (F.col(key_q) == F.col("_ck")) & (F.col("_qc") == F.col("_cc")), "left")
+    own = F.array_min(F.transform(F.filter("_days", lambda x: x["_end"] >= F.col("_day")), lambda x: x["_best"]))
+    later = F.array_min(F.transform(F.filter("_later", lambda x: x["_chunk"] > F.col("_qc")), lambda x: x["_first"]))
+    return j.withColumn(out, F.least(own, later)).drop("_ik", "_later", "_ck", "_cc", "_days", "_day", "_qc")
 
 
 def _week_start(wk: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.intervals import covered_day_masks, overlap_join, point_covered
+from ..functions.intervals import covered_day_masks, earliest_ending_from, point_covered
 from ..functions.ordering import page
 from ..functions.text import full_name
 from ..sources.fixtures import Library
@@ -74,20 +74,13 @@ def check_availability(lib: Library, requests: DataFrame, join_readers: bool = T
         res = res.join(rd, "_rreader")
     else:
         res = res.withColumn("_holder", F.lit(None).cast("string"))
-    req = requests.select("req_id", F.col("book_id").alias("_qbook"), F.col("start_date").alias("_qs"),
-                          F.col("end_date").alias("_qe"))
-    pairs = overlap_join(req, res, "_qbook", "_rbook", "_qs", "_qe", "_rs", "_re")
-    conflicts = pairs.groupBy("req_id").agg(
-        F.min_by("_holder", F.struct("_rs", "_res_id")).alias("current_holder"),
-        F.count(F.lit(1)).alias("_n_conflicts"))
+    found = earliest_ending_from(requests, res, "book_id", "start_date", "_rbook", "_rs", "_re", ["_res_id", "_holder"], "_earliest")
+    conflict = F.coalesce(F.col("_earliest._rs") <= F.col("end_date"), F.lit(False))
     books = lib.books.select(F.col("id").alias("_bid"), F.col("status").alias("_bstatus"))
-    out = (requests.join(books, requests.book_id == books._bid, "left")
-           .join(conflicts, "req_id", "left"))
-    return out.select(*requests.columns,
-                      F.col("_bid").isNotNull().alias("book_exists"),
-                      F.coalesce("_bstatus", F.lit("not_found")).alias("book_status"),
-                      F.col("_n_conflicts").isNotNull().alias("has_conflict"),
-                      "current_holder")
+    return found.join(books, F.col("book_id") == F.col("_bid"), "left").select(
+        *requests.columns, F.col("_bid").isNotNull().alias("book_exists"),
+        F.coalesce("_bstatus", F.lit("not_found")).alias("book_status"),
+        conflict.alias("has_conflict"), F.when(conflict, F.col("_earliest._holder")).alias("current_holder"))
 
 
 def conflict_dates(lib: Library, requests: DataFrame) -> DataFrame:

@@ -77,32 +77,33 @@ def _w3(lib):
     return WC.add_books(lib, lib.book_commands, AS_OF_LOANS).outcomes
 
 
-@register("w4_update_books", f"""
-WITH c AS (
-  SELECT bc.*, CASE WHEN NOT EXISTS (SELECT 1 FROM books b WHERE b.id = bc.book_id) THEN 'Book not found'
-    WHEN bc.publication_year < 1000 OR bc.publication_year > {Y} THEN 'Invalid publication year'
-    WHEN EXISTS (SELECT 1 FROM books b WHERE b.isbn = bc.isbn AND b.id <> bc.book_id) THEN 'Duplicate isbn' END AS pre
-  FROM book_commands bc),
-o AS (SELECT isbn, first(book_id ORDER BY submitted_at, cmd_id) AS owner FROM c
-      WHERE pre IS NULL AND isbn IS NOT NULL GROUP BY isbn),
-r AS (SELECT c.cmd_id, COALESCE(c.pre, CASE WHEN o.owner <> c.book_id THEN 'Duplicate isbn' END) AS reason
-      FROM c LEFT JOIN o ON o.isbn = c.isbn)
-SELECT cmd_id, reason IS NULL AS ok, reason FROM r
-""")
+# W4 one command after the other: ``held`` maps the books updated so far to their isbn.
+_W4_FOLD = f"""
+WITH RECURSIVE
+c AS (SELECT bc.*, ROW_NUMBER() OVER (ORDER BY submitted_at, cmd_id) AS k,
+        CASE WHEN book_id NOT IN (SELECT id FROM books) THEN 'Book not found'
+             WHEN publication_year NOT BETWEEN 1000 AND {Y} THEN 'Invalid publication year' END AS pre,
+        (SELECT list(b.id) FROM books b WHERE b.isbn = bc.isbn AND b.id <> bc.book_id) AS stored
+      FROM book_commands bc),
+fold(k, held, reason) AS (
+  SELECT CAST(0 AS BIGINT), CAST(MAP {{}} AS MAP(BIGINT, VARCHAR)), CAST(NULL AS VARCHAR)
+  UNION ALL
+  SELECT nk, CASE WHEN why IS NULL THEN map_concat(held, MAP {{target: claim}}) ELSE held END, why
+  FROM (SELECT c.k AS nk, held, CAST(c.book_id AS BIGINT) AS target, CAST(c.isbn AS VARCHAR) AS claim,
+          COALESCE(c.pre, CASE WHEN len(list_filter(c.stored, lambda t: NOT map_contains(held, CAST(t AS BIGINT)))) > 0
+            OR len(list_filter(map_entries(held), lambda e: e.value = c.isbn AND e.key <> c.book_id)) > 0
+            THEN 'Duplicate isbn' END) AS why
+        FROM fold JOIN c ON c.k = fold.k + 1) step),
+d AS (SELECT c.*, fold.reason FROM c JOIN fold ON fold.k = c.k)"""
+
+
+@register("w4_update_books", f"{_W4_FOLD}\nSELECT cmd_id, reason IS NULL AS ok, reason FROM d")
 def _w4(lib):
     return WC.update_books(lib, lib.book_commands, AS_OF_LOANS).outcomes
 
 
-@register("w4_updated_books", f"""
-WITH c AS (
-  SELECT bc.*, CASE WHEN NOT EXISTS (SELECT 1 FROM books b WHERE b.id = bc.book_id) THEN 'Book not found'
-    WHEN bc.publication_year < 1000 OR bc.publication_year > {Y} THEN 'Invalid publication year'
-    WHEN EXISTS (SELECT 1 FROM books b WHERE b.isbn = bc.isbn AND b.id <> bc.book_id) THEN 'Duplicate isbn' END AS pre
-  FROM book_commands bc),
-o AS (SELECT isbn, first(book_id ORDER BY submitted_at, cmd_id) AS owner FROM c
-      WHERE pre IS NULL AND isbn IS NOT NULL GROUP BY isbn),
-acc AS (SELECT c.* FROM c LEFT JOIN o ON o.isbn = c.isbn
-        WHERE COALESCE(c.pre, CASE WHEN o.owner <> c.book_id THEN 'Duplicate isbn' END) IS NULL),
+@register("w4_updated_books", f"""{_W4_FOLD},
+acc AS (SELECT * FROM d WHERE reason IS NULL),
 last AS (SELECT * FROM (SELECT acc.*, ROW_NUMBER() OVER (PARTITION BY book_id ORDER BY submitted_at DESC, cmd_id DESC) AS rn
                         FROM acc) x WHERE rn = 1),
 an AS (SELECT DISTINCT author_first_name AS first_name, author_last_name AS last_name FROM acc),

@@ -1,10 +1,12 @@
 """Set-based command jobs against one-by-one Python models on the small fixture."""
 
 import datetime as dt
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from shelfspark.operators import commands_catalog as WC
 from shelfspark.operators import commands_circulation as WL
 from shelfspark.operators import commands_users as WU
 from shelfspark.operators.batch import merge_rows
@@ -187,3 +189,33 @@ def test_w11_replay_creates_no_loans(lib):
                         reservations=t["reservations"].drop("updated_at"))
     again = WL.create_loans(lib2, lib.loan_commands, as_of)
     assert again.outcomes.where("ok").count() == 0
+
+
+def test_w4_equals_sequential(spark, lib):
+    rnd = random.Random(5)
+    books = [(i, f"b{i}", 1, f"i{i}" if i % 4 else None, 1, 2000, "g", "", "available") for i in range(12)]
+    t0 = dt.datetime(2024, 1, 1)
+    cmds = [(k, t0, rnd.randrange(14), f"i{rnd.randrange(16)}" if rnd.random() > 0.1 else None, 999 if k % 13 == 0 else 2001)
+            for k in range(90)]
+    held = {b[0]: b[3] for b in books}
+    exp = {}
+    for k, _, book, isbn, year in cmds:
+        if book not in held:
+            exp[k] = "Book not found"
+        elif year < 1000:
+            exp[k] = "Invalid publication year"
+        elif isbn is not None and any(i == isbn and b != book for b, i in held.items()):
+            exp[k] = "Duplicate isbn"
+        else:
+            exp[k], held[book] = None, isbn
+    assert len(set(exp.values())) == 4
+    small = lib.override(
+        books=spark.createDataFrame(books, "id long, title string, author_id long, isbn string, publisher_id long, publication_year int, "
+                                           "genre string, description string, status string"),
+        authors=spark.createDataFrame([(1, "A", "B")], "id long, first_name string, last_name string"))
+    c = spark.createDataFrame([(k, at, b, i, y, f"t{k}", "A", "B", "g") for k, at, b, i, y in cmds],
+                              "cmd_id long, submitted_at timestamp_ntz, book_id long, isbn string, publication_year int, title string, "
+                              "author_first_name string, author_last_name string, genre string")
+    res = WC.update_books(small, c, dt.date(2024, 6, 1))
+    assert {r.cmd_id: r.reason for r in res.outcomes.collect()} == exp
+    assert {r.id: r.isbn for r in res.tables["books"].collect()} == held

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from shelfspark.functions.dates import period_bounds
-from shelfspark.functions.intervals import overlap_join, point_in_interval_join
+from shelfspark.functions.intervals import earliest_ending_from
 from shelfspark.functions.ordering import global_rank, page
 
 
@@ -60,31 +60,23 @@ def test_page_total_and_rows(spark):
     assert page(df, [F.col("id")], 4, 9).count() == 0
 
 
-def _brute_overlap(req, res):
-    out = set()
-    for q in req:
-        for r in res:
-            if q[1] == r[1] and r[2] <= q[3] and r[3] >= q[2]:
-                out.add((q[0], r[0]))
-    return out
-
-
-def test_overlap_join_equals_brute_force(spark):
+def test_earliest_ending_from_equals_brute_force(spark):
     rnd = random.Random(3)
-    base = dt.date(2024, 1, 1)
-    def iv(i):
-        s = base + dt.timedelta(days=rnd.randint(0, 90))
-        return (i, rnd.randint(1, 4), s, s + dt.timedelta(days=rnd.randint(-2, 30)))
-    req = [iv(i) for i in range(120)]
-    res = [iv(1000 + i) for i in range(120)]
+    base = dt.date(1969, 11, 1)  # days on both sides of the epoch
+    def iv(i, n):
+        s = base + dt.timedelta(days=rnd.randint(0, 400))
+        return (i, rnd.randint(1, n), s, s + dt.timedelta(days=rnd.randint(-2, 30)))
+    req = [iv(i, 5) for i in range(200)] + [(900, 1, None, base)]
+    res = [iv(1000 + i, 4) for i in range(150)] + [(2000, 1, None, base), (2001, 1, base, None)]
     a = spark.createDataFrame(req, "qid long, qk long, qs date, qe date")
     b = spark.createDataFrame(res, "rid long, rk long, rs date, re date")
-    got = {(r.qid, r.rid) for r in overlap_join(a, b, "qk", "rk", "qs", "qe", "rs", "re").collect()}
-    assert got == _brute_overlap(req, res)
-    pts = spark.createDataFrame([(q[0], q[1], q[2]) for q in req], "pid long, pk long, p date")
-    got_p = {(r.pid, r.rid) for r in point_in_interval_join(pts, b, "pk", "rk", "p", "rs", "re").collect()}
-    exp_p = {(q[0], r[0]) for q in req for r in res if q[1] == r[1] and r[2] <= q[2] <= r[3]}
-    assert got_p == exp_p
+    got = {r.qid: r.e and (r.e.rs, r.e.rid) for r in earliest_ending_from(a, b, "qk", "qs", "rk", "rs", "re", ["rid"], "e").collect()}
+    whole = [r for r in res if r[2] and r[3]]
+    exp = {q[0]: min(((r[2], r[0]) for r in whole if r[1] == q[1] and q[2] and r[3] >= q[2]), default=None) for q in req}
+    assert got == exp
+    for q in req:  # and it tells which requests overlap an interval
+        overlaps = any(q[2] and r[1] == q[1] and r[2] <= q[3] and r[3] >= q[2] for r in whole)
+        assert overlaps == bool(got[q[0]] and got[q[0]][0] <= q[3])
 
 
 def test_week_masks_equal_brute_force(spark):
