@@ -8,10 +8,11 @@ straight to the free slots), which indexes four arrays without gaps: a 64-bit
 fingerprint, the document count (saturating) and the largest doc_id. Documents
 probe these arrays in place; no line of a document is joined with a table.
 
-The arrays of as many shards as fit ``block_bytes`` are sent to the tasks at a
-time; beyond that the documents' line hashes, written once, are probed by one
-block of shards after the other. Size is measured before anything is sent, and
-no line is left out.
+If all arrays fit ``block_bytes`` (their size is measured first) they are sent to
+the tasks, and documents probe them in place. Beyond that the shards are cut into
+blocks of that size, and each line hash travels once to its block's arrays; a
+block with many lines is dealt out to several parts. The work follows the number
+of lines, and no line is left out.
 
 Defined cases: null and empty texts are one empty line; a row whose doc_id is
 null keeps all lines and does not count as a document; rows that repeat a doc_id
@@ -39,8 +40,11 @@ MIN_DOCS = 5
 #: Lines in fewer documents than this are not indexed; they can lose nothing.
 INDEX_MIN_DOCS = 2
 SHARD_KEYS = 4096
-#: Bytes of arrays that are sent to the tasks at once.
+#: Bytes of arrays that a task holds: all of them, if they are no more, else one block of shards.
 BLOCK_BYTES = 64 << 20
+#: Lines that probe one copy of a block's arrays.
+PART_LINES = 4_000_000
+_ARRAYS = ["move", "prints", "counts", "lasts", "aside"]
 _COUNT_MAX = np.iinfo(np.uint32).max
 _BUCKET_KEYS = 4
 
@@ -249,34 +253,60 @@ _INDEX: dict = {}
 
 
 def _local(sent) -> LineIndex:
-    """The block of shards that was sent; built once per Python worker."""
+    """The shards that were sent; built once per Python worker."""
     if sent.value[0] not in _INDEX:
         _INDEX.clear()
         _INDEX[sent.value[0]] = LineIndex(sent.value[1], sent.value[2])
     return _INDEX[sent.value[0]]
 
 
-def _line_table(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
+def _line_table(batches: Iterator[pa.RecordBatch], min_chars: int, n_shards: int, per_block: int) -> Iterator[pa.RecordBatch]:
+    """One row for each row and block of shards: its line numbers and hashes there."""
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             b = whole.slice(at, 500)
             found = [line_keys(t, min_chars)[1:] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "tkey": b.column("tkey"),
-                                              "lines": pa.array([x[0] for x in found], pa.list_(pa.int32())),
-                                              "hashes": pa.array([b"".join(x[1]) for x in found], pa.binary())})
-
-
-def _block_drops(batches: Iterator[pa.RecordBatch], sent, min_docs: int) -> Iterator[pa.RecordBatch]:
-    index = _local(sent)
+            owner = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+            if not len(owner):
+                continue
+            number = np.array([i for x in found for i in x[0]], np.int32)
+            h = _halves([d for x in found for d in x[1]])
+            block = shard_of(h[:, 0], n_shards) // per_block
+            order = np.lexsort((block, owner))
+            owner, block, number, h = owner[order], block[order], number[order], h[order]
+            begin = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (block[1:] != block[:-1]))))
+            edge = np.append(begin, len(owner))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": b.column("doc_id").take(pa.array(owner[begin])), "tkey": b.column("tkey").take(pa.array(owner[begin])),
+                "block": pa.array(block[begin]), "lines": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(number)),
+                "hashes": pa.array([h[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], pa.binary())})
+
+
+def _block_drops(batches: Iterator[pa.RecordBatch], n_shards: int, min_docs: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block and part, a block's arrays before the lines that probe them, to (doc_id, tkey, dropped)."""
+    now, arrays, index = None, [], None
     for b in batches:
-        rows = []
-        for d, k, lines, hashes in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tkey", "lines", "hashes")), strict=True):
-            if lines:
-                out = _drops(index, np.full(len(lines), d), _halves([hashes]), min_docs)
-                if out.any():
-                    rows.append((d, k, np.array(lines)[out].tolist()))
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "tkey": pa.array([r[1] for r in rows], pa.int32()),
-                                          "dropped": pa.array([r[2] for r in rows], pa.list_(pa.int32()))})
+        place = np.stack([b.column("block").to_numpy(), b.column("part").to_numpy()])
+        edge = np.concatenate(([0], np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1, [b.num_rows])) if b.num_rows else [0]
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            if now != tuple(place[:, x]):
+                now, arrays, index = tuple(place[:, x]), [], None
+            run = b.slice(int(x), int(y - x))
+            own = pa.compute.is_valid(run.column("shard"))
+            arrays += run.filter(own).select(["shard", "n_keys", *_ARRAYS]).to_pylist()
+            lines = run.filter(pa.compute.invert(own))
+            if not lines.num_rows:
+                continue
+            if index is None:
+                index, arrays = LineIndex(arrays, n_shards), []
+            count = lines.column("lines").value_lengths().to_numpy()
+            out = _drops(index, np.repeat(lines.column("doc_id").to_numpy(), count), _halves(lines.column("hashes").to_pylist()), min_docs)
+            row = np.repeat(np.arange(len(count)), count)[out]
+            hit = np.unique(row)
+            dropped = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(row, hit), len(row)), pa.int32()),
+                                               lines.column("lines").flatten().filter(pa.array(out)))
+            yield pa.RecordBatch.from_pydict({"doc_id": lines.column("doc_id").take(pa.array(hit)),
+                                              "tkey": lines.column("tkey").take(pa.array(hit)), "dropped": dropped})
 
 
 def _apply_dropped(batches: Iterator[pa.RecordBatch], min_chars: int, with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -288,37 +318,39 @@ def _apply_dropped(batches: Iterator[pa.RecordBatch], min_chars: int, with_text:
 
 
 class _prepare:
-    """The shards of a table's lines, their blocks, and what the blocks decide."""
+    """The shards of a table's lines and, where they are more than ``block_bytes``, what the blocks of shards decide."""
 
     def __init__(self, docs: DataFrame, min_chars: int, min_docs: int, block_bytes: int):
         self.spark, self.min_chars, self.min_docs = docs.sparkSession, min_chars, min_docs
         shipped(self.spark)
         self.keys = keyed(docs)
         self.shards, self.n_shards = build_index(line_counts(self.keys, min_chars, min(INDEX_MIN_DOCS, min_docs)))
-        sizes = self.shards.select("shard", F.expr("length(move) + length(prints) + length(counts) + length(lasts) + length(aside)").alias("b"))
-        running, self.blocks = 0, [[]]
-        for r in sizes.orderBy("shard").toLocalIterator():  # a number and a size for each shard of 4,096 lines
-            if running + r.b > block_bytes and self.blocks[-1]:
-                self.blocks.append([])
-                running = 0
-            self.blocks[-1].append(r.shard)
-            running += r.b
-
-    def send(self, block: list):
-        rows = self.shards.where(F.col("shard").between(block[0], block[-1])).collect() if block else []
-        return self.spark.sparkContext.broadcast((uuid.uuid4().hex, [r.asDict() for r in rows], self.n_shards))
+        size = self.shards.agg(F.sum(sum((F.length(c) for c in _ARRAYS), F.lit(0)))).first()[0] or 0
+        self.blocks = max(1, -(-size // block_bytes))
+        self.per_block = -(-self.n_shards // self.blocks)  # hashes fill the shards evenly, so the blocks too
+
+    def send(self):
+        """All shards, of ``block_bytes`` at most, to all tasks."""
+        return self.spark.sparkContext.broadcast((uuid.uuid4().hex, [r.asDict() for r in self.shards.collect()], self.n_shards))
 
     def dropped(self) -> DataFrame:
-        """(doc_id, tkey, dropped: lists of line numbers), one block of shards after the other."""
+        """(doc_id, tkey, dropped: lists of line numbers). The lines travel to the arrays of their block, once.
+
+        A block is dealt out to as many parts as its lines need, each with a copy of its arrays, so a line that fills a
+        third of all documents is spread too.
+        """
+        n_shards, per_block, min_docs, min_chars = self.n_shards, self.per_block, self.min_docs, self.min_chars
         lines = materialize(self.keys.where(F.col("doc_id").isNotNull()).select("doc_id", "tkey", "text").mapInArrow(
-            lambda it, n=self.min_chars: _line_table(it, n), "doc_id long, tkey int, lines array<int>, hashes binary"), "line-hashes")
-        found, min_docs = None, self.min_docs
-        for block in self.blocks:
-            sent = self.send(block)
-            part = materialize(lines.mapInArrow(lambda it, sent=sent: _block_drops(it, sent, min_docs),
-                                                "doc_id long, tkey int, dropped array<int>"), "line-drops")
-            sent.destroy()
-            found = part if found is None else found.unionByName(part)
+            lambda it: _line_table(it, min_chars, n_shards, per_block),
+            "doc_id long, tkey int, block long, lines array<int>, hashes binary"), "line-hashes")
+        parts = lines.groupBy("block").agg(F.ceil(F.sum(F.size("lines")) / PART_LINES).cast("int").alias("parts"))
+        parts = materialize(parts, "line-blocks")
+        dealt = lines.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("doc_id", "tkey"), F.col("parts")).cast("int")).drop("parts")
+        copies = self.shards.withColumn("block", F.floor(F.col("shard") / per_block)).join(parts, "block") \
+            .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        both = copies.unionByName(dealt, allowMissingColumns=True).repartition("block", "part") \
+            .sortWithinPartitions("block", "part", F.col("shard").asc_nulls_last())
+        found = both.mapInArrow(lambda it: _block_drops(it, n_shards, min_docs), "doc_id long, tkey int, dropped array<int>")
         return found.distinct().groupBy("doc_id", "tkey").agg(F.collect_list("dropped").alias("dropped"))
 
 
@@ -328,8 +360,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     prepared = _prepare(docs, min_chars, min_docs, block_bytes)
     keys = prepared.keys
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + (", kept string" if with_text else "")
-    if len(prepared.blocks) == 1:
-        sent = prepared.send(prepared.blocks[0])
+    if prepared.blocks == 1:
+        sent = prepared.send()
         return keys.select("doc_id", "text").mapInArrow(lambda it: _apply(it, sent, min_chars, min_docs, with_text), schema)
     return keys.join(prepared.dropped(), ["doc_id", "tkey"], "left").select("doc_id", "text", "dropped") \
         .mapInArrow(lambda it: _apply_dropped(it, min_chars, with_text), schema)
@@ -351,8 +383,8 @@ def _rewrite(batches: Iterator[pa.RecordBatch], sent, min_chars: int, min_docs:
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, without the repeated lines of their texts."""
     prepared = _prepare(docs, min_chars, min_docs, block_bytes)
-    if len(prepared.blocks) == 1:
-        sent = prepared.send(prepared.blocks[0])
+    if prepared.blocks == 1:
+        sent = prepared.send()
         return docs.mapInArrow(lambda it: _rewrite(it, sent, min_chars, min_docs), docs.schema)
     dropped = prepared.dropped().withColumnsRenamed({"doc_id": "_d", "tkey": "_k"})
     key = F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))

@@ -68,8 +68,9 @@ def test_substring_dedup_texts_and_empty(spark, awkward, empty):
 LINES = ("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
-@pytest.mark.parametrize("block_bytes", [line_dedup.BLOCK_BYTES, 1])
-def test_line_dedup_awkward(awkward, block_bytes, monkeypatch):
+@pytest.mark.parametrize("block_bytes,part_lines", [(line_dedup.BLOCK_BYTES, 1), (1, 3), (1, line_dedup.PART_LINES), (200, 2)])
+def test_line_dedup_awkward(awkward, block_bytes, part_lines, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PART_LINES", part_lines)
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)  # several shards; block_bytes=1 makes each a block of its own
     texts, ids, df = awkward
     assert _tuples(line_dedup.dedup_lines(df, block_bytes=block_bytes), *LINES) == _sorted(cases.line_dedup(texts, ids))
@@ -79,6 +80,14 @@ def test_line_dedup_awkward(awkward, block_bytes, monkeypatch):
     assert _sorted([(r.doc_id, None if r.text is None else cases.sha(r.text)) for r in kept.collect()]) == _sorted(expected)
 
 
+def test_line_dedup_in_blocks(spark, given, monkeypatch):
+    """Beyond ``block_bytes`` the lines travel to blocks of shards; the rows are the same."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 8)
+    docs = spark.read.parquet(f"{cases.SF_MORE}/documents.parquet")
+    assert _tuples(line_dedup.dedup_lines(docs, block_bytes=1000), *LINES) == _sorted(cases.line_dedup(*given))
+    assert line_dedup._prepare(docs, line_dedup.MIN_CHARS, line_dedup.MIN_DOCS, 1000).blocks > 1
+
+
 def test_line_dedup_given_and_empty(spark, given, empty):
     from shelfspark.llm.queries import QUERIES
     found = _tuples(QUERIES["op4_line_dedup"](spark, cases.SF_MORE), *LINES)
