@@ -22,6 +22,31 @@ def _m4(lib):
     return S.stream_book_genres(lib.spark, lib.sf_dir)
 
 
+@register("m3_reader_summary_changes", """
+WITH taken AS (SELECT reader_id AS k, count(*) AS n, count(*) FILTER (WHERE event_id % 3 <> 0) AS out_now
+               FROM circulation_events WHERE action = 'borrow' AND event_id % 5 <> 0 GROUP BY reader_id),
+changed AS (SELECT DISTINCT ON (reader_id) reader_id AS rid, event_id AS e FROM circulation_events WHERE action = 'register'
+            ORDER BY reader_id, ts DESC, event_id DESC),
+base AS (SELECT readers.id, first_name, last_name, readers.email, users.username FROM readers, users WHERE users.id = user_id),
+now AS (SELECT COALESCE(id, rid) AS id, e, first_name, last_name, email, username FROM base FULL JOIN changed ON rid = id
+        WHERE e IS NULL OR e % 7 <> 0)
+SELECT id, CASE WHEN e IS NULL THEN first_name ELSE 'S' || e END AS first_name, CASE WHEN e IS NULL THEN last_name ELSE 'Changed' END AS last_name,
+  CASE WHEN e IS NULL THEN email ELSE 's' || e || '@example.com' END AS email, CASE WHEN e IS NULL THEN username ELSE 'u' || e END AS username,
+  (SELECT count(*) FROM loans WHERE reader_id = now.id) + COALESCE(n, 0) AS total_loans,
+  (SELECT count(*) FROM loans WHERE reader_id = now.id AND status = 'borrowed') + COALESCE(out_now, 0) AS active_loans
+FROM now LEFT JOIN taken ON k = id
+""")
+def _m3c(lib):
+    return S.stream_reader_summary_changes(lib.spark, lib.sf_dir)
+
+
+@register("m4_book_genres_changes", """
+SELECT DISTINCT p_type AS genre FROM part WHERE p_partkey % 2 = 1 AND p_partkey % 13 <> 0
+""")
+def _m4c(lib):
+    return S.stream_book_genres_changes(lib.spark, lib.sf_dir)
+
+
 @register("m5_stream_book_status", """
 SELECT event_id, book_id, action,
   action <> COALESCE(LAG(action) OVER (PARTITION BY book_id ORDER BY ts, event_id), 'return') AS accepted,

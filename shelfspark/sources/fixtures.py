@@ -292,6 +292,41 @@ class Library:
                         _date_plus(d, k % 6 + k % 14 - 2).alias("end_date"))
 
 
+# -- change streams (fixed rules; usable on a stream) ---------------------------
+def loan_changes(events: DataFrame) -> DataFrame:
+    """A 'borrow' event inserts a borrowed loan; every third one is returned, every fifth one deleted afterwards."""
+    i, reader = F.col("event_id"), F.col("reader_id")
+    none = F.lit(None).cast("long")
+    row = lambda old, was, new, now: F.struct(old.alias("old_reader_id"), F.lit(was).cast("string").alias("old_status"),
+                                              new.alias("new_reader_id"), F.lit(now).cast("string").alias("new_status"))
+    gone = F.struct(reader.alias("old_reader_id"), F.when(i % 3 == 0, "returned").otherwise("borrowed").alias("old_status"),
+                    none.alias("new_reader_id"), F.lit(None).cast("string").alias("new_status"))
+    rows = F.array_compact(F.array(row(none, None, reader, "borrowed"), F.when(i % 3 == 0, row(reader, "borrowed", reader, "returned")),
+                                   F.when(i % 5 == 0, gone)))
+    return events.where(F.col("action") == "borrow").select(F.inline(rows))
+
+
+def reader_changes(events: DataFrame) -> DataFrame:
+    """A 'register' event rewrites its reader (or inserts it); every seventh one deletes it."""
+    i = F.col("event_id")
+    s = i.cast("string")
+    return events.where(F.col("action") == "register").select(
+        F.col("reader_id").alias("id"), "ts", i.alias("change_id"), (i % 7 == 0).alias("deleted"), F.concat(F.lit("S"), s).alias("first_name"),
+        F.lit("Changed").alias("last_name"), F.concat(F.lit("s"), s, F.lit("@example.com")).alias("email"), F.concat(F.lit("u"), s).alias("username"))
+
+
+def book_changes(parts: DataFrame) -> DataFrame:
+    """Each part inserts a book; every sixth one changes its genre, every second one is deleted afterwards."""
+    k = F.col("p_partkey")
+    genre = F.when(k % 13 != 0, F.col("p_type"))
+    revised = F.concat(F.lit("REVISED "), F.col("p_brand"))
+    none = F.lit(None).cast("string")
+    row = lambda inserted, old, new: F.struct(F.lit(inserted).alias("inserted"), old.alias("old_genre"), new.alias("new_genre"))
+    rows = F.array_compact(F.array(row(True, none, genre), F.when(k % 6 == 0, row(False, genre, revised)),
+                                   F.when(k % 2 == 0, row(False, F.when(k % 6 == 0, revised).otherwise(genre), none))))
+    return parts.select(F.inline(rows))
+
+
 # Columns of the circulation views (fixed; checked against the DataFrames in tests).
 FIXTURE_COLUMNS: dict[str, list[str]] = {
     "authors": ["id", "first_name", "last_name"],

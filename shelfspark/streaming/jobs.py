@@ -13,49 +13,94 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.views import reader_summary
-from ..session import scratch_path, ship_package
-from ..sources.fixtures import Library
-from .runner import HistoryTable, SnapshotTable, run_available
+from ..session import ship_package
+from ..sources.fixtures import Library, book_changes, loan_changes, reader_changes
+from .runner import HistoryTable, KeyedTable, run_available
 from .sources import circulation_events, file_stream, utc_event_time
 
 
 # ------------------------------------------------------------------ M3
-def stream_reader_summary(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    """M3: keep the reader summary (M1) fresh as loan inserts arrive.
+_PROFILE = "struct<ts: timestamp_ntz, change_id: bigint, deleted: boolean, first_name: string, last_name: string, email: string, username: string>"
+
+
+def loan_counts(changes: DataFrame) -> DataFrame:
+    """What loan changes (old_reader_id, old_status, new_reader_id, new_status; no old or no new reader: insert, delete) do to readers' counts."""
+    side = lambda who, sign: F.struct(
+        F.col(f"{who}_reader_id").alias("id"), F.lit(sign).cast("long").alias("total_loans"),
+        F.when(F.col(f"{who}_status") == "borrowed", sign).otherwise(0).cast("long").alias("active_loans"))
+    return changes.select(F.inline(F.array(side("old", -1), side("new", 1)))).where(F.col("id").isNotNull()) \
+        .withColumn("profile", F.lit(None).cast(_PROFILE))
+
+
+def reader_profiles(changes: DataFrame) -> DataFrame:
+    """Reader changes (id, ts, change_id, deleted, first_name, last_name, email, username) as rows of the summary; the latest holds."""
+    profile = F.struct("ts", "change_id", "deleted", "first_name", "last_name", "email", "username").cast(_PROFILE)
+    return changes.select("id", F.lit(0).cast("long").alias("total_loans"), F.lit(0).cast("long").alias("active_loans"), profile.alias("profile"))
+
+
+def _merged_readers(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("id").agg(F.sum("total_loans").alias("total_loans"), F.sum("active_loans").alias("active_loans"),
+                                  F.max("profile").alias("profile"))
+
+
+def maintain_reader_summary(lib: Library, loans: DataFrame, readers: DataFrame | None = None, base: str | None = None,
+                            checkpoint: str | None = None) -> DataFrame:
+    """M3: keep the reader summary (M1) fresh under streams of loan changes and reader changes (insert, update, delete).
 
-    Every 'borrow' event is a new borrowed loan. Each micro-batch counts its
-    loans per reader and rewrites only the touched readers' rows of the
-    snapshot (incremental maintenance instead of a full refresh).
+    Counts move by what each change takes and gives, profiles follow the latest
+    ``(ts, change_id)``: neither depends on the micro-batches or on late rows.
     """
-    lib = Library(spark, sf_dir)
-    snap = SnapshotTable(spark, "reader_summary", ["id"], reader_summary(lib))
-    ev = circulation_events(file_stream(spark, sf_dir, "events", max_files)).where(F.col("action") == "borrow")
+    spark = lib.spark
+    users = lib.users.select(F.col("id").alias("user_id"), "username")
+    start = lib.readers.select("id", "user_id", "first_name", "last_name", "email").join(users, "user_id").withColumns(
+        {"ts": F.lit("0001-01-01").cast("timestamp_ntz"), "change_id": F.lit(-1).cast("long"), "deleted": F.lit(False)})
+    held = lib.loans.select(F.lit(None).cast("long").alias("old_reader_id"), F.lit(None).cast("string").alias("old_status"),
+                            F.col("reader_id").alias("new_reader_id"), F.col("status").alias("new_status"))
+    table = KeyedTable(spark, "reader_summary", ["id"], _merged_readers, reader_profiles(start).unionByName(loan_counts(held)), base)
+    changes = loan_counts(loans) if readers is None else loan_counts(loans).unionByName(reader_profiles(readers))
+    run_available(changes.writeStream.foreachBatch(table.apply), spark, "reader_summary", checkpoint)
+    return table.current().where(F.col("profile").isNotNull() & ~F.col("profile.deleted")).select(
+        "id", "profile.first_name", "profile.last_name", "profile.email", "profile.username", "total_loans", "active_loans")
 
-    def apply(batch: DataFrame, epoch: int) -> None:
-        delta = batch.groupBy(F.col("reader_id").alias("id")).agg(F.count(F.lit(1)).alias("_d"))
-        prev = snap._latest_before(epoch)
-        cur = spark.read.parquet(prev)
-        touched = cur.join(delta, "id").select(
-            "id", "first_name", "last_name", "email", "username",
-            (F.col("total_loans") + F.col("_d")).alias("total_loans"),
-            (F.col("active_loans") + F.col("_d")).alias("active_loans"))
-        snap.upsert(touched, epoch)
 
-    run_available(ev.writeStream.foreachBatch(apply), spark, "reader_summary")
-    return snap.current()
+def stream_reader_summary(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """M3 over the loans that 'borrow' events insert."""
+    ev = circulation_events(file_stream(spark, sf_dir, "events", max_files))
+    return maintain_reader_summary(Library(spark, sf_dir), loan_changes(ev).where("old_reader_id IS NULL"))
+
+
+def stream_reader_summary_changes(spark: SparkSession, sf_dir: str, max_files: int | None = None, base: str | None = None,
+                                  checkpoint: str | None = None) -> DataFrame:
+    """M3 over inserted, returned and deleted loans, and changed and deleted readers."""
+    ev = lambda: circulation_events(file_stream(spark, sf_dir, "events", max_files))
+    return maintain_reader_summary(Library(spark, sf_dir), loan_changes(ev()), reader_changes(ev()), base, checkpoint)
 
 
 # ------------------------------------------------------------------ M4
+def _merged_genres(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("genre").agg(F.sum("n").alias("n"))
+
+
+def maintain_book_genres(changes: DataFrame, base: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """M4: distinct non-null genres under a stream of book changes (old_genre, new_genre); a genre leaves with its last book."""
+    spark = changes.sparkSession
+    table = KeyedTable(spark, "book_genres", ["genre"], _merged_genres, base=base)
+    side = lambda who, sign: F.struct(F.col(f"{who}_genre").alias("genre"), F.lit(sign).cast("long").alias("n"))
+    counts = changes.select(F.inline(F.array(side("old", -1), side("new", 1)))).where(F.col("genre").isNotNull())
+    run_available(counts.writeStream.foreachBatch(table.apply), spark, "book_genres", checkpoint)
+    genres = table.current()
+    return spark.createDataFrame([], "genre string") if genres is None else genres.where("n > 0").select("genre")
+
+
 def stream_book_genres(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    """M4: distinct non-null genres kept fresh as book rows arrive (streaming dropDuplicates)."""
-    parts = file_stream(spark, sf_dir, "part", max_files)
-    k = F.col("p_partkey")
-    genres = (parts.select(F.when(k % 13 == 0, F.lit(None).cast("string")).otherwise(F.col("p_type")).alias("genre"))
-              .where(F.col("genre").isNotNull()).dropDuplicates(["genre"]))
-    out = scratch_path(spark, "book_genres")
-    run_available(genres.writeStream.format("parquet").option("path", out).outputMode("append"), spark, "book_genres")
-    return spark.read.parquet(out)
+    """M4 over inserted books."""
+    return maintain_book_genres(book_changes(file_stream(spark, sf_dir, "part", max_files)).where("inserted"))
+
+
+def stream_book_genres_changes(spark: SparkSession, sf_dir: str, max_files: int | None = None, base: str | None = None,
+                               checkpoint: str | None = None) -> DataFrame:
+    """M4 over inserted, changed and deleted books."""
+    return maintain_book_genres(book_changes(file_stream(spark, sf_dir, "part", max_files)), base, checkpoint)
 
 
 # ------------------------------------------------------------------ M5
@@ -128,7 +173,7 @@ def stream_period_counts(spark: SparkSession, sf_dir: str, watermark: str = "30
     Event-time windows on a watermark: rows later than the watermark are
     dropped, closed windows leave the state. Weeks are 7-day windows shifted
     by 4 days from the epoch (a Thursday), so they start on Monday. Each
-    micro-batch's updated counts are upserted into the result snapshot.
+    micro-batch's updated counts are merged into the touched buckets of the result.
     """
     ev = (circulation_events(file_stream(spark, sf_dir, "events", max_files))
           .where(F.col("action").isin("borrow", "reserve"))
@@ -142,10 +187,10 @@ def stream_period_counts(spark: SparkSession, sf_dir: str, watermark: str = "30
                        "action")
               .agg(F.count(F.lit(1)).alias("n")).select("granularity", "window_start", "action", "n"))
     key = ["granularity", "window_start", "action"]
-    snap = SnapshotTable(spark, "period_counts", key)
-    run_available(counts.writeStream.outputMode("update")
-                  .foreachBatch(lambda b, e: snap.upsert(b, e)), spark, "period_counts")
-    cur = snap.current()
+    # An updated count is never below the one it replaces.
+    table = KeyedTable(spark, "period_counts", key, lambda rows: rows.groupBy(*key).agg(F.max("n").alias("n")))
+    run_available(counts.writeStream.outputMode("update").foreachBatch(table.apply), spark, "period_counts")
+    cur = table.current()
     if cur is None:
         return spark.createDataFrame([], "granularity string, window_start date, action string, n long")
     return cur

@@ -1,4 +1,4 @@
-"""Run a streaming query over everything available, and versioned snapshot sinks."""
+"""Run a streaming query over everything available, and tables that micro-batches keep fresh."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.batch import merge_rows
 from ..session import scratch_path
 
 def run_available(writer: DataStreamWriter, spark: SparkSession, name: str, checkpoint: str | None = None) -> None:
@@ -20,58 +19,54 @@ def run_available(writer: DataStreamWriter, spark: SparkSession, name: str, chec
         raise RuntimeError(f"stream {name} failed: {q.exception()}")
 
 
-class SnapshotTable:
-    """A table kept fresh by micro-batches: each epoch writes a new version (upsert by key).
+def _newest(rows: DataFrame) -> DataFrame:
+    """The rows of each bucket's newest epoch (only the two folder names are read to find it)."""
+    return rows.join(rows.groupBy("bucket").agg(F.max("epoch").alias("epoch")), ["bucket", "epoch"], "left_semi")
 
-    Versions live under ``base`` as ``v-<epoch>`` folders, listed in a small
-    ``_versions`` log table (one row per epoch). The version of epoch ``e`` is
-    derived only from the latest version of an earlier epoch, so a replayed
-    epoch rewrites the same result, and a restarted job with the same ``base``
-    (and the stream's checkpoint) continues from storage. The folder read is
-    never the folder written.
-    """
 
-    INIT_EPOCH = -1
+class KeyedTable:
+    """A table of one row per key, kept fresh by micro-batches that write the touched buckets of keys only.
+
+    ``merge`` turns any number of rows per key into one and must not depend on
+    how they are grouped (sums, maxima); it never drops a key, so what a key
+    has become is told by its row. An epoch's changes are merged first, then
+    with the stored rows of their buckets as of earlier epochs, and land in a
+    folder of that epoch: a replayed epoch rewrites its own result, and a job
+    restarted with the same ``base`` and checkpoint goes on from storage.
+    """
 
-    def __init__(self, spark: SparkSession, name: str, key: list[str], initial: DataFrame | None = None,
-                 base: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, key: list[str], merge: Callable[[DataFrame], DataFrame],
+                 initial: DataFrame | None = None, base: str | None = None, buckets: int = 64):
+        self.spark, self.key, self.merge, self.buckets = spark, key, merge, buckets
         self.base = base or scratch_path(spark, name)
-        self.key = key
-        self.versions: dict[int, str] = self._read_log()
-        if not self.versions and initial is not None:
-            self._write(initial, self.INIT_EPOCH)
+        if initial is not None and self._stored() is None:
+            self._dealt(merge(initial)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.base}/rows/epoch=-1")
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
 
-    def _read_log(self) -> dict[int, str]:
+    def _stored(self) -> DataFrame | None:
         try:
-            rows = self.spark.read.parquet(f"{self.base}/_versions").collect()  # one row per epoch
+            return self.spark.read.parquet(f"{self.base}/rows")
         except AnalysisException:
-            return {}
-        return {r.epoch: r.path for r in rows}
-
-    def _write(self, df: DataFrame, epoch: int) -> None:
-        path = f"{self.base}/v-{epoch + 1:08d}"
-        df.write.mode("overwrite").parquet(path)
-        self.spark.createDataFrame([(epoch, path)], "epoch long, path string") \
-            .write.mode("append").parquet(f"{self.base}/_versions")
-        self.versions[epoch] = path
-
-    def _latest_before(self, epoch: int | None = None) -> str | None:
-        ks = [e for e in self.versions if epoch is None or e < epoch]
-        return self.versions[max(ks)] if ks else None
+            return None
+
+    def apply(self, changes: DataFrame, epoch: int) -> None:
+        folder = f"{self.base}/changes/epoch={epoch}"
+        self._dealt(self.merge(changes)).write.mode("overwrite").parquet(folder)
+        fresh = self.spark.read.parquet(folder)
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return
+        rows, stored = fresh.drop("bucket"), self._stored()
+        if stored is not None:
+            before = _newest(stored.where((F.col("epoch") < epoch) & F.col("bucket").isin(touched)))
+            rows = rows.unionByName(before.select(*rows.columns))
+        self._dealt(self.merge(rows)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.base}/rows/epoch={epoch}")
 
     def current(self) -> DataFrame | None:
-        path = self._latest_before()
-        return self.spark.read.parquet(path) if path else None
-
-    def upsert(self, updates: DataFrame, epoch: int) -> None:
-        prev = self._latest_before(epoch)
-        if prev is None:
-            new = updates
-        else:
-            cur = self.spark.read.parquet(prev)
-            new = merge_rows(cur.drop("updated_at"), updates, self.key, F.lit(None)).drop("updated_at")
-        self._write(new, epoch)
+        stored = self._stored()
+        return None if stored is None else _newest(stored).drop("epoch", "bucket")
 
 
 class HistoryTable:
@@ -104,5 +99,4 @@ class HistoryTable:
             every = self.spark.read.parquet(f"{self.base}/result")
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
-        newest = every.groupBy("bucket").agg(F.max("epoch").alias("epoch"))
-        return every.join(newest, ["bucket", "epoch"], "left_semi").select(*names)
+        return _newest(every).select(*names)

@@ -4,6 +4,9 @@ import datetime as dt
 import os
 import tempfile
 
+from pyspark.sql import functions as F
+
+from shelfspark.operators.views import reader_summary
 from shelfspark.streaming import jobs as S
 
 
@@ -44,19 +47,53 @@ def test_without_watermark_pressure_late_rows_count(spark):
     assert sum(r.n for r in out.where("granularity = 'day'").collect()) == 56
 
 
-def test_snapshot_table_replay_and_restart(spark):
-    from shelfspark.streaming.runner import SnapshotTable
-    base = tempfile.mkdtemp(prefix="snap-")
-    init = spark.createDataFrame([(1, 10), (2, 20)], "k long, v long")
-    t = SnapshotTable(spark, "t", ["k"], init, base=base)
-    t.upsert(spark.createDataFrame([(2, 21), (3, 30)], "k long, v long"), 0)
-    t.upsert(spark.createDataFrame([(1, 11)], "k long, v long"), 1)
-    t.upsert(spark.createDataFrame([(1, 11)], "k long, v long"), 1)  # replayed epoch: same result
+def test_keyed_table_replay_and_restart(spark):
+    from shelfspark.streaming.runner import KeyedTable
+    base = tempfile.mkdtemp(prefix="keyed-")
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v long")
+    table = lambda: KeyedTable(spark, "t", ["k"], lambda d: d.groupBy("k").agg(F.sum("v").alias("v")), rows((1, 10), (2, 20)), base, 4)
+    t = table()
+    t.apply(rows((2, 1), (3, 30)), 0)
+    t.apply(rows((1, 1)), 1)
+    t.apply(rows((1, 1)), 1)  # replayed epoch: same result
+    t.apply(rows(), 2)
     assert {r.k: r.v for r in t.current().collect()} == {1: 11, 2: 21, 3: 30}
-    again = SnapshotTable(spark, "t", ["k"], init, base=base)  # restart: resumes from storage
-    assert {r.k: r.v for r in again.current().collect()} == {1: 11, 2: 21, 3: 30}
-    again.upsert(spark.createDataFrame([(4, 40)], "k long, v long"), 2)
-    assert {r.k: r.v for r in again.current().collect()} == {1: 11, 2: 21, 3: 30, 4: 40}
+    again = table()  # restart: goes on from storage
+    again.apply(rows((4, 40), (4, 1)), 3)
+    assert {r.k: r.v for r in again.current().collect()} == {1: 11, 2: 21, 3: 30, 4: 41}
+
+
+def test_reader_summary_follows_returns_and_resumes(spark, lib):
+    """A return lowers active_loans, a delete total_loans; a resumed job counts nothing twice."""
+    from conftest import SF_SMALL
+    d = tempfile.mkdtemp(prefix="changes-")
+    for t in ("customer", "orders", "lineitem", "nation", "supplier", "part"):
+        os.symlink(os.path.join(SF_SMALL, f"{t}.parquet"), os.path.join(d, f"{t}.parquet"))
+    row = lambda i, user, kind: (i, dt.datetime(2024, 3, 10) + dt.timedelta(hours=i), user, kind, 1.0, "{}")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    # Reader of user 1: loan 1 stays out, 3 is returned, 5 deleted, 15 returned and deleted. Reader of user 2 is deleted by event 7.
+    _write(spark, d, "events.parquet", spark.createDataFrame(
+        [row(1, 1, "purchase"), row(3, 1, "purchase"), row(5, 1, "purchase"), row(7, 2, "signup")], schema), 1_900_000_000)
+    base, checkpoint = tempfile.mkdtemp(prefix="base-"), tempfile.mkdtemp(prefix="ckpt-")
+    before = {r.id: (r.total_loans, r.active_loans, r.last_name) for r in reader_summary(lib).collect()}
+    run = lambda: {r.id: (r.total_loans, r.active_loans, r.last_name)
+                   for r in S.stream_reader_summary_changes(spark, d, 1, base, checkpoint).collect()}
+    total, active, name = before[100001]
+    first = run()
+    assert first == {**{k: v for k, v in before.items() if k != 100002}, 100001: (total + 2, active + 1, name)}
+    _write(spark, d, "events_b.parquet", spark.createDataFrame(
+        [row(15, 1, "purchase"), row(2, 1, "purchase"), row(4, 1, "signup"), row(6, 2, "signup")], schema), 1_950_000_000)
+    # Event 6 came late: the deletion by event 7 is the later change.
+    assert run() == {**first, 100001: (total + 3, active + 2, "Changed")}
+
+
+def test_genre_leaves_with_its_last_book(spark):
+    books = spark.createDataFrame([(None, "a"), (None, "b"), ("a", "c"), (None, None), ("c", None), (None, "b"), ("b", None)],
+                                  "old_genre string, new_genre string")
+    d = tempfile.mkdtemp(prefix="genres-")
+    _write(spark, d, "books", books, 1_900_000_000)
+    out = S.maintain_book_genres(spark.readStream.schema(books.schema).parquet(os.path.join(d, "books")))
+    assert [r.genre for r in out.collect()] == ["b"]
 
 
 def _three_events(spark):
