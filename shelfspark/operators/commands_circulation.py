@@ -3,68 +3,78 @@
 from __future__ import annotations
 
 import datetime as dt
+from bisect import bisect_right
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import as_date, lit_date, lit_ntz
+from ..session import ship_package
 from ..sources.fixtures import Library
-from .batch import CommandResult, RoundState, checkpoint, first_failure, first_per_key, merge_rows, new_ids
+from .batch import CommandResult, checkpoint, first_failure, first_per_key, merge_rows, new_ids
 from .reservations import check_availability
 
 
-def accept_in_order(cands: DataFrame, key: str = "book_id", start: str = "start_date",
-                    end: str = "end_date") -> DataFrame:
-    """Sequential acceptance of interval requests, computed set-based and without pairs.
-
-    A request is accepted iff no *earlier* (``submitted_at, cmd_id``)
-    accepted request of the same key overlaps it, which is the result of
-    running the requests one by one. Closed date intervals overlap exactly when
-    they share a day, so every round works on day-level aggregates: per
-    (key, day) the earliest live (undecided or accepted) request and whether
-    an accepted one covers that day. A request is rejected when an accepted
-    request covers one of its days. It is accepted when it is the earliest live
-    request on all its days. The same round then rejects the requests sharing
-    a day with the ones just accepted. No pair of requests is ever emitted (a
-    hot key costs its interval-days, not their square). The earliest undecided
-    request of every conflict chain is decided each round, so the loop ends.
-    Every round is written to the shared folder. Requires start <= end (the
-    callers' checks reject other requests first). Returns ``cmd_id, accepted``.
+#: Keys with more requests than this are decided in rounds over days, the others one request after the other in one task.
+FOLD_REQUESTS = 50_000
+
+
+def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One key's requests in batch order; the accepted intervals are apart, so only the last one to start by a request's end can meet it."""
+    pdf = pdf.sort_values(["submitted_at", "cmd_id"], kind="stable", na_position="first")
+    starts, ends, accepted = [], [], []
+    for s, e in zip(pdf["_s"].tolist(), pdf["_e"].tolist(), strict=True):
+        at = bisect_right(starts, e)
+        accepted.append(at == 0 or ends[at - 1] < s)
+        if accepted[-1]:
+            starts.insert(at, s)
+            ends.insert(at, e)
+    return pd.DataFrame({"cmd_id": pdf["cmd_id"], "accepted": accepted})
+
+
+def _accept_in_rounds(base: DataFrame) -> DataFrame:
+    """Acceptance for keys of any size, on day-level aggregates, without pairs.
+
+    Closed date intervals overlap exactly when they share a day. Each round
+    accepts the open requests that are the earliest open one on all their days
+    and rejects those that share a day with them; only what is still open goes
+    on. The earliest open request is always decided, so the loop ends. Each
+    round is written to the shared folder.
+    """
+    days = checkpoint(base.select("cmd_id", "_k", F.struct("submitted_at", "cmd_id").alias("_o"),
+                                  F.explode(F.sequence("_s", "_e")).alias("_d")), "request-days")
+    decided = None
+    while not days.isEmpty():
+        first = days.groupBy("_k", "_d").agg(F.min("_o").alias("_first"))
+        winners = checkpoint(days.join(first, ["_k", "_d"]).groupBy("cmd_id").agg(F.min(F.col("_o") == F.col("_first")).alias("accepted"))
+                             .where("accepted"), "request-winners")
+        taken = days.join(winners, "cmd_id", "left_semi").select("_k", "_d")
+        hit = days.join(taken, ["_k", "_d"], "left_semi").select("cmd_id").distinct()
+        now = checkpoint(hit.join(winners, "cmd_id", "left").select("cmd_id", F.coalesce("accepted", F.lit(False)).alias("accepted")),
+                         "request-round")
+        decided = now if decided is None else decided.unionByName(now)
+        days = checkpoint(days.join(now, "cmd_id", "left_anti"), "request-days")
+    return base.select("cmd_id", F.lit(True).alias("accepted")).limit(0) if decided is None else decided
+
+
+def accept_in_order(cands: DataFrame, key: str = "book_id", start: str = "start_date", end: str = "end_date") -> DataFrame:
+    """Sequential acceptance of interval requests: ``cmd_id, accepted``.
+
+    A request is accepted iff no *earlier* (``submitted_at, cmd_id``) accepted
+    request of the same key overlaps it, the result of running the requests
+    one by one. Keys are independent: those of up to ``FOLD_REQUESTS`` requests
+    are run through in a task each, those with more in rounds over all tasks.
+    Requires start <= end (the callers' checks reject other requests first).
     """
-    base = cands.select("cmd_id", F.col(key).alias("_k"), F.struct("submitted_at", "cmd_id").alias("_o"),
-                        F.col(start).alias("_s"), F.col(end).alias("_e"))
-    days = checkpoint(base.select("cmd_id", "_k", "_o", F.explode(F.sequence("_s", "_e")).alias("_d")),
-                      "request-days")
-
-    def step(state: DataFrame) -> DataFrame:
-        live = days.join(state.where(F.col("accepted").isNull() | F.col("accepted")), "cmd_id")
-        per_day = live.groupBy("_k", "_d").agg(F.min("_o").alias("_mo"),
-                                               F.max(F.col("accepted").cast("int")).alias("_acc"))
-        open_days = days.join(state.where(F.col("accepted").isNull()).select("cmd_id"), "cmd_id")
-        per_req = (open_days.join(per_day, ["_k", "_d"])
-                   .groupBy("cmd_id").agg(F.min("_mo").alias("_m"), F.max("_acc").alias("_a"),
-                                          F.min("_o").alias("_own")))
-        mid = state.join(per_req, "cmd_id", "left").select(
-            "cmd_id",
-            F.when(F.col("accepted").isNotNull(), F.col("accepted"))
-            .when(F.col("_a") == 1, F.lit(False))
-            .when(F.col("_m") == F.col("_own"), F.lit(True))
-            .alias("accepted"),
-            F.col("accepted").isNull().alias("_was_open"))
-        # Same round: reject open requests sharing a day with a request accepted just now.
-        new_days = (days.join(mid.where(F.col("accepted") & F.col("_was_open")).select("cmd_id"), "cmd_id")
-                    .select("_k", "_d").distinct())
-        hit = (days.join(mid.where(F.col("accepted").isNull()).select("cmd_id"), "cmd_id")
-               .join(new_days, ["_k", "_d"]).select(F.col("cmd_id").alias("_hit")).distinct())
-        return mid.join(hit, mid.cmd_id == hit._hit, "left").select(
-            "cmd_id", F.when(F.col("accepted").isNotNull(), F.col("accepted"))
-            .when(F.col("_hit").isNotNull(), F.lit(False)).alias("accepted"))
-
-    rs = RoundState(base.select("cmd_id", F.lit(None).cast("boolean").alias("accepted")), "accept-round")
-    left = rs.undecided()
-    while left > 0:
-        left = rs.advance(step(rs.df))
-    return checkpoint(rs.df, "accepted")
+    ship_package(cands.sparkSession)
+    base = checkpoint(cands.select("cmd_id", "submitted_at", F.col(key).alias("_k"), F.unix_date(start).alias("_s"),
+                                   F.unix_date(end).alias("_e")), "requests")
+    hot = checkpoint(base.groupBy("_k").count().where(F.col("count") > FOLD_REQUESTS).select("_k"), "request-keys")
+    folded = base.join(hot, "_k", "left_anti").groupBy("_k").applyInPandas(
+        _fold, T.StructType([base.schema["cmd_id"], T.StructField("accepted", T.BooleanType())]))
+    return checkpoint(folded.unionByName(_accept_in_rounds(base.join(hot, "_k", "left_semi"))), "accepted")
 
 
 def _reserve(lib: Library, cmds: DataFrame, checks, join_readers: bool, conflict_reason: str,

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.operators import commands_catalog as WC
@@ -52,7 +53,9 @@ def _sequential_reservations(lib, cmds_df, staff=False):
     return out
 
 
-def test_w8_in_batch_equals_sequential(lib):
+@pytest.mark.parametrize("fold", [WL.FOLD_REQUESTS, 3])
+def test_w8_in_batch_equals_sequential(lib, fold, monkeypatch):
+    monkeypatch.setattr(WL, "FOLD_REQUESTS", fold)  # 3: most books are decided in rounds
     got = {r.cmd_id: r.reason for r in WL.create_reservations(lib, lib.reservation_commands).outcomes.collect()}
     assert got == _sequential_reservations(lib, lib.reservation_commands)
 
