@@ -83,11 +83,6 @@ def report_active_loans(lib: Library, as_of: dt.date | str) -> DataFrame:
     return global_rank(rows, ["days_overdue"], [F.col("days_overdue").desc_nulls_last()], out="overdue_rank")
 
 
-def p1_order():
-    """P1 presentation order (pass to the report writers)."""
-    return [F.col("is_overdue").desc_nulls_first(), F.col("loan_date").desc_nulls_first(), F.col("loan_id")]
-
-
 def overdue_loans(lib: Library, as_of: dt.date | str) -> DataFrame:
     """Borrowed loans whose completed reservation ended before ``as_of`` (inner due join)."""
     d = lit_date(as_of)
@@ -97,11 +92,6 @@ def overdue_loans(lib: Library, as_of: dt.date | str) -> DataFrame:
     return borrowed.join(due, (F.col("book_id") == F.col("_rb")) & (F.col("reader_id") == F.col("_rr")))
 
 
-def p2_order():
-    """P2 presentation order: most overdue first (then loan id)."""
-    return [F.col("days_overdue").desc_nulls_first(), F.col("loan_id")]
-
-
 def report_overdue_loans(lib: Library, as_of: dt.date | str, loans: DataFrame | None = None) -> DataFrame:
     """Overdue borrowed loans with reader contact, most overdue first."""
     j = _loan_people(lib, overdue_loans(lib, as_of) if loans is None else loans)

@@ -90,6 +90,8 @@ import datetime as _dt  # noqa: E402
 
 from ..functions.dates import in_period, period_bounds  # noqa: E402
 from ..operators import reports as P  # noqa: E402
+from ..operators.presentation import list_order  # noqa: E402
+from ..operators.readers import user_statistics_report  # noqa: E402
 from ..sources.sinks import write_period_report, write_report_csv, write_report_json  # noqa: E402
 from .registry import AS_OF_LOANABLE  # noqa: E402
 
@@ -119,7 +121,7 @@ FROM ({overdue_sql(D_LOANS)}) x
 """)
 def _s4(lib):
     path = scratch_path(lib.spark, "report-json")
-    write_report_json(P.report_overdue_loans(lib, AS_OF_LOANS), path, order=P.p2_order())
+    write_report_json(P.report_overdue_loans(lib, AS_OF_LOANS), path, order=list_order("report_overdue_loans"))
     return lib.spark.read.schema(_strings(_S4_COLS)).json(path)
 
 
@@ -137,10 +139,25 @@ FROM ({READER_ACTIVITY}) x
 def _s5(lib):
     path = scratch_path(lib.spark, "report-csv")
     write_report_csv(P.report_reader_activity(lib), path, S5_HEADER, null_label="N/A",
-                     order=[F.col("reader"), F.col("reader_id")])
+                     order=list_order("report_reader_activity"))
     return lib.spark.read.schema(_strings(list(S5_HEADER.values()))).option("header", True).csv(path)
 
 
+_USERS_HEADER = {"username": "Username", "email": "Email", "role": "Role", "is_reader": "Is Reader", "created_at": "Created At",
+                 "registration_date": "Registration Date"}
+
+
+@register("s5_user_statistics_csv", """
+SELECT username AS "Username", email AS "Email", role AS "Role", CASE WHEN signed IS NULL THEN 'No' ELSE 'Yes' END AS "Is Reader",
+  strftime(created_at, '%Y-%m-%d') AS "Created At", COALESCE(strftime(signed, '%Y-%m-%d'), 'N/A') AS "Registration Date"
+FROM (SELECT *, (SELECT max(registration_date) FROM readers WHERE user_id = users.id) AS signed FROM users) x
+""")
+def _s5u(lib):
+    path = scratch_path(lib.spark, "users-csv")
+    write_report_csv(user_statistics_report(lib), path, _USERS_HEADER, null_label="N/A", order=list_order("user_statistics_report"))
+    return lib.spark.read.schema(_strings(list(_USERS_HEADER.values()))).option("header", True).csv(path)
+
+
 S6_ARGS = ("month", AS_OF_LOANABLE)
 _S6_COLS = ["reservation_id", "title", "author", "reader", "created_at", "start_date", "end_date", "status",
             "report_type", "period_start", "period_end"]
