@@ -10,8 +10,7 @@ density on the path from the body to that subtree.
 
 Elements that a page itself names as something else (navigation, footer, aside,
 forms, scripts, styles, and class, id or role words such as "cookie", "advert",
-"comments") are left out of the tree. A page that marks its article or main
-element is searched inside the densest of these.
+"comments") are left out of the tree.
 
 Defined cases: null and empty html and pages without text give an empty text;
 markup that is never closed or cut off ends with the page; repeated rows are
@@ -240,20 +239,42 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def _best(root: Node) -> Node:
-    return max(reversed(_ordered(root)), key=lambda n: n.sum)
-
-
-def _texts(n: Node, out: list[str], marked: set[int] | None, inside: bool) -> None:
-    todo: list[tuple[Node | str, bool]] = [(n, inside)]
-    while todo:
-        c, chosen = todo.pop()
-        if isinstance(c, str):
-            if chosen:
-                out.append(c)
-            continue
-        chosen = chosen or marked is not None and id(c) in marked
-        todo += [(x, chosen) for x in reversed(c.children)]
+def _densest(nodes: list[Node]) -> dict[int, Node]:
+    """For every node the subtree in it with the largest density sum; of equal ones the deepest, then the first."""
+    best: dict[int, Node] = {}
+    for n in reversed(nodes):
+        top = n
+        for c in reversed(n.children):
+            if isinstance(c, Node) and best[id(c)].sum >= top.sum:
+                top = best[id(c)]
+        best[id(n)] = top
+    return best
+
+
+def _select(nodes: list[Node]) -> tuple[set[int], set[int], float]:
+    """(nodes whose whole text is taken, articles or mains they lie in, threshold)."""
+    densest = _densest(nodes)
+    best = n = densest[id(nodes[0])]
+    threshold = best.density
+    while n.parent is not None:
+        n = n.parent
+        threshold = min(threshold, n.density)
+    marked = {id(best)}
+    # Where a part of the body is as dense as the path, its own densest subtree belongs to the text too.
+    for n in nodes:
+        if n.parent is not None and n.density >= threshold and n.density > 0:
+            marked.add(id(densest[id(n)]))
+    # The outermost article around a node, without one the outermost main.
+    around: dict[int, Node | None] = {}
+    units = set()
+    for n in nodes:
+        unit = around[id(n.parent)] if n.parent is not None else None
+        if n.name == "article" and (unit is None or unit.name == "main") or n.name == "main" and unit is None:
+            unit = n
+        around[id(n)] = unit
+        if unit is not None and id(n) in marked:
+            units.add(id(unit))
+    return marked, units, threshold
 
 
 def main_text(page: str | None) -> str:
@@ -262,25 +283,20 @@ def main_text(page: str | None) -> str:
         return ""
     root = _Tree(page).root
     nodes = measure(root)
-    named = [n for n in nodes if n.name in ("article", "main") and n.size]
-    out: list[str] = []
-    if named:
-        top = max(named, key=lambda n: (n.name == "article", n.sum))
-        _texts(top, out, None, True)
-        return "\n".join(out)
     if not root.size:
         return ""
-    best = _best(root)
-    threshold, n = best.density, best
-    while n.parent is not None:
-        n = n.parent
-        threshold = min(threshold, n.density)
-    marked = {id(best)}
-    # Where a part of the body is as dense as the path, its own densest subtree belongs to the text too.
-    for n in nodes:
-        if n.parent is not None and n.density >= threshold and n.density > 0:
-            marked.add(id(_best(n)))
-    _texts(root, out, marked, False)
+    marked, units, threshold = _select(nodes)
+    out: list[str] = []
+    todo: list[tuple[Node | str, bool, bool]] = [(root, False, False)]  # (part, in a marked node, in an article of one)
+    while todo:
+        c, chosen, inside = todo.pop()
+        if isinstance(c, str):
+            if chosen or inside:
+                out.append(c)
+            continue
+        chosen = chosen or id(c) in marked
+        inside = id(c) in units or inside and not (2 * c.link > c.size and c.density < threshold)
+        todo += [(x, chosen, inside) for x in reversed(c.children)]
     return "\n".join(out)
 
 

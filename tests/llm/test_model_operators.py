@@ -95,6 +95,30 @@ def test_page_texts():
         assert html_text.main_text(page) == text
 
 
+def _prose(word: str, n: int = 40) -> str:
+    return f"{word} is told of in many words and a few more. " * (n // 8)
+
+
+def test_pages_are_searched_whole():
+    """Without an article, with several, with nested ones, and with text beside a short one: density decides, no part of the text is lost."""
+    a, b, c = (_prose(w).strip() for w in ("Alpha", "Beta", "Gamma"))
+    paragraphs = lambda *texts: "".join(f"<p>{t}</p>" for t in texts)
+    links = "<div>" + "".join(f"<a href={i}>page {i}</a> " for i in range(12)) + "</div>"
+    text = lambda body: html_text.main_text(f"<html><body>{body}</body></html>").split("\n")
+    assert text(links + "<div>" + paragraphs(a, b) + "</div>" + links) == [a, b]
+    # several: all that pass the threshold, with their headings
+    assert text(links + f"<article><h2>One</h2>{paragraphs(a, b, a)}</article><article><h2>Two</h2>{paragraphs(c, b)}</article>" + links) \
+        == ["One", a, b, a, "Two", c, b]
+    # nested: the inner one has more paragraphs than the one around it
+    assert text(links + f"<article><h1>Outer</h1>{paragraphs(a)}<article><h2>Inner</h2>{paragraphs(b, c, b, c)}</article><p>End.</p></article>") \
+        == ["Outer", a, "Inner", b, c, b, c, "End."]
+    # the title stands beside the dense part; a list of links in the article is no text
+    assert text(f"<article><h1>Title</h1><div>{paragraphs(a, b, c)}</div>{links}</article>") == ["Title", a, b, c]
+    # a short article beside the text
+    assert text(f"<article><p>Teaser</p></article><div>{paragraphs(a, b, c)}</div>") == [a, b, c]
+    assert text(f"<main><h1>Title</h1><div>{paragraphs(a, b)}</div></main><div>{paragraphs(c)}</div>") == ["Title", a, b, c]
+
+
 def test_pages_given(spark):
     found = {r.page_id: r for r in QUERIES["op8_html_text"](spark, cases.SF_MORE).collect()}
     pages = read(spark, cases.SF_MORE, "pages").collect()
