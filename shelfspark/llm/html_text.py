@@ -9,8 +9,12 @@ parts of the body join it where their density reaches the threshold, the least
 density on the path from the body to that subtree.
 
 Elements that a page itself names as something else (navigation, footer, aside,
-forms, scripts, styles, and class, id or role words such as "cookie", "advert",
-"comments") are left out of the tree.
+forms, scripts, styles) are left out of the tree. Class, id and role names such as
+"cookie", "advert" or "comments" count only as whole known names ("comment-list",
+not "related-work") and never on articles, headings and paragraphs. Elements they
+name are measured first: one that is mostly links goes; one that is not goes only
+by a name that no text has for itself, and not where it holds most of the page's
+text, unless articles outside it hold text in some proportion to it.
 
 Defined cases: null and empty html and pages without text give an empty text;
 markup that is never closed or cut off ends with the page; repeated rows are
@@ -44,18 +48,27 @@ SCOPE = frozenset("ul ol dl table select article section main div body html".spl
 #: Elements that are no part of an article.
 OUT = frozenset("head script style noscript template iframe noembed noframes object svg canvas math nav footer aside form fieldset button select "
                 "option textarea input dialog menu xmp audio video map".split())
-#: Words of class, id and role that name such parts on any element.
-OUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr "
-                      "notice notices alert popup modal overlay toast newsletter subscribe subscription paywall nav navbar navigation menu menubar "
-                      "breadcrumb breadcrumbs pagination pager sidebar aside complementary footer contentinfo header masthead topbar toolbar comment "
-                      "comments commentlist disqus respond reply replies discussion social share sharing sharebar related recommended recommendations "
-                      "widget widgets login signup search searchbox skip hidden".split())
-NOT_THE_PART = frozenset("has no not with without is js".split())
-HEADED = frozenset("article entry post story content section".split())
+#: Words of class names for such parts; the element goes unless it holds most of the page's text (``_Tree.gone``) ...
+SURE = frozenset("ad ads adv advert adverts advertisement advertisements adsense sponsored promo cookie cookies gdpr popup newsletter nav navbar menubar "
+                 "breadcrumb breadcrumbs pagination pager sidebar complementary contentinfo footer masthead topbar toolbar comment comments commentlist "
+                 "disqus sharebar searchbox".split())
+#: ... of ids, which often name the subject of a section ...
+SURE_IDS = frozenset("ad ads advert adverts adsense nav navbar pagination sidebar footer masthead topbar comments commentlist disqus".split())
+#: ... of roles. Further words may as well be a text's own: the element goes only where it is mostly links.
+SURE_ROLES = frozenset("alertdialog banner complementary contentinfo dialog menu menubar navigation search".split())
+DOUBTFUL = frozenset("advertising sponsor promotion banner consent notice notices alert modal overlay toast subscribe subscription paywall navigation menu "
+                     "aside header respond reply replies discussion social share sharing related recommended recommendations widget widgets login "
+                     "signup search skip hidden".split()) | SURE
+SURE_NAMES = frozenset("site-header global-header".split())
+#: Words that may stand beside them in a name; any other makes it a name of its own ("tag-search", "related-work").
+FRAME = frozenset("area article bar block bottom box button buttons container entry form global inner item items left link links list main outer "
+                  "page panel post primary right secondary section site slot thread top unit wrap wrapper".split())
+#: Elements that class words never leave out.
+TEXT = frozenset("html body main article h1 h2 h3 h4 h5 h6 p blockquote pre code figure figcaption dt dd".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*(?:>|\Z)"
                     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|$)", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^-_:]+")
 
 
 class Node:
@@ -69,30 +82,46 @@ class Node:
 
 
 def _left_out(name: str, attrs: str, open_names: list[str]) -> bool:
+    """Is the element no part of an article, whatever it holds?"""
     if name in OUT:
         return True
     if name == "header":  # an article's own head stays
         return not any(x in ("article", "main") for x in open_names)
     if not attrs or name in ("html", "body", "main"):
         return False
+    return any(kind.lower() == "hidden" or kind.lower() == "aria-hidden" and "true" in (v.lower() for v in values)
+               for kind, *values in _ATTR.findall(attrs))
+
+
+def _named(name: str, attrs: str, open_names: list[str]) -> str | None:
+    """"sure" or "doubtful" where a class, id or role names the element as no part of an article."""
+    if not attrs or name in TEXT or name == "header" or any(x in ("pre", "code") for x in open_names):
+        return None
+    found = None
     for kind, *values in _ATTR.findall(attrs):
-        kind, value = kind.lower(), next((v for v in values if v), "").lower()
-        if kind == "hidden" or kind == "aria-hidden" and value == "true":
-            return True
-        for token in value.split():
-            words = _WORD.findall(token)
-            found = set(words) & OUT_WORDS
-            # "has-sidebar" tells of the page, "overflow-hidden" of the style, "article-header" of the article's own head
-            if found and words[0] not in NOT_THE_PART and not (found == {"hidden"} and len(words) > 1) \
-                    and not (found == {"header"} and HEADED & set(words)):
-                return True
-    return False
+        sure = {"class": SURE, "id": SURE_IDS, "role": SURE_ROLES}.get(kind.lower(), frozenset())
+        for token in next((v for v in values if v), "").lower().split():
+            words = {w for w in _WORD.findall(token) if not any(c.isdigit() for c in w)}  # "ad-300x250"
+            if words <= DOUBTFUL | FRAME | sure and words & (DOUBTFUL | sure):
+                if words & sure or token in SURE_NAMES:
+                    return "sure"
+                found = "doubtful"
+    return found
 
 
 class _Tree:
-    """Block elements, and texts with their link parts, of one page."""
-
-    def __init__(self, page: str):
+    """Block elements, and texts with their link parts, of one page.
+
+    A first reading keeps the elements that class words name and measures them;
+    the next leaves out those of ``gone``.
+    """
+
+    def __init__(self, page: str, gone: frozenset[int] = frozenset()):
+        self.out, self.number = gone, 0
+        self.named: list[list] = []  # [number, kind, characters, in links, in articles] of the elements that class words name
+        self.watched: list[tuple[int, list]] = []  # those open, with their depth
+        self.articles = 0
+        self.seen = [0, 0, 0]  # characters so far, in links, in articles
         self.root = Node("html", None)
         self.stack: list[tuple[str, Node | None]] = [("html", self.root)]  # None: left out
         self.links = 0
@@ -125,6 +154,8 @@ class _Tree:
                         self.text(page[at:end])
                         at = end
         self.flush()
+        while self.watched:
+            self.measured()
 
     def node(self) -> Node | None:
         return self.stack[-1][1]
@@ -133,8 +164,22 @@ class _Tree:
         node = self.node()
         if raw and node is not None:
             self.pieces.append(raw)
+            size = len("".join(raw.split()))
+            self.seen[0] += size
             if self.links:
-                self.linked += len("".join(raw.split()))
+                self.linked += size
+                self.seen[1] += size
+            if self.articles:
+                self.seen[2] += size
+
+    def gone(self) -> frozenset[int]:
+        """The named elements to leave out: mostly links, or surely named and not most of the page's text.
+
+        Most of the text goes only where articles outside hold text in some proportion to it.
+        """
+        total, _, in_articles = self.seen
+        return frozenset(number for number, kind, size, link, inside in self.named
+                         if 2 * link > size or kind == "sure" and (2 * size <= total or 4 * (in_articles - inside) >= size))
 
     def flush(self, node: Node | None = None) -> None:
         """The text so far is a block of the node that is open."""
@@ -147,6 +192,7 @@ class _Tree:
             self.pieces, self.linked = [], 0
 
     def open(self, name: str, attrs: str) -> None:
+        self.number += 1
         if name in CLOSES_P:
             self.until("p", SCOPE)
         for other in SIBLINGS.get(name, ()):
@@ -158,9 +204,15 @@ class _Tree:
                 self.flush()
             return
         here = self.node()
-        out = here is None or _left_out(name, attrs, [n for n, _ in self.stack])
+        names = [n for n, _ in self.stack] if attrs or name == "header" else []
+        out = here is None or self.number in self.out or _left_out(name, attrs, names)
         if name == "body" and here is not None and not out and any(n == "body" for n, _ in self.stack):
             return
+        kind = None if out or self.out else _named(name, attrs, names)
+        if kind:
+            self.named.append([self.number, kind, *self.seen])
+            self.watched.append((len(self.stack), self.named[-1]))
+        self.articles += name == "article"
         if name in INLINE and not out:
             if name == "a":
                 self.links += 1
@@ -186,7 +238,14 @@ class _Tree:
             self.flush()
         if name == "a" and node is not None:
             self.links = max(0, self.links - 1)
+        self.articles -= name == "article"
         self.stack.pop()
+        if self.watched and self.watched[-1][0] == len(self.stack):
+            self.measured()
+
+    def measured(self) -> None:
+        element = self.watched.pop()[1]
+        element[2:] = [now - before for now, before in zip(self.seen, element[2:], strict=True)]
 
     def until(self, name: str, scope: frozenset) -> None:
         """Close up to the nearest open ``name`` that no element of ``scope`` shuts in."""
@@ -281,8 +340,15 @@ def main_text(page: str | None) -> str:
     """The blocks of the main text in page order, joined by line feeds."""
     if not page:
         return ""
-    root = _Tree(page).root
-    nodes = measure(root)
+    tree = _Tree(page)
+    root, gone = tree.root, tree.gone()
+    nodes = []
+    if gone:
+        less = _Tree(page, gone).root
+        nodes = measure(less)
+        root = less if less.size else root
+    if not gone or root is tree.root:  # no names, or nothing would be left
+        nodes = measure(root)
     if not root.size:
         return ""
     marked, units, threshold = _select(nodes)

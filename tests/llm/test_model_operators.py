@@ -119,6 +119,23 @@ def test_pages_are_searched_whole():
     assert text(f"<main><h1>Title</h1><div>{paragraphs(a, b)}</div></main><div>{paragraphs(c)}</div>") == ["Title", a, b, c]
 
 
+def test_page_class_words_leave_the_text():
+    """Names of an article's own parts, and of whatever holds most of the text, leave nothing out; parts that are really named so go."""
+    a, b, c = (_prose(w).strip() for w in ("Alpha", "Beta", "Gamma"))
+    links = "".join(f"<a href={i}>page {i}</a> " for i in range(12))
+    text = lambda body: html_text.main_text(f"<html><body>{body}</body></html>").split("\n")
+    for name in ("post category-social", "tag-search", "ad", "comment"):
+        assert text(f"<article class='{name}'><h1>T</h1><p>{a}</p><p>{b}</p></article>") == ["T", a, b]
+    assert text(f"<article><h2 id='related-work'>Related work</h2><p>{a}</p><section id='discussion'><h2 id=comments>D</h2><p>{b}</p></section>"
+                f"<p class='notice'>{c}</p><section class='social-history'><p>{a}</p></section><pre><span class='token comment'># {c}</span></pre></article>") \
+        == ["Related work", a, "D", b, c, a, "# " + c]
+    assert text(f"<div class='sidebar'><p>{a}</p><p>{b}</p></div><p>Short.</p>")[:2] == [a, b]
+    assert text("".join(f"<div class='ad'><p>{x}</p></div>" for x in (a, b, c))) == [a, b, c]
+    for part in (f"<div class='ad-300x250'>{b}</div>", f"<ul class='related-links'><li>{links}</ul>", f"<div id=comments><p>{b}</p><p>{c}</p><p>{a}</p></div>",
+                 f"<div class='cookie-notice'><p>{b}</p></div>", f"<div role=navigation><p>{b}</p></div>", f"<span class='promo-box'>{b}</span>"):
+        assert text(f"<article><p>{a}</p><p>{c}</p>{part}</article>") == text(f"<article><p>{a}</p><p>{c}</p></article>{part}") == [a, c]
+
+
 def test_pages_given(spark):
     found = {r.page_id: r for r in QUERIES["op8_html_text"](spark, cases.SF_MORE).collect()}
     pages = read(spark, cases.SF_MORE, "pages").collect()
