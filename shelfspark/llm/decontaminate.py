@@ -32,9 +32,7 @@ from .common import documents, materialize, shipped, slices, text_bytes
 WINDOW = 10
 #: Words of items in one automaton; more items are matched block by block.
 BLOCK_WORDS = 500_000
-#: ``clean`` removes hit spans of at least this many words ...
-MIN_SPAN = 10
-#: ... and drops documents with more than this share of hit words.
+#: ``clean`` removes hit spans, each at least a window of an item long, and drops documents with more than this share of hit words.
 MAX_COVERAGE = 0.5
 
 #: a-z, 0-9 and all bytes of non-ASCII characters are word bytes; A-Z become a-z; the rest separates.
@@ -263,23 +261,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *
                     F.coalesce(n_hit / F.col("n_words"), F.lit(0.0)).alias("coverage"))
 
 
-def _without(text: str, n: int, spans: list, min_span: int, max_coverage: float) -> str | None:
-    """The text without its long hit spans; null where too much is hit."""
+def _without(text: str, n: int, spans: list, max_coverage: float) -> str | None:
+    """The text without its hit spans; null where too much is hit."""
     hit = sum(b - a for a, b in spans)
     if n and hit > max_coverage * n:
         return None
-    long = [(a, b) for a, b in spans if b - a >= min_span]
-    if not long:
+    if not spans:
         return text
     places = [m.span() for m in _WORD.finditer(text)]
     kept, at = [], 0
-    for a, b in long:
+    for a, b in spans:
         kept.append(text[at:places[a][0]])
         at = places[b - 1][1]
     return "".join([*kept, text[at:]])
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch], sent, window: int, min_span: int, max_coverage: float) -> Iterator[pa.RecordBatch]:
+def _rewrite(batches: Iterator[pa.RecordBatch], sent, window: int, max_coverage: float) -> Iterator[pa.RecordBatch]:
     """The rows that stay, with all their columns, and what is left of their texts."""
     automaton = _automaton(sent, window)
     for whole in batches:
@@ -289,34 +286,42 @@ def _rewrite(batches: Iterator[pa.RecordBatch], sent, window: int, min_span: int
             new = []
             for text in old:
                 words = item_words(text)
-                new.append(_without(text, len(words), document_hits(automaton, words)[0], min_span, max_coverage) if words else text)
+                left = _without(text, len(words), document_hits(automaton, words)[0], max_coverage) if words else text
+                while left and left != text:  # what a cut brings together may be an item again
+                    text, words = left, item_words(left)
+                    left = _without(text, len(words), document_hits(automaton, words)[0], 1.0)
+                new.append(left)
             stay = pa.array([x is not None or y is None for x, y in zip(new, old, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else b.column(c) for c in b.schema.names],
                                              names=b.schema.names).filter(stay)
 
 
-def _apply_spans(batches: Iterator[pa.RecordBatch], min_span: int, max_coverage: float) -> Iterator[pa.RecordBatch]:
+def _apply_spans(batches: Iterator[pa.RecordBatch], max_coverage: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         old = b.column("text").to_pylist()
-        new = [_without(t, n, [(s["a"], s["b"]) for s in spans], min_span, max_coverage) if spans else t
+        new = [_without(t, n, [(s["a"], s["b"]) for s in spans], max_coverage) if spans else t
                for t, n, spans in zip(old, b.column("_n").to_pylist(), b.column("_s").to_pylist(), strict=True)]
         stay = pa.array([x is not None or y is None for x, y in zip(new, old, strict=True)], pa.bool_())
         keep = [c for c in b.schema.names if c not in ("_n", "_s")]
         yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else b.column(c) for c in keep], names=keep).filter(stay)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span: int = MIN_SPAN, max_coverage: float = MAX_COVERAGE,
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE,
           block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay; hit spans of ``min_span`` words or more are cut out of their texts."""
+    """The rows of ``docs``, all columns, that stay; the hit spans are cut out of their texts."""
     spark = docs.sparkSession
     shipped(spark)
     blocks = _blocks(benchmark, block_words)
     block, after = next(blocks), next(blocks, None)
     if after is None:
         sent = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
-        return docs.mapInArrow(lambda it: _rewrite(it, sent, window, min_span, max_coverage), docs.schema)
-    found = hits(docs, benchmark, window, block_words, with_text=True)
+        return docs.mapInArrow(lambda it: _rewrite(it, sent, window, max_coverage), docs.schema)
+    found = hits(docs, benchmark, window, block_words, with_text=True).where(F.size("spans") > 0)
     found = found.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_k"), F.col("n_words").alias("_n"), F.col("spans").alias("_s")).distinct()
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.join(found, docs.doc_id.eqNullSafe(found["_d"]) & (key == found["_k"])).select(*docs.columns, "_n", "_s")
-    return rows.mapInArrow(lambda it: _apply_spans(it, min_span, max_coverage), docs.schema)
+    found = materialize(found, "decontaminate-spans")
+    same = docs.doc_id.eqNullSafe(found["_d"]) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == found["_k"])
+    rows = docs.join(found, same).select(*docs.columns, "_n", "_s")
+    cut = materialize(rows.mapInArrow(lambda it: _apply_spans(it, max_coverage), docs.schema), "decontaminate-cut")
+    rest = docs.join(found, same, "left_anti")
+    # What a cut brings together may be an item again: the rows that were cut, fewer each time, go through once more.
+    return rest.unionByName(clean(cut, benchmark, window, 1.0, block_words)) if cut.take(1) else rest

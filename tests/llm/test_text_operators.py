@@ -153,6 +153,21 @@ def test_clean_cuts_spans_and_drops_covered(spark, block_words):
     assert got == {0: "Before this, ; after it all the rest of the words stay as they are here", 2: None, 3: "", 4: texts[4]}
 
 
+@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 3])
+def test_clean_cuts_items_shorter_than_a_window(spark, block_words):
+    items = [(1, "Forty two"), (2, "the capital of France is Paris"), (3, "zyx"), (4, " ".join(f"w{i}" for i in range(12)))]
+    rest = "and these many other words of the text stay just as they are"
+    texts = [f"Say forty-two, {rest}", f"{rest}: The capital of France is Paris!", f"zyx {rest} ZYX", rest, f"forty {items[3][1]} two {rest} {rest}", "forty two", None]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = cases.frame(spark, texts)
+    out = decontaminate.clean(docs, bench, block_words=block_words)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert {i: None if t is None else t.split() for i, t in got.items()} == {
+        0: ["Say", ",", *rest.split()], 1: [*(rest + ":").split(), "!"], 2: rest.split(), 3: rest.split(), 4: (rest + " " + rest).split(), 6: None}
+    assert not any(x[5] for x in cases.contamination(list(got.values()), list(got), items))
+
+
 def test_simhash_awkward(spark, awkward, empty):
     texts, ids, df = awkward
     prints = [cases.fingerprint(t) for t in texts]
