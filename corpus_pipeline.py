@@ -1,6 +1,7 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read by the next.
 
-1. language ID: documents without an identified language go;
+1. language ID: documents without an identified language go (without a letter, or farther from all
+   profiles than any labelled document that is identified rightly);
 2. line dedup: repeated lines go, except in the last document that holds them;
 3. SimHash near-dedup: the smallest doc_id of each group stays;
 4. benchmark decontamination: hit spans go, and documents that are mostly benchmark;
@@ -31,7 +32,8 @@ from shelfspark.session import scratch_path  # noqa: E402
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.keep_identified(docs, langid.learn(docs))
+    ranked = langid.learn(docs)
+    return langid.keep_identified(docs, ranked, langid.least_score(docs, ranked))
 
 
 def _counted(df: DataFrame) -> DataFrame:

@@ -12,6 +12,10 @@ a sort of integers. Profiles are fitted on a bounded sample: about
 ``SAMPLE_DOCS`` labelled, not held-out documents a language, chosen by a hash of
 their id; all documents are classified in whole.
 
+``keep_identified`` keeps what is at least as near to a profile as the farthest
+labelled document that is identified rightly (``least_score``), so texts in a
+script or language that no profile knows go.
+
 Defined cases: null text or a text without letters is ``und`` with score 0;
 without any learned language all are ``und``; equal n-gram counts go by code,
 equal distances to the first language by name; repeated rows are returned each;
@@ -114,12 +118,16 @@ class Profiles:
 _BUILT: dict = {}
 
 
-def _classify(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+def _model(sent) -> Profiles:
     key, ranked, profile = sent.value
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = Profiles(ranked, profile)
-    model = _BUILT[key]
+    return _BUILT[key]
+
+
+def _classify(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    model = _model(sent)
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             b = whole.slice(at, 500)
@@ -141,22 +149,41 @@ def predict(docs: DataFrame, ranked: dict[str, list[int]], profile: int = PROFIL
                            + (", text_key long" if with_key else ""))
 
 
+def _least(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """The least score above 0 of this task's rows whose label is found."""
+    model, least = _model(sent), None
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            b = whole.slice(at, 500)
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                found, score = model.classify(text)
+                if found == lang and score > 0 and (least is None or score < least):
+                    least = score
+    if least is not None:
+        yield pa.RecordBatch.from_pydict({"score": pa.array([least], pa.float64())})
+
+
+def least_score(docs: DataFrame, ranked: dict[str, list[int]], profile: int = PROFILE) -> float:
+    """The least score with which a labelled document is still identified rightly, over all of them; 0 if there is none."""
+    spark = docs.sparkSession
+    shipped(spark)
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, ranked, profile))
+    rows = documents(docs, F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull()).select("lang", "text")
+    return rows.mapInArrow(lambda it: _least(it, sent), "score double").agg(F.min("score").alias("score")).first().score or 0.0
+
+
 def _keep(batches: Iterator[pa.RecordBatch], sent, column: str, min_score: float) -> Iterator[pa.RecordBatch]:
     """Rows whose text is in a learned language, all columns as they are."""
-    key, ranked, profile = sent.value
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Profiles(ranked, profile)
-    model = _BUILT[key]
+    model = _model(sent)
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             b = whole.slice(at, 500)
             found = [model.classify(t or "") for t in b.column(column).to_pylist()]
-            yield b.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
+            yield b.filter(pa.array([lang != UNKNOWN and score > 0 and score >= min_score for lang, score in found], pa.bool_()))
 
 
 def keep_identified(docs: DataFrame, ranked: dict[str, list[int]], min_score: float = 0.0, profile: int = PROFILE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is identified with at least ``min_score``."""
+    """The rows of ``docs``, all columns, whose text is identified with at least ``min_score``; never those that share no n-gram with a profile."""
     spark = docs.sparkSession
     shipped(spark)
     sent = spark.sparkContext.broadcast((uuid.uuid4().hex, ranked, profile))

@@ -270,6 +270,21 @@ def test_languages_against_plain_version(spark):
         assert (x.lang_pred, round(x.score, 9), x.held_out) == (lang, round(score, 9), zlib.crc32(str(x.doc_id).encode()) % 5 == 0)
 
 
+def test_language_stage_rejects_unlearned_scripts(spark):
+    import corpus_pipeline
+    given = [(r.text, r.lang) for r in read(spark, cases.SF_MORE, "documents").select("text", "lang").collect()]
+    other = ["Το κείμενο αυτό είναι γραμμένο σε άλλη γραφή. " * 5, "これは別の文字で書かれた文章です。" * 5,
+             "Это совсем другой текст и другая письменность, a как же. " * 5, "한국어로 쓴 글입니다 OK " * 8]
+    docs = cases.frame(spark, [t for t, _ in given] + other, lang=[x for _, x in given] + [None] * len(other))
+    ranked = langid.learn(docs)
+    assert langid.least_score(docs, ranked) > 0
+    kept = corpus_pipeline.language_id(spark, docs, cases.SF_MORE)
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, (t, _) in enumerate(given) if any(c.isalpha() for c in t)]
+    # without a bound too, nothing that shares no n-gram stays
+    assert langid.keep_identified(cases.frame(spark, ["the", "日本"]), ranked).count() == 1
+    assert langid.least_score(docs.where("lang is null"), ranked) == 0.0
+
+
 def test_languages_held_out(spark, empty):
     from shelfspark.llm.queries import QUERIES
     found = QUERIES["op3_language_id"](spark, cases.SF_MORE).join(documents(read(spark, cases.SF_MORE, "documents"), "lang"), "doc_id")
