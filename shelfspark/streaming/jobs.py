@@ -7,9 +7,9 @@ its sink in the shared checkpoint folder (never collected to the driver).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -131,14 +131,28 @@ def stream_book_status(spark: SparkSession, sf_dir: str, max_files: int | None =
 PENDING_DAYS = 30
 
 
-def _spaced(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Requests of one user between two decisions: each accepted one refuses those of the next 30 days."""
-    pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-    ts, ok, i = pdf["ts"].to_numpy(), np.zeros(len(pdf), bool), 0
-    while i < len(ts):
-        ok[i] = True
-        i = max(i + 1, int(np.searchsorted(ts, ts[i] + np.timedelta64(PENDING_DAYS, "D"))))
-    return pd.DataFrame({"bucket": pdf["bucket"], "event_id": pdf["event_id"], "user_id": pdf["user_id"], "accepted": ok})
+def _spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events by user in order: an accepted request refuses those of the next 30 days, up to a decision.
+
+    Only the last accepted time is carried from row to row. A request without a time is accepted and refuses none.
+    """
+    user, until = None, None
+    for b in batches:
+        requests, accepted = [], []
+        for i, (u, kind, ts) in enumerate(zip(b.column("user_id").to_pylist(), b.column("event_type").to_pylist(),
+                                              b.column("wall").cast(pa.int64()).to_pylist(), strict=True)):
+            if u != user:
+                user, until = u, None
+            if kind == "signup":
+                until = None
+            elif kind == "view":
+                ok = ts is None or until is None or ts >= until
+                if ok and ts is not None:
+                    until = ts + PENDING_DAYS * 86_400_000_000
+                requests.append(i)
+                accepted.append(ok)
+        rows = b.select(["bucket", "event_id", "user_id"]).take(pa.array(requests, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(accepted, pa.bool_())], names=[*rows.schema.names, "accepted"])
 
 
 def pending_request_rule(events: DataFrame) -> DataFrame:
@@ -146,12 +160,13 @@ def pending_request_rule(events: DataFrame) -> DataFrame:
 
     Request events ('view') and decision events ('signup', an approval or
     rejection) of one user apply in (ts, event_id) order; a decision clears
-    the pending request, so the requests between two decisions are a group.
+    the pending request. A user's events stream through one task, sorted by
+    Spark, so its memory does not grow with them.
     """
-    decisions = F.sum((F.col("event_type") == "signup").cast("int")).over(
-        Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    groups = events.withColumn("_part", decisions).where(F.col("event_type") == "view").groupBy("user_id", "_part")
-    return groups.applyInPandas(_spaced, "bucket int, event_id long, user_id long, accepted boolean")
+    ordered = events.select(F.col("bucket").cast("int").alias("bucket"), F.col("event_id").cast("long").alias("event_id"),
+                            F.col("user_id").cast("long").alias("user_id"), "event_type", F.col("ts").cast("timestamp_ntz").alias("wall")) \
+        .repartition("user_id").sortWithinPartitions("user_id", "wall", "event_id")
+    return ordered.mapInArrow(_spaced, "bucket int, event_id long, user_id long, accepted boolean")
 
 
 def stream_pending_requests(spark: SparkSession, sf_dir: str, max_files: int | None = None, base: str | None = None,

@@ -113,6 +113,31 @@ def test_book_status_does_not_depend_on_the_batch_size(spark):
     assert runs[0] == runs[1] == {80: True, 90: True, 120: True, 200: True}
 
 
+def test_pending_requests_stream_a_users_events(spark):
+    """No user's events are gathered in one frame; what is carried holds across record batches of a few rows."""
+    start, rows, expected = dt.datetime(2024, 1, 1), [], {}
+    for user in (1, 2, None):
+        until = None
+        for i in range(60):
+            ts, kind = start + dt.timedelta(days=7 * i), "signup" if i % 13 == 12 else "view"
+            event = len(rows)
+            rows.append((event % 4, event, ts, user, kind))
+            if kind == "signup":
+                until = None
+            else:
+                expected[event] = until is None or ts >= until
+                until = ts + dt.timedelta(days=30) if expected[event] else until
+    events = spark.createDataFrame(rows[::-1], "bucket int, event_id long, ts timestamp_ntz, user_id long, event_type string")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        out = S.pending_request_rule(events)
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+        assert {r.event_id: r.accepted for r in out.collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_pending_requests_do_not_depend_on_the_batch_size(spark):
     d = _three_events(spark)
     runs = [{r.event_id: r.accepted for r in S.stream_pending_requests(spark, d, max_files=n).collect()} for n in (None, 1)]
