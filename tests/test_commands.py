@@ -12,7 +12,7 @@ from shelfspark.operators import commands_circulation as WL
 from shelfspark.operators import commands_users as WU
 from shelfspark.operators.batch import merge_rows
 from shelfspark.streaming import jobs as S
-from conftest import SF_SMALL
+from settings import SF_SMALL
 
 
 def _rows(df):

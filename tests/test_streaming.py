@@ -65,7 +65,7 @@ def test_keyed_table_replay_and_restart(spark):
 
 def test_reader_summary_follows_returns_and_resumes(spark, lib):
     """A return lowers active_loans, a delete total_loans; a resumed job counts nothing twice."""
-    from conftest import SF_SMALL
+    from settings import SF_SMALL
     d = tempfile.mkdtemp(prefix="changes-")
     for t in ("customer", "orders", "lineitem", "nation", "supplier", "part"):
         os.symlink(os.path.join(SF_SMALL, f"{t}.parquet"), os.path.join(d, f"{t}.parquet"))
