@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, langid, line_dedup, packing, permutation_index, secrets, simhash, substring_dedup, toxicity
+from . import decontaminate, html_text, langid, line_dedup, packing, permutation_index, secrets, simhash, substring_dedup, token_files, toxicity
 from .common import read
 from .oracle import ORACLE  # noqa: F401
 
@@ -54,6 +54,10 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest_neighbours(read(spark, sf_dir, "embeddings"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_toxicity, op2_substring_dedup, op3_language_id, op4_line_dedup, op5_secret_scan, op6_decontaminate, op7_simhash,
-    op8_html_text, op9_packing, op10_permutation_index)}
+    op8_html_text, op9_packing, op10_permutation_index, op11_token_files)}
