@@ -96,8 +96,9 @@ class Encoder:
         self.cuts = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
                      and not pre.get("add_prefix_space") and not (spec.get("truncation") or spec.get("padding"))
                      and not any(a["single_word"] or a["lstrip"] or a["rstrip"] or " " in a["content"] for a in added))
-        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, i in self.tokenizer.get_vocab().items():  # a byte-level vocabulary has a character for each byte
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():  # a byte-level vocabulary has a character for each byte
             self.width[i] = len(token)
         for a in added:
             self.width[a["id"]] = len(a["content"].encode())
