@@ -46,3 +46,40 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN name USING (r)
 """
 
 ORACLE: dict[str, str] = {"op2_substring_dedup": SUBSTRINGS, "op4_line_dedup": LINES, "op6_decontaminate": CONTAMINATION}
+
+
+def _crc_table() -> str:
+    """The 256 steps of crc32 as an SQL list."""
+    steps = list(range(256))
+    for _ in range(8):
+        steps = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in steps]
+    return f"[{', '.join(map(str, steps))}]::BIGINT[]"
+
+
+IMPORTANCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+size AS (SELECT unnest([1, 2, 3]) AS n),
+gram AS (SELECT r, g, count(*) AS m FROM (SELECT r, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS g
+         FROM d, size WHERE len(ws) >= n) GROUP BY r, g),
+want AS (SELECT g, count(*) AS m FROM (SELECT unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS g
+         FROM b, size WHERE len(ws) >= n) GROUP BY g),
+bytes AS (SELECT g, list_transform(range(0, length(hex(encode(g))) // 2), lambda i: CAST('0x' || substr(hex(encode(g)), 2 * i + 1, 2) AS BIGINT)) AS x
+          FROM (SELECT g FROM gram UNION SELECT g FROM want)),
+place AS (SELECT g, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), x), lambda c, k: xor(c >> 8, ({_crc_table()})[(xor(c, k) & 255) + 1])),
+                        CAST(4294967295 AS BIGINT)) % 10000 AS bucket FROM bytes),
+corpus AS (SELECT bucket, sum(m) AS s FROM gram JOIN place USING (g) GROUP BY bucket),
+target AS (SELECT bucket, sum(m) AS t FROM want JOIN place USING (g) GROUP BY bucket),
+every AS (SELECT (SELECT coalesce(sum(s), 0) FROM corpus)::DOUBLE AS s_all, (SELECT coalesce(sum(t), 0) FROM target)::DOUBLE AS t_all),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((s::DOUBLE + 1) * (t_all + 10000))))::BIGINT AS v
+         FROM corpus LEFT JOIN target USING (bucket), every),
+own AS (SELECT r, sum(m)::BIGINT AS n_features, sum(m * v)::BIGINT AS weight FROM gram JOIN place USING (g) JOIN gain USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+           + floor(-1000 * ln(-ln((CAST('0x' || left(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+           FROM d LEFT JOIN own USING (r)),
+able AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS rank, 5 * count(*) OVER () // 100 AS drawn FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank, n_words FROM scored LEFT JOIN able USING (r)
+"""
+
+ORACLE["op12_importance"] = IMPORTANCE
