@@ -395,6 +395,17 @@ def _stage(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
         yield closed()
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of the task's staged files, added up."""
+    total = np.zeros(0, np.int64)
+    for b in batches:
+        n = np.bincount(b.column("id").flatten().to_numpy(), b.column("n").flatten().to_numpy(), len(total)).astype(np.int64)
+        n[:len(total)] += total
+        total = n
+    found = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"id": pa.array(found, pa.int32()), "n": pa.array(total[found], pa.int64())})
+
+
 _FILES = "part int, nth int, file string, n_docs long, n_ids long, n_bytes long"
 
 
@@ -432,7 +443,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     keys = [F.col("doc_id").asc_nulls_first(), "hash", "own"]
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     plain = materialize(ordered.mapInArrow(lambda it: _stage(it, staged, path, end_id, file_ids), _STAGED_FILES), "token-stage-files")
-    counted = plain.select(F.inline(F.arrays_zip("id", "n"))).groupBy("id").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
+    counted = plain.select("id", "n").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
     by_rank = np.array([r.id for r in sorted(counted, key=lambda r: (-r.n, r.id))], np.uint32)
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
