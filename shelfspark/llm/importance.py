@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,7 +180,7 @@ def _summed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
             b = whole.slice(at, 20_000)
             times, packed = b.column("times").to_numpy(), b.column("buckets")
             raw = np.frombuffer(b"".join(packed.to_pylist()), "<u2")
-            size = pa.compute.binary_length(packed).to_numpy() // 2
+            size = pc.binary_length(packed).to_numpy() // 2
             # integers in doubles: exact, a batch is far below 2 ** 53
             total += np.bincount(raw, np.repeat(times, size), buckets).astype(np.int64)
     found = np.flatnonzero(total)
@@ -229,7 +230,7 @@ def _weighed(batches: Iterator[pa.RecordBatch], sent, column: str) -> Iterator[p
             b = whole.slice(at, 20_000)
             packed = b.column(column)
             sums = np.concatenate(([0], np.cumsum(gain[np.frombuffer(b"".join(packed.to_pylist()), "<u2")])))
-            size = pa.compute.binary_length(packed).to_numpy().astype(np.int64) // 2
+            size = pc.binary_length(packed).to_numpy().astype(np.int64) // 2
             to = np.cumsum(size)
             kept = [c for c in b.schema.names if c != column]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(size), pa.array(sums[to] - sums[to - size])],
