@@ -83,3 +83,31 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END
 """
 
 ORACLE["op12_importance"] = IMPORTANCE
+
+
+TRIE = rf"""
+WITH t AS (SELECT conv_id, digest, size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS k
+           FROM (SELECT conv_id, turn, left(sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS digest,
+                        strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL)),
+id AS (SELECT conv_id, list_transform(range(0, length(hex(encode(c))) // 2), lambda i: CAST('0x' || substr(hex(encode(c)), 2 * i + 1, 2) AS BIGINT)) AS x
+       FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS c FROM t)),
+conv AS (SELECT conv_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), x), lambda c, k: xor(c >> 8, ({_crc_table()})[(xor(c, k) & 255) + 1])),
+                             CAST(4294967295 AS BIGINT)) % 9 AS h FROM id),
+every AS (SELECT conv.conv_id, 0 AS of, k, digest, size FROM conv JOIN t ON t.conv_id = conv.conv_id - conv.conv_id % 5 AND k < h
+          UNION ALL SELECT conv.conv_id, 1, k, digest, size FROM conv JOIN t ON t.conv_id = conv.conv_id AND k >= h),
+turn AS (SELECT conv_id, digest, size, row_number() OVER (PARTITION BY conv_id ORDER BY of, k) AS d FROM every),
+prefix AS (SELECT conv_id, 0 AS d, '' AS name, 0 AS size FROM conv
+           UNION ALL SELECT conv_id, d, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY d), size FROM turn),
+node AS (SELECT name, d, min(conv_id) AS conv_id, count(*) AS n_convs, min(size) AS size FROM prefix GROUP BY name, d),
+kids AS (SELECT left(name, length(name) - 32) AS name, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+below AS (SELECT a.name, sum((u.n_convs - 1) * u.size) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+          FROM node u LEFT JOIN kids USING (name) JOIN prefix a ON a.conv_id = u.conv_id AND a.d <= u.d GROUP BY a.name),
+size AS (SELECT conv_id, max(d) AS n FROM prefix GROUP BY conv_id),
+ends AS (SELECT name, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM prefix JOIN size USING (conv_id) WHERE d = n GROUP BY name)
+SELECT node.conv_id, node.d::BIGINT AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves,
+       saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN below ON below.name = node.name LEFT JOIN kids ON kids.name = node.name LEFT JOIN ends ON ends.name = node.name
+LEFT JOIN node up ON node.d > 0 AND up.name = left(node.name, length(node.name) - 32)
+"""
+
+ORACLE["op13_prefix_trie"] = TRIE

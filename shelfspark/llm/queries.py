@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, importance, langid, line_dedup, packing, permutation_index, secrets, simhash, \
-    substring_dedup, token_files, toxicity
+from . import decontaminate, html_text, importance, langid, line_dedup, packing, permutation_index, prefix_trie, secrets, \
+    simhash, substring_dedup, token_files, toxicity
 from .common import read
 from .oracle import ORACLE  # noqa: F401
 
@@ -63,6 +63,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_toxicity, op2_substring_dedup, op3_language_id, op4_line_dedup, op5_secret_scan, op6_decontaminate, op7_simhash,
-    op8_html_text, op9_packing, op10_permutation_index, op11_token_files, op12_importance)}
+    op8_html_text, op9_packing, op10_permutation_index, op11_token_files, op12_importance, op13_prefix_trie)}
