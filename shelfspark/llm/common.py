@@ -49,6 +49,17 @@ def documents(docs: DataFrame, *extra: str) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of ``docs``."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and ``tkey``, which tells apart different texts under one repeated id."""
     return documents(docs).withColumn("tkey", F.hash("text"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, shipped, slices, text_bytes
+from .common import documents, free_names, materialize, shipped, slices, text_bytes
 
 WINDOW = 10
 #: Words of items in one automaton; more items are matched block by block.
@@ -296,13 +296,13 @@ def _rewrite(batches: Iterator[pa.RecordBatch], sent, window: int, max_coverage:
                                              names=b.schema.names).filter(stay)
 
 
-def _apply_spans(batches: Iterator[pa.RecordBatch], max_coverage: float) -> Iterator[pa.RecordBatch]:
+def _apply_spans(batches: Iterator[pa.RecordBatch], n_words: str, spans_of: str, max_coverage: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         old = b.column("text").to_pylist()
         new = [_without(t, n, [(s["a"], s["b"]) for s in spans], max_coverage) if spans else t
-               for t, n, spans in zip(old, b.column("_n").to_pylist(), b.column("_s").to_pylist(), strict=True)]
+               for t, n, spans in zip(old, b.column(n_words).to_pylist(), b.column(spans_of).to_pylist(), strict=True)]
         stay = pa.array([x is not None or y is None for x, y in zip(new, old, strict=True)], pa.bool_())
-        keep = [c for c in b.schema.names if c not in ("_n", "_s")]
+        keep = [c for c in b.schema.names if c not in (n_words, spans_of)]
         yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else b.column(c) for c in keep], names=keep).filter(stay)
 
 
@@ -317,11 +317,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cover
         sent = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
         return docs.mapInArrow(lambda it: _rewrite(it, sent, window, max_coverage), docs.schema)
     found = hits(docs, benchmark, window, block_words, with_text=True).where(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_k"), F.col("n_words").alias("_n"), F.col("spans").alias("_s")).distinct()
+    i, k, n, s = free_names(docs, "of_id", "of_text", "n_words", "spans")
+    found = found.select(F.col("doc_id").alias(i), F.xxhash64("text").alias(k), F.col("n_words").alias(n), F.col("spans").alias(s)).distinct()
     found = materialize(found, "decontaminate-spans")
-    same = docs.doc_id.eqNullSafe(found["_d"]) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == found["_k"])
-    rows = docs.join(found, same).select(*docs.columns, "_n", "_s")
-    cut = materialize(rows.mapInArrow(lambda it: _apply_spans(it, max_coverage), docs.schema), "decontaminate-cut")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(k))
+    rows = docs.join(found, same).drop(i, k)
+    cut = materialize(rows.mapInArrow(lambda it: _apply_spans(it, n, s, max_coverage), docs.schema), "decontaminate-cut")
     rest = docs.join(found, same, "left_anti")
     # What a cut brings together may be an item again: the rows that were cut, fewer each time, go through once more.
     return rest.unionByName(clean(cut, benchmark, window, 1.0, block_words)) if cut.take(1) else rest

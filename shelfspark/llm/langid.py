@@ -12,9 +12,10 @@ a sort of integers. Profiles are fitted on a bounded sample: about
 ``SAMPLE_DOCS`` labelled, not held-out documents a language, chosen by a hash of
 their id; all documents are classified in whole.
 
-``keep_identified`` keeps what is at least as near to a profile as the farthest
-labelled document that is identified rightly (``least_score``), so texts in a
-script or language that no profile knows go.
+``keep_identified`` keeps what scores at least ``score_bound``: a share of the score
+that nearly all rightly identified labelled documents reach (held-out ones are not
+read), so texts in a script or language that no profile knows go. Without any
+learned language nothing can be told apart and all rows stay.
 
 Defined cases: null text or a text without letters is ``und`` with score 0;
 without any learned language all are ``und``; equal n-gram counts go by code,
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import documents, group_by_value, held_out, materialize, shipped
 
 PROFILE = 400
+BOUND_QUANTILE, BOUND_SHARE = 0.01, 0.6
 SAMPLE_DOCS = 2000
 UNKNOWN = "und"
 
@@ -149,27 +151,29 @@ def predict(docs: DataFrame, ranked: dict[str, list[int]], profile: int = PROFIL
                            + (", text_key long" if with_key else ""))
 
 
-def _least(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """The least score above 0 of this task's rows whose label is found."""
-    model, least = _model(sent), None
+def _right(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """The scores above 0 of the rows whose label is found."""
+    model = _model(sent)
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             b = whole.slice(at, 500)
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                found, score = model.classify(text)
-                if found == lang and score > 0 and (least is None or score < least):
-                    least = score
-    if least is not None:
-        yield pa.RecordBatch.from_pydict({"score": pa.array([least], pa.float64())})
+            found = [model.classify(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"score": pa.array(
+                [s for (x, s), lang in zip(found, b.column("lang").to_pylist(), strict=True) if x == lang and s > 0], pa.float64())})
 
 
-def least_score(docs: DataFrame, ranked: dict[str, list[int]], profile: int = PROFILE) -> float:
-    """The least score with which a labelled document is still identified rightly, over all of them; 0 if there is none."""
+def score_bound(docs: DataFrame, ranked: dict[str, list[int]], profile: int = PROFILE, quantile: float = BOUND_QUANTILE,
+                share: float = BOUND_SHARE) -> float:
+    """``share`` of the score that all but a ``quantile`` of the rightly identified labelled documents reach; held-out ones are not read.
+
+    0 where there is none.
+    """
     spark = docs.sparkSession
     shipped(spark)
     sent = spark.sparkContext.broadcast((uuid.uuid4().hex, ranked, profile))
-    rows = documents(docs, F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull()).select("lang", "text")
-    return rows.mapInArrow(lambda it: _least(it, sent), "score double").agg(F.min("score").alias("score")).first().score or 0.0
+    rows = documents(docs, F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    scores = rows.select("lang", "text").mapInArrow(lambda it: _right(it, sent), "score double")
+    return share * (scores.agg(F.percentile_approx("score", quantile, 10_000).alias("q")).first().q or 0.0)
 
 
 def _keep(batches: Iterator[pa.RecordBatch], sent, column: str, min_score: float) -> Iterator[pa.RecordBatch]:
@@ -183,8 +187,13 @@ def _keep(batches: Iterator[pa.RecordBatch], sent, column: str, min_score: float
 
 
 def keep_identified(docs: DataFrame, ranked: dict[str, list[int]], min_score: float = 0.0, profile: int = PROFILE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is identified with at least ``min_score``; never those that share no n-gram with a profile."""
+    """The rows of ``docs``, all columns, whose text is identified with at least ``min_score``; never those that share no n-gram with a profile.
+
+    All rows stay if no language was learned.
+    """
     spark = docs.sparkSession
+    if not ranked:
+        return docs
     shipped(spark)
     sent = spark.sparkContext.broadcast((uuid.uuid4().hex, ranked, profile))
     return docs.mapInArrow(lambda it: _keep(it, sent, "text", min_score), docs.schema)

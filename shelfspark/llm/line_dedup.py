@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, shipped
+from .common import free_names, keyed, materialize, shipped
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -386,10 +386,12 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     if prepared.blocks == 1:
         sent = prepared.send()
         return docs.mapInArrow(lambda it: _rewrite(it, sent, min_chars, min_docs), docs.schema)
-    dropped = prepared.dropped().withColumnsRenamed({"doc_id": "_d", "tkey": "_k"})
+    i, k, gone = free_names(docs, "of_id", "of_text", "gone")
+    dropped = prepared.dropped().withColumnsRenamed({"doc_id": i, "tkey": k, "dropped": gone})
     key = F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.join(dropped, (docs.doc_id == dropped["_d"]) & (key == dropped["_k"]), "left")
+    joined = docs.join(dropped, (F.col("doc_id").cast("long") == F.col(i)) & (key == F.col(k)), "left")
     lines = F.split("text", "\n", -1)
-    out = F.flatten(F.coalesce("dropped", F.array().cast("array<array<int>>")))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(out, i))
-    return joined.withColumn("text", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    out = F.flatten(F.coalesce(gone, F.array().cast("array<array<int>>")))
+    kept = F.filter(lines, lambda x, at: ~F.array_contains(out, at))
+    return joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))) \
+        .select(*(F.col(f"`{c}`") for c in docs.columns))

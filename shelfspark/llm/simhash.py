@@ -31,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, documents, group_by_value, materialize, shipped, slices
+from .common import LOWER, Words, documents, free_names, group_by_value, materialize, shipped, slices
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -60,7 +60,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
             for at in range(0, len(h), 1 << 16):
                 ones += np.unpackbits(h[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
             out[d] = np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]
-        yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "fp": pa.array(out.view(np.int64))})
+        found = {"doc_id": b.column("doc_id"), "fp": pa.array(out.view(np.int64))}
+        if "tkey" in b.schema.names:
+            found |= {"tkey": b.column("tkey"), "size": pa.array(np.diff(words.offsets))}
+        yield pa.RecordBatch.from_pydict(found)
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -136,22 +139,40 @@ def links(fps: DataFrame, radius: int = MAX_BITS) -> DataFrame:
     return v.repartition("x").sortWithinPartitions("x").mapInArrow(lambda it: _meet(it, radius), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
-    fps = materialize(fingerprints(docs, width), "simhash")
+def components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, root, component_id) of each different fingerprint of ``fps`` (doc_id, fp): its group, and the group's least doc_id."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(nodes, max_bits))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "simhash-roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return named.select("fp", "root").join(least, "root")
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
+    fps = materialize(fingerprints(docs, width), "simhash")
+    of = components(fps, max_bits).select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs``, all columns, of the smallest doc_id of each group (one row, if it repeats); rows without an id stay."""
-    first = near_duplicates(docs, width, max_bits).where("component_id = doc_id").select("doc_id").distinct()
-    stay = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    nth = Window.partitionBy("doc_id").orderBy(F.length("text").desc(), F.xxhash64("text"))
-    stay = stay.withColumn("_nth", F.row_number().over(nth)).where("_nth = 1").drop("_nth")
-    return stay.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs``, all columns, that stand for their group: one of those with its smallest doc_id.
+
+    Of several rows with that doc_id in one group the longest text stays, of equal lengths the one with the greatest hash,
+    of rows alike in both one. Rows of one doc_id in different groups all stay, and so do rows without an id.
+    """
+    shipped(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("tkey", F.xxhash64("text"))
+    prints = materialize(rows.mapInArrow(lambda it: _fingerprints(it, width), "doc_id long, fp long, tkey long, size long"), "simhash")
+    texts = prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "tkey", "fp").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    first = texts.join(components(prints, max_bits), "fp").where(F.col("doc_id") == F.col("component_id"))
+    kept = first.groupBy("root", "doc_id").agg(F.max(F.struct("size", "tkey", "n")).alias("best"))
+    i, k, n = free_names(docs, "kept_id", "kept_text", "kept_n")
+    kept = materialize(kept.select(F.col("doc_id").alias(i), F.col("best.tkey").alias(k), F.col("best.n").alias(n)), "simhash-kept")
+    same = (F.col("doc_id").cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(k))
+    alone = docs.join(kept.where(F.col(n) == 1), same, "left_semi")
+    # Rows alike in id and text become one by an aggregate, which combines them before the shuffle.
+    alike = docs.join(kept.where(F.col(n) > 1), same).groupBy(i, k).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
+    return alone.unionByName(alike.select("row.*")).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -166,7 +167,7 @@ def _check_packing(found, texts: dict, window=2048, slot=64):
         piece = np.array(ids[r.doc_id][r.start:r.start + r.length], "<u4")
         assert r.length == len(piece) > 0 and r.ids_crc32 == zlib.crc32(piece.tobytes()) and r.doc_tokens == len(ids[r.doc_id])
         by_doc.setdefault(r.doc_id, []).append((r.start, r.length))
-        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length, r.source))
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length, r.queue))
     for i, x in ids.items():
         at = 0
         for start, length in sorted(by_doc[i]):
@@ -182,7 +183,7 @@ def _check_packing(found, texts: dict, window=2048, slot=64):
         assert at <= window
         sizes[s] = at
     assert sorted(by_sequence) == list(range(len(by_sequence)))
-    queues = len({r.source for r in found})
+    queues = len({r.queue for r in found})
     assert sum(window - x for s, x in sizes.items() if s != max(sizes)) <= slot * queues
     return ids, by_sequence
 
@@ -191,17 +192,22 @@ def test_packing_given(spark):
     docs = read(spark, cases.SF, "documents").collect()
     found = QUERIES["op9_packing"](spark, cases.SF).collect()
     ids, by_sequence = _check_packing(found, {r.doc_id: r.text for r in docs})
-    # every window holds the corpus mixture, to a slot or two of each queue
-    total = sum(map(len, ids.values()))
-    share = {}
+    # every window holds the target mixture, to a slot or two of each queue, up to the one where the first queue runs out
+    slots = {}
     for r in docs:
-        share[r.source] = share.get(r.source, 0) + len(ids[r.doc_id]) / total
+        slots[f"={r.source}"] = slots.get(f"={r.source}", 0) + len(ids[r.doc_id])
+    owed = {q: (-(-n // 64)) ** packing.MIXTURE_POWER for q, n in slots.items()}
+    share = {q: w / sum(owed.values()) for q, w in owed.items()}
+    last = {}
     for s, pieces in by_sequence.items():
-        if s != max(by_sequence):
-            own = {}
-            for _, n, q in pieces:
-                own[q] = own.get(q, 0) + n
-            assert all(abs(own.get(q, 0) - 2048 * p) <= 2.01 * 64 for q, p in share.items())
+        for _, _, q in pieces:
+            last[q] = max(last.get(q, 0), s)
+    assert min(last.values()) >= 3
+    for s in range(min(last.values())):
+        own = {}
+        for _, n, q in by_sequence[s]:
+            own[q] = own.get(q, 0) + n
+        assert all(abs(own.get(q, 0) - 2048 * p) <= 2.01 * 64 for q, p in share.items())
 
 
 def test_packing_cases(spark, empty):
@@ -211,31 +217,67 @@ def test_packing_cases(spark, empty):
     with_ids = packing.pack(df, with_ids=True).collect()
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in with_ids)
     few = packing.pack(df, max_queues=2).collect()
-    assert len({r.source for r in few} - {None}) <= 2
+    assert {(r.source, r.queue) for r in few} == {("s", "=s"), (None, "rest"), ("t", "rest"), ("", "rest")}
     _check_packing(few, dict(enumerate(texts)))
     assert packing.pack(empty).count() == 0
     again = cases.frame(spark, ["same", "same"], ids=[1, 1])
     assert sum(r.length for r in packing.pack(again).collect()) == 2 * packing.pack(again).first().doc_tokens
 
 
-def test_packing_follows_weights(spark):
-    df = cases.frame(spark, ["a b c d " * 3000, "e f g h " * 3000, "i j k l " * 200], source=["x", "y", "z"])
-    found = packing.pack(df, weights={"x": 1, "y": 3, "z": 1}).collect()
-    _check_packing(found, {i: t for i, t in enumerate(["a b c d " * 3000, "e f g h " * 3000, "i j k l " * 200])})
-    own = {}
+def _first_shares(found) -> dict:
+    own: dict = {}
     for r in found:
         if r.sequence_id == 0:
             own[r.source] = own.get(r.source, 0) + r.length
-    assert abs(own["y"] - 2048 * 3 / 5) <= 128 and abs(own["x"] - 2048 / 5) <= 128
+    return own
+
+
+@pytest.mark.parametrize("weights", [{"x": 1, "y": 3, "z": 1}, {"x": 0.2, "y": 0.6, "z": 0.2, "absent": 4}])
+def test_packing_follows_weights(spark, weights):
+    texts = ["a b c d " * 3000, "e f g h " * 3000, "i j k l " * 800]
+    df = cases.frame(spark, texts, source=["x", "y", "z"])
+    found = packing.pack(df, weights=weights).collect()
+    _check_packing(found, dict(enumerate(texts)))
+    own = _first_shares(found)
+    assert abs(own["y"] - 2048 * 3 / 5) <= 64 and abs(own["x"] - 2048 / 5) <= 64
+
+
+def test_packing_weights_are_proportions(spark):
+    df = cases.frame(spark, ["a b c d " * 3000, "e f g h " * 3000], source=["a", "b"])
+    own = _first_shares(packing.pack(df, weights={"a": 0.7, "b": 0.3}).collect())
+    assert abs(own["a"] - 2048 * 0.7) <= 64
+    for bad in ({"a": 0, "b": 1}, {"a": -1.5, "b": 1}, {"a": float("nan"), "b": 1}, {"a": "1", "b": 1}, {"a": 1}):
+        with pytest.raises(ValueError, match="weight"):
+            packing.pack(df, weights=bad)
+
+
+def test_packing_many_sources(spark):
+    """Sources beyond the largest share a queue and keep their names."""
+    n = 1500
+    texts = [f"text number {i} " * (1 + i % 5) for i in range(n)]
+    df = cases.frame(spark, texts, source=[f"s{i}" for i in range(n)]).repartition(3)
+    found = packing.pack(df).collect()
+    ids, _ = _check_packing(found, dict(enumerate(texts)))
+    assert all(r.source == f"s{r.doc_id}" for r in found)
+    rest = {r.source for r in found if r.queue == "rest"}
+    assert len({r.queue for r in found}) == packing.MAX_QUEUES and len(rest) == n - packing.MAX_QUEUES + 1
+    assert max(len(texts[int(s[1:])]) for s in rest) <= min(len(texts[i]) for i in range(n) if f"s{i}" not in rest)
 
 
 def test_schedule_is_a_permutation_with_either_arithmetic():
     totals = {f"s{i}": n for i, n in enumerate([1, 64, 65, 1000, 10_000, 33_333])}
-    plan = packing.Schedule(totals)
-    ranks = np.concatenate([plan.rank(q, np.arange(n)) for q, n in enumerate(plan.slots)])
-    assert sorted(ranks.tolist()) == list(range(sum(plan.slots)))
-    plan.kind = object
-    assert ranks.tolist() == np.concatenate([plan.rank(q, np.arange(n)) for q, n in enumerate(plan.slots)]).tolist()
+    for power in (1.0, 0.7):
+        plan = packing.Schedule(totals, power=power)
+        slots = [(q, j) for q, n in enumerate(plan.slots.tolist()) for j in range(n)]
+        queue, j = (np.array(x) for x in zip(*slots, strict=True))
+        ranks = plan.rank(queue, j)
+        assert sorted(ranks.tolist()) == list(range(len(slots)))
+        # by definition: due dates in order, of equal ones the earlier queue
+        order = sorted(slots, key=lambda x: (Fraction(2 * x[1] + 1, 2 * int(plan.weight[x[0]])), x[0]))
+        place = {x: k for k, x in enumerate(order)}
+        assert ranks.tolist() == [place[x] for x in slots]
+        plan.slots, plan.weight = plan.slots.astype(object), plan.weight.astype(object)
+        assert ranks.tolist() == plan.rank(queue, j).tolist()
 
 
 # neighbours -------------------------------------------------------------------------------------------------------
