@@ -1,9 +1,9 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read by the next.
 
-1. language ID: documents without an identified language go (without a letter, or farther from all
-   profiles than any labelled document that is identified rightly);
+1. language ID: documents without an identified language go (without a letter, or much farther from all
+   profiles than labelled documents are); without any labelled document all stay;
 2. line dedup: repeated lines go, except in the last document that holds them;
-3. SimHash near-dedup: the smallest doc_id of each group stays;
+3. SimHash near-dedup: one document of each group stays, one with its smallest doc_id;
 4. benchmark decontamination: hit spans go, and documents that are mostly benchmark;
 5. packing: the pieces of the sequences.
 
@@ -33,7 +33,7 @@ from shelfspark.session import scratch_path  # noqa: E402
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranked = langid.learn(docs)
-    return langid.keep_identified(docs, ranked, langid.least_score(docs, ranked))
+    return langid.keep_identified(docs, ranked, langid.score_bound(docs, ranked))
 
 
 def _counted(df: DataFrame) -> DataFrame:
