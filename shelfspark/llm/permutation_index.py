@@ -4,16 +4,20 @@ Every vector is represented by its ``NEAREST`` nearest pivots in order. A block
 of vectors posts them in inverted files, one per pivot, as (vector, place). A
 query visits the files of its own nearest pivots and adds up the footrule
 distance, the sum of place differences (a pivot missing on one side counts as
-standing just behind the last place); the ``CANDIDATES`` vectors at the least
-distance are reranked by the exact measure, the inner product in double
-precision on the original vectors.
+standing just behind the last place). Permutations know directions only, while an
+inner product also grows with a vector's length: what the shared pivots save of
+the largest distance is multiplied by it. Among vectors of one length that is the
+order by footrule. The ``CANDIDATES`` first of a block are reranked by the exact
+measure, the inner product in double precision on the original vectors.
 
 Scale: the pivots are a bounded sample (``PIVOTS`` vectors); every vector is
-indexed. Vectors are dealt to blocks by a hash, and each block of queries meets
-each block of vectors, so neither a frequent pivot nor a cluster gathers in one
-task, and a pair of blocks returns k rows a query. Equal vectors are indexed
-once, with the k + 1 smallest of their ids, which is all a k-nearest result can
-show of them; that choice is a ranked filter combined before the shuffle.
+indexed. Vectors are dealt to blocks by a hash and travel once; the stated set of
+queries runs against all of them, block by block: each query is sent to every
+block and streams past its files, and a block returns k rows a query. So neither a
+frequent pivot nor a cluster gathers in one task, and a task holds one block. Equal
+vectors are indexed once, with the k + 1 smallest of their ids, which is all a
+k-nearest result can show of them; that choice is a ranked filter combined before
+the shuffle.
 
 Defined cases: vectors that are null, empty, zero, of another length than the
 most frequent one, or hold null or non-finite components take no part; rows that
@@ -28,7 +32,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +43,6 @@ PIVOTS = 512
 NEAREST = 48
 CANDIDATES = 2000
 BLOCK_VECTORS = 8192
-BLOCK_QUERIES = 512
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -79,33 +81,61 @@ class InvertedFiles:
         self.begin = np.searchsorted(flat[order], np.arange(n_pivots + 1))
         self.n = n
 
-    def footrule(self, perm: np.ndarray) -> np.ndarray:
-        """Distance of all vectors of the block to one permutation, up to a constant: what shared pivots save."""
+    def saved(self, perm: np.ndarray) -> np.ndarray:
+        """What shared pivots save of the largest footrule distance to one permutation, for all vectors of the block."""
         spans = [(self.begin[p], self.begin[p + 1]) for p in perm.tolist()]
         vector = np.concatenate([self.vector[s:e] for s, e in spans])
         theirs = np.concatenate([self.place[s:e] for s, e in spans])
         ours = np.repeat(np.arange(len(spans)), [e - s for s, e in spans])
-        # Missed on both sides a pivot would cost (length - ours) + (length - theirs); shared it costs |ours - theirs|.
-        return -np.bincount(vector, self.length - np.maximum(ours, theirs), self.n)
-
-
-def _search(key: tuple, vectors: pd.DataFrame, queries: pd.DataFrame, n_pivots: int, k: int, candidates: int) -> pd.DataFrame:
-    """k best of one block of vectors for each query of one block of queries."""
-    out: list[tuple] = []
-    if len(vectors) and len(queries):
-        x = np.stack(vectors["embedding"].to_numpy())
-        files = InvertedFiles(np.stack(vectors["perm"].to_numpy()), n_pivots)
-        ids = vectors["ids"].to_list()
-        for qid, q, perm in zip(queries["query_id"].to_list(), queries["q"].to_list(), queries["qperm"].to_list(), strict=True):
-            apart = files.footrule(perm)
-            near = np.argpartition(apart, candidates - 1)[:candidates] if candidates < len(apart) else np.arange(len(apart))
-            score = x[near] @ q
-            if len(score) > k + 1:  # one may be the query alone; all ties at the border stay
-                border = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-                near, score = near[score >= border], score[score >= border]
-            found = sorted((-s, i) for s, v in zip(score.tolist(), near.tolist(), strict=True) for i in ids[v] if i != qid)[:k]
-            out += [(qid, i, -s) for s, i in found]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        # Missed on both sides a pivot would cost (length - ours) + (length - theirs); shared it costs |ours - theirs|:
+        # it saves twice length - the larger place.
+        return np.bincount(vector, self.length - np.maximum(ours, theirs), self.n)
+
+
+class Searched:
+    """One block of vectors that queries run against."""
+
+    def __init__(self, rows: list[pa.RecordBatch], n_pivots: int):
+        self.x = np.concatenate([_matrix(b.column("embedding")) for b in rows])
+        self.ids = [i for b in rows for i in b.column("ids").to_pylist()]
+        self.files = InvertedFiles(np.concatenate([_matrix(b.column("perm")) for b in rows]), n_pivots)
+        self.length = np.linalg.norm(self.x, axis=1)
+
+    def nearest(self, query_id: int, q: np.ndarray, perm: np.ndarray, k: int, candidates: int) -> list[tuple[int, int, float]]:
+        worth = self.files.saved(perm) * self.length
+        near = np.argpartition(-worth, candidates - 1)[:candidates] if candidates < len(worth) else np.arange(len(worth))
+        score = self.x[near] @ q
+        if len(score) > k + 1:  # one may be the query alone; all ties at the border stay
+            border = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+            near, score = near[score >= border], score[score >= border]
+        found = sorted((-s, i) for s, v in zip(score.tolist(), near.tolist(), strict=True) for i in self.ids[v] if i != query_id)[:k]
+        return [(query_id, i, -s) for s, i in found]
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def _search(batches: Iterator[pa.RecordBatch], n_pivots: int, k: int, candidates: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block, vectors before queries: the k best of the block for each query."""
+    block, rows, searched = None, [], None
+    for whole in batches:
+        key = whole.column("block").to_numpy() * 2 + whole.column("is_query").to_numpy(zero_copy_only=False)
+        cuts = [*np.flatnonzero(np.diff(key, prepend=-1)).tolist(), len(key)]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            b = whole.slice(start, end - start)
+            if key[start] // 2 != block:
+                block, rows, searched = key[start] // 2, [], None
+            if key[start] % 2 == 0:
+                rows.append(b)
+                continue
+            if not rows:
+                continue  # a block without vectors
+            searched = searched or Searched(rows, n_pivots)
+            ids, q, perms = b.column("query_id").to_pylist(), _matrix(b.column("embedding")), _matrix(b.column("perm"))
+            for at in range(0, len(ids), 1000):
+                found = [x for i in range(at, min(len(ids), at + 1000)) for x in searched.nearest(ids[i], q[i], perms[i], k, candidates)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
 
 def _represent(batches: Iterator[pa.RecordBatch], sent, nearest: int) -> Iterator[pa.RecordBatch]:
@@ -116,7 +146,7 @@ def _represent(batches: Iterator[pa.RecordBatch], sent, nearest: int) -> Iterato
 
 
 def nearest_neighbours(vectors: DataFrame, k: int = K, query_every: int = 20, pivots: int = PIVOTS, nearest: int = NEAREST,
-                       candidates: int = CANDIDATES, block_vectors: int = BLOCK_VECTORS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+                       candidates: int = CANDIDATES, block_vectors: int = BLOCK_VECTORS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for each row whose id is divisible by ``query_every``."""
     spark = vectors.sparkSession
     shipped(spark)
@@ -136,20 +166,18 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, query_every: int = 20, pi
     sent = spark.sparkContext.broadcast((uuid.uuid4().hex, p))
     indexed = materialize(different.mapInArrow(lambda it: _represent(it, sent, nearest),
                                                "vkey long, embedding array<double>, ids array<long>, perm array<short>"), "permutations")
-    n = indexed.count()
     asked = rows.where(F.col("vec_id") % query_every == 0).withColumn("vkey", F.xxhash64("embedding"))
     asked = asked.select("vec_id", "embedding", "vkey").distinct()
     asked = materialize(asked.select(F.col("vec_id").alias("query_id"), "embedding").mapInArrow(
         lambda it: _represent(it, sent, nearest), "query_id long, embedding array<double>, perm array<short>"), "queries")
-    n_v, n_q = max(1, -(-n // block_vectors)), max(1, -(-asked.count() // block_queries))
-    across = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = indexed.withColumn("vb", F.pmod(F.xxhash64("vkey", F.lit(1)), F.lit(n_v)).cast("int")).withColumn("qb", across(n_q)) \
-        .select("vb", "qb", "embedding", "ids", "perm")
-    right = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("vb", across(n_v)) \
-        .select("vb", "qb", "query_id", F.col("embedding").alias("q"), F.col("perm").alias("qperm"))
+    n_blocks = max(1, -(-indexed.count() // block_vectors))
+    files = indexed.withColumn("block", F.pmod(F.xxhash64("vkey", F.lit(1)), F.lit(n_blocks)).cast("int")).select(
+        "block", F.lit(False).alias("is_query"), F.lit(None).cast("long").alias("query_id"), "ids", "embedding", "perm")
+    every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(True).alias("is_query"), "query_id",
+                         F.lit(None).cast("array<long>").alias("ids"), "embedding", "perm")
     n_p = len(p)
-    found = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(
-        lambda key, a, b: _search(key, a, b, n_p, k, candidates), "query_id long, vec_id long, score double")
+    found = files.unionByName(every).repartitionByRange(n_blocks, "block").sortWithinPartitions("block", "is_query") \
+        .mapInArrow(lambda it: _search(it, n_p, k, candidates), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")

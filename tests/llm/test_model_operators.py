@@ -311,6 +311,21 @@ def test_neighbours_recall(spark, folder):
     assert hit / total >= 0.95
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.5, 1.0])
+def test_neighbours_recall_with_varied_lengths(spark, spread):
+    """Directions without clusters, log-normal lengths, a table of four times the candidates in one block; all queries."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(8000, 64))
+    x *= np.exp(spread * rng.normal(size=(8000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in permutation_index.nearest_neighbours(df, candidates=2000, block_vectors=8192).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    exact = _exact(dict(enumerate(x)))
+    assert set(found) == set(exact)
+    assert sum(len(found[q] & set(e)) for q, e in exact.items()) / (20 * len(exact)) >= 0.95
+
+
 def test_neighbours_cases(spark):
     rng = np.random.default_rng(0)
     good = {i: rng.normal(size=4).round(3) for i in range(60)}
@@ -322,7 +337,7 @@ def test_neighbours_cases(spark):
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, perm string")
     vectors = {r.vec_id: np.array(r.embedding, np.float64) for r in df.collect() if r.vec_id is not None and r.vec_id < 60}
     found = {}
-    for r in permutation_index.nearest_neighbours(df, block_vectors=5, block_queries=2).collect():
+    for r in permutation_index.nearest_neighbours(df, block_vectors=5).collect():
         found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     assert {q: [v for _, v in sorted(x)] for q, x in found.items()} == _exact(vectors)
     few = spark.createDataFrame(rows[:3], df.schema)
