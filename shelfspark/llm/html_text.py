@@ -65,8 +65,11 @@ FRAME = frozenset("area article bar block bottom box button buttons container en
                   "page panel post primary right secondary section site slot thread top unit wrap wrapper".split())
 #: Elements that class words never leave out.
 TEXT = frozenset("html body main article h1 h2 h3 h4 h5 h6 p blockquote pre code figure figcaption dt dd".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*(?:>|\Z)"
-                    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A whole tag without another "<" in it, by far the most frequent case; it looks no further than to the next "<".
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*)((?:[^<>\"']|\"[^<\"]*\"|'[^<']*')*)>")
+_SPECIAL, _NAME_END = re.compile("[>\"']"), re.compile(r"[\s/>]")
+#: Decimal references so long that no character has their number (and Python does not read them).
+_HUGE = re.compile(r"&#[0-9]{1000,};?")
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|$)", re.I)
 _WORD = re.compile(r"[^-_:]+")
 
@@ -81,21 +84,102 @@ class Node:
         self.density = self.sum = 0.0
 
 
-def _left_out(name: str, attrs: str, open_names: list[str]) -> bool:
+class _Markup:
+    """The tags, comments and CDATA sections of a page in order.
+
+    What begins like a tag and has an open quote up to the page's end is text. Every search remembers where it came to, so
+    the whole page takes a time in proportion to its length, whatever it holds.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.size = page, len(page)
+        self.next_special = self.next_name_end = self.next_cdata_end = -1
+        self.tag_end: dict[int, int] = {}  # from a ">" or quote outside of quotes to the end of its tag; -1: none
+
+    def _first(self, pattern: re.Pattern, at: int) -> int:
+        m = pattern.search(self.page, at)
+        return m.start() if m else self.size
+
+    def _end_of_tag(self, at: int) -> int:
+        """Behind the tag whose attributes begin at ``at``, or -1."""
+        if self.next_special < at:
+            self.next_special = self._first(_SPECIAL, at)
+        place, passed = self.next_special, []
+        while place not in self.tag_end:
+            passed.append(place)
+            if place == self.size:
+                end = self.size
+                break
+            if self.page[place] == ">":
+                end = place + 1
+                break
+            close = self.page.find(self.page[place], place + 1)
+            if close < 0:
+                end = -1
+                break
+            place = self._first(_SPECIAL, close + 1)
+        else:
+            end = self.tag_end[place]
+        self.tag_end.update(dict.fromkeys(passed, end))
+        return end
+
+    def __iter__(self) -> Iterator[tuple[int, str, str, str]]:
+        """(start, end, kind, name or text, attributes); kind is "open", "close", "cdata" or "" (nothing that shows).
+
+        The receiver may send a place from which to go on.
+        """
+        page, at = self.page, 0
+        while (at := page.find("<", at)) >= 0:
+            plain = _PLAIN.match(page, at)
+            if plain:
+                close, name, attrs = plain.groups()
+                found = ("close" if close else "open", name.lower(), attrs, plain.end())
+            elif page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                found = ("", "", "", self.size if end < 0 else end + 3)
+            elif page.startswith("<![CDATA[", at) and self._cdata_end(at) < self.size:
+                found = ("cdata", page[at + 9:self.next_cdata_end], "", self.next_cdata_end + 3)
+            elif page.startswith(("<!", "<?"), at):
+                end = page.find(">", at + 2)
+                found = ("", "", "", self.size if end < 0 else end + 1)
+            else:
+                begin = at + 1 + page.startswith("/", at + 1)
+                letter = page[begin:begin + 1]
+                end = -1
+                if letter.isascii() and letter.isalpha():
+                    if self.next_name_end < begin:
+                        self.next_name_end = self._first(_NAME_END, begin)
+                    end = self._end_of_tag(self.next_name_end)
+                if end < 0:
+                    at += 1
+                    continue
+                stop = end - 1 if page[end - 1] == ">" else end
+                found = ("open" if begin == at + 1 else "close", page[begin:self.next_name_end].lower(), page[self.next_name_end:stop], end)
+            go_on = yield at, found[3], *found[:3]
+            at = found[3] if go_on is None else go_on
+
+    def _cdata_end(self, at: int) -> int:
+        if self.next_cdata_end < at + 9:
+            end = self.page.find("]]>", at + 9)
+            self.next_cdata_end = self.size if end < 0 else end
+        return self.next_cdata_end
+
+
+def _left_out(name: str, attrs: str, in_article: bool) -> bool:
     """Is the element no part of an article, whatever it holds?"""
     if name in OUT:
         return True
     if name == "header":  # an article's own head stays
-        return not any(x in ("article", "main") for x in open_names)
+        return not in_article
     if not attrs or name in ("html", "body", "main"):
         return False
     return any(kind.lower() == "hidden" or kind.lower() == "aria-hidden" and "true" in (v.lower() for v in values)
                for kind, *values in _ATTR.findall(attrs))
 
 
-def _named(name: str, attrs: str, open_names: list[str]) -> str | None:
+def _named(name: str, attrs: str, in_code: bool) -> str | None:
     """"sure" or "doubtful" where a class, id or role names the element as no part of an article."""
-    if not attrs or name in TEXT or name == "header" or any(x in ("pre", "code") for x in open_names):
+    if not attrs or name in TEXT or name == "header" or in_code:
         return None
     found = None
     for kind, *values in _ATTR.findall(attrs):
@@ -124,39 +208,56 @@ class _Tree:
         self.seen = [0, 0, 0]  # characters so far, in links, in articles
         self.root = Node("html", None)
         self.stack: list[tuple[str, Node | None]] = [("html", self.root)]  # None: left out
+        self.places: dict[str, list[int]] = {}  # where in the stack the open elements of each name are
+        self.blocks: list[int] = []  # ... those that are not inline
+        self.scopes: list[int] = []  # ... and those that shut others in
         self.links = 0
         self.pieces: list[str] = []
         self.linked = 0
         at = 0
         lower = None
-        while True:
-            m = _TOKEN.search(page, at)
-            if m is None:
-                self.text(page[at:])
-                break
-            self.text(page[at:m.start()])
-            at = m.end()
-            if m.group("cdata") is not None:
-                self.text(m.group("cdata"))
-            elif m.group("name"):
-                name = m.group("name").lower()
-                if m.group("close"):
-                    self.close(name)
-                else:
-                    attrs = m.group("attrs")
-                    self.open(name, attrs)
-                    if name in RAW:
-                        lower = page.lower() if lower is None else lower
-                        if len(lower) != len(page):  # lower case of few characters is longer
-                            lower = re.sub("[A-Z]", lambda x: x.group().lower(), page)
-                        end = lower.find(f"</{name}", at)
-                        end = len(page) if end < 0 else end
-                        self.text(page[at:end])
-                        at = end
+        markup = iter(_Markup(page))
+        found = next(markup, None)
+        while found is not None:
+            start, end, kind, name, attrs = found
+            self.text(page[at:start])
+            at = end
+            go_on = None
+            if kind == "cdata":
+                self.text(name)
+            elif kind == "close":
+                self.close(name)
+            elif kind == "open":
+                self.open(name, attrs)
+                if name in RAW:
+                    lower = page.lower() if lower is None else lower
+                    if len(lower) != len(page):  # lower case of few characters is longer
+                        lower = re.sub("[A-Z]", lambda x: x.group().lower(), page)
+                    stop = lower.find(f"</{name}", at)
+                    stop = len(page) if stop < 0 else stop
+                    self.text(page[at:stop])
+                    at = go_on = stop
+            try:
+                found = markup.send(go_on)
+            except StopIteration:
+                found = None
+        self.text(page[at:])
         self.flush()
         while self.watched:
             self.measured()
 
+    def push(self, name: str, node: Node | None) -> None:
+        place = len(self.stack)
+        self.places.setdefault(name, []).append(place)
+        if name not in INLINE:
+            self.blocks.append(place)
+        if name in SCOPE:
+            self.scopes.append(place)
+        self.stack.append((name, node))
+
+    def within(self, *names: str) -> bool:
+        return any(self.places.get(n) for n in names)
+
     def node(self) -> Node | None:
         return self.stack[-1][1]
 
@@ -185,7 +286,7 @@ class _Tree:
         """The text so far is a block of the node that is open."""
         node = node or self.node()
         if self.pieces:
-            words = " ".join(html.unescape("".join(self.pieces)).split())
+            words = " ".join(html.unescape(_HUGE.sub("\ufffd", "".join(self.pieces))).split())
             if words and node is not None:
                 node.children.append(words)
                 node.link += min(self.linked, len(words))
@@ -194,9 +295,9 @@ class _Tree:
     def open(self, name: str, attrs: str) -> None:
         self.number += 1
         if name in CLOSES_P:
-            self.until("p", SCOPE)
+            self.until("p")
         for other in SIBLINGS.get(name, ()):
-            self.until(other, SCOPE)
+            self.until(other)
         if name == "br":
             self.pieces.append(" ")
         if name in VOID:
@@ -204,11 +305,10 @@ class _Tree:
                 self.flush()
             return
         here = self.node()
-        names = [n for n, _ in self.stack] if attrs or name == "header" else []
-        out = here is None or self.number in self.out or _left_out(name, attrs, names)
-        if name == "body" and here is not None and not out and any(n == "body" for n, _ in self.stack):
+        out = here is None or self.number in self.out or _left_out(name, attrs, self.within("article", "main"))
+        if name == "body" and here is not None and not out and self.within("body"):
             return
-        kind = None if out or self.out else _named(name, attrs, names)
+        kind = None if out or self.out else _named(name, attrs, self.within("pre", "code"))
         if kind:
             self.named.append([self.number, kind, *self.seen])
             self.watched.append((len(self.stack), self.named[-1]))
@@ -217,17 +317,17 @@ class _Tree:
             if name == "a":
                 self.links += 1
                 here.link_tags += 1
-            self.stack.append((name, here))
+            self.push(name, here)
             return
         if not out:
             self.flush()
             node = Node(name, here)
             here.children.append(node)
-            self.stack.append((name, node))
+            self.push(name, node)
         else:
             if here is not None and name not in INLINE:
                 self.flush()
-            self.stack.append((name, None))
+            self.push(name, None)
             if attrs.rstrip().endswith("/") and name in ("svg", "math"):
                 self.pop()
 
@@ -240,6 +340,11 @@ class _Tree:
             self.links = max(0, self.links - 1)
         self.articles -= name == "article"
         self.stack.pop()
+        place = self.places[name].pop()
+        if self.blocks and self.blocks[-1] == place:
+            self.blocks.pop()
+        if self.scopes and self.scopes[-1] == place:
+            self.scopes.pop()
         if self.watched and self.watched[-1][0] == len(self.stack):
             self.measured()
 
@@ -247,25 +352,21 @@ class _Tree:
         element = self.watched.pop()[1]
         element[2:] = [now - before for now, before in zip(self.seen, element[2:], strict=True)]
 
-    def until(self, name: str, scope: frozenset) -> None:
-        """Close up to the nearest open ``name`` that no element of ``scope`` shuts in."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == name:
-                while len(self.stack) > i:
-                    self.pop()
-                return
-            if self.stack[i][0] in scope:
-                return
+    def down_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.pop()
+
+    def until(self, name: str) -> None:
+        """Close up to the nearest open ``name`` that no element of ``SCOPE`` shuts in."""
+        own = self.places.get(name)
+        if own and (not self.scopes or own[-1] >= self.scopes[-1]):
+            self.down_to(own[-1])
 
     def close(self, name: str) -> None:
-        inline = name in INLINE
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == name:
-                while len(self.stack) > i:
-                    self.pop()
-                return
-            if inline and self.stack[i][0] not in INLINE:
-                return  # a stray inline end tag does not end a block
+        """Close up to the nearest open ``name``; a stray inline end tag does not end a block."""
+        own = self.places.get(name)
+        if own and not (name in INLINE and self.blocks and own[-1] < self.blocks[-1]):
+            self.down_to(own[-1])
 
 
 def _ordered(root: Node) -> list[Node]:

@@ -148,6 +148,34 @@ def test_pages_given(spark):
         assert (found[p.page_id].text, found[p.page_id].url, found[p.page_id].n_chars) == (text, p.url, len(text))
 
 
+N = 1_000_000
+HOSTILE = {
+    "open quote": ("<a " * (N // 3) + '"', N), "open names": ("<a" * (N // 2) + ' "', N + 2), "open quotes in turn": ('<a ""' * (N // 5) + "'", N + 1),
+    "signs": ("<" * N, N), "nested": ("<div class=x>" * (N // 13) + "deep", 4), "stray ends": ("<div>" * (N // 11) + "</p></section>" * (N // 22) + "end", 3),
+    "inline chain": ("<i><div>" + "<b>" * (N // 8) + "</i>" * (N // 8) + "end", 3), "open headers": ("<article>" + "<header>" * (N // 8) + "end", 3),
+    "items": ("<li><b>" * (N // 7) + "end", 3), "open cdata": ("<![CDATA[" * (N // 9) + "x", 0), "white space": ("<a class" + " " * N + ">end", 3),
+    "digits": ("<p>&#" + "9" * N + ";", 1), "comments": ("<!--" * (N // 4), 0),
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_pages_take_linear_time(kind):
+    import time
+    page, n = HOSTILE[kind]
+    begun = time.time()
+    assert len(html_text.main_text(page)) == n
+    assert time.time() - begun < 30
+
+
+def test_markup_of_broken_tags():
+    kinds = lambda page: [x[2:] for x in html_text._Markup(page)]
+    assert kinds('a<b c="d>e">f</b >g') == [("open", "b", ' c="d>e"'), ("close", "b", " ")]
+    assert kinds('<a "<b>x') == [("open", "b", "")]  # an open quote: no tag, but one begins inside
+    assert kinds("<a '<b \"'>'>\">") == [("open", "a", " '<b \"'")]
+    assert kinds("< a><1><!x><?y?><![CDATA[z<b>]]><![CDATA[w") == [("", "", ""), ("", "", ""), ("cdata", "z<b>", ""), ("", "", "")]
+    assert kinds("<p cut off") == [("open", "p", " cut off")] and kinds("<p/") == [("open", "p", "/")]
+
+
 def test_page_table_cases(spark):
     schema = "page_id long, url string, html string, text string, n_chars string"
     rows = [(1, None, PAGES[0][0], "clash", ""), (1, None, PAGES[0][0], "clash", ""), (None, "u", None, None, None)]
