@@ -6,7 +6,7 @@ bigram models, random strings against ordinary identifiers, and is reported wher
 the ratio passes a total and a mean per bigram. The models are trained on labelled samples from
 the corpus itself: the values of base spans are random strings, all other tokens
 are ordinary. The training sample is bounded (about ``SAMPLE_DOCS`` documents by a
-hash of their id); the scan covers every whole text.
+hash of id and text); the scan covers every whole text.
 
 Positions come from the pieces between matches: the regular expression that
 splits a text also extracts its matches, and running sums over both give the
@@ -89,18 +89,22 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows.withColumn("assign", F.filter("assign", lambda s: F.length(s["v"]) >= ASSIGN_MIN))
 
 
+def _tail(values: Column) -> Column:
+    return F.slice(values, 2, F.greatest(F.size(values), F.lit(1)))
+
+
 def _bigrams(tokens: DataFrame) -> DataFrame:
     """(c, n): counts of neighbouring characters in the column ``v``, both in the alphabet."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length("v") - 1), lambda i: F.substring("v", i, 2))
-    two = tokens.where(F.length("v") >= 2).select(F.explode(pairs).alias("c"))
+    chars = F.split("v", "")
+    two = tokens.where(F.length("v") >= 2).select(F.explode(F.zip_with(chars, _tail(chars), lambda a, b: F.concat(a, b))).alias("c"))
     return two.where(F.col("c").rlike(r"^[A-Za-z0-9+/_=.-]{2}$")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float] | None:
     """Log-likelihood ratio of each bigram of the alphabet, row by row; None without labelled random strings."""
     n = docs.count()
-    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("secrets")), F.lit(1 << 30)) * F.lit(n) < F.lit(sample_docs * (1 << 30))
-    spans = base_spans(docs.where(F.coalesce(drawn, F.lit(True)))).withColumn("base", F.concat("assign", "access", "hex"))
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit("secrets")), F.lit(1 << 30)) * F.lit(n) < F.lit(sample_docs * (1 << 30))
+    spans = base_spans(docs.where(drawn)).withColumn("base", F.concat("assign", "access", "hex"))
     random = spans.select(F.explode("base.v").alias("v")).where(F.col("v").rlike(r"[0-9]"))
     # Ordinary tokens: what is left of the text without the base spans' values.
     rest = spans.select(F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ").alias("text"))
@@ -125,9 +129,10 @@ def _transitions(counts: dict[str, int]) -> list[float]:
 
 def _ratio(token: Column, model: list[float]) -> Column:
     table = F.from_json(F.lit(json.dumps([round(x, 5) for x in model])), "array<double>")
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, 1))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0),
-                       lambda s, i: s + F.coalesce(F.get(table, (place(i) - 1) * len(ALPHABET) + place(i + 1) - 1), F.lit(0.0)))
+    # The token is split once; a long one costs its length. The last place stands beside a null.
+    places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    gains = F.zip_with(places, _tail(places), lambda a, b: F.coalesce(F.get(table, a * len(ALPHABET) + b), F.lit(0.0)))
+    return F.aggregate(gains, F.lit(0.0), lambda s, x: s + x)
 
 
 def _joined(spans: Column) -> Column:

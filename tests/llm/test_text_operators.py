@@ -285,6 +285,28 @@ def test_secret_model_tells_random_strings_from_identifiers(spark):
     assert right >= 95
 
 
+def test_long_tokens_take_linear_time(spark):
+    """A token of a million characters beside short ones: the same ratio as by hand, in seconds."""
+    import time
+    rng = random.Random(4)
+    model = [rng.uniform(-1, 1.2) for _ in range(len(secrets.ALPHABET) ** 2)]
+    tokens = ["".join(rng.choices(secrets.ALPHABET[:-1], k=n)) for n in (15, 16, 17, 400, 1_000_000)]
+    begun = time.time()
+    out = secrets.scan(cases.frame(spark, [f"x {t} y" for t in tokens]), model).collect()
+    assert time.time() - begun < 60
+    for r in out:
+        t = tokens[r.doc_id]
+        at = [secrets.ALPHABET.index(c) for c in t]
+        ratio = sum(round(model[a * len(secrets.ALPHABET) + b], 5) for a, b in zip(at[:-1], at[1:], strict=True))
+        base = cases.base_spans(f"x {t} y")
+        found = len(t) >= 16 and ratio >= max(secrets.MIN_TOTAL, secrets.MIN_MEAN * (len(t) - 1)) and not base
+        assert r.n_markov == int(found)
+    flat = [1.0] * len(secrets.ALPHABET) ** 2
+    assert [r.n_markov for r in secrets.scan(cases.frame(spark, [f"x {t} y" for t in tokens[1:]]), flat).collect()] == [1, 1, 1, 1]
+    # and as a training token
+    assert len(secrets.train(cases.frame(spark, ["password=abc123def " + tokens[-1]]))) == len(model)
+
+
 def test_languages_against_plain_version(spark):
     docs = read(spark, cases.SF_MORE, "documents")
     r = docs.select("doc_id", "text", "lang").collect()
