@@ -7,16 +7,13 @@ its sink in the shared checkpoint folder (never collected to the driver).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
 from ..sources.fixtures import Library, book_changes, loan_changes, reader_changes
-from .runner import HistoryTable, KeyedTable, run_available
+from .runner import KeyedTable, newest, run_available
 from .sources import circulation_events, file_stream, utc_event_time
+from .state import Alternation, Spacing, decide_in_order
 
 
 # ------------------------------------------------------------------ M3
@@ -104,91 +101,72 @@ def stream_book_genres_changes(spark: SparkSession, sf_dir: str, max_files: int
 
 
 # ------------------------------------------------------------------ M5
-def book_status_rule(events: DataFrame) -> DataFrame:
-    """Per book: a borrow is accepted only when the book is available, a return only when borrowed.
+def _timed(events: DataFrame, watermark: str) -> DataFrame:
+    return events.withColumn("event_time", utc_event_time("ts")).withWatermark("event_time", watermark)
+
+
+def _decided(events: DataFrame, rule, name: str, base: str | None, checkpoint: str | None) -> DataFrame | None:
+    """Newest decision (event_id, key, kind, accepted) on each event; None before the first."""
+    spark = events.sparkSession
+    table = KeyedTable(spark, name, ["event_id"], newest("event_id"), base=base)
+    decisions = decide_in_order(events, rule)
+    run_available(decisions.writeStream.outputMode("update").foreachBatch(
+        lambda rows, epoch: table.apply(rows.withColumn("version", F.lit(epoch).cast("long")), epoch)), spark, name, checkpoint)
+    return table.current()
+
+
+def stream_book_status(spark: SparkSession, sf_dir: str, max_files: int | None = None, base: str | None = None,
+                       checkpoint: str | None = None, watermark: str = "30 days") -> DataFrame:
+    """M5: per book a borrow is accepted only when the book is available, a return only when borrowed.
 
     After any event the state is fixed by that event's action alone (an
     accepted or a refused borrow both leave the book borrowed), so an event is
     accepted when the one before it had the other action; the first compares
-    with 'return' (available).
+    with 'return' (available). Events come in any order within the watermark, and
+    decisions that an earlier event changes are told again; events later than that
+    are dropped. State is kept per book (``OrderedFold``), so an epoch costs its events.
     """
-    before = F.lag("action").over(Window.partitionBy("book_id").orderBy("ts", "event_id"))
-    return events.select("bucket", "event_id", "book_id", "action", (F.col("action") != F.coalesce(before, F.lit("return"))).alias("accepted"),
-                         F.when(F.col("action") == "borrow", "borrowed").otherwise("available").alias("status_after"))
-
-
-def stream_book_status(spark: SparkSession, sf_dir: str, max_files: int | None = None, base: str | None = None,
-                       checkpoint: str | None = None) -> DataFrame:
-    """M5: accepted/refused borrow and return events per book, in event order whatever the micro-batches."""
-    ev = (circulation_events(file_stream(spark, sf_dir, "events", max_files))
-          .where(F.col("action").isin("borrow", "return")).select("event_id", "ts", "book_id", "action"))
-    table = HistoryTable(spark, "book_status", "book_id", book_status_rule, base)
-    run_available(ev.writeStream.foreachBatch(table.apply), spark, "book_status", checkpoint)
-    return table.current("event_id long, book_id long, action string, accepted boolean, status_after string")
+    ev = circulation_events(file_stream(spark, sf_dir, "events", max_files)).where(F.col("action").isin("borrow", "return"))
+    rows = _timed(ev, watermark).select(F.col("book_id").alias("key"), "event_id", (F.col("action") == "borrow").cast("int").alias("kind"), "event_time")
+    out = _decided(rows, Alternation(), "book_status", base, checkpoint)
+    if out is None:
+        return spark.createDataFrame([], "event_id long, book_id long, action string, accepted boolean, status_after string")
+    borrow = F.col("kind") == 1
+    return out.select("event_id", F.col("key").alias("book_id"), F.when(borrow, "borrow").otherwise("return").alias("action"), "accepted",
+                      F.when(borrow, "borrowed").otherwise("available").alias("status_after"))
 
 
 # ------------------------------------------------------------------ M6
 PENDING_DAYS = 30
 
 
-def _spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Events by user in order: an accepted request refuses those of the next 30 days, up to a decision.
-
-    Only the last accepted time is carried from row to row. A request without a time is accepted and refuses none.
-    """
-    user, until = None, None
-    for b in batches:
-        requests, accepted = [], []
-        for i, (u, kind, ts) in enumerate(zip(b.column("user_id").to_pylist(), b.column("event_type").to_pylist(),
-                                              b.column("wall").cast(pa.int64()).to_pylist(), strict=True)):
-            if u != user:
-                user, until = u, None
-            if kind == "signup":
-                until = None
-            elif kind == "view":
-                ok = ts is None or until is None or ts >= until
-                if ok and ts is not None:
-                    until = ts + PENDING_DAYS * 86_400_000_000
-                requests.append(i)
-                accepted.append(ok)
-        rows = b.select(["bucket", "event_id", "user_id"]).take(pa.array(requests, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(accepted, pa.bool_())], names=[*rows.schema.names, "accepted"])
-
-
-def pending_request_rule(events: DataFrame) -> DataFrame:
-    """Per user: a request is refused while an accepted, undecided request is younger than 30 days.
+def stream_pending_requests(spark: SparkSession, sf_dir: str, max_files: int | None = None, base: str | None = None,
+                            checkpoint: str | None = None, watermark: str = "30 days") -> DataFrame:
+    """M6: per user a request is refused while an accepted, undecided request is younger than 30 days.
 
     Request events ('view') and decision events ('signup', an approval or
     rejection) of one user apply in (ts, event_id) order; a decision clears
-    the pending request. A user's events stream through one task, sorted by
-    Spark, so its memory does not grow with them.
+    the pending request. The state of a user is the end of the 30 days as of the
+    watermark and the events beyond it; only those are run through again.
     """
-    ordered = events.select(F.col("bucket").cast("int").alias("bucket"), F.col("event_id").cast("long").alias("event_id"),
-                            F.col("user_id").cast("long").alias("user_id"), "event_type", F.col("ts").cast("timestamp_ntz").alias("wall")) \
-        .repartition("user_id").sortWithinPartitions("user_id", "wall", "event_id")
-    return ordered.mapInArrow(_spaced, "bucket int, event_id long, user_id long, accepted boolean")
-
-
-def stream_pending_requests(spark: SparkSession, sf_dir: str, max_files: int | None = None, base: str | None = None,
-                            checkpoint: str | None = None) -> DataFrame:
-    """M6: the 30-day pending-request rule over the request/decision events, in event order whatever the micro-batches."""
-    ship_package(spark)
-    ev = (file_stream(spark, sf_dir, "events", max_files).where(F.col("event_type").isin("view", "signup"))
-          .select("event_id", "ts", "user_id", "event_type"))
-    table = HistoryTable(spark, "pending_requests", "user_id", pending_request_rule, base)
-    run_available(ev.writeStream.foreachBatch(table.apply), spark, "pending_requests", checkpoint)
-    return table.current("event_id long, user_id long, accepted boolean")
+    ev = file_stream(spark, sf_dir, "events", max_files).where(F.col("event_type").isin("view", "signup"))
+    rows = _timed(ev, watermark).select(F.col("user_id").alias("key"), "event_id", (F.col("event_type") == "view").cast("int").alias("kind"), "event_time")
+    out = _decided(rows, Spacing(PENDING_DAYS * 86_400_000_000), "pending_requests", base, checkpoint)
+    if out is None:
+        return spark.createDataFrame([], "event_id long, user_id long, accepted boolean")
+    return out.where("kind = 1").select("event_id", F.col("key").alias("user_id"), "accepted")
 
 
 # ------------------------------------------------------------------ M7
-def stream_period_counts(spark: SparkSession, sf_dir: str, watermark: str = "30 days",
-                         max_files: int | None = None) -> DataFrame:
+def stream_period_counts(spark: SparkSession, sf_dir: str, watermark: str = "30 days", max_files: int | None = None,
+                         base: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """M7: loans and reservations per day and per ISO week as events arrive.
 
     Event-time windows on a watermark: rows later than the watermark are
     dropped, closed windows leave the state. Weeks are 7-day windows shifted
     by 4 days from the epoch (a Thursday), so they start on Monday. Each
-    micro-batch's updated counts are merged into the touched buckets of the result.
+    micro-batch's updated counts are merged into the result; a job given the same
+    ``base`` and ``checkpoint`` resumes.
     """
     ev = (circulation_events(file_stream(spark, sf_dir, "events", max_files))
           .where(F.col("action").isin("borrow", "reserve"))
@@ -203,8 +181,8 @@ def stream_period_counts(spark: SparkSession, sf_dir: str, watermark: str = "30
               .agg(F.count(F.lit(1)).alias("n")).select("granularity", "window_start", "action", "n"))
     key = ["granularity", "window_start", "action"]
     # An updated count is never below the one it replaces.
-    table = KeyedTable(spark, "period_counts", key, lambda rows: rows.groupBy(*key).agg(F.max("n").alias("n")))
-    run_available(counts.writeStream.outputMode("update").foreachBatch(table.apply), spark, "period_counts")
+    table = KeyedTable(spark, "period_counts", key, lambda rows: rows.groupBy(*key).agg(F.max("n").alias("n")), base=base)
+    run_available(counts.writeStream.outputMode("update").foreachBatch(table.apply), spark, "period_counts", checkpoint)
     cur = table.current()
     if cur is None:
         return spark.createDataFrame([], "granularity string, window_start date, action string, n long")
