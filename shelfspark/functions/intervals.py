@@ -8,7 +8,7 @@ costs its calendar days, not its rows, and requests look the aggregates up.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPOCH = "1970-01-05"  # a Monday: buckets are ISO weeks
@@ -29,24 +29,43 @@ def earliest_ending_from(requests: DataFrame, intervals: DataFrame, key_q: str,
 
     ``out`` is a struct of ``start`` and the ``order`` columns (``order`` breaks ties), NULL if there is none. A closed
     interval overlaps [day, to] exactly when it ends on ``day`` or later and starts by ``to``, so the first starting one
-    tells both whether any overlaps and which is the earliest. No (request, interval) pair is formed: intervals are
-    aggregated per (key, end day), then per (key, chunk of days), then per key; a request reads its own chunk's days and
-    the list of later chunks. Both are bounded by the calendar, however many intervals a key has.
+    tells both whether any overlaps and which is the earliest. One sweep over both sides answers all requests: sorted by
+    day, last one first, the answer is the running minimum of the intervals so far. No (request, interval) pair is formed.
+    Intervals are combined per (key, end day) first. A key is cut into chunks of days, each swept by itself; what later
+    chunks hold comes in as one row at a chunk's head, from a sweep over chunks (a key has as many as the calendar).
     """
-    ends = (intervals.where(F.col(start).isNotNull() & F.col(end).isNotNull())
-            .groupBy(F.col(key_i).alias("_ik"), F.unix_date(end).alias("_end"))
-            .agg(F.min(F.struct(start, *order)).alias("_best")))
-    chunk = F.floor(F.col("_end") / CHUNK_DAYS)
-    chunks = ends.groupBy("_ik", chunk.alias("_chunk")).agg(F.collect_list(F.struct("_end", "_best")).alias("_days"),
-                                                          F.min("_best").alias("_first"))
-    per_key = chunks.groupBy("_ik").agg(F.collect_list(F.struct("_chunk", "_first")).alias("_later"))
-    of_chunk = chunks.select(F.col("_ik").alias("_ck"), F.col("_chunk").alias("_cc"), "_days")
-    q = requests.withColumn("_day", F.unix_date(day)).withColumn("_qc", F.floor(F.col("_day") / CHUNK_DAYS))
-    j = q.join(per_key, F.col(key_q) == F.col("_ik"), "left") \
-        .join(of_chunk, (F.col(key_q) == F.col("_ck")) & (F.col("_qc") == F.col("_cc")), "left")
-    own = F.array_min(F.transform(F.filter("_days", lambda x: x["_end"] >= F.col("_day")), lambda x: x["_best"]))
-    later = F.array_min(F.transform(F.filter("_later", lambda x: x["_chunk"] > F.col("_qc")), lambda x: x["_first"]))
-    return j.withColumn(out, F.least(own, later)).drop("_ik", "_later", "_ck", "_cc", "_days", "_day", "_qc")
+    nothing = F.lit(None)
+    best = F.struct(F.col(start), *order)
+    ends = (intervals.where(F.col(key_i).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull())
+            .groupBy(F.col(key_i).alias("_k"), F.unix_date(end).alias("_day")).agg(F.min(best).alias("_best")))
+    kind = ends.schema["_best"].dataType
+    chunk = F.floor(F.col("_day") / CHUNK_DAYS)
+    asked = requests.select(F.col(key_q).alias("_k"), F.unix_date(day).alias("_day"), F.struct(*(F.col(c) for c in requests.columns)).alias("_q"))
+    # Chunks that hold intervals, and those that are asked for; what later ones hold.
+    chunks = ends.select("_k", chunk.alias("_chunk"), "_best").unionByName(asked.select("_k", chunk.alias("_chunk"), nothing.cast(kind).alias("_best")))
+    chunks = chunks.groupBy("_k", "_chunk").agg(F.min("_best").alias("_best"))
+    later = F.min("_best").over(Window.partitionBy("_k").orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1))
+    heads = chunks.select("_k", "_chunk", F.lit(None).cast("int").alias("_day"), later.alias("_best")).where("_best IS NOT NULL")
+    # In a chunk: its head, then by day, last one first, intervals before requests.
+    rows = heads.withColumn("_order", F.lit(0)) \
+        .unionByName(ends.select("_k", chunk.alias("_chunk"), "_day", "_best", F.lit(1).alias("_order"))) \
+        .unionByName(asked.select("_k", chunk.alias("_chunk"), "_day", "_q", F.lit(2).alias("_order")), allowMissingColumns=True)
+    so_far = Window.partitionBy("_k", "_chunk").orderBy(F.desc_nulls_first("_day"), "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = rows.withColumn("_found", F.min("_best").over(so_far)).where("_order = 2")
+    return swept.select("_q.*", F.when(F.col("_day").isNotNull(), F.col("_found")).alias(out))
+
+
+def overlap_groups(intervals: DataFrame, key: str, start: str, end: str, out: str) -> DataFrame:
+    """(key, start, out): the number, within its key, of the run of overlapping intervals that those starting on ``start`` are in.
+
+    A run ends where the greatest end so far is before the next start. Intervals are combined per (key, start day)
+    first, so the sweep has as many rows a key as the calendar has days, however long the intervals are.
+    """
+    days = intervals.groupBy(key, start).agg(F.max(end).alias("_to"))
+    w = Window.partitionBy(key).orderBy(start)
+    days = days.withColumn("_before", F.max("_to").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    begins = (F.col("_before").isNull() | (F.col(start) > F.col("_before"))).cast("long")
+    return days.select(key, start, F.sum(begins).over(w).alias(out))
 
 
 def _week_start(wk: Column) -> Column:

@@ -4,77 +4,58 @@ from __future__ import annotations
 
 import datetime as dt
 from bisect import bisect_right
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import as_date, lit_date, lit_ntz
+from ..functions.intervals import overlap_groups
 from ..session import ship_package
 from ..sources.fixtures import Library
 from .batch import CommandResult, checkpoint, first_failure, first_per_key, merge_rows, new_ids
 from .reservations import check_availability
 
 
-#: Keys with more requests than this are decided in rounds over days, the others one request after the other in one task.
-FOLD_REQUESTS = 50_000
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Requests sorted by group and batch order: the accepted ones.
 
-
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One key's requests in batch order; the accepted intervals are apart, so only the last one to start by a request's end can meet it."""
-    pdf = pdf.sort_values(["submitted_at", "cmd_id"], kind="stable", na_position="first")
-    starts, ends, accepted = [], [], []
-    for s, e in zip(pdf["_s"].tolist(), pdf["_e"].tolist(), strict=True):
-        at = bisect_right(starts, e)
-        accepted.append(at == 0 or ends[at - 1] < s)
-        if accepted[-1]:
-            starts.insert(at, s)
-            ends.insert(at, e)
-    return pd.DataFrame({"cmd_id": pdf["cmd_id"], "accepted": accepted})
-
-
-def _accept_in_rounds(base: DataFrame) -> DataFrame:
-    """Acceptance for keys of any size, on day-level aggregates, without pairs.
-
-    Closed date intervals overlap exactly when they share a day. Each round
-    accepts the open requests that are the earliest open one on all their days
-    and rejects those that share a day with them; only what is still open goes
-    on. The earliest open request is always decided, so the loop ends. Each
-    round is written to the shared folder.
+    The accepted intervals of a group are apart, so only the last one to start by a request's end can meet it. They are all
+    that is carried, at most one for each day of the calendar.
     """
-    days = checkpoint(base.select("cmd_id", "_k", F.struct("submitted_at", "cmd_id").alias("_o"),
-                                  F.explode(F.sequence("_s", "_e")).alias("_d")), "request-days")
-    decided = None
-    while not days.isEmpty():
-        first = days.groupBy("_k", "_d").agg(F.min("_o").alias("_first"))
-        winners = checkpoint(days.join(first, ["_k", "_d"]).groupBy("cmd_id").agg(F.min(F.col("_o") == F.col("_first")).alias("accepted"))
-                             .where("accepted"), "request-winners")
-        taken = days.join(winners, "cmd_id", "left_semi").select("_k", "_d")
-        hit = days.join(taken, ["_k", "_d"], "left_semi").select("cmd_id").distinct()
-        now = checkpoint(hit.join(winners, "cmd_id", "left").select("cmd_id", F.coalesce("accepted", F.lit(False)).alias("accepted")),
-                         "request-round")
-        decided = now if decided is None else decided.unionByName(now)
-        days = checkpoint(days.join(now, "cmd_id", "left_anti"), "request-days")
-    return base.select("cmd_id", F.lit(True).alias("accepted")).limit(0) if decided is None else decided
+    group, starts, ends = None, [], []
+    for b in batches:
+        accepted = []
+        for i, (k, g, s, e) in enumerate(zip(*(b.column(c).to_pylist() for c in ("_k", "_g", "_s", "_e")), strict=True)):
+            if (k, g) != group:
+                group, starts, ends = (k, g), [], []
+            at = bisect_right(starts, e)
+            if at == 0 or ends[at - 1] < s:
+                starts.insert(at, s)
+                ends.insert(at, e)
+                accepted.append(i)
+        yield b.select(["cmd_id", "submitted_at"]).take(pa.array(accepted, pa.int64()))
 
 
 def accept_in_order(cands: DataFrame, key: str = "book_id", start: str = "start_date", end: str = "end_date") -> DataFrame:
-    """Sequential acceptance of interval requests: ``cmd_id, accepted``.
+    """Sequential acceptance of interval requests: ``cmd_id, submitted_at`` of the accepted ones.
 
     A request is accepted iff no *earlier* (``submitted_at, cmd_id``) accepted
     request of the same key overlaps it, the result of running the requests
-    one by one. Keys are independent: those of up to ``FOLD_REQUESTS`` requests
-    are run through in a task each, those with more in rounds over all tasks.
-    Requires start <= end (the callers' checks reject other requests first).
+    one by one. Of requests for the same days only the first can be accepted, so
+    it alone goes on. A key's requests fall into groups that share no day, and
+    each group streams through a task in batch order; what it carries is
+    bounded by the calendar. Requires start <= end (the callers' checks reject
+    other requests first).
     """
     ship_package(cands.sparkSession)
-    base = checkpoint(cands.select("cmd_id", "submitted_at", F.col(key).alias("_k"), F.unix_date(start).alias("_s"),
-                                   F.unix_date(end).alias("_e")), "requests")
-    hot = checkpoint(base.groupBy("_k").count().where(F.col("count") > FOLD_REQUESTS).select("_k"), "request-keys")
-    folded = base.join(hot, "_k", "left_anti").groupBy("_k").applyInPandas(
-        _fold, T.StructType([base.schema["cmd_id"], T.StructField("accepted", T.BooleanType())]))
-    return checkpoint(folded.unionByName(_accept_in_rounds(base.join(hot, "_k", "left_semi"))), "accepted")
+    base = cands.select(F.col(key).alias("_k"), F.unix_date(start).alias("_s"), F.unix_date(end).alias("_e"), F.struct("submitted_at", "cmd_id").alias("_o"))
+    first = checkpoint(base.groupBy("_k", "_s", "_e").agg(F.min("_o").alias("_o")).select("_k", "_s", "_e", "_o.*"), "requests")
+    rows = first.join(overlap_groups(first, "_k", "_s", "_e", "_g"), ["_k", "_s"])
+    ordered = rows.repartition("_k", "_g").sortWithinPartitions("_k", "_g", "submitted_at", "cmd_id")
+    return ordered.mapInArrow(_fold, T.StructType([first.schema["cmd_id"], first.schema["submitted_at"]]))
 
 
 def _reserve(lib: Library, cmds: DataFrame, checks, join_readers: bool, conflict_reason: str,
@@ -83,18 +64,15 @@ def _reserve(lib: Library, cmds: DataFrame, checks, join_readers: bool, conflict
         .withColumnRenamed("req_id", "cmd_id")
     c = checkpoint(av.withColumn("_reader_id", reader_col).withColumn("_pre", first_failure(*checks(av))),
                    "reservation-checks")
-    pre_ok = c.where(F.col("_pre").isNull())
-    decided = accept_in_order(pre_ok)
-    c = checkpoint(c.join(decided, "cmd_id", "left").withColumn(
-        "reason", F.coalesce("_pre", F.when(~F.col("accepted"), F.lit(conflict_reason)))), "reservation-decisions")
-    acc = new_ids(c.where(F.col("reason").isNull()), ["submitted_at", "cmd_id"], lib.reservations,
-                  out="reservation_id")
-    rows = acc.select(F.col("reservation_id").alias("id"), "book_id", F.col("_reader_id").alias("reader_id"),
-                      F.col("submitted_at").alias("created_at"), "start_date", "end_date",
-                      F.lit("pending").alias("status"))
+    # A request with an id is an accepted one.
+    acc = new_ids(accept_in_order(c.where(F.col("_pre").isNull())), ["submitted_at", "cmd_id"], lib.reservations, out="reservation_id")
+    c = checkpoint(c.join(acc.select("cmd_id", "reservation_id"), "cmd_id", "left"), "reservation-decisions")
+    rows = c.where(F.col("reservation_id").isNotNull()).select(
+        F.col("reservation_id").alias("id"), "book_id", F.col("_reader_id").alias("reader_id"), F.col("submitted_at").alias("created_at"),
+        "start_date", "end_date", F.lit("pending").alias("status"))
     res = lib.reservations.unionByName(rows, allowMissingColumns=True)
-    outcomes = c.join(acc.select("cmd_id", "reservation_id"), "cmd_id", "left").select(
-        "cmd_id", F.col("reason").isNull().alias("ok"), "reason", "reservation_id")
+    ok = F.col("reservation_id").isNotNull()
+    outcomes = c.select("cmd_id", ok.alias("ok"), F.coalesce("_pre", F.when(~ok, F.lit(conflict_reason))).alias("reason"), "reservation_id")
     return CommandResult({"reservations": res}, outcomes)
 
 

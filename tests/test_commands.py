@@ -53,13 +53,59 @@ def _sequential_reservations(lib, cmds_df, staff=False):
     return out
 
 
-@pytest.mark.parametrize("fold", [WL.FOLD_REQUESTS, 3])
-def test_w8_in_batch_equals_sequential(lib, fold, monkeypatch):
-    monkeypatch.setattr(WL, "FOLD_REQUESTS", fold)  # 3: most books are decided in rounds
+def test_w8_in_batch_equals_sequential(lib):
     got = {r.cmd_id: r.reason for r in WL.create_reservations(lib, lib.reservation_commands).outcomes.collect()}
     assert got == _sequential_reservations(lib, lib.reservation_commands)
 
 
+def _one_by_one(rows):
+    """Accepted (cmd_id) of (cmd_id, submitted_at, book, start, end) rows."""
+    held, out = {}, set()
+    for i, at, book, s, e in sorted(rows, key=lambda r: (r[1] is not None, r[1] or dt.datetime.min, r[0])):
+        if not any(a <= e and s <= b for a, b in held.get(book, [])):
+            held.setdefault(book, []).append((s, e))
+            out.add(i)
+    return out
+
+
+REQUESTS = "cmd_id long, submitted_at timestamp_ntz, book_id long, start_date date, end_date date"
+
+
+def test_accept_in_order_equals_one_by_one(spark):
+    rng = random.Random(6)
+    day = dt.date(1969, 6, 1)
+    rows = []
+    for i in range(1500):
+        s = day + dt.timedelta(days=rng.randint(0, 1500))
+        e = s + dt.timedelta(days=rng.choice([0, 1, 5, 20, 20, 200]))
+        at = None if i % 97 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randint(0, 300))
+        rows.append((i, at, rng.choice([1, 1, 1, 2, 3, 4, 5]), s, e))
+    rows += [(2000 + i, *rows[i][1:]) for i in range(0, 1500, 3)]  # repeated requests
+    got = {r.cmd_id for r in WL.accept_in_order(spark.createDataFrame(rows, REQUESTS).repartition(5)).collect()}
+    assert got == _one_by_one(rows)
+
+
+@pytest.mark.parametrize("century", ["first", "last"])
+def test_many_requests_of_one_book(spark, century):
+    """100,000 requests of one book, and one for a hundred years that comes before or after them all; no days are made rows."""
+    day = dt.date(1980, 1, 1)
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at + dt.timedelta(seconds=i), 1, day + dt.timedelta(days=(i * 7919) % 9000), day + dt.timedelta(days=(i * 7919) % 9000 + i % 3)) for i in range(100_000)]
+    rows.append((-1, at + dt.timedelta(days=-1 if century == "first" else 9), 1, day, day + dt.timedelta(days=36_500)))
+    out = WL.accept_in_order(spark.createDataFrame(pd.DataFrame(rows, columns=[x.split()[0] for x in REQUESTS.split(", ")]), REQUESTS))
+    got = {r.cmd_id for r in out.collect()}
+    if century == "first":
+        assert got == {-1}
+        return
+    taken, exp = set(), set()
+    for i, _, _, s, e in rows[:-1]:
+        days = range(s.toordinal(), e.toordinal() + 1)
+        if taken.isdisjoint(days):
+            taken.update(days)
+            exp.add(i)
+    assert got == exp
+
+
 def test_w8_against_table_equals_sequential(lib):
     cmds = lib.availability_requests.withColumnRenamed("req_id", "cmd_id")
     got = {r.cmd_id: r.reason for r in WL.create_reservations(lib, cmds).outcomes.collect()}
