@@ -100,37 +100,3 @@ def checkpoint(df: DataFrame, name: str = "round") -> DataFrame:
     """Cut lineage: a written table in the shared checkpoint folder (survives executor loss)."""
     from ..session import materialize
     return materialize(df, name)
-
-
-class RoundState:
-    """State of an iterative decision loop (column ``accepted``: NULL while undecided).
-
-    Each round's state is written to the shared checkpoint folder (lineage cut,
-    survives executor loss); the number of undecided rows is observed during
-    that write, so a round costs one Spark job.
-    """
-
-    def __init__(self, df: DataFrame, name: str):
-        self.name = name
-        self.round = 0
-        self.left = self._write(df)
-
-    def _write(self, df: DataFrame) -> int:
-        from pyspark.sql import Observation
-
-        from ..session import scratch_path
-        obs = Observation(f"{self.name}-{self.round}")
-        spark = df.sparkSession
-        path = scratch_path(spark, self.name)
-        df.observe(obs, F.count_if(F.col("accepted").isNull()).alias("left")).write.mode("overwrite").parquet(path)
-        self.df = spark.read.parquet(path)
-        return int(obs.get["left"] or 0)
-
-    def undecided(self) -> int:
-        return self.left
-
-    def advance(self, nxt: DataFrame) -> int:
-        """Replace the state by ``nxt``; return the number of undecided rows."""
-        self.round += 1
-        self.left = self._write(nxt)
-        return self.left

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import as_date
 from ..sources.fixtures import Library
 from .batch import CommandResult, checkpoint, first_failure, first_per_key, last_per_key, merge_rows, new_ids, order_key
+from .ordered import decide_isbn_claims
 
 
 def upsert_names(table: DataFrame, names: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -78,48 +79,6 @@ def add_books(lib: Library, cmds: DataFrame, as_of: dt.date | str) -> CommandRes
     return CommandResult({"books": books, "authors": authors, "publishers": publishers}, outcomes)
 
 
-def _decide_isbns(lib: Library, cmds: DataFrame) -> DataFrame:
-    """(cmd_id, accepted) of ``cmds(cmd_id, o, book_id, isbn)``: whether each claim, in batch order, finds its isbn free.
-
-    A claim is refused while another book holds the isbn; an accepted command frees the isbn its book held before. An
-    isbn that only one book holds or claims is never refused, so books without any other isbn are accepted at once. The
-    rest is decided in rounds: of each book's undecided commands the first is decided once no earlier undecided command
-    claims its isbn or the one it would free, and none is earlier on the book that holds its isbn. The first undecided
-    command of the batch always meets this, so every round decides some; the rounds follow the longest chain of commands
-    on contended isbns. Each round's state is written to the shared folder.
-    """
-    stored = lib.books.select(F.col("id").alias("book_id"), "isbn").where(F.col("isbn").isNotNull())
-    pairs = stored.unionByName(cmds.where(F.col("isbn").isNotNull()).select("book_id", "isbn"))
-    contended = pairs.groupBy("isbn").agg(F.min("book_id").alias("_a"), F.max("book_id").alias("_b")).where("_a <> _b").select("isbn")
-    involved = checkpoint(pairs.join(contended, "isbn", "left_semi").select("book_id").distinct(), "isbn-books")
-    todo = checkpoint(cmds.join(involved, "book_id", "left_semi"), "isbn-open")
-    hold = checkpoint(stored.join(involved, "book_id", "left_semi"), "isbn-held")
-    decided = cmds.join(involved, "book_id", "left_anti").select("cmd_id", F.lit(True).alias("accepted"))
-    left = todo.count()
-    while left:
-        by_book = todo.groupBy("book_id").agg(F.min("o").alias("_fb"))
-        by_isbn = todo.where(F.col("isbn").isNotNull()).groupBy("isbn").agg(F.min("o").alias("_fx"))
-        head = (todo.join(by_book, "book_id").where("o = _fb").drop("_fb")
-                .join(hold.select("book_id", F.col("isbn").alias("_held")), "book_id", "left")
-                .join(by_isbn, "isbn", "left")
-                .join(by_isbn.select(F.col("isbn").alias("_held"), F.col("_fx").alias("_fy")), "_held", "left")
-                .join(hold.select("isbn", F.col("book_id").alias("_holder")), "isbn", "left")
-                .join(by_book.select(F.col("book_id").alias("_holder"), F.col("_fb").alias("_fh")), "_holder", "left"))
-        taken = F.coalesce(F.col("_holder") != F.col("book_id"), F.lit(False))
-        ready = (F.coalesce(F.col("_fx") >= F.col("o"), F.lit(True)) & F.coalesce(F.col("_fy") >= F.col("o"), F.lit(True))
-                 & (~taken | F.coalesce(F.col("_fh") > F.col("o"), F.lit(True))))
-        now = checkpoint(head.where(ready).select("cmd_id", "book_id", "isbn", (~taken).alias("accepted")), "isbn-round")
-        decided = decided.unionByName(now.select("cmd_id", "accepted"))
-        moved = now.where("accepted")
-        hold = checkpoint(hold.join(moved, "book_id", "left_anti")
-                          .unionByName(moved.where(F.col("isbn").isNotNull()).select("book_id", "isbn")), "isbn-held")
-        todo = checkpoint(todo.join(now, "cmd_id", "left_anti"), "isbn-open")
-        before, left = left, todo.count()
-        if left == before:
-            raise RuntimeError("no command could be decided: is (submitted_at, cmd_id) unique and isbn held once?")
-    return decided
-
-
 def update_books(lib: Library, cmds: DataFrame, as_of: dt.date | str) -> CommandResult:
     """Overwrite title, author, isbn, year, genre, description of existing books, as if one by one in batch order.
 
@@ -133,7 +92,8 @@ def update_books(lib: Library, cmds: DataFrame, as_of: dt.date | str) -> Command
                    .withColumn("_pre", first_failure((F.col("_bid").isNotNull(), "Book not found"),
                                                      (_year_ok(as_of), "Invalid publication year"))).drop("_bid"), "update-books-checks")
     claims = c.where(F.col("_pre").isNull()).select("cmd_id", order_key().alias("o"), "book_id", "isbn")
-    c = c.join(_decide_isbns(lib, claims), "cmd_id", "left").withColumn(
+    held = lib.books.select(F.col("id").alias("book_id"), "isbn")
+    c = c.join(decide_isbn_claims(held, claims), "cmd_id", "left").withColumn(
         "reason", F.coalesce("_pre", F.when(~F.col("accepted"), F.lit("Duplicate isbn")))).drop("accepted")
     c = checkpoint(c, "update-books-decisions")
     acc = c.where(F.col("reason").isNull())

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, lit_ntz
 from ..sources.fixtures import Library
-from .batch import CommandResult, RoundState, checkpoint, first_failure, first_per_key, merge_rows, new_ids
+from .batch import CommandResult, checkpoint, first_failure, first_per_key, merge_rows, new_ids
+from .ordered import accept_sign_ups
 
 
 #: Columns of a registration request that describe the person and go on to the reader.
@@ -146,47 +147,29 @@ def register_users(lib: Library, cmds: DataFrame, bootstrap: bool = True) -> Com
 
     Rejected with 'Username or email already exists' when either key is taken
     in the table or by an earlier accepted sign-up of the batch. Acceptance
-    chains across the two keys, so it is decided in rounds: a command is
-    accepted when it comes first for both its username and its email among the
-    undecided and accepted commands and no accepted command holds either key;
-    it is rejected as soon as one does. Only per-key minima are computed
-    (partial aggregates), never pairs. New users get role 'user' unless the
-    table is empty, then the first becomes 'admin'. A command without a
-    username or email fails with 'Failed to register user' (both are NOT NULL).
+    chains across the two keys; it is decided in batch order within groups of
+    sign-ups that share keys (``operators/ordered.py``). New users get role
+    'user' unless the table is empty, then the first becomes 'admin'. A command
+    without a username or email fails with 'Failed to register user' (both are
+    NOT NULL).
     """
     users = bootstrap_admin(lib.users) if bootstrap else lib.users
     tu = users.select(F.col("username").alias("_tu")).distinct()
     te = users.select(F.col("email").alias("_te")).distinct()
-    c = (cmds.join(tu, F.col("username") == F.col("_tu"), "left").join(te, F.col("email") == F.col("_te"), "left")
-         .withColumn("accepted", F.when(F.col("_tu").isNotNull() | F.col("_te").isNotNull() | _nameless(), F.lit(False))
-                     .otherwise(F.lit(None).cast("boolean")))
-         .select("cmd_id", "submitted_at", "username", "email", "accepted"))
-    rs = RoundState(c, "signup-round")
-    o = F.struct("submitted_at", "cmd_id")
-    left = rs.undecided()
-    while left > 0:
-        state = rs.df
-        live = state.where(F.col("accepted").isNull() | F.col("accepted"))
-        by_u = live.groupBy("username").agg(F.min(o).alias("_mu"), F.max(F.col("accepted").cast("int")).alias("_au"))
-        by_e = live.groupBy("email").agg(F.min(o).alias("_me"), F.max(F.col("accepted").cast("int")).alias("_ae"))
-        j = state.join(by_u, "username", "left").join(by_e, "email", "left")
-        nxt = j.select("cmd_id", "submitted_at", "username", "email",
-                       F.when(F.col("accepted").isNotNull(), F.col("accepted"))
-                       .when((F.col("_au") == 1) | (F.col("_ae") == 1), F.lit(False))
-                       .when((o == F.col("_mu")) & (o == F.col("_me")), F.lit(True)).alias("accepted"))
-        before, left = left, rs.advance(nxt)
-        if left == before:
-            raise RuntimeError(f"a round decided none of {left} sign-ups")
-    state = checkpoint(rs.df, "signup-decided")
-    acc = new_ids(state.where("accepted"), ["submitted_at", "cmd_id"], users, out="user_id")
+    c = checkpoint(cmds.join(tu, F.col("username") == F.col("_tu"), "left").join(te, F.col("email") == F.col("_te"), "left")
+                   .select("cmd_id", "submitted_at", "username", "email",
+                           (F.col("_tu").isNull() & F.col("_te").isNull() & ~_nameless()).alias("_open")), "sign-up-checks")
+    accepted = accept_sign_ups(c.where("_open").drop("_open"))
+    acc = new_ids(accepted, ["submitted_at", "cmd_id"], users, out="user_id")
+    c = checkpoint(c.join(acc.select("cmd_id", "user_id"), "cmd_id", "left"), "sign-up-decisions")
+    acc = c.where(F.col("user_id").isNotNull())
     # First user ever becomes admin: only when the table (after bootstrap) is empty.
     is_empty = users.agg((F.count(F.lit(1)) == 0).alias("e")).scalar()
     rows = acc.select(F.col("user_id").alias("id"), "username", "email",
                       F.when(is_empty & (F.col("user_id") == 1), "admin").otherwise("user").alias("role"),
                       F.lit(True).alias("is_active"), F.col("submitted_at").alias("created_at"))
     users_new = users.unionByName(rows, allowMissingColumns=True)
-    outcomes = state.join(acc.select("cmd_id", "user_id"), "cmd_id", "left").select(
-        "cmd_id", F.col("accepted").alias("ok"),
-        F.when(_nameless(), F.lit("Failed to register user"))
-        .when(~F.col("accepted"), F.lit("Username or email already exists")).alias("reason"), "user_id")
+    ok = F.col("user_id").isNotNull()
+    outcomes = c.select("cmd_id", ok.alias("ok"), F.when(_nameless(), F.lit("Failed to register user"))
+                        .when(~ok, F.lit("Username or email already exists")).alias("reason"), "user_id")
     return CommandResult({"users": users_new}, outcomes)

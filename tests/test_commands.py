@@ -147,6 +147,63 @@ def test_w15_equals_sequential(lib):
     assert got == exp
 
 
+def _jobs(spark, run):
+    """Number of Spark jobs that ``run`` starts, and its result."""
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), out
+
+
+def _sign_up_cases(rng, n):
+    """Sign-ups that share usernames and emails, and a chain in which each takes the email of the next."""
+    at = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randint(0, 500))
+    rows = [(i, at(), f"u{rng.randint(0, n // 3)}", f"e{rng.randint(0, n // 3)}@x") for i in range(n)]
+    return rows + [(10_000 + i, dt.datetime(2025, 1, 1) + dt.timedelta(seconds=i), f"c{i // 2}", f"c{(i + 1) // 2}@x") for i in range(1000)]
+
+
+def test_sign_ups_in_groups_equal_one_by_one(spark):
+    from shelfspark.operators.ordered import accept_sign_ups
+    rows = _sign_up_cases(random.Random(2), 600)
+    names, mails, exp = set(), set(), set()
+    for i, _, u, e in sorted(rows, key=lambda r: (r[1], r[0])):
+        if u not in names and e not in mails:
+            names.add(u)
+            mails.add(e)
+            exp.add(i)
+    df = spark.createDataFrame(rows, "cmd_id long, submitted_at timestamp_ntz, username string, email string").repartition(4)
+    jobs, got = _jobs(spark, lambda: {r.cmd_id for r in accept_sign_ups(df).collect()})
+    assert got == exp
+    assert jobs < 150  # the chain of 1,000 takes a logarithm of rounds
+
+
+def test_isbn_claims_in_groups_equal_one_by_one(spark):
+    from shelfspark.operators.ordered import decide_isbn_claims
+    rng = random.Random(4)
+    stored = [(b, f"i{b}" if b % 5 else None) for b in range(300)]
+    claims = [(i, rng.randint(0, 99), rng.choice([None, *(f"i{rng.randint(0, 140)}" for _ in range(6)), f"new{rng.randint(0, 30)}"])) for i in range(500)]
+    # a chain: each book takes the isbn that the one before has just left
+    claims += [(1000 + i, 299 - i, "fresh" if i == 0 else f"i{300 - i}") for i in range(1, 150)]
+    claims += [(990, 299, "other")]
+    claims.sort()
+    holder, held, exp = {x: b for b, x in stored if x}, dict(stored), {}
+    for i, book, isbn in claims:
+        exp[i] = isbn is None or holder.get(isbn, book) == book
+        if exp[i]:
+            if held.get(book) is not None:
+                holder.pop(held[book], None)
+            held[book] = isbn
+            if isbn is not None:
+                holder[isbn] = book
+    df = spark.createDataFrame(claims, "cmd_id long, book_id long, isbn string").withColumn("o", F.struct(F.lit(0), "cmd_id")).repartition(4)
+    jobs, got = _jobs(spark, lambda: {r.cmd_id: r.accepted for r in decide_isbn_claims(spark.createDataFrame(stored, "book_id long, isbn string"), df).collect()})
+    assert got == exp
+    assert jobs < 150
+
+
 def test_w11_at_most_one_loan_per_book(lib):
     res = WL.create_loans(lib, lib.loan_commands, dt.date(1998, 6, 15))
     acc = res.outcomes.where("ok").join(lib.loan_commands, "cmd_id")
