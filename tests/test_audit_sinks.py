@@ -30,6 +30,29 @@ def test_audit_finds_each_case(spark):
     assert years == {"1", "2"}
 
 
+def test_audit_scans_each_table_twice_at_most(spark, lib, tmp_path):
+    from shelfspark.operators.audit import broken
+    from shelfspark.sources.fixtures import CIRCULATION_TABLES
+    for t in CIRCULATION_TABLES:
+        lib.table(t).write.parquet(f"{tmp_path}/{t}")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    tables = {t: spark.read.parquet(f"{tmp_path}/{t}") for t in CIRCULATION_TABLES}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    first, second = plan(broken(tables, "2001-08-15")), plan(audit_constraints(tables, "2001-08-15"))
+    for t in CIRCULATION_TABLES:
+        assert first.count(f"{tmp_path}/{t}]") == 1 and second.count(f"{tmp_path}/{t}]") <= 1
+    assert first.count("Exchange hashpartitioning") == 1
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_audit_keeps_composite_keys_and_repeated_rows_apart(spark):
+    authors = spark.createDataFrame([(1, "a|b", "c"), (2, "a", "b|c"), (3, "x", None), (3, "x", None), (None, "n", "n")], "id long, first_name string, last_name string")
+    books = spark.createDataFrame([(i, "t", a) for i, a in enumerate([1, 9, 9, 9, None])], "id long, title string, author_id long")
+    out = sorted((r.table_name, r.rule, r.column_name, r.row_key or "", r.detail or "") for r in audit_constraints({"authors": authors, "books": books}, "2001-01-01").collect())
+    assert out == sorted([("authors", "not_null", "id", "", ""), ("authors", "not_null", "last_name", "3", ""), ("authors", "not_null", "last_name", "3", ""),
+                          ("authors", "unique", "id", "3", "2"), *(("books", "foreign_key", "author_id", str(i), "9") for i in (1, 2, 3))])
+
+
 def test_report_writers(spark):
     d = tempfile.mkdtemp()
     df = spark.createDataFrame([("a", dt.date(2024, 1, 2), dt.datetime(2024, 1, 2, 3, 4, 5)), ("b", None, None)],
