@@ -12,14 +12,22 @@ one task. The helpers here compute the same values distributed:
   otherwise.
 * ``page``: offset/limit on a total order, with the total as a scalar
   subquery (an aggregate computed once, not a window).
+* ``seek_page``: the page behind the last row seen, by comparing keys; no row
+  before it is gathered.
+* ``PagedTable``: rows stored by ranges of the order with their counts; any page,
+  however deep, reads the ranges it lies in.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch_path
 
 
 def global_rank(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank",
@@ -77,3 +85,83 @@ def page(df: DataFrame, order: list[Column], page_no: int, per_page: int,
     if pages_col:
         rows = rows.withColumn(pages_col, F.ceil(F.col(total_col) / F.lit(per_page)).cast("long"))
     return rows
+
+
+@dataclass(frozen=True)
+class SortKey:
+    """One column of a total order."""
+
+    name: str
+    descending: bool = False
+    nulls_first: bool = False
+
+    def column(self) -> Column:
+        c = F.col(self.name)
+        if self.descending:
+            return c.desc_nulls_first() if self.nulls_first else c.desc_nulls_last()
+        return c.asc_nulls_first() if self.nulls_first else c.asc_nulls_last()
+
+    def behind(self, value: Any) -> Column:
+        """Whether a row's value stands behind ``value``."""
+        c = F.col(self.name)
+        if value is None:
+            return c.isNotNull() if self.nulls_first else F.lit(False)
+        further = c < F.lit(value) if self.descending else c > F.lit(value)
+        return F.coalesce(further, F.lit(not self.nulls_first))  # NULL: the row's own value is null
+
+
+def columns_of(keys: list[SortKey]) -> list[Column]:
+    return [k.column() for k in keys]
+
+
+def seek_page(df: DataFrame, keys: list[SortKey], last: dict[str, Any] | None, per_page: int) -> DataFrame:
+    """The ``per_page`` rows behind the row whose key values are ``last`` (none: the first page), in the total order of ``keys``.
+
+    A comparison of keys takes the place of the offset: each task holds one page at most, however deep the page is.
+    """
+    if last is not None:
+        behind, same = F.lit(False), F.lit(True)
+        for k in keys:
+            behind = behind | (same & k.behind(last[k.name]))
+            same = same & F.col(k.name).eqNullSafe(F.lit(last[k.name]))
+        df = df.where(behind)
+    return df.orderBy(*columns_of(keys)).limit(per_page)
+
+
+class PagedTable:
+    """A result stored by ranges of its total order, for reading any page.
+
+    ``ranges`` lists each range's number of rows, in order. A page reads the ranges it lies in and sorts these alone.
+    """
+
+    def __init__(self, df: DataFrame, keys: list[SortKey], ranges: int | None = None, path: str | None = None):
+        self.spark, self.keys = df.sparkSession, keys
+        self.path = path or scratch_path(self.spark, "pages")
+        n = ranges or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartitionByRange(n, *columns_of(keys)).withColumn("_range", F.spark_partition_id()) \
+            .write.mode("overwrite").partitionBy("_range").parquet(self.path)
+        self.stored = self.spark.read.schema(f"{df._jdf.schema().toDDL()}, _range INT").parquet(self.path)
+        counts = self.stored.groupBy("_range").count().collect()  # one row a range
+        self.ranges = [(r["_range"], r["count"]) for r in sorted(counts, key=lambda r: r["_range"])]
+        self.total = sum(n for _, n in self.ranges)
+
+    def located(self, page_no: int, per_page: int) -> tuple[list[int], int]:
+        """(ranges that the page lies in, rows before it in the first of them)."""
+        first, found, before, skip = (page_no - 1) * per_page, [], 0, 0
+        for r, n in self.ranges:
+            if before < first + per_page and before + n > first:
+                if not found:
+                    skip = first - before
+                found.append(r)
+            before += n
+        return found, skip
+
+    def page(self, page_no: int, per_page: int, total_col: str = "total_count", pages_col: str | None = "pages") -> DataFrame:
+        """Rows of one page with the total row count and page count, as ``page`` gives them."""
+        if page_no < 1:
+            raise ValueError("page numbers start at 1")
+        found, skip = self.located(page_no, per_page)
+        hit = reduce(lambda a, b: a | b, (F.col("_range") == r for r in found), F.lit(False))
+        rows = self.stored.where(hit).drop("_range").orderBy(*columns_of(self.keys)).offset(skip).limit(per_page)
+        rows = rows.withColumn(total_col, F.lit(self.total).cast("long"))
+        return rows.withColumn(pages_col, F.lit(-(-self.total // per_page)).cast("long")) if pages_col else rows

@@ -13,14 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_date
-from ..functions.ordering import page
+from ..functions.ordering import PagedTable, SortKey, columns_of, page, seek_page
 from ..functions.text import contains_ci, full_name
 from ..sources.fixtures import Library
 from .loans import loan_order, loans_with_due
 from .reservations import reservation_order, reservation_rows
 
+TITLE_KEYS = [SortKey("title"), SortKey("id")]
+
+
 def title_order():
-    return [F.col("title").asc_nulls_last(), F.col("id")]
+    return columns_of(TITLE_KEYS)
 
 
 def _books_authors(lib: Library, with_publisher: bool) -> DataFrame:
@@ -61,6 +64,16 @@ def catalog_search(lib: Library, title: str = "", author: str = "", isbn: str =
     return page(catalog_rows(lib, title, author, isbn, status, genre), title_order(), page_no, per_page)
 
 
+def catalog_after(lib: Library, last: dict | None, per_page: int = 9, **filters: str) -> DataFrame:
+    """C1 by seeking: the books behind the last one seen (its title and id); ``filters`` as in ``catalog_rows``."""
+    return seek_page(catalog_rows(lib, **filters), TITLE_KEYS, last, per_page)
+
+
+def paged_catalog(lib: Library, ranges: int | None = None, **filters: str) -> PagedTable:
+    """C1 stored by ranges of its order, for pages of any depth."""
+    return PagedTable(catalog_rows(lib, **filters), TITLE_KEYS, ranges)
+
+
 def available_books_basic(lib: Library, title: str = "", author: str = "", page_no: int = 1,
                           per_page: int = 10) -> DataFrame:
     """Available books, narrow projection, no publisher."""

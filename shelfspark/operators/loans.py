@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import lit_date
-from ..functions.ordering import page
+from ..functions.ordering import PagedTable, SortKey, columns_of, page, seek_page
 from ..functions.text import full_name
 from ..session import materialize
 from ..sources.fixtures import Library
@@ -52,17 +52,34 @@ def _authors(lib: Library) -> DataFrame:
     return lib.authors.select(F.col("id").alias("_auth"), full_name().alias("author"))
 
 
+LOAN_KEYS = [SortKey("loan_date", descending=True, nulls_first=True), SortKey("id"), SortKey("due_date")]
+
+
 def loan_order():
-    return [F.col("loan_date").desc_nulls_first(), F.col("id").asc(), F.col("due_date").asc_nulls_last()]
+    return columns_of(LOAN_KEYS)
 
 
-def loans_page(lib: Library, as_of: dt.date | str, page_no: int = 1, per_page: int = 10) -> DataFrame:
-    """L1: staff loan list, newest first, one page plus total."""
+def loan_rows(lib: Library, as_of: dt.date | str) -> DataFrame:
+    """Rows of the staff loan list: loan with due date ⋈ book ⋈ reader."""
     l = loans_with_due(lib, as_of)
     j = (l.join(_books_titles(lib), l.book_id == F.col("_bid"))
          .join(_reader_names(lib), l.reader_id == F.col("_rid")))
-    rows = j.select("id", "title", "reader", "loan_date", "return_date", "status", "due_date", "is_overdue")
-    return page(rows, loan_order(), page_no, per_page)
+    return j.select("id", "title", "reader", "loan_date", "return_date", "status", "due_date", "is_overdue")
+
+
+def loans_page(lib: Library, as_of: dt.date | str, page_no: int = 1, per_page: int = 10) -> DataFrame:
+    """L1: staff loan list, newest first, one page plus total."""
+    return page(loan_rows(lib, as_of), loan_order(), page_no, per_page)
+
+
+def loans_after(lib: Library, as_of: dt.date | str, last: dict | None, per_page: int = 10) -> DataFrame:
+    """L1 by seeking: the loans behind the last one seen (its loan_date, id and due_date)."""
+    return seek_page(loan_rows(lib, as_of), LOAN_KEYS, last, per_page)
+
+
+def paged_loans(lib: Library, as_of: dt.date | str, ranges: int | None = None) -> PagedTable:
+    """L1 stored by ranges of its order, for pages of any depth."""
+    return PagedTable(loan_rows(lib, as_of), LOAN_KEYS, ranges)
 
 
 def reader_loans(lib: Library, as_of: dt.date | str) -> DataFrame:
@@ -113,6 +130,19 @@ def loanable_reservations(lib: Library, as_of: dt.date | str) -> DataFrame:
     return count_per_key(rows, "id", "reservation_count")
 
 
+def loanable_per_reader(lib: Library, as_of: dt.date | str) -> DataFrame:
+    """L6 nested: one row per reader with its name and the list of books it can be lent, first reserved first.
+
+    A reader's list is one array; ``loanable_by_reader`` has the same as flat rows.
+    """
+    l5 = loanable_reservations(lib, as_of)
+    book = F.struct("created_at", "id", "title", "author", "start_date", "end_date", "reservation_count")
+    # created_at first, so the array sorts by it: unset last, as an ascending SQL sort has it.
+    unset = F.struct(F.col("created_at").isNull().alias("unset"), book.alias("book"))
+    grouped = l5.groupBy("reader_id", "reader_name").agg(F.sort_array(F.collect_list(unset)).alias("books"))
+    return grouped.select("reader_id", "reader_name", F.transform("books", lambda x: x["book"].dropFields("created_at")).alias("books"))
+
+
 def loanable_by_reader(lib: Library, as_of: dt.date | str) -> DataFrame:
     """L5 grouped by reader, flattened: one row per (reader, book) with the reader's book count."""
     l5 = loanable_reservations(lib, as_of).select(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, lit_ntz
 from ..functions.ordering import page
-from ..session import materialize
 from ..sources.fixtures import Library
 
 
@@ -70,6 +69,19 @@ def readers_for_loan(lib: Library) -> DataFrame:
     return lib.readers.join(u, "user_id", "left_semi").select("id", "first_name", "last_name", "email", "card_number")
 
 
+def _profiles(lib: Library) -> DataFrame:
+    """(id, card_number, registration_date) of each user's reader with the lowest id; the date is NULL without a card."""
+    prof = lib.readers.groupBy(F.col("user_id").alias("id")).agg(F.min(F.struct(F.col("id").alias("rid"), "card_number", "registration_date")).alias("p"))
+    return prof.select("id", "p.card_number", F.when(F.col("p.card_number").isNotNull(), F.col("p.registration_date")).alias("registration_date"))
+
+
+def _loans_of_users(lib: Library) -> DataFrame:
+    titles = lib.books.select(F.col("id").alias("book_id"), F.col("title").alias("book_title"))
+    owners = lib.readers.select(F.col("id").alias("reader_id"), F.col("user_id").alias("owner"))
+    return lib.loans.join(titles, "book_id").join(owners, "reader_id").select(
+        "owner", F.col("id").alias("loan_id"), "book_title", "loan_date", "return_date", F.col("status").alias("loan_status"))
+
+
 def user_details(lib: Library) -> DataFrame:
     """Per user the profile and loan history, flattened to one row per (user, loan).
 
@@ -77,28 +89,34 @@ def user_details(lib: Library) -> DataFrame:
     is taken from the user's reader with the lowest id and is NULL when that
     reader has no card number.
     """
-    rd = lib.readers
-    prof = rd.groupBy(F.col("user_id").alias("id")).agg(
-        F.min_by("card_number", "id").alias("card_number"), F.min_by("registration_date", "id").alias("_reg"))
-    hist = (lib.loans.join(lib.books.select(F.col("id").alias("book_id"), F.col("title").alias("book_title")),
-                           "book_id")
-            .join(rd.select(F.col("id").alias("reader_id"), F.col("user_id").alias("_uid")), "reader_id")
-            .select(F.col("_uid").alias("id"), "book_title", "loan_date", "return_date",
-                    F.col("status").alias("loan_status")))
-    hist = materialize(hist, "user-loans")  # read by the join and by the list of users with loans
-    u = lib.users.join(prof, "id", "left")
+    # Users and loans are two kinds of rows of one table: the users' own rows are kept where no loan joins them, without
+    # a left join whose inner side a hot user would hold in one task.
+    users = lib.users.join(_profiles(lib), "id", "left").select(
+        F.col("id").alias("user_id"), "username", "email", "role", "created_at", "card_number", "registration_date")
+    loans = _loans_of_users(lib)
     cols = ["book_title", "loan_date", "return_date", "loan_status"]
-    # users ⟕ history, written as ⋈ plus the users without history: AQE can split a hot
-    # user's history in the inner join, which it cannot do on the inner side of a left join.
-    with_loans = u.join(hist, "id")
-    has_loans = hist.select("id").distinct()
-    without = u.join(has_loans, "id", "left_anti").select(
-        "*", *[F.lit(None).cast(hist.schema[c].dataType).alias(c) for c in cols])
-    j = with_loans.unionByName(without)
-    return j.select(F.col("id").alias("user_id"), "username", "email", "role", "created_at",
-                    "card_number",
-                    F.when(F.col("card_number").isNotNull(), F.col("_reg")).alias("registration_date"),
-                    *cols)
+    have = loans.groupBy("owner").agg(F.lit(True).alias("has"))
+    flagged = users.join(have, F.col("user_id") == F.col("owner"), "left").drop("owner")
+    with_loans = flagged.where("has").join(loans, F.col("user_id") == F.col("owner"))
+    without = flagged.where("has IS NULL").select("*", *(F.lit(None).cast(loans.schema[c].dataType).alias(c) for c in cols))
+    return with_loans.select(*users.columns, *cols).unionByName(without.select(*users.columns, *cols))
+
+
+def user_profiles(lib: Library) -> DataFrame:
+    """R7 nested: one row per user with ``reader_profile`` (NULL without a card number) and ``loan_history``, newest loan first.
+
+    A user's history is one array, empty without loans; ``user_details`` has the same as flat rows.
+    """
+    loan = F.struct("book_title", "loan_date", "return_date", F.col("loan_status").alias("status"))
+    # Sorted from the last: no date before all, then the latest, of equal dates the lowest loan.
+    key = F.struct(F.col("loan_date").isNull().alias("undated"), "loan_date", (-F.col("loan_id")).alias("lowest"), loan.alias("loan"))
+    history = _loans_of_users(lib).groupBy("owner").agg(F.sort_array(F.collect_list(key), asc=False).alias("h"))
+    history = history.select("owner", F.transform("h", lambda x: x["loan"]).alias("loan_history"))
+    profile = F.when(F.col("card_number").isNotNull(), F.struct("card_number", "registration_date"))
+    empty = F.array().cast(history.schema["loan_history"].dataType)
+    return lib.users.join(_profiles(lib), "id", "left").join(history, F.col("id") == F.col("owner"), "left").select(
+        F.col("id").alias("user_id"), "username", "email", "role", "created_at", profile.alias("reader_profile"),
+        F.coalesce("loan_history", empty).alias("loan_history"))
 
 
 def user_statistics_report(lib: Library) -> DataFrame:

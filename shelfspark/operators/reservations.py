@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import covered_day_masks, earliest_ending_from, point_covered
-from ..functions.ordering import page
+from ..functions.ordering import PagedTable, SortKey, columns_of, page, seek_page
 from ..functions.text import full_name
 from ..sources.fixtures import Library
 
@@ -48,8 +48,11 @@ def reservation_rows(lib: Library) -> DataFrame:
     return j.select("id", "start_date", "end_date", "status", "title", "reader")
 
 
+RESERVATION_KEYS = [SortKey("start_date", descending=True, nulls_first=True), SortKey("id")]
+
+
 def reservation_order():
-    return [F.col("start_date").desc_nulls_first(), F.col("id")]
+    return columns_of(RESERVATION_KEYS)
 
 
 def reservations_page(lib: Library, page_no: int = 1, per_page: int = 10) -> DataFrame:
@@ -57,6 +60,16 @@ def reservations_page(lib: Library, page_no: int = 1, per_page: int = 10) -> Dat
     return page(reservation_rows(lib), reservation_order(), page_no, per_page)
 
 
+def reservations_after(lib: Library, last: dict | None, per_page: int = 10) -> DataFrame:
+    """V3 by seeking: the reservations behind the last one seen (its start_date and id)."""
+    return seek_page(reservation_rows(lib), RESERVATION_KEYS, last, per_page)
+
+
+def paged_reservations(lib: Library, ranges: int | None = None) -> PagedTable:
+    """V3 stored by ranges of its order, for pages of any depth."""
+    return PagedTable(reservation_rows(lib), RESERVATION_KEYS, ranges)
+
+
 def check_availability(lib: Library, requests: DataFrame, join_readers: bool = True) -> DataFrame:
     """V5: availability of (req_id, book_id, start_date, end_date) requests, in bulk.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.dates import period_bounds
 from shelfspark.functions.intervals import earliest_ending_from
-from shelfspark.functions.ordering import global_rank, page
+from shelfspark.functions.ordering import PagedTable, SortKey, global_rank, page, seek_page
 
 
 def test_period_bounds():
@@ -103,3 +103,42 @@ def test_row_numbers_exact_on_shuffled_input(spark):
           .groupBy("id").agg(F.max("g").alias("g")))  # shuffled, input order not fixed
     got = global_rank(df, ["id"], [F.col("id")], out="pos", partitions=8, unique=True, materialize_input=False)
     assert {r.id: r.pos for r in got.collect()} == {i: i + 1 for i in range(5000)}
+
+
+def _paged(spark):
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice([None, *range(12)]), rnd.choice([None, "a", "b", "c"])) for i in range(997)]
+    rnd.shuffle(rows)
+    keys = [SortKey("d", descending=True, nulls_first=True), SortKey("s"), SortKey("id")]
+    order = sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[2] is None, r[2] or "", r[0]))
+    return spark.createDataFrame(rows, "id long, d int, s string"), keys, [r[0] for r in order]
+
+
+def test_seek_pages_walk_the_whole_order(spark):
+    df, keys, order = _paged(spark)
+    seen, last = [], None
+    while True:
+        rows = seek_page(df, keys, last, 173).collect()
+        if not rows:
+            break
+        seen += [r.id for r in rows]
+        last = rows[-1].asDict()
+    assert seen == order
+    plan = seek_page(df, keys, last, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
+
+
+def test_paged_table_equals_offset_pages_and_reads_the_pages_ranges(spark):
+    df, keys, order = _paged(spark)
+    t = PagedTable(df, keys, ranges=10)
+    assert t.total == 997 and sum(n for _, n in t.ranges) == 997 and len(t.ranges) > 5
+    for no, per in ((1, 10), (37, 10), (100, 10), (101, 10), (2, 400), (3, 400), (1, 2000), (400, 10)):
+        got = t.page(no, per).collect()
+        assert [r.id for r in got] == order[(no - 1) * per:no * per]
+        assert {tuple(r) for r in got} == {tuple(r) for r in page(df, [k.column() for k in keys], no, per).collect()}
+    found, _ = t.located(50, 10)
+    assert len(found) <= 2
+    plan = t.page(50, 10)._jdf.queryExecution().executedPlan().toString()
+    assert all("_range#" in x and "PartitionFilters: []" not in x for x in plan.splitlines() if "FileScan" in x)
+    empty = PagedTable(df.limit(0), keys)
+    assert empty.total == 0 and empty.page(1, 10).count() == 0
