@@ -294,9 +294,75 @@ def _w10(lib):
     return WL.cancel_reservations(lib, lib.cancel_commands, NOW).outcomes
 
 
+@register("w10_reservations_table", """
+SELECT id, book_id, reader_id, created_at, start_date, end_date,
+  CASE WHEN status <> 'completed' AND id IN (SELECT reservation_id FROM cancel_commands) THEN 'cancelled' ELSE status END AS status
+FROM reservations
+""")
+def _w10t(lib):
+    return WL.cancel_reservations(lib, lib.cancel_commands, NOW).tables["reservations"].drop("updated_at")
+
+
 D_LOANABLE = f"DATE '{AS_OF_LOANABLE.isoformat()}'"
 
 
+# Of each available book the first command whose reader holds a reservation for the day, and the lowest such reservation.
+_W11_LENT = f"""
+held AS (SELECT book_id, reader_id, min(id) AS reservation FROM reservations
+         WHERE status = 'pending' AND start_date <= {D_LOANABLE} AND end_date >= {D_LOANABLE} GROUP BY ALL),
+lent AS (SELECT DISTINCT ON (book_id) book_id, reader_id, reservation, submitted_at, cmd_id FROM loan_commands JOIN held USING (book_id, reader_id)
+         WHERE book_id IN (SELECT id FROM books WHERE status = 'available') ORDER BY book_id, submitted_at, cmd_id)"""
+
+
+@register("w11_loans_table", f"""
+WITH {_W11_LENT}
+SELECT id, book_id, reader_id, loan_date, return_date, status FROM loans
+UNION ALL SELECT (SELECT max(id) FROM loans) + ROW_NUMBER() OVER (ORDER BY submitted_at, cmd_id), book_id, reader_id,
+  CAST({D_LOANABLE} AS TIMESTAMP), NULL, 'borrowed' FROM lent
+""")
+def _w11l(lib):
+    return WL.create_loans(lib, lib.loan_commands, AS_OF_LOANABLE).tables["loans"]
+
+
+@register("w11_books_table", f"""
+WITH {_W11_LENT}
+SELECT id, title, author_id, isbn, publisher_id, publication_year, genre, description,
+  CASE WHEN id IN (SELECT book_id FROM lent) THEN 'borrowed' ELSE status END AS status FROM books
+""")
+def _w11b(lib):
+    return WL.create_loans(lib, lib.loan_commands, AS_OF_LOANABLE).tables["books"].drop("updated_at")
+
+
+@register("w11_reservations_table", f"""
+WITH {_W11_LENT}
+SELECT id, book_id, reader_id, created_at, start_date, end_date,
+  CASE WHEN id IN (SELECT reservation FROM lent) THEN 'completed' ELSE status END AS status FROM reservations
+""")
+def _w11r(lib):
+    return WL.create_loans(lib, lib.loan_commands, AS_OF_LOANABLE).tables["reservations"].drop("updated_at")
+
+
+_W12_BACK = "back AS (SELECT id AS loan, book_id AS book FROM loans WHERE status = 'borrowed' AND id IN (SELECT loan_id FROM return_commands))"
+
+
+@register("w12_loans_table", f"""
+WITH {_W12_BACK}
+SELECT id, book_id, reader_id, loan_date, CASE WHEN loan IS NULL THEN return_date ELSE DATE '{AS_OF_LOANS.isoformat()}' END AS return_date,
+  CASE WHEN loan IS NULL THEN status ELSE 'returned' END AS status FROM loans LEFT JOIN back ON loan = id
+""")
+def _w12l(lib):
+    return WL.return_loans(lib, lib.return_commands, AS_OF_LOANS).tables["loans"].drop("updated_at")
+
+
+@register("w12_books_table", f"""
+WITH {_W12_BACK}
+SELECT id, title, author_id, isbn, publisher_id, publication_year, genre, description,
+  CASE WHEN id IN (SELECT book FROM back) THEN 'available' ELSE status END AS status FROM books
+""")
+def _w12b(lib):
+    return WL.return_loans(lib, lib.return_commands, AS_OF_LOANS).tables["books"].drop("updated_at")
+
+
 @register("w11_create_loans", f"""
 WITH res AS (SELECT book_id, reader_id, min(id) AS res_id FROM reservations
              WHERE status = 'pending' AND {D_LOANABLE} BETWEEN start_date AND end_date GROUP BY book_id, reader_id),

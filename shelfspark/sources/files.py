@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -25,16 +27,22 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def publish_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file that is seen whole or not at all: under another name first, then renamed."""
+def publish_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
+    """Write a small file that is seen whole or not at all: under another name first, then renamed.
+
+    Without ``replace`` a file of that name is an error.
+    """
     fs, p = _at(spark, path)
-    draft = _at(spark, f"{path}.draft")[1]
+    draft = _at(spark, f"{path}.{uuid.uuid4().hex[:8]}.draft")[1]
     out = fs.create(draft, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
     if fs.exists(p):
+        if not replace:
+            fs.delete(draft, False)
+            raise FileExistsError(path)
         fs.delete(p, False)
     if not fs.rename(draft, p):
         raise OSError(f"could not publish {path}")

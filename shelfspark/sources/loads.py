@@ -8,19 +8,39 @@ from pyspark.sql import functions as F
 from .schema import SCHEMAS
 
 
+class SchemaMismatch(ValueError):
+    """A stored table does not fit its declaration."""
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Project a DataFrame onto the declared schema of ``name`` (cast; NULL for absent columns)."""
+    """Project a DataFrame onto the declared schema of ``name``: cast, NULL for absent columns that may be NULL.
+
+    An absent NOT NULL column, and a column that is not declared (a misspelt one, say), is an error.
+    """
     schema = SCHEMAS[name]
-    cols = []
-    for f in schema.fields:
-        c = F.col(f.name) if f.name in df.columns else F.lit(None)
-        cols.append(c.cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    absent = [f.name for f in schema.fields if not f.nullable and f.name not in df.columns]
+    unknown = [c for c in df.columns if c not in schema.fieldNames()]
+    if absent or unknown:
+        told = [f"lacks the NOT NULL columns {absent}"] if absent else []
+        told += [f"has the undeclared columns {unknown}"] if unknown else []
+        raise SchemaMismatch(f"table {name} {' and '.join(told)}")
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields))
 
 
 def load_tables(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:
-    """Read ``<path>/<table>`` for each circulation table, conformed to the declared schema."""
-    return {n: conform(spark.read.parquet(f"{path}/{n}"), n) for n in (names or list(SCHEMAS))}
+    """Read ``<path>/<table>`` for each circulation table with its declared schema.
+
+    The declaration is the reader's schema, so files that lack a nullable column give NULL there. Columns stored in
+    another type than declared are cast.
+    """
+    out = {}
+    for n in names or list(SCHEMAS):
+        stored = spark.read.parquet(f"{path}/{n}")
+        whole = conform(stored, n)
+        types = {f.name: f.dataType for f in stored.schema.fields}
+        as_declared = all(types.get(f.name, f.dataType) == f.dataType for f in SCHEMAS[n].fields)
+        out[n] = spark.read.schema(SCHEMAS[n]).parquet(f"{path}/{n}") if as_declared else whole
+    return out
 
 
 def insert_if_absent(target: DataFrame, new: DataFrame, key: str | list[str],

@@ -5,6 +5,8 @@ import glob
 import os
 import tempfile
 
+import pytest
+
 from shelfspark.operators.audit import audit_constraints
 from shelfspark.sources.loads import insert_if_absent, load_tables, resolve_keys
 from shelfspark.sources.sinks import export_snapshot, write_period_report, write_report_csv, write_report_json
@@ -116,3 +118,47 @@ def test_period_report_run_twice_leaves_one_copy(spark, tmp_path):
     for days in (1, 1, 2):
         write_period_report(df, "x", dt.date(2024, 1, days), dt.date(2024, 1, 9), f"{tmp_path}/r")
     assert spark.read.option("header", True).csv(f"{tmp_path}/r").groupBy("period_start").count().collect()[0]["count"] == 2
+
+
+def test_loads_refuse_tables_that_do_not_fit(spark, tmp_path):
+    from shelfspark.sources.loads import SchemaMismatch
+    spark.createDataFrame([(1, "A", "B")], "id int, first_name string, last_name string").write.parquet(f"{tmp_path}/a/authors")
+    got = load_tables(spark, f"{tmp_path}/a", ["authors"])["authors"]
+    assert got.schema["id"].dataType.typeName() == "long" and got.first().updated_at is None
+    spark.createDataFrame([(1, "A", "B")], "id long, first_name string, last_name string").write.parquet(f"{tmp_path}/d/authors")
+    assert load_tables(spark, f"{tmp_path}/d", ["authors"])["authors"].first().asDict() == {
+        "id": 1, "first_name": "A", "last_name": "B", "created_at": None, "updated_at": None}
+    spark.createDataFrame([(1, "A", "B")], "id long, first_name string, lastname string").write.parquet(f"{tmp_path}/b/authors")
+    with pytest.raises(SchemaMismatch, match=r"last_name.*lastname"):
+        load_tables(spark, f"{tmp_path}/b", ["authors"])
+
+
+def test_store_publishes_a_batch_together(spark, lib, tmp_path):
+    from shelfspark.operators import commands_circulation as WL
+    from shelfspark.sources.fixtures import Library
+    from shelfspark.sources.store import Conflict, TableStore
+    store = TableStore(spark, str(tmp_path / "store"))
+    assert store.load() == (-1, {})
+    names = ["books", "loans", "reservations", "readers"]
+    assert store.publish({n: lib.table(n) for n in names}, -1) == 0
+    version, tables = store.load()
+    now = Library(spark, tables=tables)
+    result = WL.create_loans(now, lib.loan_commands, dt.date(1998, 6, 15))
+    n, n_loans = result.outcomes.where("ok").count(), tables["loans"].count()
+    before = {k: tables[k].groupBy("status").count().collect() for k in ("books", "loans", "reservations")}
+    # a batch that fails on its last table leaves nothing behind
+    bad = tables["reservations"].selectExpr("id", "raise_error('no') AS x")
+    with pytest.raises(Exception, match="no"):
+        store.publish({**result.tables, "reservations": bad}, version)
+    assert store.load()[0] == 0
+    assert store.publish(result.tables, version) == 1
+    _, after = store.load()
+    assert after["loans"].count() == n_loans + n and n > 0
+    assert after["readers"].count() == lib.readers.count()  # not part of the batch
+    # the version before can still be read; a batch that started from it is refused
+    assert {k: v.groupBy("status").count().collect() for k, v in store.load(0)[1].items() if k in before} == before
+    with pytest.raises(Conflict):
+        store.publish(result.tables, 0)
+    assert store.publish({"readers": after["readers"].limit(3)}, 1) == 2
+    assert store.versions() == [1, 2]
+    assert store.load()[1]["loans"].count() == n_loans + n
