@@ -2,23 +2,15 @@
 
 A plain equi join on ``book_id`` with a range residual compares every pair
 within a book; one hot book would then run through one task. Here intervals are
-aggregated on (key, day), (key, week) or (key, chunk of days) first, so a key
-costs its calendar days, not its rows, and requests look the aggregates up.
+aggregated by (key, day) first, so a key costs its calendar days, not its rows,
+and a sweep in order of days answers the requests.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EPOCH = "1970-01-05"  # a Monday: buckets are ISO weeks
-BUCKET_DAYS = 7
-
-
-def week_bucket(d: Column | str) -> Column:
-    return F.floor(F.datediff(d, F.lit(EPOCH).cast("date")) / BUCKET_DAYS).cast("long")
-
-
 #: Days of one chunk of the end-date index (a power of two).
 CHUNK_DAYS = 64
 
@@ -68,32 +60,8 @@ def overlap_groups(intervals: DataFrame, key: str, start: str, end: str, out: st
     return days.select(key, start, F.sum(begins).over(w).alias(out))
 
 
-def _week_start(wk: Column) -> Column:
-    return F.date_add(F.lit(EPOCH).cast("date"), (wk * BUCKET_DAYS).cast("int"))
-
-
-def covered_day_masks(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Days covered by intervals, per (key, ISO week) as a 7-bit mask (bit i = Monday + i).
-
-    Each interval adds one row per week it touches; ``bit_or`` combines them
-    map-side, so a key holding most intervals costs its interval-weeks, and
-    no (point, interval) pairs are ever formed. Intervals with end < start
-    cover nothing.
-    """
-    x = (df.where(F.col(start) <= F.col(end))
-         .select(F.col(key).alias("_mk"), F.col(start).alias("_ms"), F.col(end).alias("_me"),
-                 F.explode(F.sequence(week_bucket(start), week_bucket(end))).alias("_wk")))
-    ws = _week_start(F.col("_wk"))
-    x = x.select("_mk", "_wk", F.datediff(F.greatest(F.col("_ms"), ws), ws).alias("_lo"),
-                 F.datediff(F.least(F.col("_me"), F.date_add(ws, BUCKET_DAYS - 1)), ws).alias("_hi"))
-    bits = F.expr("shiftleft(1, _hi + 1) - shiftleft(1, _lo)")
-    return x.groupBy("_mk", "_wk").agg(F.bit_or(bits).alias("_mask"))
-
-
-def point_covered(points: DataFrame, masks: DataFrame, key: str, day: str) -> DataFrame:
-    """Rows of ``points`` whose ``day`` is covered by an interval of the same ``key`` (semi join + bit test)."""
-    wk = week_bucket(day)
-    p = points.withColumn("_pwk", wk).withColumn("_bit", F.datediff(F.col(day), _week_start(wk)))
-    cond = ((F.col(key) == F.col("_mk")) & (F.col("_pwk") == F.col("_wk"))
-            & (F.expr("shiftright(_mask, _bit) & 1") == 1))
-    return p.join(masks, cond, "left_semi").drop("_pwk", "_bit")
+def covered(points: DataFrame, intervals: DataFrame, key_p: str, day: str, key_i: str, start: str, end: str) -> DataFrame:
+    """Rows of ``points`` whose ``day`` lies in an interval of the same key: the first starting one that ends no earlier starts by it."""
+    out = "_cover"
+    found = earliest_ending_from(points, intervals, key_p, day, key_i, start, end, [], out)
+    return found.where(F.col(f"{out}.{start}") <= F.col(day)).drop(out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.intervals import covered_day_masks, earliest_ending_from, point_covered
+from ..functions.intervals import covered, earliest_ending_from
 from ..functions.ordering import PagedTable, SortKey, columns_of, page, seek_page
 from ..functions.text import full_name
 from ..sources.fixtures import Library
@@ -101,23 +101,21 @@ def conflict_dates(lib: Library, requests: DataFrame) -> DataFrame:
 
     ``book_conflict``: the start or end date falls inside a non-cancelled
     reservation of the same book; ``user_conflict``: inside a non-cancelled
-    reservation of any book held by one of the user's readers. Both are point
-    tests against per-(key, week) masks of covered days: linear in
-    reservation-weeks, no (point, reservation) pairs even when one book or
-    user holds most reservations.
+    reservation of any book held by one of the user's readers. Both are sweeps
+    over days: no (point, reservation) pairs even when one book or user holds
+    most reservations, and no rows for the days or weeks of long ones.
     """
-    res = lib.reservations.where(F.col("status") != "cancelled")
+    res = lib.reservations.where(F.col("status") != "cancelled").select("book_id", "reader_id", F.col("start_date").alias("_rs"), F.col("end_date").alias("_re"))
+    res = res.where(F.col("_rs") <= F.col("_re"))
     rd = lib.readers.select(F.col("id").alias("reader_id"), F.col("user_id").alias("_user"))
-    by_book = covered_day_masks(res, "book_id", "start_date", "end_date")
-    by_user = covered_day_masks(res.join(rd, "reader_id"), "_user", "start_date", "end_date")
     pts = requests.select("req_id", "user_id", "book_id", F.explode(F.array("start_date", "end_date")).alias("_d"))
 
-    def hits(key: str, masks: DataFrame, out: str) -> DataFrame:
-        j = point_covered(pts.select("req_id", F.col(key).alias("_pk"), "_d"), masks, "_pk", "_d")
-        return j.select("req_id").distinct().withColumn(out, F.lit(True))
+    def hits(key: str, held: DataFrame, held_key: str, out: str) -> DataFrame:
+        inside = covered(pts.select("req_id", F.col(key).alias("_pk"), "_d"), held, "_pk", "_d", held_key, "_rs", "_re")
+        return inside.select("req_id").distinct().withColumn(out, F.lit(True))
 
-    out = (requests.join(hits("book_id", by_book, "_bc"), "req_id", "left")
-           .join(hits("user_id", by_user, "_uc"), "req_id", "left"))
+    out = (requests.join(hits("book_id", res, "book_id", "_bc"), "req_id", "left")
+           .join(hits("user_id", res.join(rd, "reader_id"), "_user", "_uc"), "req_id", "left"))
     bc = F.coalesce("_bc", F.lit(False))
     uc = F.coalesce("_uc", F.lit(False))
     return out.select(*requests.columns, bc.alias("book_conflict"), uc.alias("user_conflict"),

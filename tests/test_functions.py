@@ -80,29 +80,17 @@ def test_earliest_ending_from_equals_brute_force(spark):
         assert overlaps == bool(got[q[0]] and got[q[0]][0] <= q[3])
 
 
-def test_week_masks_equal_brute_force(spark):
-    from shelfspark.functions.intervals import covered_day_masks, point_covered
+def test_covered_points_equal_brute_force(spark):
+    from shelfspark.functions.intervals import covered
     rnd = random.Random(11)
     base = dt.date(2024, 1, 1)
-    ivs = []
-    for i in range(150):
-        s = base + dt.timedelta(days=rnd.randint(0, 80))
-        ivs.append((rnd.randint(1, 3), s, s + dt.timedelta(days=rnd.randint(-3, 25))))
-    pts = [(i, rnd.randint(1, 3), base + dt.timedelta(days=rnd.randint(-5, 110))) for i in range(300)]
-    m = covered_day_masks(spark.createDataFrame(ivs, "k long, s date, e date"), "k", "s", "e")
-    got = {r.pid for r in point_covered(spark.createDataFrame(pts, "pid long, pk long, d date"), m, "pk", "d").collect()}
-    exp = {p for p, k, d in pts if any(k == ik and s <= d <= e for ik, s, e in ivs)}
-    assert got == exp
-
-
-def test_row_numbers_exact_on_shuffled_input(spark):
-    """The unique-key rank (surrogate ids) must not depend on the order rows arrive in."""
-    rnd = random.Random(5)
-    rows = [(i, rnd.randint(0, 50)) for i in range(5000)]
-    df = (spark.createDataFrame(rows, "id long, g long").repartition(13, "g")
-          .groupBy("id").agg(F.max("g").alias("g")))  # shuffled, input order not fixed
-    got = global_rank(df, ["id"], [F.col("id")], out="pos", partitions=8, unique=True, materialize_input=False)
-    assert {r.id: r.pos for r in got.collect()} == {i: i + 1 for i in range(5000)}
+    ivs = [(rnd.randint(1, 3), s, s + dt.timedelta(days=rnd.randint(0, 6))) for s in (base + dt.timedelta(days=rnd.randint(0, 300)) for _ in range(60))]
+    ivs.append((4, base - dt.timedelta(days=40_000), base + dt.timedelta(days=40_000)))
+    pts = [(i, rnd.randint(1, 5), base + dt.timedelta(days=rnd.randint(-10, 310))) for i in range(400)] + [(900, 4, None), (901, None, base)]
+    got = {r.pid for r in covered(spark.createDataFrame(pts, "pid long, k long, d date"), spark.createDataFrame(ivs, "ik long, s date, e date"), "k", "d", "ik", "s", "e").collect()}
+    assert got == {i for i, k, d in pts if d and any(k == ik and s <= d <= e for ik, s, e in ivs)}
+    plan = covered(spark.createDataFrame(pts, "pid long, k long, d date"), spark.createDataFrame(ivs, "ik long, s date, e date"), "k", "d", "ik", "s", "e")
+    assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def _paged(spark):
