@@ -64,6 +64,28 @@ def new_ids(df: DataFrame, order: list[str], base_table: DataFrame, out: str = "
     return ranked.withColumn(out, start + F.col("_pos")).drop("_pos")
 
 
+def new_ids_together(parts: dict[str, tuple[DataFrame, list[str], DataFrame]], id_col: str = "id") -> dict[str, DataFrame]:
+    """Surrogate ids for the new rows of several tables from one rank: ``{name: (keys of the new rows, order, table)}``.
+
+    Gives per name the key columns with ``id`` = ``max(table.id) + position in order``. The keys of all parts are ranked
+    together, part by part; a part's first position is one number.
+    """
+    rows, order = None, []
+    for k, (keys, cols, _) in enumerate(parts.values()):
+        own = keys.select(F.lit(k).alias("_part_no"), *(F.col(c).alias(f"_{k}_{c}") for c in cols))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+        order += [f"_{k}_{c}" for c in cols]
+    every = ["_part_no", *order]
+    ranked = checkpoint(global_rank(rows, every, [F.col(c).asc_nulls_first() for c in every], out="_pos", unique=True, materialize_input=False), "new-ids")
+    before = {r["_part_no"]: r["first"] - 1 for r in ranked.groupBy("_part_no").agg(F.min("_pos").alias("first")).collect()}  # a row a part
+    out = {}
+    for k, (name, (_, cols, table)) in enumerate(parts.items()):
+        start = table.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).scalar()
+        own = ranked.where(F.col("_part_no") == k)
+        out[name] = own.select(*(F.col(f"_{k}_{c}").alias(c) for c in cols), (start + F.col("_pos") - F.lit(before.get(k, 0))).cast("long").alias("id"))
+    return out
+
+
 def first_per_key(df: DataFrame, key: str | list[str], order: list[str] = list(CMD_ORDER),
                   out: str = "_first") -> DataFrame:
     """Flag the first row per key in batch order, via a partial min aggregate joined back.

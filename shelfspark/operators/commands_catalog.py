@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_date
 from ..sources.fixtures import Library
-from .batch import CommandResult, checkpoint, first_failure, first_per_key, last_per_key, merge_rows, new_ids, order_key
+from .batch import CommandResult, checkpoint, first_failure, first_per_key, last_per_key, merge_rows, new_ids, new_ids_together, order_key
 from .ordered import decide_isbn_claims
 
 
@@ -28,6 +28,11 @@ def upsert_names(table: DataFrame, names: DataFrame, cols: list[str]) -> tuple[D
     return new_table, mapping
 
 
+def _missing(table: DataFrame, names: DataFrame, cols: list[str]) -> DataFrame:
+    """The names that the table does not hold, once each."""
+    return names.select(*cols).dropna(how="any").distinct().join(table.select(*cols), cols, "left_anti")
+
+
 def upsert_authors(lib: Library, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``names(first_name, last_name)`` -> (authors, mapping to author id)."""
     return upsert_names(lib.authors, names, ["first_name", "last_name"])
@@ -61,10 +66,15 @@ def add_books(lib: Library, cmds: DataFrame, as_of: dt.date | str) -> CommandRes
     # Every later branch (authors, publishers, ids, outcomes) reads the decisions: write them once.
     c = checkpoint(c, "add-books-decisions")
     acc = c.where(F.col("reason").isNull())
-    authors, amap = upsert_authors(lib, acc.select(F.col("author_first_name").alias("first_name"),
-                                                   F.col("author_last_name").alias("last_name")))
-    publishers, pmap = upsert_publishers(lib, acc.select(F.col("publisher").alias("name")))
-    acc = new_ids(acc, ["submitted_at", "cmd_id"], lib.books, out="book_id_new")
+    names = acc.select(F.col("author_first_name").alias("first_name"), F.col("author_last_name").alias("last_name"))
+    person = ["first_name", "last_name"]
+    new = new_ids_together({"authors": (_missing(lib.authors, names, person), person, lib.authors),
+                            "publishers": (_missing(lib.publishers, acc.select(F.col("publisher").alias("name")), ["name"]), ["name"], lib.publishers),
+                            "books": (acc, ["submitted_at", "cmd_id"], lib.books)})
+    authors = lib.authors.unionByName(new["authors"], allowMissingColumns=True)
+    publishers = lib.publishers.unionByName(new["publishers"], allowMissingColumns=True)
+    amap, pmap = authors.select("id", *person), publishers.select("id", "name")
+    acc = acc.join(new["books"].select("cmd_id", F.col("id").alias("book_id_new")), "cmd_id")
     acc = (acc.join(amap.select(F.col("id").alias("author_id"), F.col("first_name").alias("author_first_name"),
                                 F.col("last_name").alias("author_last_name")),
                     ["author_first_name", "author_last_name"], "left")
