@@ -60,7 +60,7 @@ def accept_in_order(cands: DataFrame, key: str = "book_id", start: str = "start_
 
 def _reserve(lib: Library, cmds: DataFrame, checks, join_readers: bool, conflict_reason: str,
              reader_col) -> CommandResult:
-    av = check_availability(lib, cmds.withColumnRenamed("cmd_id", "req_id"), join_readers=join_readers) \
+    av = check_availability(lib, cmds.withColumnRenamed("cmd_id", "req_id"), join_readers, with_holder=False) \
         .withColumnRenamed("req_id", "cmd_id")
     c = checkpoint(av.withColumn("_reader_id", reader_col).withColumn("_pre", first_failure(*checks(av))),
                    "reservation-checks")

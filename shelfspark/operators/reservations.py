@@ -70,30 +70,32 @@ def paged_reservations(lib: Library, ranges: int | None = None) -> PagedTable:
     return PagedTable(reservation_rows(lib), RESERVATION_KEYS, ranges)
 
 
-def check_availability(lib: Library, requests: DataFrame, join_readers: bool = True) -> DataFrame:
+def check_availability(lib: Library, requests: DataFrame, join_readers: bool = True, with_holder: bool = True) -> DataFrame:
     """V5: availability of (req_id, book_id, start_date, end_date) requests, in bulk.
 
     Per request: book_exists, book_status ('not_found' when missing),
     has_conflict (a non-cancelled reservation of the book overlapping the
-    closed interval) and current_holder (reader of the earliest-starting such
-    reservation, then lowest id). With ``join_readers`` a reservation whose
-    reader row is missing does not count, as in the table function.
+    closed interval) and, unless left out, current_holder (reader of the
+    earliest-starting such reservation, then lowest id). With ``join_readers`` a
+    reservation whose reader row is missing does not count, as in the table
+    function.
     """
     res = lib.reservations.where(F.col("status") != "cancelled").select(
-        F.col("id").alias("_res_id"), F.col("book_id").alias("_rbook"), F.col("reader_id").alias("_rreader"),
+        F.col("id").cast("long").alias("_res_id"), F.col("book_id").alias("_rbook"), F.col("reader_id").alias("_rreader"),
         F.col("start_date").alias("_rs"), F.col("end_date").alias("_re"))
-    if join_readers:
-        rd = lib.readers.select(F.col("id").alias("_rreader"), full_name().alias("_holder"))
-        res = res.join(rd, "_rreader")
-    else:
-        res = res.withColumn("_holder", F.lit(None).cast("string"))
-    found = earliest_ending_from(requests, res, "book_id", "start_date", "_rbook", "_rs", "_re", ["_res_id", "_holder"], "_earliest")
+    known = lib.readers.select(F.col("id").alias("_rreader"), full_name().alias("_holder"))
+    counted = res.join(known.select("_rreader"), "_rreader", "left_semi") if join_readers else res
+    found = earliest_ending_from(requests, counted, "book_id", "start_date", "_rbook", "_rs", "_re", "_res_id", "_earliest")
     conflict = F.coalesce(F.col("_earliest._rs") <= F.col("end_date"), F.lit(False))
     books = lib.books.select(F.col("id").alias("_bid"), F.col("status").alias("_bstatus"))
-    return found.join(books, F.col("book_id") == F.col("_bid"), "left").select(
+    out = found.join(books, F.col("book_id") == F.col("_bid"), "left").select(
         *requests.columns, F.col("_bid").isNotNull().alias("book_exists"),
         F.coalesce("_bstatus", F.lit("not_found")).alias("book_status"),
-        conflict.alias("has_conflict"), F.when(conflict, F.col("_earliest._holder")).alias("current_holder"))
+        conflict.alias("has_conflict"), F.when(conflict, F.col("_earliest._res_id")).alias("_met"))
+    if not with_holder:
+        return out.drop("_met")
+    holders = res.join(known, "_rreader").select("_res_id", F.col("_holder").alias("current_holder"))
+    return out.join(holders, F.col("_met") == F.col("_res_id"), "left").drop("_met", "_res_id")
 
 
 def conflict_dates(lib: Library, requests: DataFrame) -> DataFrame:

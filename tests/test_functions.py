@@ -67,11 +67,11 @@ def test_earliest_ending_from_equals_brute_force(spark):
         s = base + dt.timedelta(days=rnd.randint(0, 400))
         return (i, rnd.randint(1, n), s, s + dt.timedelta(days=rnd.randint(-2, 30)))
     req = [iv(i, 5) for i in range(200)] + [(900, 1, None, base), (901, None, base, base)]
-    res = [iv(1000 + i, 4) for i in range(150)] + [(2000, 1, None, base), (2001, 1, base, None), (2002, None, base, base)]
+    res = [iv((-1) ** i * (1000 + i), 4) for i in range(150)] + [(2000, 1, None, base), (2001, 1, base, None), (2002, None, base, base)]
     res += [(3000, 2, base + dt.timedelta(days=900), base + dt.timedelta(days=40_000))]  # a century long
     a = spark.createDataFrame(req, "qid long, qk long, qs date, qe date")
     b = spark.createDataFrame(res, "rid long, rk long, rs date, re date")
-    got = {r.qid: r.e and (r.e.rs, r.e.rid) for r in earliest_ending_from(a, b, "qk", "qs", "rk", "rs", "re", ["rid"], "e").collect()}
+    got = {r.qid: r.e and (r.e.rs, r.e.rid) for r in earliest_ending_from(a, b, "qk", "qs", "rk", "rs", "re", "rid", "e").collect()}
     whole = [r for r in res if r[1] and r[2] and r[3]]
     exp = {q[0]: min(((r[2], r[0]) for r in whole if r[1] == q[1] and q[2] and r[3] >= q[2]), default=None) for q in req}
     assert got == exp
