@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from ..operators import commands_catalog as WC
 from ..operators import commands_circulation as WL
 from ..operators import commands_users as WU
+from ..session import scratch_path
+from ..sources.fixtures import Library
+from ..sources.store import TableStore
 from .registry import AS_OF_LOANABLE, AS_OF_LOANS, AS_OF_REQUESTS, register
 
 Y = AS_OF_LOANS.year
@@ -363,6 +366,24 @@ def _w12b(lib):
     return WL.return_loans(lib, lib.return_commands, AS_OF_LOANS).tables["books"].drop("updated_at")
 
 
+@register("w11_w12_stored_loans", f"""
+WITH {_W11_LENT},
+now_lent AS (SELECT id, book_id, reader_id, loan_date, return_date, status FROM loans
+  UNION ALL SELECT (SELECT max(id) FROM loans) + ROW_NUMBER() OVER (ORDER BY submitted_at, cmd_id), book_id, reader_id,
+    CAST({D_LOANABLE} AS TIMESTAMP), NULL, 'borrowed' FROM lent)
+SELECT id, book_id, reader_id, loan_date,
+  CASE WHEN status = 'borrowed' AND id IN (SELECT loan_id FROM return_commands) THEN DATE '{AS_OF_LOANS.isoformat()}' ELSE return_date END AS return_date,
+  CASE WHEN id IN (SELECT loan_id FROM return_commands) THEN 'returned' ELSE status END AS status FROM now_lent
+""")
+def _w11_w12(lib):
+    """Lending and returning as two transactions of a store; the loans of its newest version."""
+    store = TableStore(lib.spark, scratch_path(lib.spark, "store"))
+    store.publish({n: lib.table(n) for n in ("books", "loans", "reservations")}, -1)
+    store.transact(lambda t: WL.create_loans(Library(lib.spark, tables=t), lib.loan_commands, AS_OF_LOANABLE), outcomes="lend_outcomes")
+    store.transact(lambda t: WL.return_loans(Library(lib.spark, tables=t), lib.return_commands, AS_OF_LOANS), outcomes="return_outcomes")
+    return store.load()[1]["loans"].drop("updated_at")
+
+
 @register("w11_create_loans", f"""
 WITH res AS (SELECT book_id, reader_id, min(id) AS res_id FROM reservations
              WHERE status = 'pending' AND {D_LOANABLE} BETWEEN start_date AND end_date GROUP BY book_id, reader_id),

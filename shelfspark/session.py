@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -63,7 +66,52 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.paths.append(path)
+    return path
+
+
+class Scratch:
+    """The written intermediate tables of a ``scratch_scope``, innermost first when scopes are nested."""
+
+    def __init__(self, spark: SparkSession, outer: Scratch | None):
+        self.spark, self.outer, self.paths = spark, outer, []
+
+    def keep(self, df: DataFrame, name: str = "kept") -> DataFrame:
+        """``df`` written to where the end of this scope does not reach (an outer scope's end does), and read back."""
+        token = _SCOPE.set(self.outer)
+        try:
+            return materialize(df, name)
+        finally:
+            _SCOPE.reset(token)
+
+    def clear(self) -> None:
+        from .sources.files import remove
+        while self.paths:
+            remove(self.spark, self.paths[-1])
+            self.paths.pop()
+
+
+_SCOPE: ContextVar[Scratch | None] = ContextVar("scratch_scope", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Scratch]:
+    """Intermediate tables that the library writes in the block are removed at its end, also if it fails.
+
+    What is computed from them must be written inside the block, by a sink or by ``keep``. Streams started in the
+    block lose tables and checkpoints for which they were given no place of their own. Threads started in the block
+    are not part of it.
+    """
+    scope = Scratch(spark, _SCOPE.get())
+    token = _SCOPE.set(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPE.reset(token)
+        scope.clear()
 
 
 def materialize(df, name: str):

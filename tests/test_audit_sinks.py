@@ -162,3 +162,82 @@ def test_store_publishes_a_batch_together(spark, lib, tmp_path):
     assert store.publish({"readers": after["readers"].limit(3)}, 1) == 2
     assert store.versions() == [1, 2]
     assert store.load()[1]["loans"].count() == n_loans + n
+
+
+def _scratch(spark):
+    import os
+    return set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")))
+
+
+def test_scratch_scope_removes_what_it_wrote(spark, lib):
+    from shelfspark.operators.reports import report_popular_books
+    from shelfspark.session import scratch_scope
+    want = sorted(report_popular_books(lib).collect())
+    before = _scratch(spark)
+    with scratch_scope(spark) as outer:
+        with scratch_scope(spark) as inner:
+            ranked = inner.keep(report_popular_books(lib), "popular")
+            assert len(_scratch(spark) - before) == 3  # rank input, ranges, what is kept
+        assert len(_scratch(spark) - before) == 1
+        assert sorted(ranked.collect()) == want
+        with pytest.raises(RuntimeError, match="stop"), scratch_scope(spark):
+            report_popular_books(lib)
+            raise RuntimeError("stop")
+        assert len(_scratch(spark) - before) == 1
+        outer.clear()
+    assert _scratch(spark) == before
+    report_popular_books(lib)  # outside of scopes tables stay
+    assert len(_scratch(spark) - before) == 2
+
+
+def test_store_transactions(spark, lib, tmp_path):
+    import os
+
+    from shelfspark.operators import commands_circulation as WL
+    from shelfspark.operators.batch import CommandResult
+    from shelfspark.session import materialize
+    from shelfspark.sources.fixtures import Library
+    from shelfspark.sources.store import Conflict, TableStore
+    store, day = TableStore(spark, str(tmp_path / "store"), keep=10), dt.date(1998, 6, 15)
+    assert store.publish({n: lib.table(n) for n in ("books", "loans", "reservations")}, -1) == 0
+    base = store.load()[1]
+    lend_commands, return_commands = materialize(lib.loan_commands, "lend"), materialize(lib.return_commands, "return")
+    lend = lambda t: WL.create_loans(Library(spark, tables=t), lend_commands, day)
+    back = lambda t: WL.return_loans(Library(spark, tables=t), return_commands, day)
+    before = _scratch(spark)
+    assert store.transact(lend, outcomes="lend_outcomes") == 1
+    assert store.transact(back, outcomes="return_outcomes") == 2
+    assert _scratch(spark) == before
+    # as the two jobs one after the other on lazy tables
+    first = lend(base)
+    second = back({**base, **first.tables})
+    _, got = store.load()
+    for name, want in {"loans": second.tables["loans"], "books": second.tables["books"], "reservations": first.tables["reservations"],
+                       "lend_outcomes": first.outcomes, "return_outcomes": second.outcomes}.items():
+        assert sorted(map(str, got[name].select(*want.columns).collect())) == sorted(map(str, want.collect())), name
+
+    # another batch is published while a job runs: the job runs anew on its tables
+    seen = []
+
+    def slow(tables):
+        seen.append(tables["books"].count())
+        if len(seen) == 1:
+            store.publish({"books": tables["books"].limit(7)}, 2)
+        return CommandResult({"books": tables["books"].limit(5)})
+
+    assert store.transact(slow) == 4
+    assert seen == [base["books"].count(), 7] and store.load()[1]["books"].count() == 5
+
+    def never(tables):
+        store.publish({"readers": base["books"].limit(1)}, store.load()[0])
+        return CommandResult({"books": tables["books"].limit(1)})
+
+    folder = f"{tmp_path}/store/tables/books"
+    held = set(os.listdir(folder))
+    with pytest.raises(Conflict):
+        store.transact(never, attempts=1)
+    # a refused batch and a failing one leave no tables behind
+    with pytest.raises(Exception, match="no"):
+        store.transact(lambda t: CommandResult({"books": t["books"].limit(2), "loans": t["loans"].selectExpr("raise_error('no') AS x")}))
+    assert set(os.listdir(folder)) <= held
+    assert store.load()[1]["books"].count() == 5
