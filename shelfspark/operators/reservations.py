@@ -95,7 +95,9 @@ def check_availability(lib: Library, requests: DataFrame, join_readers: bool = T
     if not with_holder:
         return out.drop("_met")
     holders = res.join(known, "_rreader").select("_res_id", F.col("_holder").alias("current_holder"))
-    return out.join(holders, F.col("_met") == F.col("_res_id"), "left").drop("_met", "_res_id")
+    # Requests that meet no reservation go by a hash of their own, or all of them would be the one NULL key of the join.
+    spread = F.coalesce("_met", F.xxhash64(*requests.columns))
+    return out.join(holders, (spread == F.col("_res_id")) & F.col("_met").isNotNull(), "left").drop("_met", "_res_id")
 
 
 def conflict_dates(lib: Library, requests: DataFrame) -> DataFrame:

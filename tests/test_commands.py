@@ -11,6 +11,8 @@ from shelfspark.operators import commands_catalog as WC
 from shelfspark.operators import commands_circulation as WL
 from shelfspark.operators import commands_users as WU
 from shelfspark.operators.batch import merge_rows
+from shelfspark.operators.reservations import check_availability
+from shelfspark.sources.fixtures import Library
 from shelfspark.streaming import jobs as S
 from settings import SF_SMALL
 
@@ -325,3 +327,27 @@ def test_w4_equals_sequential(spark, lib):
     res = WC.update_books(small, c, dt.date(2024, 6, 1))
     assert {r.cmd_id: r.reason for r in res.outcomes.collect()} == exp
     assert {r.id: r.isbn for r in res.tables["books"].collect()} == held
+
+
+def test_requests_without_a_holder_do_not_share_a_task(spark):
+    day = dt.date(2000, 1, 1)
+    lib = Library(spark, tables={
+        "books": spark.createDataFrame([(1, "available"), (2, "available")], "id long, status string"),
+        "readers": spark.createDataFrame([(7, "A", "B")], "id long, first_name string, last_name string"),
+        "reservations": spark.createDataFrame([(10, 1, 7, day, day, "pending"), (11, 1, 8, day, day, "pending")],
+                                              "id long, book_id long, reader_id long, start_date date, end_date date, status string")})
+    rows = [(i, 1 if i == 3 else 2, day, day) for i in range(200)] + [(None, 2, day, day), (None, None, None, None), (10, 2, day, day), (10, 2, day, day)]
+    requests = spark.createDataFrame(rows, "req_id long, book_id long, start_date date, end_date date")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = check_availability(lib, requests).withColumn("_task", F.spark_partition_id()).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sorted((r.req_id is None, r.req_id or 0) for r in found) == sorted((r[0] is None, r[0] or 0) for r in rows)
+    assert [(r.req_id, r.current_holder) for r in found if r.has_conflict] == [(3, "A B")]
+    assert all(r.current_holder is None for r in found if not r.has_conflict)
+    tasks = pd.Series([r._task for r in found]).value_counts()
+    assert len(tasks) > 1 and tasks.max() < len(rows) // 2
