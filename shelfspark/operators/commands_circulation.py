@@ -154,11 +154,11 @@ def create_loans(lib: Library, cmds: DataFrame, as_of: dt.date | str) -> Command
         F.col("loan_id").alias("id"), "book_id", "reader_id", lit_ntz(now).alias("loan_date"),
         F.lit(None).cast(lib.loans.schema["return_date"].dataType).alias("return_date"),
         F.lit("borrowed").alias("status")), allowMissingColumns=True)
-    books = merge_rows(lib.books, lib.books.join(acc.select(F.col("book_id").alias("id")), "id", "left_semi")
+    # Only the columns that change travel to the merge.
+    books = merge_rows(lib.books, lib.books.select("id").join(acc.select(F.col("book_id").alias("id")), "id", "left_semi")
                        .withColumn("status", F.lit("borrowed")), "id", now)
-    reservations = merge_rows(lib.reservations, lib.reservations.join(acc.select(F.col("_res_id").alias("id")), "id",
-                                                                      "left_semi").withColumn("status", F.lit("completed")),
-                              "id", now)
+    reservations = merge_rows(lib.reservations, lib.reservations.select("id").join(acc.select(F.col("_res_id").alias("id")), "id", "left_semi")
+                              .withColumn("status", F.lit("completed")), "id", now)
     outcomes = c.join(acc.select("cmd_id", "loan_id"), "cmd_id", "left").select(
         "cmd_id", F.col("loan_id").isNotNull().alias("ok"),
         F.when(F.col("loan_id").isNull(), F.lit("Invalid loan request")).alias("reason"), "loan_id")
@@ -178,9 +178,9 @@ def return_loans(lib: Library, cmds: DataFrame, as_of: dt.date | str) -> Command
     outcomes = j.select("cmd_id", "loan_id", ok.alias("ok"), F.when(~ok, F.lit("Invalid return request")).alias("reason"))
     done = j.where(ok).select("loan_id", "book_id")
     rt = lib.loans.schema["return_date"].dataType
-    changed = (lib.loans.join(done.select(F.col("loan_id").alias("id")), "id", "left_semi")
+    changed = (lib.loans.select("id").join(done.select(F.col("loan_id").alias("id")), "id", "left_semi")
                .withColumn("status", F.lit("returned")).withColumn("return_date", lit_ntz(now).cast(rt)))
-    books = merge_rows(lib.books, lib.books.join(done.select(F.col("book_id").alias("id")).distinct(), "id", "left_semi")
+    books = merge_rows(lib.books, lib.books.select("id").join(done.select(F.col("book_id").alias("id")).distinct(), "id", "left_semi")
                        .withColumn("status", F.lit("available")), "id", now)
     return CommandResult({"loans": merge_rows(lib.loans, changed, "id", now), "books": books}, outcomes)
 

@@ -134,7 +134,8 @@ class Library:
         o = self.raw("orders").where(F.col("o_custkey") % 5 != 4)
         j = li.join(o, li.l_orderkey == o.o_orderkey)
         lid = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-        borrowed = (F.col("flag") == ord("N")) & (F.col("l_orderkey") % 20 == 0)
+        # Never NULL, so that a filter on it falls apart and the part on the key goes below the aggregate.
+        borrowed = F.coalesce(F.col("flag") == ord("N"), F.lit(False)) & F.coalesce(F.col("l_orderkey") % 20 == 0, F.lit(False))
         return j.select(lid.alias("id"), "book_id", (F.col("o_custkey") + 100000).alias("reader_id"),
                         "loan_date", borrowed.alias("_borrowed"), F.col("o_orderdate"))
 

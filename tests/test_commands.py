@@ -13,6 +13,7 @@ from shelfspark.operators import commands_users as WU
 from shelfspark.operators.batch import merge_rows
 from shelfspark.operators.reservations import check_availability
 from shelfspark.sources.fixtures import Library
+from shelfspark.sources.store import TableStore
 from shelfspark.streaming import jobs as S
 from settings import SF_SMALL
 
@@ -351,3 +352,34 @@ def test_requests_without_a_holder_do_not_share_a_task(spark):
     assert all(r.current_holder is None for r in found if not r.has_conflict)
     tasks = pd.Series([r._task for r in found]).value_counts()
     assert len(tasks) > 1 and tasks.max() < len(rows) // 2
+
+
+def test_stored_loans_take_their_commands_from_the_store(spark, monkeypatch):
+    from shelfspark.plans.registry import QUERIES, load_all
+    load_all()
+    commands, first = {}, []
+    for name in ("create_loans", "return_loans"):
+        job = getattr(WL, name)
+        monkeypatch.setattr(WL, name, lambda lib, cmds, as_of, name=name, job=job: commands.__setitem__(name, cmds) or job(lib, cmds, as_of))
+    publish = TableStore.publish
+
+    def watched(self, tables, based_on):
+        if based_on < 0:
+            first.extend(f for n in ("books", "loans", "reservations") for f in tables[n].inputFiles())
+        return publish(self, tables, based_on)
+    monkeypatch.setattr(TableStore, "publish", watched)
+    stored = QUERIES["w11_w12_stored_loans"](spark, SF_SMALL)
+    for cmds in commands.values():
+        assert all("/tables/" in f for f in cmds.inputFiles())
+    assert not any("lineitem" in f for f in first)
+    lib = Library(spark, SF_SMALL)
+    lent = WL.create_loans(lib, lib.loan_commands, dt.date(1998, 6, 15))
+    after = lib.override(loans=lent.tables["loans"], books=lent.tables["books"])
+    want = WL.return_loans(after, lib.return_commands, dt.date(2001, 8, 15)).tables["loans"].drop("updated_at")
+    assert stored.exceptAll(want).count() == 0 and want.exceptAll(stored).count() == 0
+
+
+def test_filter_on_lent_books_goes_below_the_grouping_of_lines(spark):
+    books = Library(spark, SF_SMALL).books._jdf.queryExecution().optimizedPlan().toString()
+    lines = books[books.index("Aggregate [l_orderkey"):]
+    assert "% 20" in lines
