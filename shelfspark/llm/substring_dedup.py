@@ -73,8 +73,7 @@ def _windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _minimisers(words: Words, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The least word key, 32 bits, of the window that starts at each word of ``at``; the keys of all words."""
-    index, different = words.encoded()
-    h = np.array([xxhash.xxh32_intdigest(w) >> 1 | (len(w) < SHORT_WORD) << 31 for w in different], np.uint32)[index]
+    h = (words.hashes() >> np.uint64(33)).astype(np.uint32) | (words.size < SHORT_WORD).astype(np.uint32) << np.uint32(31)
     # Least of k neighbours by doubling: spans of 1, 2, 4, ... and one overlapping rest.
     least, span = h, 1
     while span * 2 <= k:
@@ -151,7 +150,7 @@ def super_kmers(batches: Iterator[pa.RecordBatch], k: int, hot: np.ndarray) -> I
         tkey = b.column("tkey").to_numpy(zero_copy_only=False)
         go = np.flatnonzero(~late)
         yield batch(schema, key=_key(bucket[go], first[go] - words.first[row[go]]),
-                    packed=_packed(doc[row[go]], tkey[row[go]], words.norm, start[go], (words.start[last] + words.size[last] - start)[go]))
+                    packed=_packed(doc[row[go]], tkey[row[go]], packed.take(pa.array(go))))
         if late.any():
             row, first, last = row[late], first[late], last[late]
             new = np.ones(len(row), bool)  # ranges of one text that touch are one range
@@ -162,26 +161,18 @@ def super_kmers(batches: Iterator[pa.RecordBatch], k: int, hot: np.ndarray) -> I
             spread = (doc[row].astype(np.uint64) * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             length = (last - first + 1).astype("<i4").view(np.uint8)
             yield batch(schema, key=_key(spread, first - words.first[row]),
-                        packed=_packed(doc[row], tkey[row], length, np.arange(len(row)) * 4, np.full(len(row), 4)))
+                        packed=_packed(doc[row], tkey[row], binary_slices(length, np.arange(len(row)) * 4, np.full(len(row), 4))))
 
 
 def _key(bucket: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return (bucket.view(np.int32).astype(np.int64) << 32) | pos
 
 
-def _packed(doc: np.ndarray, tkey: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
-    """doc and tkey, then ``data[start: start + size]``, of each row."""
-    offsets = np.zeros(len(start) + 1, np.int64)
-    np.cumsum(size + _HEAD, out=offsets[1:])
-    out = np.empty(int(offsets[-1]), np.uint8)
+def _packed(doc: np.ndarray, tkey: np.ndarray, strings: pa.Array) -> pa.Array:
+    """doc and tkey, then the string, of each row."""
     head = np.concatenate([doc.astype("<i8").view(np.uint8).reshape(-1, 8), tkey.astype("<i4").view(np.uint8).reshape(-1, 4)], axis=1)
-    at = offsets[:-1, None] + np.arange(_HEAD)
-    rest = np.ones(len(out), bool)
-    rest[at.ravel()] = False
-    out[at] = head
-    begin = np.cumsum(size) - size
-    out[rest] = data[np.arange(int(size.sum())) + np.repeat(start - begin, size)]
-    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(out)]).cast(pa.binary())
+    head = pa.Array.from_buffers(pa.binary(_HEAD), len(doc), [None, pa.py_buffer(np.ascontiguousarray(head))]).cast(pa.binary())
+    return pc.binary_join_element_wise(head, strings, pa.scalar(b"", pa.binary()))
 
 
 def _documents(packed: pa.Array) -> np.ndarray:
@@ -212,23 +203,30 @@ def _mult(j: int) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(b"%d" % j) | 1)
 
 
+def _equal_strings(words: Words, a: np.ndarray, b: np.ndarray, k: int) -> bool:
+    """Whether the windows at ``a`` and ``b`` hold the same words, pair by pair: their strings are compared byte by byte."""
+    start, other = words.start[a], words.start[b]
+    size = words.start[a + k - 1] + words.size[a + k - 1] - start
+    if (words.start[b + k - 1] + words.size[b + k - 1] - other != size).any():
+        return False
+    step = max(1, SLICE_BYTES // max(1, int(size.max(initial=0))))
+    for i in range(0, len(size), step):
+        one, two = (binary_slices(words.norm, x[i: i + step], size[i: i + step]) for x in (start, other))
+        if not one.equals(two):
+            return False
+    return True
+
+
 def repeated_windows(words: Words, at: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
     """For each window, whether the same words also start in a smaller document. Exact: equal hashes are compared."""
-    index, _ = words.encoded()
-    # splitmix-style spread of the dense word numbers, then a multilinear hash of the k words
-    with np.errstate(over="ignore"):
-        h = (index.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    sums = _window_sums(h, k)[at]
+    sums = _window_sums(words.hashes(), k)[at]  # multilinear over the hashes of the k words
     order = np.argsort(sums)
     first = group_by_value(sums[order])
     same = np.ones(len(order), bool)
     same[first] = False
     pair = np.flatnonzero(same)
-    a, b = at[order[pair]], at[order[pair - 1]]
-    if any((index[a + j] != index[b + j]).any() for j in range(k)):  # two different windows share a hash
+    if not _equal_strings(words, at[order[pair]], at[order[pair - 1]], k):  # two different windows share a hash
+        index, _ = words.encoded()
         columns = np.stack([index[at + j] for j in range(k)])
         order = np.lexsort(columns)
         first = np.flatnonzero(np.concatenate(([True], (columns[:, order[1:]] != columns[:, order[:-1]]).any(0))))

@@ -4,6 +4,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 import cases
@@ -65,6 +67,47 @@ def test_substring_dedup_texts_and_empty(spark, awkward, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def _removed_words(texts, ids, k=3):
+    """doc_id, place of removed words by the three steps in this process."""
+    table = pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "tkey": pa.array([0] * len(ids), pa.int32()), "text": pa.array(texts)})
+    assert sum(pc.sum(b.column("n")).as_py() for b in substring_dedup.count_slots(iter([table]), k)) > 0
+    runs = pa.Table.from_batches(substring_dedup.super_kmers(iter([table]), k, np.zeros(substring_dedup.SLOTS, bool))).sort_by("key")
+    found = set()
+    for b in substring_dedup.count_buckets(iter(runs.combine_chunks().to_batches()), k, 10_000):
+        found |= {(r["doc_id"], r["pos"] + i) for r in b.to_pylist() for i in range(r["len"])}
+    return found
+
+
+def _removed_plain(texts, ids, k=3):
+    windows = [(tuple(t.split(" ")[i: i + k]), d, i) for t, d in zip(texts, ids, strict=True) for i in range(len(t.split(" ")) - k + 1)]
+    least = {}
+    for w, d, _ in windows:
+        least[w] = min(d, least.get(w, d))
+    return {(d, i + j) for w, d, i in windows if d > least[w] for j in range(k)}
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_substring_dedup_by_word_hashes(collide, monkeypatch):
+    rnd = random.Random(3)
+    words = [rnd.choice("abcé") * n for n in (1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 200)] + ["ab", "ba", "x" * 64 + "1", "x" * 64 + "2"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(3, 40))) for _ in range(80)]
+    ids = rnd.sample(range(1000), len(texts))
+    if collide:  # all words share a hash: the words themselves decide
+        monkeypatch.setattr(substring_dedup.Words, "hashes", lambda self: np.zeros(len(self), np.uint64))
+    else:  # no dictionary of words is needed
+        def no_dictionary(self):
+            raise AssertionError("words were put into a dictionary")
+        monkeypatch.setattr(substring_dedup.Words, "encoded", no_dictionary)
+    assert _removed_words(texts, ids) == _removed_plain(texts, ids)
+
+
+def test_word_hashes_do_not_depend_on_the_batch():
+    words = ["a", "b", "ab", "a\x00", "é", "x" * 8, "x" * 9, "y" * 63, "y" * 64, "y" * 65, "z" * 500]
+    h = substring_dedup.Words(pa.array([" ".join(words)])).hashes().tolist()
+    assert len(set(h)) == len(words)
+    assert [substring_dedup.Words(pa.array([w])).hashes()[0] for w in words] == h
+
+
 LINES = ("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
