@@ -258,7 +258,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"])
     return h.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                     F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
-                    F.coalesce(n_hit / F.col("n_words"), F.lit(0.0)).alias("coverage"))
+                    F.coalesce(F.try_divide(n_hit, "n_words"), F.lit(0.0)).alias("coverage"))
 
 
 def _without(text: str, n: int, spans: list, max_coverage: float) -> str | None:

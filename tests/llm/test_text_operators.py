@@ -183,6 +183,18 @@ def test_contamination_given_and_empty(spark, given, empty):
     assert decontaminate.contamination(empty, read(spark, cases.SF_MORE, "benchmark")).count() == 0
 
 
+@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 3])
+def test_contamination_coverage_of_texts_without_words(spark, block_words):
+    """Every column is computed: texts without a word have coverage 0."""
+    bench = spark.createDataFrame([(1, "one two three"), (2, "four five six")], "item_id long, text string")
+    texts = [None, "", " -- !!\n", "one two three and more words", "One, two: three", "none of it"]
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    found = decontaminate.contamination(cases.frame(spark, texts, [*range(5), None]), bench, block_words=block_words).collect()
+    assert _sorted([(r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated, r.coverage) for r in found]) == _sorted([
+        (0, 0, 0, 0, False, 0.0), (1, 0, 0, 0, False, 0.0), (2, 0, 0, 0, False, 0.0), (3, 6, 3, 1, True, 0.5), (4, 3, 3, 1, True, 1.0), (None, 3, 0, 0, False, 0.0)])
+    assert {r.items_sha256 for r in found if not r.contaminated} == {cases.sha("")}
+
+
 @pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 12])
 def test_clean_cuts_spans_and_drops_covered(spark, block_words):
     leak = " ".join(f"w{i}" for i in range(12))
