@@ -1,13 +1,17 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
 The items' words, normalised, go into one suffix automaton over all items (a
-block of items of bounded size; further blocks take further passes). Training
+block of items of bounded size). Training
 words are streamed through it with the longest matching length at each word:
 where it reaches the window length, the last words are a window of an item;
 items shorter than a window are final states of their own length. Words that
 no item holds end every match, so only runs of item words long enough to hold a
 window are streamed at all; that skips no match.
 
+Items of several blocks have one automaton a block. One scan of the documents for
+many blocks looks up hashes of all their windows among those of the items, and an
+automaton gets the texts that may hold a window of its block: all that do, and few others.
+
 ``clean`` removes the hit spans and drops documents of which too much is hit.
 
 Defined cases: null and empty texts have no words; items without words are no
@@ -21,17 +25,20 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, free_names, materialize, shipped, slices, text_bytes
+from .common import ONLY_SPACE, Words, documents, free_names, materialize, shipped, slices, text_bytes
 
 WINDOW = 10
 #: Words of items in one automaton; more items are matched block by block.
 BLOCK_WORDS = 500_000
+#: Blocks looked up in one scan of the documents (12 bytes a window in each Python worker).
+SCAN_BLOCKS = 8
 #: ``clean`` removes hit spans, each at least a window of an item long, and drops documents with more than this share of hit words.
 MAX_COVERAGE = 0.5
 
@@ -60,12 +67,17 @@ class SuffixAutomaton:
         self.lengths = sorted({len(w) for _, w in rows if len(w) < window}, reverse=True)
         self.shortest = min([window, *(len(w) for _, w in rows)])
         # A window's state: the one reached by its words, cut back to the window's length by suffix links.
-        self.items: dict[tuple[int, int], set] = {}
+        # Windows of one item only, as most are, share its set.
+        self.items: dict[tuple[int, int], frozenset | set] = {}
         for item, words in rows:
-            need = min(window, len(words))
+            need, only = min(window, len(words)), frozenset((item,))
             for i, state, length in self.stream(words):
                 if length >= need:
-                    self.items.setdefault((self.cut(state, need), need), set()).add(item)
+                    held = self.items.setdefault((self.cut(state, need), need), only)
+                    if item not in held:
+                        if isinstance(held, frozenset):
+                            held = self.items[self.cut(state, need), need] = set(held)
+                        held.add(item)
 
     def _extend(self, last: int, w: int) -> int:
         """Append a word after state ``last``; the state of the longer prefix."""
@@ -173,9 +185,9 @@ _HITS = "doc_id long, n_words long, spans array<struct<a: int, b: int>>, items a
 
 
 def _hits(batches: Iterator[pa.RecordBatch], sent, window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
-    automaton = _automaton(sent, window)
     spans_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
     for b in slices(batches):
+        automaton = _automaton(sent, window)
         data, offsets = text_bytes(b.column("text"))
         raw = data.tobytes().translate(_WORD_BYTES)
         n_words, spans, items = [], [], []
@@ -192,20 +204,112 @@ def _hits(batches: Iterator[pa.RecordBatch], sent, window: int, with_text: bool)
         yield pa.RecordBatch.from_pydict(cols)
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[object, str]]]:
-    """Items in blocks of about ``block_words`` words; an iterator, so the driver holds one block."""
+def _blocks(benchmark: DataFrame, block_words: int, window: int) -> Iterator[list[tuple[object, bytes]]]:
+    """Items (ids and words) in blocks of about ``block_words`` words; an iterator, so the driver holds few blocks.
+
+    A longer item comes in pieces that overlap by a word less than a window, so each of its windows is in one.
+    """
+    piece = max(block_words, 2 * window)
     block, size = [], 0
     for r in benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct().toLocalIterator():
-        n = len(item_words(r.text))
-        if n:
-            if block and size + n > block_words:
+        words = item_words(r.text)
+        for at in range(0, max(len(words) - window + 1, 1), piece - window + 1) if words else ():
+            part = words[at:at + piece]
+            if block and size + len(part) > block_words:
                 yield block
                 block, size = [], 0
-            block.append((r.item_id, r.text))
-            size += n
+            block.append((r.item_id, b" ".join(part)))
+            size += len(part)
     yield block
 
 
+_STEP, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _window_hashes(words: Words, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each of the lengths: (length, first words of all runs of so many words within a text, hashes of the runs)."""
+    left = np.repeat(words.first[1:], words.count) - np.arange(len(words))
+    one = words.hashes()
+    run = one
+    for n in range(1, lengths[-1] + 1):
+        if n > len(words):
+            return
+        if n > 1:
+            run = run[:-1] * _STEP + one[n - 1:]
+        if n in lengths:
+            at = np.flatnonzero(left[:len(run)] >= n)
+            x = (run[at] ^ np.uint64(n)) * _END
+            yield n, at, x ^ x >> np.uint64(32)
+
+
+class WindowFilter:
+    """The blocks of items of which a text may hold a window, by hashes of the windows: all such blocks, seldom others."""
+
+    def __init__(self, blocks: list[list[tuple[object, bytes]]], window: int):
+        keys, of, self.lengths = [], [], set()
+        for k, block in enumerate(blocks):
+            words = Words(pa.array([x for _, x in block], pa.binary()), ONLY_SPACE)
+            need = np.minimum(words.count, window)
+            lengths = np.unique(need[need > 0]).tolist()
+            self.lengths.update(lengths)
+            text = words.text_of()
+            mine = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[need[text[at]] == n] for n, at, x in _window_hashes(words, lengths))]))
+            keys.append(mine)
+            of.append(np.full(len(mine), k, np.int32))
+        self.lengths = sorted(self.lengths)
+        keys, of = np.concatenate(keys), np.concatenate(of)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.of = keys[order], of[order]
+        # A bit for the first bits of each hash rules most other runs out.
+        n_bits = max(16, (16 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - n_bits)
+        seen = np.zeros(1 << n_bits, bool)
+        seen[self.keys >> self.shift] = True
+        self.seen = np.packbits(seen, bitorder="little")
+
+    def blocks(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a text and a block, by text and block, each once."""
+        pairs = [np.zeros((0, 2), np.int64)]
+        for _, at, x in _window_hashes(words, self.lengths):
+            place = x >> self.shift
+            bit = self.seen[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1
+            may = np.flatnonzero(bit)
+            at, x = at[may], x[may]
+            begin = np.searchsorted(self.keys, x, "left")
+            held = np.flatnonzero(self.keys.take(begin, mode="clip") == x)
+            at, x, begin = at[held], x[held], begin[held]
+            n = np.searchsorted(self.keys, x, "right") - begin
+            every = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            text = np.searchsorted(words.first, np.repeat(at, n), "right") - 1
+            pairs.append(np.unique(np.column_stack((text, self.of[every])), axis=0))
+        return tuple(np.unique(np.concatenate(pairs), axis=0).T)
+
+
+_NORMAL = np.frombuffer(_WORD_BYTES, np.uint8)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """The rows whose texts may hold a window of an item, with the blocks of those items."""
+    for b in slices(batches):
+        text, block = sent.value.blocks(Words(b.column("text"), ONLY_SPACE, _NORMAL))
+        rows, n = np.unique(text, return_counts=True)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+        of = pa.ListArray.from_arrays(offsets, pa.array(block, pa.int32()))
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").take(at), "text": b.column("text").take(at), "blocks": of})
+
+
+def _counts(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        data, offsets = text_bytes(b.column("text"))
+        raw = data.tobytes().translate(_WORD_BYTES)
+        n_words = [len(raw[s:e].split()) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        cols = {"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "n_words": pa.array(n_words, pa.int64())}
+        if with_text:
+            cols["text"] = b.column("text")
+        yield pa.RecordBatch.from_pydict(cols)
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of several blocks put in order and joined."""
     spans_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
@@ -228,18 +332,24 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     shipped(spark)
     schema = _HITS + (", text string" if with_text else "")
     keys = documents(docs)
-    blocks = _blocks(benchmark, block_words)
+    blocks = _blocks(benchmark, block_words, window)
     block, after = next(blocks), next(blocks, None)
     if after is None:
         sent = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
         return keys.mapInArrow(lambda it: _hits(it, sent, window, with_text), schema)
-    parts = []
-    while block is not None:
-        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
-        part = keys.mapInArrow(lambda it, sent=sent: _hits(it, sent, window, True), _HITS + ", text string")
-        parts.append(materialize(part.withColumn("text_key", F.xxhash64("text")).drop("text").distinct(), "decontaminate"))
+    blocks = chain([block, after], blocks)
+    parts = [spark.createDataFrame([], _HITS + ", text_key long")]
+    while group := list(islice(blocks, SCAN_BLOCKS)):
+        sent = spark.sparkContext.broadcast(WindowFilter(group, window))
+        found = materialize(keys.mapInArrow(lambda it, sent=sent: _candidates(it, sent), "doc_id long, text string, blocks array<int>"),
+                            "decontaminate-texts")
         sent.destroy()
-        block, after = after, next(blocks, None)
+        for k in sorted(r.k for r in found.select(F.explode("blocks").alias("k")).distinct().collect()):
+            sent = spark.sparkContext.broadcast((uuid.uuid4().hex, group[k]))
+            part = found.where(F.array_contains("blocks", k)) \
+                .mapInArrow(lambda it, sent=sent: _hits(it, sent, window, True), _HITS + ", text string")
+            parts.append(materialize(part.withColumn("text_key", F.xxhash64("text")).drop("text").distinct(), "decontaminate"))
+            sent.destroy()
     several = parts[0]
     for p in parts[1:]:
         several = several.unionByName(p)
@@ -248,8 +358,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     joined = joined.mapInArrow(_merged, _HITS.replace("n_words", "text_key long, n_words"))
     row = keys.withColumn("text_key", F.xxhash64("text"))
-    return row.join(joined, (row.doc_id.eqNullSafe(joined.doc_id)) & (row.text_key == joined.text_key)) \
-        .select(row.doc_id, "n_words", "spans", "items", *(["text"] if with_text else []))
+    row = row.mapInArrow(lambda it: _counts(it, with_text), "doc_id long, text_key long, n_words long" + (", text string" if with_text else ""))
+    none = {c: F.coalesce(joined[c], F.array().cast(joined.schema[c].dataType)).alias(c) for c in ("spans", "items")}
+    return row.join(joined, (row.doc_id.eqNullSafe(joined.doc_id)) & (row.text_key == joined.text_key), "left") \
+        .select(row.doc_id, row.n_words, none["spans"], none["items"], *([row.text] if with_text else []))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **options) -> DataFrame:
@@ -278,8 +390,8 @@ def _without(text: str, n: int, spans: list, max_coverage: float) -> str | None:
 
 def _rewrite(batches: Iterator[pa.RecordBatch], sent, window: int, max_coverage: float) -> Iterator[pa.RecordBatch]:
     """The rows that stay, with all their columns, and what is left of their texts."""
-    automaton = _automaton(sent, window)
     for whole in batches:
+        automaton = _automaton(sent, window)
         for at in range(0, whole.num_rows, 500):
             b = whole.slice(at, 500)
             old = b.column("text").to_pylist()
@@ -311,7 +423,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cover
     """The rows of ``docs``, all columns, that stay; the hit spans are cut out of their texts."""
     spark = docs.sparkSession
     shipped(spark)
-    blocks = _blocks(benchmark, block_words)
+    blocks = _blocks(benchmark, block_words, window)
     block, after = next(blocks), next(blocks, None)
     if after is None:
         sent = spark.sparkContext.broadcast((uuid.uuid4().hex, block))

@@ -195,6 +195,31 @@ def test_contamination_coverage_of_texts_without_words(spark, block_words):
     assert {r.items_sha256 for r in found if not r.contaminated} == {cases.sha("")}
 
 
+def test_contamination_of_many_blocks_writes_hits_only(spark, monkeypatch):
+    """Many blocks of items: automata get only texts that may be hit, and no automaton is larger than a block."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{x}" for x in rng.choices(range(800), k=n)]
+    items = [(i, words(rng.choice([4, 9, 10, 11, 25]))) for i in range(20)] + [(20, words(200)), (20, ["w1", "once"]), (None, words(15))]
+    texts = [words(rng.randint(0, 40)) for _ in range(50)]
+    for k, (_, t) in zip((3, 8, 8, 21, 30, 41, 44), (items[0], items[5], items[20], items[20], items[11], items[21], items[22]), strict=True):
+        at = rng.randint(0, max(0, len(t) - 10))
+        texts[k] = texts[k] + t[at:at + 30] + words(3)
+    texts = [" ".join(t) for t in texts] + [" ".join(items[20][1]), "w1 " * 30, None]
+    ids = [*range(len(texts) - 2), 8, None]
+    items = [(i, " ".join(t)) for i, t in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    written, sent, write, context = [], [], decontaminate.materialize, type(spark.sparkContext)
+    send = context.broadcast
+    monkeypatch.setattr(decontaminate, "materialize", lambda df, name: written.append(out := write(df, name)) or out)
+    monkeypatch.setattr(context, "broadcast", lambda self, x: sent.append(x) or send(self, x))
+    found = _tuples(decontaminate.contamination(cases.frame(spark, texts, ids), bench, block_words=60), *HITS)
+    assert found == _sorted(cases.contamination(texts, ids, items))
+    hit = sum(r[5] for r in found)
+    assert 6 <= hit <= 12
+    assert len(written) > 2 and max(df.count() for df in written) <= hit
+    assert max(sum(len(decontaminate.item_words(t)) for _, t in x[1]) for x in sent if isinstance(x, tuple)) <= 60
+
+
 @pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 12])
 def test_clean_cuts_spans_and_drops_covered(spark, block_words):
     leak = " ".join(f"w{i}" for i in range(12))
